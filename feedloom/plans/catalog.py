@@ -168,3 +168,178 @@ SELECT id, score, model, comment FROM vts
 WHERE len(list_filter(regexp_split_to_array(coalesce(comment, ''), '\\s+'), lambda x: x <> '')) > 3""", VT))
 def q_individual_matrix(spark, sf):
     return M.individual_matrix(X.verbatims(spark, sf))
+
+
+# ===================================================== cleaning (C*, P*) ====
+from feedloom.functions import clean as CL  # noqa: E402
+from feedloom.operators import cleaning as C  # noqa: E402
+from feedloom.operators import columns as P  # noqa: E402
+from feedloom.operators import filters as FL  # noqa: E402
+
+CT = X.CONTACTS_SQL
+
+
+def _sql_list(xs) -> str:
+    return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
+
+
+_WS = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_SUFFIX_SQL = " OR ".join(f"suffix(email, '{s}')" for s in CL.EMAIL_FAKE_SUFFIXES)
+
+
+@register("clean_email", X.with_views(f"""
+, e AS (SELECT id, lower({_WS.format(x='email')}) AS email FROM contacts)
+SELECT id, email FROM e
+WHERE email IS NOT NULL AND length(email) > 0
+  AND regexp_matches(email, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w{{2,}}$')
+  AND NOT regexp_matches(email, '{CL.EMAIL_BAD_START}')
+  AND NOT ({_SUFFIX_SQL})
+  AND email NOT IN {_sql_list(CL.EMAIL_FAKE_EXACT)}""", CT))
+def q_clean_email(spark, sf):
+    return C.clean_email(X.contacts(spark, sf), "email").select("id", "email")
+
+
+@register("clean_phone", X.with_views(f"""
+, d AS (SELECT id, regexp_replace(telefono, '[^0-9]', '', 'g') AS t FROM contacts),
+p AS (SELECT id, CASE WHEN starts_with(t, '0034') THEN substr(t, 5) WHEN starts_with(t, '34') THEN substr(t, 3) ELSE t END AS telefono FROM d)
+SELECT id, telefono FROM p
+WHERE length(telefono) = 9 AND regexp_matches(telefono, '^[0-9]{{9}}$')
+  AND NOT regexp_matches(telefono, '{CL.PHONE_FAKE_PREFIX}')
+  AND telefono NOT IN {_sql_list(CL.PHONE_PLACEHOLDERS)}""", CT))
+def q_clean_phone(spark, sf):
+    return C.clean_phone_es(X.contacts(spark, sf), "telefono").select("id", "telefono")
+
+
+@register("dash_to_null", X.with_views(f"""
+SELECT id, CASE WHEN {_WS.format(x='marca')} = '-' THEN NULL ELSE marca END AS marca FROM contacts""", CT))
+def q_dash_to_null(spark, sf):
+    return C.dash_to_null(X.contacts(spark, sf).select("id", "marca"))
+
+
+def _yes_no_sql(c: str) -> str:
+    v = f"lower({_WS.format(x=c)})"
+    return (f"CASE WHEN {v} IN {_sql_list(CL.YES_VALUES)} THEN true "
+            f"WHEN {v} IN {_sql_list(CL.NO_VALUES)} THEN false END AS {c}")
+
+
+@register("infer_bool", X.with_views(
+    "SELECT id, " + ", ".join(_yes_no_sql(c) if c in X.YESNO_BOOLEAN else c for c in X.YESNO_CASES)
+    + " FROM contacts", CT))
+def q_infer_bool(spark, sf):
+    return C.infer_bool(X.contacts(spark, sf).select("id", *X.YESNO_CASES), list(X.YESNO_CASES))
+
+
+@register("duration_seconds", X.with_views("""
+, t AS (SELECT id, coalesce(trim(tiempo_empleado), '') AS t FROM contacts)
+SELECT id, CAST(coalesce(TRY_CAST(nullif(regexp_extract(t, '(\\d+)m', 1), '') AS BIGINT), 0) * 60
+              + coalesce(TRY_CAST(nullif(regexp_extract(t, '(\\d+)s', 1), '') AS BIGINT), 0) AS BIGINT) AS tiempo_empleado
+FROM t""", CT))
+def q_duration_seconds(spark, sf):
+    return C.duration_to_seconds(X.contacts(spark, sf).select("id", "tiempo_empleado"))
+
+
+@register("parse_dates", X.with_views("""
+, p AS (SELECT id, try_strptime(respondido, '%d/%m/%Y %H:%M:%S') AS respondido,
+               CAST(try_strptime(enviado, '%d/%m/%Y') AS DATE) AS enviado FROM contacts)
+SELECT id, respondido, enviado, CAST(respondido AS DATE) AS respondido_fecha,
+       strftime(respondido, '%H:%M:%S') AS respondido_hora FROM p""", CT))
+def q_parse_dates(spark, sf):
+    df = X.contacts(spark, sf).select("id", "respondido", "enviado")
+    return P.split_datetime(C.parse_dates(df), "respondido")
+
+
+@register("to_number", X.with_views("""
+SELECT id, CASE WHEN regexp_matches(trim(puntuacion), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$')
+                THEN TRY_CAST(trim(puntuacion) AS DOUBLE) END AS puntuacion FROM contacts""", CT))
+def q_to_number(spark, sf):
+    return C.coerce_number(X.contacts(spark, sf).select("id", "puntuacion"), "puntuacion")
+
+
+@register("zfill5", X.with_views("""
+SELECT id, CASE WHEN length(codigo_postal) < 5 THEN lpad(codigo_postal, 5, '0') ELSE codigo_postal END AS codigo_postal
+FROM contacts""", CT))
+def q_zfill5(spark, sf):
+    return C.pad_postal_code(X.contacts(spark, sf).select("id", "codigo_postal"), "codigo_postal")
+
+
+_FUEL_RAW_SQL = ("CASE WHEN id % 10 = 0 THEN 'LPG' WHEN lang = 'en' THEN 'Petrol' WHEN lang = 'fr' THEN 'Hybrid' "
+                 "WHEN lang = 'de' THEN 'Diesel' ELSE 'Electric' END")
+
+
+def _fuel_raw():
+    return (F.when(F.col("id") % 10 == 0, "LPG").when(F.col("lang") == "en", "Petrol")
+            .when(F.col("lang") == "fr", "Hybrid").when(F.col("lang") == "de", "Diesel").otherwise("Electric"))
+
+
+_FUEL_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.FUEL_NAMES.items())
+
+
+@register("recode", X.with_views(f"""
+, r AS (SELECT id, {_FUEL_RAW_SQL} AS fuel FROM vt)
+SELECT id, CASE fuel {_FUEL_CASE} ELSE fuel END AS technology FROM r""", VT))
+def q_recode(spark, sf):
+    df = X.verbatims(spark, sf).select("id", _fuel_raw().alias("fuel"))
+    return C.recode_values(df, "fuel", out="technology").select("id", "technology")
+
+
+@register("to_datetime", X.with_views("""
+SELECT id, CAST(dt AS TIMESTAMP) AS ts FROM vt""", VT))
+def q_to_datetime(spark, sf):
+    return C.to_datetime(X.verbatims(spark, sf).select("id", F.col("dt").alias("ts")), "ts")
+
+
+# ========================================================= filters (C1x) ====
+_WORDS = "len(list_filter(regexp_split_to_array(coalesce(comment, ''), '\\s+'), lambda x: x <> ''))"
+
+
+@register("min_words", X.with_views(f"SELECT id, dealer FROM vts WHERE {_WORDS} > 3", VT))
+def q_min_words(spark, sf):
+    return FL.min_words(X.verbatims(spark, sf), "comment", 3).select("id", "dealer")
+
+
+@register("negative_verbatims", X.with_views(f"""
+SELECT id, dt, model, dealer, score, comment FROM vts WHERE score <= 5 AND {_WORDS} > 3""", VT))
+def q_negative(spark, sf):
+    return FL.polarity(X.verbatims(spark, sf), "negative").select("id", "dt", "model", "dealer", "score", "comment")
+
+
+@register("positive_verbatims", X.with_views(f"""
+SELECT id, dt, model, dealer, score, comment FROM vts WHERE score >= 8 AND {_WORDS} > 3""", VT))
+def q_positive(spark, sf):
+    return FL.polarity(X.verbatims(spark, sf), "positive").select("id", "dt", "model", "dealer", "score", "comment")
+
+
+@register("segment_filter", X.with_views("""
+SELECT id, dealer, model, technology, score FROM vts WHERE technology = 'Eléctrico'""", VT))
+def q_segment(spark, sf):
+    df = FL.segment(X.verbatims(spark, sf), "dealer", FL.ALL)
+    return FL.segment(df, "technology", "Eléctrico").select("id", "dealer", "model", "technology", "score")
+
+
+@register("service_facts", X.with_views("""
+SELECT id, service, technology FROM vts WHERE service = 'Ventas' AND model IS NOT NULL""", VT))
+def q_service(spark, sf):
+    df = FL.not_null(FL.service_facts(X.verbatims(spark, sf), "Ventas"), "model")
+    return df.select("id", "service", "technology")
+
+
+# ===================================================== dedup + union ====
+from feedloom.operators import dedup as D  # noqa: E402
+
+
+@register("distinct_rows", X.with_views("SELECT DISTINCT dt, dealer, score, comment FROM vts", VT))
+def q_distinct_rows(spark, sf):
+    return D.distinct_rows(X.verbatims(spark, sf), ["dt", "dealer", "score", "comment"])
+
+
+@register("union_diagonal", X.with_views("""
+SELECT id, dealer, score_raw FROM vt WHERE service = 'Ventas'
+UNION ALL BY NAME
+SELECT id, model, length(comment) AS n_chars FROM vt WHERE service = 'Posventa'""", VT))
+def q_union(spark, sf):
+    from feedloom.sources.ingest import union_diagonal
+
+    vt = X.verbatims(spark, sf)
+    a = vt.where(F.col("service") == "Ventas").select("id", "dealer", "score_raw")
+    b = vt.where(F.col("service") == "Posventa").select("id", "model", F.length("comment").alias("n_chars"))
+    return union_diagonal([a, b])
