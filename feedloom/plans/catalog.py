@@ -343,3 +343,68 @@ def q_union(spark, sf):
     a = vt.where(F.col("service") == "Ventas").select("id", "dealer", "score_raw")
     b = vt.where(F.col("service") == "Posventa").select("id", "model", F.length("comment").alias("n_chars"))
     return union_diagonal([a, b])
+
+
+_SIM_SQL = " + ".join(f"coalesce(CAST(y.a{i} = x[1].a{i} AS INTEGER), 0)" for i in range(1, 6))
+
+
+@register("near_duplicates", X.with_views(f"""
+, g AS (SELECT k1, k2, list(struct_pack(id := id, a1 := a1, a2 := a2, a3 := a3, a4 := a4, a5 := a5) ORDER BY id) AS l
+        FROM survey GROUP BY k1, k2),
+k AS (SELECT k1, k2, unnest(list_reduce(list_transform(l, lambda x: [x]),
+        lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: ({_SIM_SQL}) >= 4)) > 0 THEN acc
+                            ELSE list_concat(acc, x) END)) AS r FROM g)
+SELECT r.id AS id, k1, k2, r.a1 AS a1, r.a2 AS a2, r.a3 AS a3, r.a4 AS a4, r.a5 AS a5 FROM k""", X.SURVEY_SQL))
+def q_near_duplicates(spark, sf):
+    return D.drop_near_duplicates(X.survey(spark, sf), keys=("k1", "k2"), order="id", threshold=4)
+
+
+@register("near_duplicates_blocked", ORACLE["near_duplicates"])
+def q_near_duplicates_blocked(spark, sf):
+    """Same operator with every group forced through the distributed (large-group) path."""
+    return D.drop_near_duplicates(X.survey(spark, sf), keys=("k1", "k2"), order="id", threshold=4,
+                                  max_group_rows=0)
+
+
+# ================================================================ joins ====
+from feedloom.operators import enrich as J  # noqa: E402
+
+
+@register("enrich_technology", X.with_views("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, vf.model AS modelo, t.tecnologia
+FROM vf LEFT JOIN tech_dim t ON vf.model = t.model""", VF, X.TECH_SQL))
+def q_enrich_technology(spark, sf):
+    f = X.facts(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("model").alias("modelo"))
+    dim = X.technology_dim(spark, sf).withColumnRenamed("model", "modelo")
+    return J.enrich_technology(f, dim, "modelo")
+
+
+_IP_PARSE_SQL = """CASE WHEN regexp_matches(trim(ip), '^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}$')
+   AND CAST(split_part(trim(ip), '.', 1) AS BIGINT) <= 255 AND CAST(split_part(trim(ip), '.', 2) AS BIGINT) <= 255
+   AND CAST(split_part(trim(ip), '.', 3) AS BIGINT) <= 255 AND CAST(split_part(trim(ip), '.', 4) AS BIGINT) <= 255
+  THEN CAST(split_part(trim(ip), '.', 1) AS BIGINT) * 16777216 + CAST(split_part(trim(ip), '.', 2) AS BIGINT) * 65536
+     + CAST(split_part(trim(ip), '.', 3) AS BIGINT) * 256 + CAST(split_part(trim(ip), '.', 4) AS BIGINT) END"""
+
+_GEO_SQL = f"""
+, ipn AS (SELECT ip, n FROM (SELECT DISTINCT ip, {_IP_PARSE_SQL} AS n FROM event_ips WHERE ip IS NOT NULL) WHERE n IS NOT NULL),
+geo AS (SELECT i.ip, c.country_name AS ip_country_name, c.region AS ip_region, c.city AS ip_city,
+               c.postal_code AS ip_postal_code, c.latitude AS ip_latitude, c.longitude AS ip_longitude
+        FROM ipn i JOIN city_ranges c ON i.n BETWEEN c.ip_lo AND c.ip_hi
+        WHERE EXISTS (SELECT 1 FROM asn_ranges a WHERE i.n BETWEEN a.ip_lo AND a.ip_hi)),
+enriched AS (SELECT e.event_id, e.ip, g.ip_country_name, g.ip_region, g.ip_city, g.ip_postal_code,
+                    g.ip_latitude, g.ip_longitude FROM event_ips e LEFT JOIN geo g ON e.ip = g.ip)"""
+
+
+@register("enrich_ip", X.with_views(_GEO_SQL + "\nSELECT * FROM enriched", X.IP_SQL))
+def q_enrich_ip(spark, sf):
+    return J.enrich_ip(X.event_ips(spark, sf), X.city_ranges(spark, sf), X.asn_ranges(spark, sf))
+
+
+@register("enrich_income", X.with_views(_GEO_SQL + """
+SELECT e.event_id, e.ip, e.ip_postal_code, d.renta_media FROM enriched e
+LEFT JOIN (SELECT CASE WHEN length(codigo_postal) < 5 THEN lpad(codigo_postal, 5, '0') ELSE codigo_postal END AS pc,
+                  renta_media FROM income_dim) d ON e.ip_postal_code = d.pc""", X.IP_SQL, X.INCOME_SQL))
+def q_enrich_income(spark, sf):
+    geo = J.enrich_ip(X.event_ips(spark, sf), X.city_ranges(spark, sf), X.asn_ranges(spark, sf))
+    out = J.enrich_income(geo, X.income_dim(spark, sf))
+    return out.select("event_id", "ip", "ip_postal_code", "renta_media")

@@ -209,7 +209,7 @@ IP_SQL = """city_ranges AS (
   SELECT i * 16777216 AS ip_lo, i * 16777216 + 16777215 AS ip_hi,
     'Country' || CAST(i % 7 AS VARCHAR) AS country_name, 'R' || CAST(i % 17 AS VARCHAR) AS region,
     'C' || CAST(i AS VARCHAR) AS city, lpad(CAST(i * 37 AS VARCHAR), 5, '0') AS postal_code,
-    i * 0.5 - 60.0 AS latitude, i * 0.25 - 30.0 AS longitude
+    CAST(i * 0.5 - 60.0 AS DOUBLE) AS latitude, CAST(i * 0.25 - 30.0 AS DOUBLE) AS longitude
   FROM range(0, 256) t(i)),
 asn_ranges AS (
   SELECT i * 16777216 AS ip_lo, i * 16777216 + 16777215 AS ip_hi, 'AS' || CAST(i AS VARCHAR) AS asn
