@@ -48,7 +48,7 @@ DELAY_UNIT_DAYS = {
     "mes": 30.0,
     "meses": 30.0,
 }
-DELAY_PATTERN = r"(\d+)\s*(horas|hora|dias|dia|semanas|semana|meses|mes)\b"
+DELAY_PATTERN = r"(\d+)\s*(horas|hora|dias|dia|semanas|semana|meses|mes)([^a-z]|$)"
 
 
 def delay_days(c) -> Column:
@@ -62,3 +62,17 @@ def delay_days(c) -> Column:
     unit_map = F.create_map(*[x for k, v in DELAY_UNIT_DAYS.items() for x in (F.lit(k), F.lit(v))])
     days = F.zip_with(nums, units, lambda n, u: n.cast("double") * F.try_element_at(unit_map, u))
     return F.when(F.size(days) > 0, F.array_max(days))
+
+
+def term_pattern(terms: list[str]) -> str:
+    """Regex matching any of ``terms`` as a whole word of lower-cased, accent-folded text."""
+    import re
+
+    alts = "|".join(re.escape(t.lower()) for t in terms)
+    return f"(^|[^a-z0-9])(?:{alts})([^a-z0-9]|$)"
+
+
+def mentions(c, terms: list[str]) -> Column:
+    """True when the text mentions any of ``terms`` (case and accents ignored); null text -> False."""
+    text = fold_accents(F.lower(_c(c)))
+    return F.coalesce(text.rlike(term_pattern(terms)), F.lit(False))

@@ -408,3 +408,149 @@ def q_enrich_income(spark, sf):
     geo = J.enrich_ip(X.event_ips(spark, sf), X.city_ranges(spark, sf), X.asn_ranges(spark, sf))
     out = J.enrich_income(geo, X.income_dim(spark, sf))
     return out.select("event_id", "ip", "ip_postal_code", "renta_media")
+
+
+# ============================================================== report ====
+from feedloom.functions import text as TX  # noqa: E402
+from feedloom.operators import report as R  # noqa: E402
+
+# Fixture themes: the waiting/staff themes of the feedback reports, plus two
+# word lists that occur in the synthetic prose so the counts are not all zero.
+THEMES = {
+    "espera": ["espera", "demora", "tardanza", "retraso"],
+    "trato": ["trato", "amable", "atencion"],
+    "articles_en": ["the", "a", "an"],
+    "articles_romance": ["la", "le", "les", "el"],
+}
+
+_FOLD = f"translate(lower({{x}}), '{TX.ACCENTED}', '{TX.PLAIN}')"
+
+
+def _mention_sql(terms) -> str:
+    return f"coalesce(regexp_matches({_FOLD.format(x='comment')}, '{TX.term_pattern(terms)}'), false)"
+
+
+def _pct(num: str, den: str) -> str:
+    return f"{r2(f'CAST({num} AS DOUBLE) * CAST(100 AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0)')}"
+
+
+@register("report_header", X.with_views("""
+SELECT count(*) AS n, min(dt) AS first_date, max(dt) AS last_date,
+       count(DISTINCT strftime(dt, '%Y-%m')) AS n_months,
+       array_to_string(list_sort(list_distinct(list(strftime(dt, '%Y-%m')))), ', ') AS months
+FROM vts""", VT))
+def q_report_header(spark, sf):
+    return R.report_header(X.verbatims(spark, sf))
+
+
+_BREAKDOWN_SQL = f"""
+, pairs AS (
+  SELECT 'technology' AS dim, technology AS value, score FROM vts UNION ALL
+  SELECT 'model', model, score FROM vts UNION ALL
+  SELECT 'dealer', dealer, score FROM vts UNION ALL
+  SELECT 'ALL', 'ALL', score FROM vts),
+b AS (SELECT dim, value, count(*) AS n, {_pct('count(*)', '(SELECT count(*) FROM vts)')} AS share_pct,
+             {r2('avg(score)')} AS mean_score, avg(score) AS m FROM pairs GROUP BY dim, value)"""
+
+
+@register("report_breakdown", X.with_views(_BREAKDOWN_SQL + "\nSELECT dim, value, n, share_pct, mean_score FROM b", VT))
+def q_report_breakdown(spark, sf):
+    return R.breakdown(X.verbatims(spark, sf)).drop("_mean")
+
+
+@register("report_critical", X.with_views(_BREAKDOWN_SQL + """
+SELECT dim, value, n, share_pct, mean_score FROM b WHERE dim <> 'ALL' AND value IS NOT NULL AND m < 5""", VT))
+def q_report_critical(spark, sf):
+    return R.critical(X.verbatims(spark, sf))
+
+
+@register("report_best", X.with_views(_BREAKDOWN_SQL + """
+SELECT dim, value, n, share_pct, mean_score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY dim ORDER BY m DESC, n DESC, value) AS rank
+  FROM b WHERE dim <> 'ALL' AND value IS NOT NULL AND m IS NOT NULL AND n >= 1) WHERE rank <= 3""", VT))
+def q_report_best(spark, sf):
+    return R.best(X.verbatims(spark, sf))
+
+
+@register("report_monthly", X.with_views(f"""
+SELECT CAST(date_trunc('month', dt) AS DATE) AS month, count(*) AS n, {r2('avg(score)')} AS mean_score
+FROM vts WHERE dt IS NOT NULL GROUP BY 1""", VT))
+def q_report_monthly(spark, sf):
+    return R.monthly(X.verbatims(spark, sf))
+
+
+@register("report_gaps", X.with_views("""
+, rng AS (SELECT CAST(date_trunc('month', min(dt)) AS DATE) AS lo, CAST(date_trunc('month', max(dt)) AS DATE) AS hi FROM vf),
+ents AS (SELECT DISTINCT dealer FROM vf WHERE dealer IS NOT NULL),
+spine AS (SELECT dealer, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM ents, rng),
+seen AS (SELECT DISTINCT dealer, CAST(date_trunc('month', dt) AS DATE) AS month FROM vf WHERE dealer IS NOT NULL AND dt IS NOT NULL)
+SELECT s.dealer, s.month FROM spine s ANTI JOIN seen USING (dealer, month)""", VF))
+def q_report_gaps(spark, sf):
+    return R.coverage_gaps(X.facts(spark, sf), "dealer", "dt")
+
+
+def _theme_sql() -> str:
+    parts = []
+    for name, terms in THEMES.items():
+        hit = _mention_sql(terms)
+        parts.append(f"""SELECT '{name}' AS theme, CAST(coalesce(sum(CAST({hit} AS INTEGER)), 0) AS BIGINT) AS n_mentions,
+  {_pct(f'sum(CAST({hit} AS INTEGER))', 'count(*)')} AS share_pct,
+  {r2(f'avg(CASE WHEN {hit} THEN score END)')} AS mean_score FROM vts""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("report_theme", X.with_views(_theme_sql(), VT))
+def q_report_theme(spark, sf):
+    return R.theme(X.verbatims(spark, sf), THEMES)
+
+
+def _contrast_sql() -> str:
+    parts = []
+    for name, terms in THEMES.items():
+        hit = _mention_sql(terms)
+        lo, hi = "score <= 4", "score >= 7"
+        nl, nh = f"sum(CAST({lo} AS INTEGER))", f"sum(CAST({hi} AS INTEGER))"
+        ml, mh = f"sum(CAST({hit} AND {lo} AS INTEGER))", f"sum(CAST({hit} AND {hi} AS INTEGER))"
+        parts.append(f"""SELECT '{name}' AS theme, CAST(coalesce({nl}, 0) AS BIGINT) AS n_low,
+  CAST(coalesce({ml}, 0) AS BIGINT) AS mentions_low, {_pct(ml, nl)} AS share_low_pct,
+  CAST(coalesce({nh}, 0) AS BIGINT) AS n_high, CAST(coalesce({mh}, 0) AS BIGINT) AS mentions_high,
+  {_pct(mh, nh)} AS share_high_pct FROM vts""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("report_theme_contrast", X.with_views(_contrast_sql(), VT))
+def q_report_theme_contrast(spark, sf):
+    return R.theme_contrast(X.verbatims(spark, sf), THEMES)
+
+
+@register("report_cross", X.with_views(f"""
+SELECT model, dealer, count(*) AS n, {r2('avg(score)')} AS mean_score
+FROM vts WHERE model IS NOT NULL AND dealer IS NOT NULL GROUP BY model, dealer""", VT))
+def q_report_cross(spark, sf):
+    return R.cross(X.verbatims(spark, sf))
+
+
+_UNIT_CASE = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in TX.DELAY_UNIT_DAYS.items())
+
+
+@register("report_delay_bands", X.with_views(f"""
+, t AS (SELECT score, {_FOLD.format(x='comment')} AS s FROM vts),
+m AS (SELECT score, regexp_extract_all(s, '{TX.DELAY_PATTERN}', 1) AS nums,
+             regexp_extract_all(s, '{TX.DELAY_PATTERN}', 2) AS units FROM t),
+d AS (SELECT score, CASE WHEN len(nums) > 0 THEN list_max(list_transform(range(1, len(nums) + 1),
+        lambda i: CAST(nums[i] AS DOUBLE) * CASE units[i] {_UNIT_CASE} END)) END AS days FROM m)
+SELECT CASE WHEN days IS NULL THEN 'none' WHEN days < 1 THEN '<1d' WHEN days < 7 THEN '1-7d'
+            WHEN days < 30 THEN '7-30d' ELSE '>=30d' END AS band,
+       count(*) AS n, {r2('avg(score)')} AS mean_score, {r2('avg(days)')} AS mean_days
+FROM d GROUP BY 1""", VT))
+def q_report_delay_bands(spark, sf):
+    return R.delay_bands(X.verbatims(spark, sf))
+
+
+@register("report_gap", X.with_views(f"""
+, o AS (SELECT avg(score) AS ov FROM vts),
+a AS (SELECT dealer, avg(score) AS m FROM vts WHERE dealer IS NOT NULL GROUP BY dealer)
+SELECT dealer, {r2('m')} AS mean_score, {r2('ov')} AS overall_mean, {r2('m - ov')} AS gap_points,
+       {r2('(m - ov) * CAST(100 AS DOUBLE) / ov')} AS gap_pct FROM a, o""", VT))
+def q_report_gap(spark, sf):
+    return R.gap_to(X.verbatims(spark, sf))
