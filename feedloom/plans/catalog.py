@@ -554,3 +554,103 @@ SELECT dealer, {r2('m')} AS mean_score, {r2('ov')} AS overall_mean, {r2('m - ov'
        {r2('(m - ov) * CAST(100 AS DOUBLE) / ov')} AS gap_pct FROM a, o""", VT))
 def q_report_gap(spark, sf):
     return R.gap_to(X.verbatims(spark, sf))
+
+
+# =========================================================== retrieval ====
+from feedloom.operators import retrieval as RT  # noqa: E402
+
+
+@register("enriched_text", X.with_views("""
+SELECT id, concat_ws(' | ',
+  'Taller: ' || coalesce(dealer, 'nan'), 'Modelo: ' || coalesce(model, 'nan'),
+  'Tecnología: ' || coalesce(technology, 'nan'), 'Puntuación: ' || coalesce(score_raw, 'nan'),
+  'Comentario: ' || coalesce(comment, 'nan'),
+  'Fecha: ' || coalesce(strftime(CAST(dt AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), 'nan')) AS texto_enriquecido
+FROM vt""", VT))
+def q_enriched_text(spark, sf):
+    return RT.enriched_text(X.verbatims(spark, sf)).select("id", "texto_enriquecido")
+
+
+_CENTROID_SQL = """centroids AS (
+  SELECT label AS query_id, list(m ORDER BY pos) AS qv FROM (
+    SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS m FROM (
+      SELECT label, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS pos FROM embeddings)
+    GROUP BY label, pos) GROUP BY label),
+hits AS (
+  SELECT query_id, rank, vec_id, label, round(d, 6) AS distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (
+      SELECT c.query_id, e.vec_id, e.label,
+             list_sum(list_transform(range(1, len(e.embedding) + 1),
+                                     lambda i: (CAST(e.embedding[i] AS DOUBLE) - c.qv[i]) ** 2)) AS d
+      FROM centroids c, embeddings e WHERE len(e.embedding) = len(c.qv)))
+  WHERE rank <= 5)"""
+
+
+def _label_knn(spark, sf):
+    emb = X.table(spark, sf, "embeddings")
+    q = RT.centroids(emb, "label").withColumnRenamed("label", "query_id")
+    return RT.knn(q, emb, k=5, qid="query_id", qvec="query_vec", vid="vec_id", vec="embedding", payload=["label"])
+
+
+@register("knn_l2", X.with_views("SELECT * FROM hits", _CENTROID_SQL))
+def q_knn_l2(spark, sf):
+    return _label_knn(spark, sf)
+
+
+@register("rag_context", X.with_views("""
+SELECT h.query_id, string_agg('- (' || concat_ws(', ', coalesce(v.dealer, 'nan'), coalesce(v.model, 'nan'),
+         coalesce(v.technology, 'nan'), coalesce(v.score_raw, 'nan')) || ') ' || coalesce(v.comment, 'nan'), chr(10)
+         ORDER BY h.rank) AS context, count(*) AS n_hits
+FROM hits h LEFT JOIN vt v ON v.id = h.vec_id GROUP BY h.query_id""", VT, _CENTROID_SQL))
+def q_rag_context(spark, sf):
+    return RT.build_context(_label_knn(spark, sf), X.verbatims(spark, sf))
+
+
+@register("chat_history", """
+SELECT conv_id, turn, CASE WHEN rn >= 4 THEN 4 ELSE 0 END AS n_history,
+       CASE WHEN rn >= 4 THEN array_to_string(h, chr(10)) ELSE '' END AS history
+FROM (SELECT conv_id, turn, role,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn,
+             list(role || ': ' || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn
+                  ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h
+      FROM conversations) WHERE role = 'user'""")
+def q_chat_history(spark, sf):
+    return RT.history_window(X.table(spark, sf, "conversations"), 4)
+
+
+@register("text_vectors")
+def q_text_vectors(spark, sf):
+    return RT.tfidf_vectors(X.verbatims(spark, sf), "comment", "id")
+
+
+@register("text_embeddings")
+def q_text_embeddings(spark, sf):
+    return RT.embed_texts(X.verbatims(spark, sf), RT.hashing_embedder(64), "comment", "id", batch_size=100)
+
+
+@register("knn_comments")
+def q_knn_comments(spark, sf):
+    """Benchmark questions against embedded comments: the retrieval step of the chat."""
+    emb = RT.hashing_embedder(64)
+    corpus = RT.embed_texts(X.verbatims(spark, sf), emb, "comment", "id").withColumnRenamed("id", "vec_id")
+    questions = RT.embed_texts(X.table(spark, sf, "benchmark"), emb, "text", "item_id", out="query_vec")
+    return RT.knn(questions.withColumnRenamed("item_id", "query_id"), corpus, k=5)
+
+
+def _csv_sql(c: str) -> str:
+    s = f"coalesce(CAST({c} AS VARCHAR), '')"
+    return (f"CASE WHEN regexp_matches({s}, '[,\"\\n\\r]') THEN '\"' || replace({s}, '\"', '\"\"') || '\"' "
+            f"ELSE {s} END")
+
+
+_CORPUS_COLS = ["dt", "dealer", "model", "technology", "score_raw", "comment"]
+_LINE_SQL = "concat_ws(',', " + ", ".join(_csv_sql(c) for c in _CORPUS_COLS) + ")"
+
+
+@register("corpus_size", X.with_views(f"""
+, l AS (SELECT service, {_LINE_SQL} AS line FROM vt)
+SELECT service, count(*) AS n_rows, sum(length(line) + 1) AS n_chars,
+       sum(len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''))) AS n_words
+FROM l GROUP BY service""", VT))
+def q_corpus_size(spark, sf):
+    return RT.corpus_size(X.verbatims(spark, sf), _CORPUS_COLS, "service")
