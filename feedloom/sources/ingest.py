@@ -1,17 +1,171 @@
-"""Readers for survey extracts, verbatims, lookup dimensions and processed facts."""
+"""Readers for survey extracts, verbatims, lookup dimensions and processed facts.
+
+Raw workbooks are re-aimed as per-sheet extracts: a workbook ``<book>`` becomes
+``<book>__<Sheet>.<ext>`` files (``Ventas``, ``Posventa``, ``Questionnaire``;
+positional sheets as ``sheet0``, ``sheet1``).  Extracts with drifting columns
+are read per file and unioned by name; Parquet extracts can instead be read in
+one scan with ``mergeSchema`` (null-filled missing columns, same semantics).
+"""
 
 from __future__ import annotations
 
+import logging
+import posixpath
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from feedloom.operators.columns import normalize_columns, rename_by_dict, stringify
+
+log = logging.getLogger(__name__)
+
+SHEET_SEP = "__"
 
 
 def union_diagonal(dfs: list[DataFrame], spark: SparkSession | None = None) -> DataFrame:
     """Union by column name, missing columns null-filled; empty list -> empty table."""
     dfs = list(dfs)
     if not dfs:
-        if spark is None:
-            spark = SparkSession.getActiveSession()
-        return spark.createDataFrame([], "dummy string").drop("dummy")
+        return empty_frame(spark)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+
+
+def empty_frame(spark: SparkSession | None = None, schema: StructType | str | None = None) -> DataFrame:
+    spark = spark or SparkSession.getActiveSession()
+    return spark.createDataFrame([], schema or StructType([]))
+
+
+def list_files(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> list[str]:
+    """Paths under ``root`` whose file name matches ``pattern`` (names only; no content is read)."""
+    try:
+        files = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", str(recursive).lower())
+            .load(root)
+            .select("path")
+        )
+        return sorted(r[0] for r in files.collect())
+    except AnalysisException:
+        return []
+
+
+def _reader(spark: SparkSession, fmt: str):
+    r = spark.read.format(fmt)
+    if fmt == "csv":
+        r = r.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
+    return r
+
+
+def _read_one(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    return _reader(spark, fmt).load(path)
+
+
+def read_survey(spark: SparkSession, root: str, sheet: str, fmt: str = "csv",
+                questionnaire: str = "Questionnaire") -> DataFrame:
+    """S1 + S3: every ``*__<sheet>.<fmt>`` extract under ``root`` (recursively).
+
+    Per file: rename through the file's own questionnaire extract when one
+    exists (Display ID -> question text), normalise names, cast to string.
+    A file that cannot be read is logged and skipped.  Adds ``_file`` (lineage)
+    and ``_row`` (input order: file order, then position in the file).
+    """
+    parts = []
+    for path in list_files(spark, root, f"*{SHEET_SEP}{sheet}.{fmt}"):
+        try:
+            df = _read_one(spark, path, fmt)
+            qpath = path[: -len(f"{sheet}.{fmt}")] + f"{questionnaire}.{fmt}"
+            if qpath != path and list_files(spark, posixpath.dirname(qpath), posixpath.basename(qpath), False):
+                qdf = _read_one(spark, qpath, fmt)
+                if {"Display ID", "Questionnaire"} <= set(qdf.columns):
+                    df = rename_by_dict(df, qdf)
+            df = stringify(normalize_columns(df))
+            df.schema  # resolve now so a broken file fails here, not later
+            parts.append(df.withColumn("_file", F.lit(posixpath.basename(path))))
+        except Exception as e:  # noqa: BLE001 - a bad workbook must not stop the load
+            log.warning("skipping %s: %s", path, e)
+    if not parts:
+        return empty_frame(spark)
+    return union_diagonal(parts).withColumn("_row", F.monotonically_increasing_id())
+
+
+def read_survey_parquet(spark: SparkSession, root: str, sheet: str) -> DataFrame:
+    """S1 for Parquet extracts: one scan, columns unioned by name (``mergeSchema``)."""
+    df = (
+        spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", f"*{SHEET_SEP}{sheet}.parquet").parquet(root)
+    )
+    df = stringify(normalize_columns(df))
+    return df.withColumn("_file", F.col("_metadata.file_name")).withColumn("_row", F.monotonically_increasing_id())
+
+
+def read_verbatims(spark: SparkSession, root: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """Flat folder of workbooks with positional sheets: first = sales, second = service.
+
+    Returns two (possibly empty) frames unioned by name.
+    """
+    out = []
+    for sheet in ("sheet0", "sheet1"):
+        files = list_files(spark, root, f"*{SHEET_SEP}{sheet}.{fmt}", recursive=False)
+        parts = []
+        for p in files:
+            try:
+                df = _read_one(spark, p, fmt)
+                df.schema
+                parts.append(df)
+            except Exception as e:  # noqa: BLE001
+                log.warning("skipping %s: %s", p, e)
+        out.append(union_diagonal(parts, spark))
+    return out[0], out[1]
+
+
+def read_tagged(spark: SparkSession, files: dict[str, str], tag: str = "Mes", fmt: str = "csv") -> DataFrame | None:
+    """Read a fixed set of files in one scan, tagging rows with each file's label.
+
+    Missing files are skipped; no file at all -> ``None``.
+    """
+    present = {}
+    for path, label in files.items():
+        if list_files(spark, posixpath.dirname(path) or ".", posixpath.basename(path), False):
+            present[path] = label
+        else:
+            log.warning("missing %s", path)
+    if not present:
+        return None
+    labels = F.create_map(*[x for p, lab in present.items() for x in (F.lit(posixpath.basename(p)), F.lit(lab))])
+    df = _reader(spark, fmt).load(list(present))
+    return df.withColumn(tag, F.element_at(labels, F.col("_metadata.file_name")))
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Processed fact table (any Hadoop-compatible URI, e.g. ``s3a://``)."""
+    return spark.read.parquet(path)
+
+
+def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Processed workbook facts, re-aimed to Parquet/CSV extracts."""
+    return _reader(spark, fmt).load(path)
+
+
+def read_dim(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "csv") -> DataFrame:
+    """Lookup dimension with an explicit schema (e.g. postal codes stay strings)."""
+    r = spark.read.format(fmt).schema(schema)
+    if fmt == "csv":
+        r = r.option("header", "true")
+    return r.load(path)
+
+
+def read_report(spark: SparkSession, root: str, service: str) -> DataFrame:
+    """Stored report text for a service (one row, whole file); unknown -> empty.
+
+    Spark decodes the file as UTF-8 and replaces undecodable bytes.
+    """
+    from feedloom.operators.columns import name_key
+
+    path = posixpath.join(root, f"informe{name_key(service).replace('_', '')}.txt")
+    if not list_files(spark, root, posixpath.basename(path), False):
+        return empty_frame(spark, "value string")
+    return spark.read.text(path, wholetext=True)
