@@ -18,6 +18,7 @@ from feedloom.functions.clean import (  # noqa: F401
 from feedloom.functions.text import (  # noqa: F401
     delay_days,
     fold_accents,
+    has_more_words,
     slug,
     strip_ws,
     word_count,

@@ -9,13 +9,13 @@ IPV4_TEXT = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 
 
 def ipv4_to_long(c) -> Column:
-    """Dotted IPv4 text -> its 32-bit value as bigint; malformed or out-of-range -> null."""
+    """Dotted IPv4 text -> its 32-bit value as bigint; malformed or out-of-range -> null.
+
+    Kept as one compact expression (split once, fold the octets) because the
+    optimizer may copy it into pushed-down filters.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    t = F.trim(c)
-    parts = F.split(t, r"\.")
-    octs = [F.try_element_at(parts, F.lit(i + 1)).try_cast("bigint") for i in range(4)]
-    in_range = octs[0] <= 255
-    for o in octs[1:]:
-        in_range = in_range & (o <= 255)
-    value = octs[0] * 16777216 + octs[1] * 65536 + octs[2] * 256 + octs[3]
-    return F.when(t.rlike(IPV4_TEXT) & in_range, value)
+    octets = F.transform(F.split(c, r"\."), lambda o: o.try_cast("int"))
+    value = F.aggregate(octets, F.lit(0).cast("bigint"),
+                        lambda acc, o: F.when(o.between(0, 255), acc * 256 + o))
+    return F.when(c.rlike(IPV4_TEXT), value)

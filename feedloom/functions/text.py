@@ -33,8 +33,16 @@ def slug(c) -> Column:
 
 def word_count(c) -> Column:
     """Number of whitespace-separated words; null counts as 0 words."""
-    parts = F.split(F.coalesce(_c(c), F.lit("")), r"(?U)\s+")
-    return F.size(F.filter(parts, lambda w: w != ""))
+    return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(r"(?U)\S+"))
+
+
+def has_more_words(c, n: int) -> Column:
+    """More than ``n`` whitespace-separated words (null -> False).
+
+    Anchored, possessive pattern: it stops after the first ``n + 1`` words
+    instead of splitting the whole comment.
+    """
+    return F.coalesce(_c(c).rlike(r"(?U)^\s*+(?:\S++\s++){%d}\S" % n), F.lit(False))
 
 
 # Delay units and their length in days.
@@ -56,12 +64,14 @@ def delay_days(c) -> Column:
 
     Text is lower-cased and accent-folded first so ``días`` and ``dias`` match.
     """
-    text = fold_accents(F.lower(_c(c)))
+    raw = _c(c)
+    text = fold_accents(F.lower(raw))
     nums = F.regexp_extract_all(text, F.lit(DELAY_PATTERN), 1)
     units = F.regexp_extract_all(text, F.lit(DELAY_PATTERN), 2)
     unit_map = F.create_map(*[x for k, v in DELAY_UNIT_DAYS.items() for x in (F.lit(k), F.lit(v))])
     days = F.zip_with(nums, units, lambda n, u: n.cast("double") * F.try_element_at(unit_map, u))
-    return F.when(F.size(days) > 0, F.array_max(days))
+    # cheap digit probe first: most comments mention no number at all
+    return F.when(raw.rlike("[0-9]") & (F.size(days) > 0), F.array_max(days))
 
 
 def term_pattern(terms: list[str]) -> str:
@@ -72,7 +82,39 @@ def term_pattern(terms: list[str]) -> str:
     return f"(^|[^a-z0-9])(?:{alts})([^a-z0-9]|$)"
 
 
-def mentions(c, terms: list[str]) -> Column:
-    """True when the text mentions any of ``terms`` (case and accents ignored); null text -> False."""
-    text = fold_accents(F.lower(_c(c)))
-    return F.coalesce(text.rlike(term_pattern(terms)), F.lit(False))
+def _accent_class(ch: str) -> str:
+    """Regex for one plain letter that also matches its accented lower-case forms."""
+    import re
+
+    variants = [a for a, p in zip(ACCENTED, PLAIN) if p == ch and a.islower()]
+    return f"[{ch}{''.join(variants)}]" if variants else re.escape(ch)
+
+
+def term_pattern_lower(terms: list[str]) -> str:
+    """Like ``term_pattern`` but for lower-cased text that still carries accents.
+
+    Matching ``lower(text)`` against this pattern gives the same result as
+    matching the accent-folded text against ``term_pattern``, without paying
+    for a per-character ``translate`` of every comment.
+    """
+    word = "a-z0-9" + "".join(a for a in ACCENTED if a.islower())
+    alts = "|".join("".join(_accent_class(ch) for ch in fold_plain(t.lower())) for t in terms)
+    return f"(^|[^{word}])(?:{alts})([^{word}]|$)"
+
+
+def fold_plain(s: str) -> str:
+    """Accent-fold a Python string with the same fixed letter table as ``fold_accents``."""
+    return s.translate(str.maketrans(ACCENTED, PLAIN))
+
+
+def mentions(c, terms: list[str], lowered: bool = False) -> Column:
+    """True when the text mentions any of ``terms`` as a whole word (case and accents
+    ignored); null text -> False.  Pass ``lowered=True`` when ``c`` is already
+    lower-cased (lower once when testing several themes)."""
+    text = _c(c) if lowered else F.lower(_c(c))
+    return F.coalesce(text.rlike(term_pattern_lower(terms)), F.lit(False))
+
+
+def fold_text(c) -> Column:
+    """Lower-cased, accent-folded text (the form theme and delay patterns are written for)."""
+    return fold_accents(F.lower(_c(c)))

@@ -23,6 +23,7 @@ cleaner, computed exactly with three distributed steps:
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 from operator import add
 
@@ -30,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.operators._util import bounded_broadcast
+log = logging.getLogger(__name__)
+
 
 
 def distinct_rows(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -77,9 +79,14 @@ def drop_near_duplicates(df: DataFrame, keys=("apellido_cliente", "nombre_client
         .select(*[_q(k) for k in keys], *[_q(c) for c in compare], "_first.*")
     )
 
-    # -- 2. split groups by size --
+    # -- 2. split groups by size (one small aggregate; usually no group is large) --
     sizes = collapsed.groupBy(*[_q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    large_keys = bounded_broadcast(sizes.where(F.col("_n") > max_group_rows).drop("_n"), max_large_groups)
+    large_keys = sizes.where(F.col("_n") > max_group_rows).drop("_n")
+    n_large = large_keys.limit(max_large_groups + 1).count()
+    if n_large == 0:
+        return _fold_small(collapsed, keys, order, compare, others, threshold).select(*[_q(c) for c in cols_out])
+    if n_large <= max_large_groups:
+        large_keys = F.broadcast(large_keys)
     cond = _keys_equal("a", "b", keys)
     small = collapsed.alias("a").join(large_keys.alias("b"), cond, "left_anti")
     large = collapsed.alias("a").join(large_keys.alias("b"), cond, "left_semi")
@@ -145,6 +152,7 @@ def _resolve_large(df: DataFrame, keys, order, compare, threshold) -> DataFrame:
     edges = edges.distinct().checkpoint()
 
     state = df.select(_q(order).alias("o"), F.lit("U").alias("s")).checkpoint()
+    rounds = 0
     while True:
         src = state.select(F.col("o").alias("src"), F.col("s").alias("ss"))
         dst = state.where(F.col("s") == "U").select(F.col("o").alias("dst"))
@@ -164,7 +172,9 @@ def _resolve_large(df: DataFrame, keys, order, compare, threshold) -> DataFrame:
             )
             .checkpoint()
         )
+        rounds += 1
         if state.where(F.col("s") == "U").isEmpty():
             break
+    log.info("near-duplicate resolution finished after %d rounds", rounds)
     kept = state.where(F.col("s") == "K").select(F.col("o").alias(order))
     return df.join(kept, order, "left_semi")

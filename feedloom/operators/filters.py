@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions import word_count
+from feedloom.functions import has_more_words
 
 ALL = "ALL"
 
 
 def min_words(df: DataFrame, col: str = "comment", n: int = 3) -> DataFrame:
     """Keep comments with more than ``n`` whitespace-separated words (null never passes)."""
-    return df.where(word_count(col) > n)
+    return df.where(has_more_words(col, n))
 
 
 def polarity(df: DataFrame, kind: str, score: str = "score", comment: str = "comment",

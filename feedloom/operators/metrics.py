@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions import word_count
+from feedloom.functions import has_more_words
 from feedloom.operators._util import bounded_broadcast, round2, scalar_row
 
 # The technology domain of the dealer comparison, in display order.
@@ -48,24 +48,27 @@ def weekly_counts_filled(df: DataFrame, dealer: str = "dealer", ts: str = "dt",
                          out: str = "n_comments") -> DataFrame:
     """Rows per (dealer, week) on the *global* week range, zero-filled.
 
-    The range is one scalar aggregate; the spine is generated per dealer with
-    ``sequence`` (narrow, no join), then left-joined to the counts.
+    One pass over the facts builds the (dealer, week) counts (null keys
+    included, so the range covers every row); that aggregate is small
+    (dealers x weeks), is checkpointed, and yields the range, the dealer list
+    and the counts.  The spine is generated per dealer with ``sequence``.
     """
-    rng = scalar_row(df.agg(F.min(week_start(ts)).alias("lo"), F.max(week_start(ts)).alias("hi")))
-    dealers = df.where(F.col(dealer).isNotNull()).select(dealer).distinct()
+    counts = (
+        df.groupBy(F.col(dealer).alias(dealer), week_start(ts).alias("week"))
+        .agg(F.count(F.lit(1)).alias(out))
+        .checkpoint(eager=True)
+    )
+    rng = scalar_row(counts.agg(F.min("week").alias("lo"), F.max("week").alias("hi")))
+    dealers = counts.where(F.col(dealer).isNotNull()).select(dealer).distinct()
     if rng["lo"] is None:
         return dealers.select(dealer, F.lit(None).cast("date").alias("week"), F.lit(0).cast("bigint").alias(out)).limit(0)
     spine = dealers.select(
         dealer,
         F.explode(F.sequence(F.lit(rng["lo"]), F.lit(rng["hi"]), F.expr("INTERVAL 7 DAYS"))).alias("week"),
     )
-    counts = (
-        df.where(F.col(dealer).isNotNull() & F.col(ts).isNotNull())
-        .groupBy(dealer, week_start(ts).alias("week"))
-        .agg(F.count(F.lit(1)).alias(out))
-    )
+    known = counts.where(F.col(dealer).isNotNull() & F.col("week").isNotNull())
     return (
-        spine.join(counts, [dealer, "week"], "left")
+        spine.join(known, [dealer, "week"], "left")
         .select(dealer, "week", F.coalesce(F.col(out), F.lit(0)).cast("bigint").alias(out))
     )
 
@@ -189,7 +192,7 @@ def compare_model(df: DataFrame, dealer: str = "dealer", model: str = "model",
 def individual_matrix(df: DataFrame, comment: str = "comment", cols=("id", "score", "model", "comment"),
                       min_word: int = 3) -> DataFrame:
     """One point per comment with more than ``min_word`` words."""
-    return df.where(word_count(comment) > min_word).select(*cols)
+    return df.where(has_more_words(comment, min_word)).select(*cols)
 
 
 __all__ = [

@@ -90,15 +90,20 @@ def monthly(df: DataFrame, date: str = "dt", score: str = "score") -> DataFrame:
 
 # -------------------------------------------------------------------- R6 ----
 def coverage_gaps(df: DataFrame, dim: str = "dealer", date: str = "dt") -> DataFrame:
-    """(entity, month) pairs with zero responses inside the global month range."""
+    """(entity, month) pairs with zero responses inside the global month range.
+
+    One pass builds the distinct (entity, month) pairs (small, checkpointed);
+    range, entity list and the anti-join all read that aggregate.
+    """
     m = F.date_trunc("month", date).cast("date")
-    rng = scalar_row(df.agg(F.min(m).alias("lo"), F.max(m).alias("hi")))
-    seen = df.where(F.col(dim).isNotNull() & F.col(date).isNotNull()).select(dim, m.alias("month")).distinct()
-    ents = df.where(F.col(dim).isNotNull()).select(dim).distinct()
+    seen = df.select(F.col(dim).alias(dim), m.alias("month")).distinct().checkpoint(eager=True)
+    rng = scalar_row(seen.agg(F.min("month").alias("lo"), F.max("month").alias("hi")))
+    ents = seen.where(F.col(dim).isNotNull()).select(dim).distinct()
     if rng["lo"] is None:
         return ents.select(dim, F.lit(None).cast("date").alias("month")).limit(0)
     spine = ents.select(dim, F.explode(F.sequence(F.lit(rng["lo"]), F.lit(rng["hi"]), F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return spine.join(seen, [dim, "month"], "left_anti").orderBy(dim, "month")
+    observed = seen.where(F.col(dim).isNotNull() & F.col("month").isNotNull())
+    return spine.join(observed, [dim, "month"], "left_anti").orderBy(dim, "month")
 
 
 # -------------------------------------------------------------------- R7 ----
@@ -112,11 +117,14 @@ def _stack(df: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
 def theme(df: DataFrame, themes: dict[str, list[str]], text: str = "comment", score: str = "score") -> DataFrame:
     """Per keyword theme: comments mentioning it, % of all comments, mean score of those comments."""
     names = list(themes)
+    # lower-case the text once, flag every theme once, then aggregate the flags
+    flags = df.select(F.col(score).alias("_s"), F.lower(text).alias("_t")).select(
+        "_s", *[mentions("_t", themes[n], lowered=True).alias(f"_h{i}") for i, n in enumerate(names)])
     aggs = [F.count(F.lit(1)).alias("_total")]
-    for i, n in enumerate(names):
-        hit = mentions(text, themes[n])
-        aggs += [F.sum(hit.cast("int")).alias(f"n_mentions_{i}"), F.avg(F.when(hit, F.col(score))).alias(f"m_{i}")]
-    wide = df.agg(*aggs)
+    for i in range(len(names)):
+        hit = F.col(f"_h{i}")
+        aggs += [F.sum(hit.cast("int")).alias(f"n_mentions_{i}"), F.avg(F.when(hit, F.col("_s"))).alias(f"m_{i}")]
+    wide = flags.agg(*aggs)
     long = _stack(wide.select("*", *[F.col("_total").alias(f"total_{i}") for i in range(len(names))]),
                   names, ["n_mentions", "m", "total"])
     return long.select(
@@ -131,14 +139,16 @@ def theme(df: DataFrame, themes: dict[str, list[str]], text: str = "comment", sc
 def theme_contrast(df: DataFrame, themes: dict[str, list[str]], low: float = 4, high: float = 7,
                    text: str = "comment", score: str = "score") -> DataFrame:
     """Share of comments mentioning each theme among low-scored vs high-scored comments."""
-    s = F.col(score)
-    is_low, is_high = s <= low, s >= high
     names = list(themes)
+    flags = df.select(F.col(score).alias("_s"), F.lower(text).alias("_t")).select(
+        "_s", *[mentions("_t", themes[n], lowered=True).alias(f"_h{i}") for i, n in enumerate(names)])
+    s = F.col("_s")
+    is_low, is_high = s <= low, s >= high
     aggs = [F.sum(is_low.cast("int")).alias("_nl"), F.sum(is_high.cast("int")).alias("_nh")]
-    for i, n in enumerate(names):
-        hit = mentions(text, themes[n])
+    for i in range(len(names)):
+        hit = F.col(f"_h{i}")
         aggs += [F.sum((hit & is_low).cast("int")).alias(f"ml_{i}"), F.sum((hit & is_high).cast("int")).alias(f"mh_{i}")]
-    wide = df.agg(*aggs)
+    wide = flags.agg(*aggs)
     wide = wide.select("*", *[F.col("_nl").alias(f"nl_{i}") for i in range(len(names))],
                        *[F.col("_nh").alias(f"nh_{i}") for i in range(len(names))])
     long = _stack(wide, names, ["nl", "ml", "nh", "mh"])

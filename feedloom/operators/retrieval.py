@@ -9,16 +9,15 @@
 * Chat history uses an explode-and-group formulation: every message is copied
   to the (at most ``n``) later turns whose window it belongs to, so each group
   holds at most ``n`` rows no matter how long one conversation is.
-* Text vectors are TF-IDF built from DataFrame operations (hashing into a
-  fixed number of buckets); a caller-supplied embedding function can be
-  plugged in through ``embed_texts`` (``mapInPandas``, fixed-size batches).
+* Text vectors are TF-IDF from Spark ML (hashing into a fixed number of
+  buckets).  Dense embeddings default to hashed token counts computed in the
+  JVM; a caller-supplied embedding model can be plugged in through
+  ``embed_texts`` (``mapInPandas``, fixed-size batches per call).
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -197,39 +196,57 @@ def history_window(conv: DataFrame, n: int = 4, conv_id: str = "conv_id", turn:
 
 
 # -------------------------------------------------------------------- T5 ----
-TOKEN_SPLIT = r"(?U)[^\w]+"
+TOKEN_PATTERN = r"(?U)[^\w]+"
 
 
-def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_features: int = 1 << 18) -> DataFrame:
-    """Sparse TF-IDF vectors: (id, term_index array<int>, weight array<double>).
+def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_features: int = 1 << 18,
+                  out: str = "features") -> DataFrame:
+    """Sparse TF-IDF vectors with Spark ML: tokenise, hash into ``num_features``
+    buckets, weight by inverse document frequency.
 
-    Tokens are hashed into ``num_features`` buckets; document frequencies are
-    one aggregate whose size is bounded by ``num_features`` (so it broadcasts).
+    Everything runs in the JVM; fitting the IDF is one distributed aggregate
+    whose state is bounded by ``num_features``.  Term counts are checkpointed
+    once and shared by the fit and the transform.
     """
-    tokens = df.select(id_col, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("tok")).where(F.col("tok") != "")
-    tf = tokens.groupBy(id_col, F.pmod(F.xxhash64("tok"), F.lit(num_features)).cast("int").alias("idx")).agg(
-        F.count(F.lit(1)).alias("tf"))
-    ndocs = df.agg(F.count_distinct(id_col).alias("n")).first()["n"]
-    dfreq = tf.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.select("idx", F.log((F.lit(ndocs) + 1.0) / (F.col("df") + 1.0)).alias("idf"))
-    weighted = tf.join(F.broadcast(idf), "idx").select(id_col, "idx", (F.col("tf") * F.col("idf")).alias("w"))
-    vec = weighted.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_v"))
-    return vec.select(id_col, F.col("_v.idx").alias("term_index"), F.col("_v.w").alias("weight"))
-
-
-def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A small deterministic embedder (hashed token counts, L2-normalised) for offline use."""
-    tok = re.compile(r"\w+", re.UNICODE)
-
-    def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for w in tok.findall((t or "").lower()):
-                out[i, zlib.crc32(w.encode("utf-8")) % dim] += 1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms == 0, 1.0, norms)
-
-    return embed
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+
+    tokens = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, toLowercase=True)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    counted = tf.transform(tokens.transform(df.select(id_col, F.coalesce(F.col(text), F.lit("")).alias(text))))
+    # fitting and applying the IDF both need the term counts: compute them once,
+    # into the session's reliable checkpoint folder
+    counted = counted.select(id_col, "_tf").checkpoint(eager=True)
+    model = IDF(inputCol="_tf", outputCol=out).fit(counted)
+    return model.transform(counted).select(id_col, out)
+
+
+def hashed_token_ids(c, dim: int) -> Column:
+    """Token bucket ids of a text (lower-cased word tokens hashed into ``dim`` buckets), JVM-side."""
+    c = F.col(c) if isinstance(c, str) else c
+    toks = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_PATTERN), lambda t: t != "")
+    return F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+
+
+def hashed_embeddings(df: DataFrame, text: str = "comment", id_col: str = "id", dim: int = 64,
+                      out: str = "embedding") -> DataFrame:
+    """Offline default embedder: L2-normalised hashed token counts (float32[dim]).
+
+    Tokenising and hashing run in the JVM; only the small integer arrays cross
+    to Python, where numpy counts and normalises them batch by batch.
+    """
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
+                           T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        for pdf in batches:
+            vecs = []
+            for ids in pdf["_ids"]:
+                v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float32)
+                n = float(np.linalg.norm(v))
+                vecs.append((v / n if n > 0 else v).tolist())
+            yield pd.DataFrame({id_col: pdf[id_col], out: vecs})
+
+    return df.select(id_col, hashed_token_ids(text, dim).alias("_ids")).mapInPandas(run, schema)
 
 
 def embed_texts(df: DataFrame, embed_fn: Callable[[list[str]], np.ndarray], text: str = "comment",

@@ -625,15 +625,14 @@ def q_text_vectors(spark, sf):
 
 @register("text_embeddings")
 def q_text_embeddings(spark, sf):
-    return RT.embed_texts(X.verbatims(spark, sf), RT.hashing_embedder(64), "comment", "id", batch_size=100)
+    return RT.hashed_embeddings(X.verbatims(spark, sf), "comment", "id", dim=64)
 
 
 @register("knn_comments")
 def q_knn_comments(spark, sf):
     """Benchmark questions against embedded comments: the retrieval step of the chat."""
-    emb = RT.hashing_embedder(64)
-    corpus = RT.embed_texts(X.verbatims(spark, sf), emb, "comment", "id").withColumnRenamed("id", "vec_id")
-    questions = RT.embed_texts(X.table(spark, sf, "benchmark"), emb, "text", "item_id", out="query_vec")
+    corpus = RT.hashed_embeddings(X.verbatims(spark, sf), "comment", "id", dim=64).withColumnRenamed("id", "vec_id")
+    questions = RT.hashed_embeddings(X.table(spark, sf, "benchmark"), "text", "item_id", dim=64, out="query_vec")
     return RT.knn(questions.withColumnRenamed("item_id", "query_id"), corpus, k=5)
 
 

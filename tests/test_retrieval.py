@@ -63,12 +63,18 @@ def test_embed_hook_batches(spark):
 
 
 def test_tfidf_vectors(spark):
-    df = spark.createDataFrame([(1, "a b b"), (2, "a c")], "id int, comment string")
-    out = {r.id: dict(zip(r.term_index, r.weight)) for r in RT.tfidf_vectors(df, num_features=1 << 20).collect()}
-    assert len(out[1]) == 2 and len(out[2]) == 2
-    w_a = np.log(3 / 3)
-    assert any(abs(v - w_a) < 1e-12 for v in out[1].values())
-    assert any(abs(v - 2 * np.log(3 / 2)) < 1e-12 for v in out[1].values())
+    df = spark.createDataFrame([(1, "a b b"), (2, "A c"), (3, None)], "id int, comment string")
+    out = {r.id: r.features for r in RT.tfidf_vectors(df, num_features=1 << 20).collect()}
+    assert len(out[1].indices) == 2 and len(out[2].indices) == 2 and len(out[3].indices) == 0
+    vals = sorted(out[1].values)
+    assert abs(vals[0] - np.log(4 / 3)) < 1e-12 and abs(vals[1] - 2 * np.log(4 / 2)) < 1e-12
+
+
+def test_hashed_embeddings(spark):
+    df = spark.createDataFrame([(1, "Hola hola mundo"), (2, None)], "id int, comment string")
+    rows = {r.id: np.array(r.embedding) for r in RT.hashed_embeddings(df, dim=16).collect()}
+    assert rows[1].shape == (16,) and abs(np.linalg.norm(rows[1]) - 1) < 1e-6 and sorted(rows[1])[-1] > 0.8
+    assert not rows[2].any()
 
 
 def test_enriched_text_missing_prints_nan(spark):
