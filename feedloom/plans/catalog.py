@@ -653,3 +653,64 @@ SELECT service, count(*) AS n_rows, sum(length(line) + 1) AS n_chars,
 FROM l GROUP BY service""", VT))
 def q_corpus_size(spark, sf):
     return RT.corpus_size(X.verbatims(spark, sf), _CORPUS_COLS, "service")
+
+
+# ====================================================== schema (P1-P8) ====
+from feedloom.plans.preparation import prepare_verbatims  # noqa: E402
+
+# Column-name dictionary used by the merge query (original spelling -> canonical).
+NAME_MAPPING = [
+    ("Email", "email"),
+    ("Teléfono", "telefono"),
+    ("Fecha de contacto", "fecha_contacto_ant"),
+    ("Fecha Contacto", "fecha_contacto"),
+    ("Código Postal", "codigo_postal"),
+]
+
+
+@register("merge_columns", X.with_views("""
+SELECT CAST(id AS VARCHAR) AS id, email, telefono,
+       coalesce(CASE WHEN id % 2 = 0 THEN enviado END, CASE WHEN id % 5 = 0 THEN 'x' END,
+                CASE WHEN id % 3 = 0 THEN respondido END) AS fecha_contacto,
+       codigo_postal
+FROM contacts""", CT))
+def q_merge_columns(spark, sf):
+    c = X.contacts(spark, sf)
+    raw = c.select(
+        F.col("id").alias("ID"),
+        F.col("email").alias(" Email "),
+        F.col("telefono").alias("Teléfono"),
+        F.when(F.col("id") % 2 == 0, F.col("enviado")).alias("Fecha Contacto"),
+        F.when(F.col("id") % 5 == 0, F.lit("x")).alias("Fecha  contacto!"),
+        F.when(F.col("id") % 3 == 0, F.col("respondido")).alias("Fecha-Contacto"),
+        F.col("codigo_postal").alias("Código Postal"),
+    )
+    return P.merge_columns(P.stringify(P.normalize_columns(raw)), NAME_MAPPING)
+
+
+def _raw_verbatims(spark, sf):
+    v = X.verbatims(spark, sf)
+    resp = F.date_format(
+        F.to_timestamp(F.concat(F.col("dt").cast("string"), F.lit(" "),
+                                F.lpad((F.col("id") % 24).cast("string"), 2, "0"), F.lit(":15:00"))),
+        "dd/MM/yyyy HH:mm:ss")
+    return v.select(
+        F.col("dealer").alias("Dealer Name"),
+        F.col("id").cast("string").alias("Dealer No."),
+        F.col("model").alias("Model"),
+        _fuel_raw().alias("Fuel"),
+        F.col("score_raw").alias("Product Score"),
+        F.col("comment").alias("Verbatim"),
+        F.when(F.col("id") % 41 == 0, F.lit("pendiente")).otherwise(resp).alias("Date of Response"),
+        F.concat(F.lit("VIN"), F.col("id").cast("string")).alias("VIN"),
+        F.concat(F.lit("Cliente "), F.col("id").cast("string")).alias("Customer Name"),
+    )
+
+
+@register("prepare_verbatims", X.with_views(f"""
+, r AS (SELECT *, CASE WHEN id % 41 = 0 THEN NULL ELSE dt END AS fecha, {_FUEL_RAW_SQL} AS fuel FROM vts)
+SELECT dealer AS "Taller", model AS "Modelo", CASE fuel {_FUEL_CASE} ELSE fuel END AS "Tecnología",
+       score AS "Puntuación", comment AS "Comentarios", fecha AS "Fecha"
+FROM r""", VT))
+def q_prepare_verbatims(spark, sf):
+    return prepare_verbatims(_raw_verbatims(spark, sf))

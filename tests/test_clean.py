@@ -139,3 +139,11 @@ def test_polarity_bands(spark):
     assert [r.id for r in FL.polarity(df, "positive").collect()] == [4]
     assert FL.segment(df, "id", FL.ALL).count() == 6
     assert df.select(F.lit(1)).count() == 6
+
+
+def test_slug_value_key(spark):
+    from feedloom.functions import slug
+
+    df = _one_col(spark, ["Servicio Técnico", "  Ventas!! ", "Ñandú--Motor"])
+    got = [r.s for r in df.select("i", slug("v").alias("s")).orderBy("i").collect()]
+    assert got == ["servicio_tecnico", "ventas", "nandu_motor"]
