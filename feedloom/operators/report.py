@@ -38,13 +38,18 @@ def report_header(df: DataFrame, date: str = "dt") -> DataFrame:
 
 # -------------------------------------------------------------------- R2 ----
 def breakdown(df: DataFrame, dims: list[str] = DIMENSIONS, score: str = "score") -> DataFrame:
-    """Per dimension value (null group included): n, % of the grand total, mean; plus an ALL row."""
-    total = scalar_row(df.agg(F.count(F.lit(1)).alias("t")))["t"]
+    """Per dimension value (null group included): n, % of the grand total, mean; plus an ALL row.
+
+    One pass over the facts: the ALL row is part of the same aggregation, the
+    (small) aggregate is checkpointed, and the grand total is read from it.
+    """
     agg = (
         df.select(_pairs(dims, True).alias("p"), F.col(score).alias("_s"))
         .groupBy("p.dim", "p.value")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("_mean"))
+        .checkpoint(eager=True)
     )
+    total = scalar_row(agg.where(F.col("dim") == "ALL").select("n"))["n"]
     return agg.select(
         "dim", "value", "n",
         round2(F.col("n") * 100.0 / F.lit(total)).alias("share_pct"),
@@ -201,9 +206,18 @@ def delay_bands(df: DataFrame, edges: list[float] = DELAY_EDGES, text: str = "co
 
 # ------------------------------------------------------------------- R11 ----
 def gap_to(df: DataFrame, dim: str = "dealer", score: str = "score") -> DataFrame:
-    """Each entity's mean against the overall mean: gap in points and in percent."""
-    overall = scalar_row(df.agg(F.avg(score).alias("m")))["m"]
-    agg = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.avg(score).alias("_m"))
+    """Each entity's mean against the overall mean: gap in points and in percent.
+
+    One pass: the overall mean is the ALL group of the same (checkpointed) aggregate.
+    """
+    both = (
+        df.select(_pairs([dim], True).alias("p"), F.col(score).alias("_s"))
+        .groupBy("p.dim", "p.value")
+        .agg(F.avg("_s").alias("_m"))
+        .checkpoint(eager=True)
+    )
+    overall = scalar_row(both.where(F.col("dim") == "ALL").select("_m"))["_m"]
+    agg = both.where((F.col("dim") == dim) & F.col("value").isNotNull()).select(F.col("value").alias(dim), "_m")
     ref = F.lit(overall).cast("double")
     return agg.select(
         dim,

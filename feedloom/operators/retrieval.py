@@ -81,23 +81,29 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "query_id"
     and a final ``row_number`` keeps the global top-k.
     """
     payload = [c for c in (payload or []) if c not in (vid, vec)]
-    nq = queries.count()
-    nchunks = max(1, math.ceil(nq / max_broadcast))
+    first = queries.select(qid, qvec).limit(max_broadcast + 1).collect()
+    if len(first) <= max_broadcast:
+        return _knn_chunk(first, queries, corpus, k, qid, qvec, vid, vec, payload)
     parts = []
-    for c in range(nchunks):
-        chunk = queries if nchunks == 1 else queries.where(F.pmod(F.xxhash64(qid), F.lit(nchunks)) == c)
-        parts.append(_knn_chunk(chunk, corpus, k, qid, qvec, vid, vec, payload, max_broadcast))
+    nchunks = math.ceil(queries.count() / max_broadcast) * 2
+    pending = [(queries.select(qid, qvec), nchunks, 0)]
+    while pending:  # split by hash until every chunk is within the bound
+        frame, n, salt = pending.pop()
+        for c in range(n):
+            chunk = frame.where(F.pmod(F.xxhash64(F.col(qid), F.lit(salt)), F.lit(n)) == c)
+            rows = chunk.limit(max_broadcast + 1).collect()
+            if len(rows) > max_broadcast:
+                pending.append((chunk, 2, salt + 1))
+            elif rows:
+                parts.append(_knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _knn_chunk(queries, corpus, k, qid, qvec, vid, vec, payload, max_broadcast) -> DataFrame:
-    # The query chunk is read to the driver only after its size is proven bounded.
-    rows = queries.select(qid, qvec).limit(max_broadcast + 1).collect()
-    if len(rows) > max_broadcast:
-        raise ValueError("query chunk exceeds the broadcast bound; lower max_broadcast")
+def _knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload) -> DataFrame:
+    # ``rows`` is a query chunk already proven to hold at most the broadcast bound.
     qids = [r[0] for r in rows]
     qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
     spark = corpus.sparkSession
