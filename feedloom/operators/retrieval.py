@@ -93,6 +93,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "query_id"
             chunk = frame.where(F.pmod(F.xxhash64(F.col(qid), F.lit(salt)), F.lit(n)) == c)
             rows = chunk.limit(max_broadcast + 1).collect()
             if len(rows) > max_broadcast:
+                if salt > 32:
+                    raise ValueError(f"query ids in {qid!r} are not unique enough to chunk")
                 pending.append((chunk, 2, salt + 1))
             elif rows:
                 parts.append(_knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload))
