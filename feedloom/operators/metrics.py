@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import has_more_words
-from feedloom.operators._util import bounded_broadcast, round2, scalar_row
+from feedloom.operators._util import round2, scalar_row
 
 # The technology domain of the dealer comparison, in display order.
 TECHNOLOGIES = ["Gasolina", "Diésel", "Híbrido", "Eléctrico"]
@@ -198,5 +198,5 @@ def individual_matrix(df: DataFrame, comment: str = "comment", cols=("id", "scor
 __all__ = [
     "TECHNOLOGIES", "weekly_counts", "date_range", "max_count", "weekly_counts_filled", "group_matrix",
     "mean_score", "count_by", "month_tag", "distinct_values", "compare_technology", "compare_model",
-    "individual_matrix", "bounded_broadcast",
+    "individual_matrix",
 ]

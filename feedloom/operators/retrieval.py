@@ -61,14 +61,6 @@ def enriched_text(df: DataFrame, labels=ENRICHED_LABELS, out: str = "texto_enriq
 MAX_BROADCAST_QUERIES = 5000
 
 
-def l2_squared(a, b) -> Column:
-    """Squared Euclidean distance of two numeric arrays, accumulated in double."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    diffs = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
-    return F.when(F.size(a) == F.size(b), F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d))
-
-
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "query_id", qvec: str = "query_vec",
         vid: str = "vec_id", vec: str = "embedding", payload: list[str] | None = None,
         max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:

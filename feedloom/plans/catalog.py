@@ -11,8 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions import clean as CL
+from feedloom.functions import text as TX
+from feedloom.operators import cleaning as C
+from feedloom.operators import columns as P
+from feedloom.operators import dedup as D
+from feedloom.operators import enrich as J
+from feedloom.operators import filters as FL
 from feedloom.operators import metrics as M
+from feedloom.operators import report as R
+from feedloom.operators import retrieval as RT
 from feedloom.plans import fixtures as X
+from feedloom.plans.preparation import prepare_verbatims
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,10 +181,6 @@ def q_individual_matrix(spark, sf):
 
 
 # ===================================================== cleaning (C*, P*) ====
-from feedloom.functions import clean as CL  # noqa: E402
-from feedloom.operators import cleaning as C  # noqa: E402
-from feedloom.operators import columns as P  # noqa: E402
-from feedloom.operators import filters as FL  # noqa: E402
 
 CT = X.CONTACTS_SQL
 
@@ -324,7 +330,6 @@ def q_service(spark, sf):
 
 
 # ===================================================== dedup + union ====
-from feedloom.operators import dedup as D  # noqa: E402
 
 
 @register("distinct_rows", X.with_views("SELECT DISTINCT dt, dealer, score, comment FROM vts", VT))
@@ -367,7 +372,6 @@ def q_near_duplicates_blocked(spark, sf):
 
 
 # ================================================================ joins ====
-from feedloom.operators import enrich as J  # noqa: E402
 
 
 @register("enrich_technology", X.with_views("""
@@ -411,8 +415,6 @@ def q_enrich_income(spark, sf):
 
 
 # ============================================================== report ====
-from feedloom.functions import text as TX  # noqa: E402
-from feedloom.operators import report as R  # noqa: E402
 
 # Fixture themes: the waiting/staff themes of the feedback reports, plus two
 # word lists that occur in the synthetic prose so the counts are not all zero.
@@ -557,7 +559,6 @@ def q_report_gap(spark, sf):
 
 
 # =========================================================== retrieval ====
-from feedloom.operators import retrieval as RT  # noqa: E402
 
 
 @register("enriched_text", X.with_views("""
@@ -656,7 +657,6 @@ def q_corpus_size(spark, sf):
 
 
 # ====================================================== schema (P1-P8) ====
-from feedloom.plans.preparation import prepare_verbatims  # noqa: E402
 
 # Column-name dictionary used by the merge query (original spelling -> canonical).
 NAME_MAPPING = [
