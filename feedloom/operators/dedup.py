@@ -13,12 +13,18 @@ cleaner, computed exactly with three distributed steps:
    copies is pre-aggregated before it is shuffled.
 2. **Bounded groups** (at most ``max_group_rows`` distinct rows) run the greedy
    pass in one task as a higher-order ``aggregate`` over the sorted group.
-3. **Large groups** never go to one task.  Candidate pairs come from exact
-   pigeonhole blocking (two similar rows agree on every column of at least one
-   of ``C - threshold + 1`` disjoint column blocks), are verified, and the
-   greedy result is resolved in rounds: a row is kept once all its similar
-   predecessors are decided and none is kept, removed as soon as one is kept.
-   Each round is a pair of joins; the state is checkpointed to cut lineage.
+3. **Large groups** never go to one task, and their pairs are never built all
+   at once.  Exact pigeonhole blocking puts every similar pair into a shared
+   bucket: two similar rows agree on every column of at least one of
+   ``C - threshold + 1`` disjoint column blocks.  The greedy result is resolved
+   in rounds.  Each round takes only the first ``bucket_window`` undecided rows
+   of every bucket (a partial top-k before the shuffle).  It pairs them with
+   the bucket's undecided rows (at most ``bucket_window`` partners per row and
+   block, verified on the spot).  Then it propagates: a row is kept once it is
+   inside all its buckets' windows and every similar predecessor is removed;
+   a row is removed as soon as one is kept.  A hot bucket advances by a window
+   per round instead of shuffling all its pairs at once.  All state is
+   checkpointed to cut lineage.
 """
 
 from __future__ import annotations
@@ -27,12 +33,17 @@ import logging
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
+# Rows per bucket and round in the large-group path.  Kept below Spark's
+# ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default) so the
+# per-bucket top-k is planned as a partial limit before the shuffle.
+BUCKET_WINDOW = 512
+
 
 
 def distinct_rows(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -55,7 +66,8 @@ def _keys_equal(left: str, right: str, keys: list[str]) -> Column:
 
 def drop_near_duplicates(df: DataFrame, keys=("apellido_cliente", "nombre_cliente"), order: str = "_row",
                          threshold: int = 30, compare: list[str] | None = None,
-                         max_group_rows: int = 20000, max_large_groups: int = 100000) -> DataFrame:
+                         max_group_rows: int = 2000, max_large_groups: int = 100000,
+                         bucket_window: int = BUCKET_WINDOW) -> DataFrame:
     """Remove later rows that repeat >= ``threshold`` comparable columns of an earlier kept row.
 
     ``order`` is a unique, totally ordered row id (input order).  A table that
@@ -92,7 +104,7 @@ def drop_near_duplicates(df: DataFrame, keys=("apellido_cliente", "nombre_client
     large = collapsed.alias("a").join(large_keys.alias("b"), cond, "left_semi")
 
     kept_small = _fold_small(small, keys, order, compare, others, threshold)
-    kept_large = _resolve_large(large, keys, order, compare, threshold)
+    kept_large = _resolve_large(large, keys, order, compare, threshold, bucket_window)
     return kept_small.select(*[_q(c) for c in cols_out]).unionByName(kept_large.select(*[_q(c) for c in cols_out]))
 
 
@@ -123,7 +135,7 @@ def _fold_small(df: DataFrame, keys, order, compare, others, threshold) -> DataF
     )
 
 
-def _resolve_large(df: DataFrame, keys, order, compare, threshold) -> DataFrame:
+def _resolve_large(df: DataFrame, keys, order, compare, threshold, window: int) -> DataFrame:
     n = len(compare)
     if threshold > n:  # nothing can be similar
         return df
@@ -131,50 +143,79 @@ def _resolve_large(df: DataFrame, keys, order, compare, threshold) -> DataFrame:
         first = df.groupBy(*[_q(k) for k in keys]).agg(F.min(_q(order)).alias("_o"))
         return df.join(first.select(F.col("_o").alias(order)), order, "left_semi")
 
+    # Pigeonhole buckets: two similar rows agree (non-null) on every column of
+    # at least one of ``n - threshold + 1`` disjoint column blocks, so every
+    # similar pair shares a bucket (group keys, block, block values).  Buckets
+    # are named by a 64-bit hash; a collision only merges buckets, which adds
+    # candidates that the verification (keys and similarity) rejects.
     nblocks = n - threshold + 1
     blocks = [compare[b::nblocks] for b in range(nblocks)]
-    vec = F.struct(*[_q(c).alias(f"c{i}") for i, c in enumerate(compare)])
-    edges = None
-    for cols in blocks:
-        side = (
-            df.where(reduce(lambda a, b: a & b, [_q(c).isNotNull() for c in cols]))
-            .select(*[_q(k) for k in keys], *[_q(c) for c in cols], _q(order).alias("o"), vec.alias("v"))
-        )
-        on = _keys_equal("i", "j", keys)
-        for c in cols:
-            on = on & (F.col(f"i.`{c}`") == F.col(f"j.`{c}`"))
-        pairs = (
-            side.alias("i").join(side.alias("j"), on & (F.col("i.o") < F.col("j.o")))
-            .where(_sim(F.col("i.v"), F.col("j.v"), n) >= threshold)
-            .select(F.col("i.o").alias("src"), F.col("j.o").alias("dst"))
-        )
-        edges = pairs if edges is None else edges.unionByName(pairs)
-    edges = edges.distinct().checkpoint()
-
-    state = df.select(_q(order).alias("o"), F.lit("U").alias("s")).checkpoint()
-    rounds = 0
-    while True:
-        src = state.select(F.col("o").alias("src"), F.col("s").alias("ss"))
-        dst = state.where(F.col("s") == "U").select(F.col("o").alias("dst"))
-        live = edges.join(dst, "dst").join(src, "src").where(F.col("ss") != "R")
-        verdict = live.groupBy("dst").agg(
-            F.max((F.col("ss") == "K").cast("int")).alias("any_k"),
-            F.max((F.col("ss") == "U").cast("int")).alias("any_u"),
+    ks = [_q(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    vec = F.struct(*[_q(c).alias(f"c{i}") for i, c in enumerate(compare)]).alias("v")
+    members = reduce(DataFrame.unionByName, [
+        df.where(reduce(lambda a, b: a & b, [_q(c).isNotNull() for c in cols]))
+        .select(_q(order).alias("o"), F.xxhash64(F.lit(b), *[_q(k) for k in keys], *[_q(c) for c in cols])
+                .alias("bucket"), *ks, vec)
+        for b, cols in enumerate(blocks)
+    ]).checkpoint()
+    n_mem = members.groupBy("o").agg(F.count(F.lit(1)).alias("n_mem"))
+    # a row in no bucket is similar to nothing: kept at once
+    state = (
+        df.select(_q(order).alias("o")).join(n_mem, "o", "left")
+        .select("o", F.when(F.col("n_mem").isNull(), F.lit("K")).otherwise(F.lit("U")).alias("s"),
+                F.coalesce("n_mem", F.lit(0)).alias("n_mem"))
+        .checkpoint()
+    )
+    same_group = reduce(lambda a, b: a & b,
+                        [F.col(f"p.k{i}").eqNullSafe(F.col(f"r.k{i}")) for i in range(len(keys))], F.lit(True))
+    rounds = steps = 0
+    while not state.where(F.col("s") == "U").isEmpty():
+        rounds += 1
+        undecided = state.where(F.col("s") == "U")
+        live = members.join(undecided.select("o"), "o", "left_semi")
+        # the first ``window`` undecided rows of each bucket (a partial top-k
+        # before the shuffle, so a hot bucket sends at most ``window`` rows per
+        # map task); a row inside the window of every bucket it belongs to has
+        # all its similar undecided predecessors among its candidates below
+        head = live.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("o"))).where(
+            F.col("_r") <= window).drop("_r")
+        n_head = head.groupBy("o").agg(F.count(F.lit(1)).alias("n_head"))
+        edges = (
+            head.alias("p").join(live.alias("r"), (F.col("p.bucket") == F.col("r.bucket")) & (F.col("p.o") < F.col("r.o")))
+            .where(same_group & (_sim(F.col("p.v"), F.col("r.v"), n) >= threshold))
+            .select(F.col("p.o").alias("src"), F.col("r.o").alias("dst"))
+            .distinct()
+            .checkpoint()
         )
-        state = (
-            state.join(verdict, state.o == verdict.dst, "left")
-            .select(
-                "o",
-                F.when(F.col("s") != "U", F.col("s"))
-                .when(F.col("any_k") == 1, F.lit("R"))
-                .when(F.col("any_u") == 1, F.lit("U"))
-                .otherwise(F.lit("K")).alias("s"),
-            )
+        local = (
+            undecided.join(n_head, "o", "left")
+            .select("o", "s", "n_mem", (F.coalesce("n_head", F.lit(0)) == F.col("n_mem")).alias("complete"))
             .checkpoint()
         )
-        rounds += 1
-        if state.where(F.col("s") == "U").isEmpty():
-            break
-    log.info("near-duplicate resolution finished after %d rounds", rounds)
+        # greedy resolution over the round's edges: kept once complete and every
+        # similar predecessor is removed; removed as soon as one is kept
+        while True:
+            steps += 1
+            src = local.select(F.col("o").alias("src"), F.col("s").alias("ss"))
+            verdict = (
+                edges.join(src, "src").where(F.col("ss") != "R")
+                .groupBy("dst").agg(F.max((F.col("ss") == "K").cast("int")).alias("any_k"),
+                                    F.max((F.col("ss") == "U").cast("int")).alias("any_u"))
+            )
+            nxt = (
+                local.join(verdict, local.o == verdict.dst, "left")
+                .select("o", "n_mem", "complete", F.col("s").alias("old"),
+                        F.when(F.col("s") != "U", F.col("s"))
+                        .when(F.col("any_k") == 1, F.lit("R"))
+                        .when(F.col("complete") & F.coalesce(F.col("any_u") == 0, F.lit(True)), F.lit("K"))
+                        .otherwise(F.lit("U")).alias("s"))
+                .checkpoint()
+            )
+            changed = not nxt.where(F.col("s") != F.col("old")).isEmpty()
+            local = nxt.drop("old")
+            if not changed:
+                break
+        state = state.where(F.col("s") != "U").unionByName(local.select("o", "s", "n_mem")).checkpoint()
+    log.info("near-duplicate resolution: %d rounds, %d propagation steps", rounds, steps)
     kept = state.where(F.col("s") == "K").select(F.col("o").alias(order))
     return df.join(kept, order, "left_semi")

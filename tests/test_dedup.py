@@ -65,6 +65,31 @@ def test_distributed_path_matches_brute_force(spark, seed, threshold):
     assert sorted(r.id for r in out.collect()) == brute_force(rows, threshold)
 
 
+@pytest.mark.parametrize("seed,threshold,window", [(31, 4, 1), (32, 3, 3), (33, 5, 2), (34, 2, 4)])
+def test_windowed_rounds_match_brute_force(spark, seed, threshold, window):
+    """Tiny bucket windows force many resolution rounds; a hot group holds most rows."""
+    rows = make_rows(seed, 160)
+    for r in rows[: len(rows) * 2 // 3]:
+        r["k1"], r["k2"] = None, None  # one hot (null-name) group
+    out = drop_near_duplicates(to_df(spark, rows), ("k1", "k2"), order="id", threshold=threshold,
+                               max_group_rows=0, bucket_window=window)
+    assert sorted(r.id for r in out.collect()) == brute_force(rows, threshold)
+
+
+def test_bucket_window_is_partial_top_k(spark):
+    """The per-bucket window is planned as a partial WindowGroupLimit (pre-shuffle)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from feedloom.operators.dedup import BUCKET_WINDOW
+
+    df = spark.range(1000).select(F.col("id").alias("o"), (F.col("id") % 3).alias("bucket"))
+    head = df.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("o"))).where(
+        F.col("_r") <= BUCKET_WINDOW)
+    plan = head._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_subset_and_idempotent(spark):
     rows = make_rows(21)
     df = to_df(spark, rows)
