@@ -109,6 +109,7 @@ def _knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload) -> DataFr
 
     def score(batches):
         q_ids, q = bq.value
+        q_ids = np.asarray(q_ids, dtype=object)
         for pdf in batches:
             if len(q_ids) == 0 or len(pdf) == 0:
                 continue
@@ -116,22 +117,13 @@ def _knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload) -> DataFr
             ok = lens == q.shape[1]
             if not ok.any():
                 continue
-            sub = pdf.loc[ok]
+            sub = pdf.loc[ok].reset_index(drop=True)
             x = np.stack(sub[vec].to_numpy()).astype(np.float64)
-            out = []
-            for j, qv in enumerate(q):
-                d = ((x - qv) ** 2).sum(axis=1)
-                if len(d) > k:
-                    kth = np.partition(d, k - 1)[k - 1]
-                    keep = np.nonzero(d <= kth)[0]
-                else:
-                    keep = np.arange(len(d))
-                part = sub.iloc[keep][cols].copy()
-                part.insert(0, qid, q_ids[j])
-                part["_d"] = d[keep]
-                out.append(part)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            rows, qs, dist = _local_top_k(x, q, k)
+            part = sub.iloc[rows][cols].reset_index(drop=True)
+            part.insert(0, qid, q_ids[qs])
+            part["_d"] = dist
+            yield part
 
     local = corpus.select(vid, vec, *payload).mapInPandas(score, schema)
     w = Window.partitionBy(qid).orderBy(F.col("_d"), F.col(vid))
@@ -142,6 +134,45 @@ def _knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload) -> DataFr
     )
 
 
+QUERY_BLOCK = 256
+
+
+def _local_top_k(x: np.ndarray, q: np.ndarray, k: int):
+    """Exact per-query top-k (plus exact ties) of squared L2 distance within one batch.
+
+    Candidates are preselected with the matrix form ``|x|^2 + |q|^2 - 2 x.q``
+    (BLAS), widened by a bound on its rounding error, so they contain every row
+    whose exact distance is within the k-th smallest.  Exact distances
+    ``sum((x - q)^2)`` are then computed for the candidates only and the rule
+    "distance <= k-th smallest" is applied to them.  Returns (row, query, distance).
+    """
+    n, dim = x.shape
+    xx = np.einsum("ij,ij->i", x, x)
+    out_r, out_q, out_d = [], [], []
+    for s in range(0, len(q), QUERY_BLOCK):
+        qb = q[s:s + QUERY_BLOCK]
+        qq = np.einsum("ij,ij->i", qb, qb)
+        if n > k:
+            approx = xx[:, None] + qq[None, :] - 2.0 * (x @ qb.T)
+            kth = np.partition(approx, k - 1, axis=0)[k - 1]
+            # |approx - exact| <= dim * eps * (|x|^2 + |q|^2) per entry, twice for the k-th
+            tol = 4.0 * (dim + 2) * np.finfo(np.float64).eps * (xx.max() + qq)
+            r, c = np.nonzero(approx <= (kth + tol)[None, :])
+        else:
+            r, c = np.divmod(np.arange(n * len(qb)), len(qb))
+        d = np.einsum("ij,ij->i", x[r] - qb[c], x[r] - qb[c])
+        order = np.lexsort((d, c))
+        r, c, d = r[order], c[order], d[order]
+        counts = np.bincount(c, minlength=len(qb))
+        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        kth_exact = d[np.maximum(starts + np.minimum(counts, k) - 1, 0)]
+        keep = d <= kth_exact[c]
+        out_r.append(r[keep])
+        out_q.append(c[keep] + s)
+        out_d.append(d[keep])
+    return np.concatenate(out_r), np.concatenate(out_q), np.concatenate(out_d)
+
+
 def centroids(df: DataFrame, key: str, vec: str = "embedding", out: str = "query_vec", digits: int = 6) -> DataFrame:
     """Element-wise mean vector per key (rounded), e.g. one query vector per label."""
     e = df.select(key, F.posexplode(vec).alias("pos", "x"))
@@ -239,12 +270,14 @@ def hashed_embeddings(df: DataFrame, text: str = "comment", id_col: str = "id",
 
     def run(batches):
         for pdf in batches:
-            vecs = []
-            for ids in pdf["_ids"]:
-                v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float32)
-                n = float(np.linalg.norm(v))
-                vecs.append((v / n if n > 0 else v).tolist())
-            yield pd.DataFrame({id_col: pdf[id_col], out: vecs})
+            ids = pdf["_ids"].to_numpy()
+            lens = np.fromiter((len(a) for a in ids), dtype=np.int64, count=len(ids))
+            flat = np.concatenate(ids).astype(np.int64) if lens.sum() else np.zeros(0, dtype=np.int64)
+            cell = np.repeat(np.arange(len(ids), dtype=np.int64), lens) * dim + flat
+            counts = np.bincount(cell, minlength=len(ids) * dim).reshape(len(ids), dim).astype(np.float64)
+            norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+            vecs = (counts / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
+            yield pd.DataFrame({id_col: pdf[id_col], out: list(vecs)})
 
     return df.select(id_col, hashed_token_ids(text, dim).alias("_ids")).mapInPandas(run, schema)
 

@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import to_number
+from feedloom.sources.ingest import read_parquet
+
+
+# Tables whose rows carry long texts: every query on them runs regexes or
+# tokenisers per row, so a small single-file copy is spread over all cores.
+TEXT_TABLES = {"documents"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread=name in TEXT_TABLES)
 
 
 def _pick(cases: list, key: Column) -> Column:

@@ -140,9 +140,31 @@ def read_tagged(spark: SparkSession, files: dict[str, str], tag: str = "Mes", fm
     return df.withColumn(tag, F.element_at(labels, F.col("_metadata.file_name")))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Processed fact table (any Hadoop-compatible URI, e.g. ``s3a://``)."""
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Processed fact table (any Hadoop-compatible URI, e.g. ``s3a://``).
+
+    ``spread=True`` is for tables that feed CPU-heavy per-row work (regexes and
+    tokenising over long texts): see ``spread_small_input``.
+    """
+    df = spark.read.parquet(path)
+    return spread_small_input(df) if spread else df
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Rebalance a table stored in fewer files than the cluster has task slots.
+
+    A Parquet file is split by row groups, so a small table written as one file
+    with one row group is scanned by a single task however many cores there
+    are.  Such a table is spread round-robin over ``defaultParallelism``
+    partitions; projections and filters are still pushed below the exchange to
+    the scan.  A table in at least that many files (any table at cluster scale)
+    is returned unchanged, with no shuffle.  The decision reads only the file
+    listing, never the data.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots)
 
 
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

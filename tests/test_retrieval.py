@@ -82,3 +82,19 @@ def test_enriched_text_missing_prints_nan(spark):
                                "dealer string, model string, technology string, score_raw string, comment string, dt date")
     t = RT.enriched_text(df).first().texto_enriquecido
     assert t == "Taller: T1 | Modelo: nan | Tecnología: Gasolina | Puntuación: 7 | Comentario: ok | Fecha: nan"
+
+
+def test_local_top_k_exact_with_ties():
+    """Matrix-form preselection + exact recheck equals the plain per-query rule, ties included."""
+    rng = np.random.default_rng(7)
+    for n, m, k in [(200, 300, 5), (4, 3, 5), (50, 10, 1), (1000, 600, 7)]:
+        x = rng.integers(-2, 3, size=(n, 8)).astype(np.float64)  # many exact ties
+        q = rng.integers(-2, 3, size=(m, 8)).astype(np.float64) + 0.5
+        r, qi, d = RT._local_top_k(x, q, k)
+        got = sorted(zip(qi.tolist(), r.tolist(), d.tolist()))
+        exp = []
+        for j in range(m):
+            dj = ((x - q[j]) ** 2).sum(axis=1)
+            kth = np.sort(dj)[min(k, n) - 1]
+            exp += [(j, i, float(dj[i])) for i in np.nonzero(dj <= kth)[0]]
+        assert got == sorted(exp), (n, m, k)

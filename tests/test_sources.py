@@ -122,3 +122,16 @@ def test_read_report(spark, tmpdir_path):
     r = S.read_report(spark, tmpdir_path, "Ventas").collect()
     assert len(r) == 1 and r[0].value.startswith("## INFORME") and "�" in r[0].value
     assert S.read_report(spark, tmpdir_path, "Otro").count() == 0
+
+
+def test_spread_small_input(spark, tmpdir_path):
+    """One small file is spread round-robin (pushdown intact); many files are left alone."""
+    one = S.read_parquet(spark, f"{SF_SMALL}/documents.parquet", spread=True).where(F.col("lang") == "en")
+    p = one.select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in p and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in p
+    slots = spark.sparkContext.defaultParallelism
+    path = os.path.join(tmpdir_path, "many")
+    spark.range(slots * 4).repartition(slots * 2).write.parquet(path)
+    many = S.read_parquet(spark, path, spread=True)
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert many.count() == slots * 4
