@@ -151,18 +151,20 @@ def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFr
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Rebalance a table stored in fewer files than the cluster has task slots.
+    """Rebalance a small table whose scan cannot use every task slot.
 
     A Parquet file is split by row groups, so a small table written as one file
     with one row group is scanned by a single task however many cores there
     are.  Such a table is spread round-robin over ``defaultParallelism``
     partitions; projections and filters are still pushed below the exchange to
-    the scan.  A table in at least that many files (any table at cluster scale)
-    is returned unchanged, with no shuffle.  The decision reads only the file
-    listing, never the data.
+    the scan.  A table is returned unchanged, with no shuffle, when it is stored
+    in at least that many files or its scan already has more splits than there
+    are slots (one large file).  Any table at cluster scale is in that case.
+    Apply it to a plain scan: the decision reads the file listing and plans the
+    scan's splits, and runs no job.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
+    if len(df.inputFiles()) >= slots or df.rdd.getNumPartitions() > slots:
         return df
     return df.repartition(slots)
 

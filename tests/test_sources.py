@@ -135,3 +135,18 @@ def test_spread_small_input(spark, tmpdir_path):
     many = S.read_parquet(spark, path, spread=True)
     assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
     assert many.count() == slots * 4
+
+
+def test_spread_leaves_large_single_file_alone(spark, tmpdir_path):
+    """One file with many row groups already scans in parallel: no exchange is added."""
+    path = os.path.join(tmpdir_path, "big")
+    (spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).coalesce(1)
+     .write.option("parquet.block.size", 1 << 20).parquet(path))
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        big = S.read_parquet(spark, path, spread=True)
+        assert len(big.inputFiles()) == 1 and big.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        assert "Exchange" not in big._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
