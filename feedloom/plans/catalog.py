@@ -656,6 +656,35 @@ def q_corpus_size(spark, sf):
     return RT.corpus_size(X.verbatims(spark, sf), _CORPUS_COLS, "service")
 
 
+# ============================================================ sources ====
+
+
+def _scratch(spark, kind: str) -> str:
+    """A fresh folder under the session's checkpoint folder (shared storage on a cluster)."""
+    import uuid
+
+    from feedloom.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/{kind}-{uuid.uuid4().hex}"
+
+
+@register("monthly_extracts", X.with_views(f"""
+SELECT list_element({_MONTHS_SQL}, month(dt)) AS mes, count(*) AS n, {r2('avg(score)')} AS mean_score
+FROM vts WHERE dt IS NOT NULL GROUP BY 1""", VT))
+def q_monthly_extracts(spark, sf):
+    """S8 + S4 + A9: write the verbatims as one extract per month, read the fixed
+    list of monthly extracts back (missing months skipped), count per month."""
+    from feedloom.operators._util import round2
+    from feedloom.sources import ingest as S
+    from feedloom.sources import sinks as K
+
+    root = _scratch(spark, "monthly")
+    vt = X.verbatims(spark, sf).where(F.col("dt").isNotNull())
+    K.write_parquet(vt.select("id", "dealer", "score", "dt", M.month_tag("dt").alias("mes")), root, ["mes"])
+    back = S.read_tagged(spark, {f"{root}/mes={m}": m for m in M.MONTHS_ES}, tag="mes", fmt="parquet")
+    return back.groupBy("mes").agg(F.count(F.lit(1)).alias("n"), round2(F.avg("score")).alias("mean_score"))
+
+
 # ====================================================== schema (P1-P8) ====
 
 # Column-name dictionary used by the merge query (original spelling -> canonical).

@@ -123,21 +123,34 @@ def read_verbatims(spark: SparkSession, root: str, fmt: str = "csv") -> tuple[Da
 
 
 def read_tagged(spark: SparkSession, files: dict[str, str], tag: str = "Mes", fmt: str = "csv") -> DataFrame | None:
-    """Read a fixed set of files in one scan, tagging rows with each file's label.
+    """Read a fixed set of extracts in one scan, tagging rows with each extract's label.
 
-    Missing files are skipped; no file at all -> ``None``.
+    An extract is a single file or a folder of part files written by Spark;
+    rows are tagged by their file name or, inside a folder, by the folder name.
+    Missing extracts are skipped; none at all -> ``None``.
     """
     present = {}
     for path, label in files.items():
-        if list_files(spark, posixpath.dirname(path) or ".", posixpath.basename(path), False):
+        if _exists(spark, path):
             present[path] = label
         else:
             log.warning("missing %s", path)
     if not present:
         return None
-    labels = F.create_map(*[x for p, lab in present.items() for x in (F.lit(posixpath.basename(p)), F.lit(lab))])
+    labels = F.create_map(*[x for p, lab in present.items() for x in (F.lit(posixpath.basename(p.rstrip("/"))), F.lit(lab))])
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     df = _reader(spark, fmt).load(list(present))
-    return df.withColumn(tag, F.element_at(labels, F.col("_metadata.file_name")))
+    return df.withColumn(tag, F.coalesce(F.try_element_at(labels, F.col("_metadata.file_name")),
+                                         F.try_element_at(labels, folder)))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists (lists names only; file contents are not read)."""
+    try:
+        spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+        return True
+    except AnalysisException:
+        return False
 
 
 def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
