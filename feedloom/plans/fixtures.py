@@ -14,13 +14,11 @@ from feedloom.functions import to_number
 from feedloom.sources.ingest import read_parquet
 
 
-# Tables whose rows carry long texts: every query on them runs regexes or
-# tokenisers per row, so a small single-file copy is spread over all cores.
-TEXT_TABLES = {"documents"}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread=name in TEXT_TABLES)
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table.  ``spread=True`` for queries that run regexes or tokenisers
+    over whole texts: a small single-file table is then spread over all cores
+    (``sources.ingest.spread_small_input``); cheap queries skip that exchange."""
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread=spread)
 
 
 def _pick(cases: list, key: Column) -> Column:
@@ -35,9 +33,9 @@ def _sql_pick(cases: list, key: str) -> str:
 
 
 # --------------------------------------------------------------------- vt ----
-def verbatims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verbatims(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Verbatims with text (documents): one comment per document."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread)
     doc = F.col("doc_id")
     return d.select(
         doc.alias("id"),
