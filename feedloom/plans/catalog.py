@@ -686,6 +686,45 @@ def q_monthly_extracts(spark, sf):
     return back.groupBy("mes").agg(F.count(F.lit(1)).alias("n"), round2(F.avg("score")).alias("mean_score"))
 
 
+# Fixed fixture values: the questionnaire sheet of the survey workbooks
+# (Display ID -> question text).
+SURVEY_QUESTIONS = [("Q1", "¿Recomendaría el taller?"), ("Q2", "Saldo de la cuenta")]
+
+
+@register("survey_extracts", """
+WITH b AS (SELECT *, c_mktsegment = (SELECT max(c_mktsegment) FROM customer) AS bare,
+                  CASE WHEN c_acctbal < 0 THEN 'n' ELSE 'S' END AS a1,
+                  CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) AS a2 FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS nombre_cliente,
+       CASE WHEN NOT bare THEN a1 END AS "¿recomendaría_el_taller?",
+       CASE WHEN NOT bare THEN a2 END AS saldo_de_la_cuenta,
+       CASE WHEN bare THEN a1 END AS q1, CASE WHEN bare THEN a2 END AS q2,
+       lower(c_mktsegment) || '__Ventas.csv' AS _file
+FROM b""")
+def q_survey_extracts(spark, sf):
+    """S1 + S3 + P1 + P2 + U1: one CSV workbook per market segment (a ``__Ventas`` sheet
+    and its ``__Questionnaire`` sheet; the last book has none), read back with per-book
+    renames, normalised names, all-string columns and a union by name."""
+    from feedloom.sources import ingest as S
+
+    root = _scratch(spark, "survey")
+    c = X.table(spark, sf, "customer")
+    raw = c.select(
+        F.col("c_custkey").alias("ID"), F.col("c_name").alias("Nombre Cliente"),
+        F.when(F.col("c_acctbal") < 0, "n").otherwise("S").alias("Q1"),
+        F.floor("c_acctbal").cast("bigint").alias("Q2"), "c_mktsegment",
+    )
+    books = sorted(r[0] for r in c.select("c_mktsegment").distinct().collect())  # a handful of workbooks
+    questions = spark.createDataFrame(SURVEY_QUESTIONS, "`Display ID` string, Questionnaire string")
+    for book in books:
+        path = f"{root}/{book.lower()}"
+        raw.where(F.col("c_mktsegment") == book).drop("c_mktsegment").write.option("header", "true").csv(
+            f"{path}__Ventas.csv")
+        if book != books[-1]:
+            questions.write.option("header", "true").csv(f"{path}__Questionnaire.csv")
+    return S.read_survey(spark, root, "Ventas").drop("_row")
+
+
 # ====================================================== schema (P1-P8) ====
 
 # Column-name dictionary used by the merge query (original spelling -> canonical).

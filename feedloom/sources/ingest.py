@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import logging
 import posixpath
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -53,6 +54,18 @@ def list_files(spark: SparkSession, root: str, pattern: str, recursive: bool = T
         return []
 
 
+def list_extracts(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    """Extracts under ``root`` whose name ends with ``suffix``: single files, or folders
+    of part files written by Spark (listed once; only the paths are read)."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    except AnalysisException:
+        return []
+    pattern = r"^(.*?/[^/]*" + re.escape(suffix) + r")(?:/|$)"
+    found = files.select(F.regexp_extract("path", pattern, 1).alias("e")).where(F.col("e") != "").distinct()
+    return sorted(r[0] for r in found.collect())
+
+
 def _reader(spark: SparkSession, fmt: str):
     r = spark.read.format(fmt)
     if fmt == "csv":
@@ -68,17 +81,19 @@ def read_survey(spark: SparkSession, root: str, sheet: str, fmt: str = "csv",
                 questionnaire: str = "Questionnaire") -> DataFrame:
     """S1 + S3: every ``*__<sheet>.<fmt>`` extract under ``root`` (recursively).
 
+    An extract is a single file or a folder of part files written by Spark.
+
     Per file: rename through the file's own questionnaire extract when one
     exists (Display ID -> question text), normalise names, cast to string.
     A file that cannot be read is logged and skipped.  Adds ``_file`` (lineage)
     and ``_row`` (input order: file order, then position in the file).
     """
     parts = []
-    for path in list_files(spark, root, f"*{SHEET_SEP}{sheet}.{fmt}"):
+    for path in list_extracts(spark, root, f"{SHEET_SEP}{sheet}.{fmt}"):
         try:
             df = _read_one(spark, path, fmt)
             qpath = path[: -len(f"{sheet}.{fmt}")] + f"{questionnaire}.{fmt}"
-            if qpath != path and list_files(spark, posixpath.dirname(qpath), posixpath.basename(qpath), False):
+            if qpath != path and _exists(spark, qpath):
                 qdf = _read_one(spark, qpath, fmt)
                 if {"Display ID", "Questionnaire"} <= set(qdf.columns):
                     df = rename_by_dict(df, qdf)
