@@ -757,7 +757,7 @@ def q_merge_columns(spark, sf):
     return P.merge_columns(P.stringify(P.normalize_columns(raw)), NAME_MAPPING)
 
 
-def _raw_verbatims(spark, sf):
+def _raw_verbatims(spark, sf, with_service: bool = False):
     v = X.verbatims(spark, sf)
     resp = F.date_format(
         F.to_timestamp(F.concat(F.col("dt").cast("string"), F.lit(" "),
@@ -773,6 +773,7 @@ def _raw_verbatims(spark, sf):
         F.when(F.col("id") % 41 == 0, F.lit("pendiente")).otherwise(resp).alias("Date of Response"),
         F.concat(F.lit("VIN"), F.col("id").cast("string")).alias("VIN"),
         F.concat(F.lit("Cliente "), F.col("id").cast("string")).alias("Customer Name"),
+        *([F.col("service")] if with_service else []),
     )
 
 
@@ -783,3 +784,26 @@ SELECT dealer AS "Taller", model AS "Modelo", CASE fuel {_FUEL_CASE} ELSE fuel E
 FROM r""", VT))
 def q_prepare_verbatims(spark, sf):
     return prepare_verbatims(_raw_verbatims(spark, sf))
+
+
+# Positional sheets of a verbatim workbook: first = sales, second = after-sales.
+VERBATIM_SHEETS = [("sheet0", "Ventas"), ("sheet1", "Posventa")]
+
+
+@register("verbatim_extracts", X.with_views(f"""
+, r AS (SELECT *, CASE WHEN id % 41 = 0 THEN NULL ELSE dt END AS fecha, {_FUEL_RAW_SQL} AS fuel FROM vts)
+SELECT dealer AS "Taller", model AS "Modelo", CASE fuel {_FUEL_CASE} ELSE fuel END AS "Tecnología",
+       score AS "Puntuación", comment AS "Comentarios", fecha AS "Fecha", service AS servicio
+FROM r""", VT))
+def q_verbatim_extracts(spark, sf):
+    """S2 + v1 preparation: one workbook whose positional sheets hold the sales and the
+    after-sales verbatims, read back by position and prepared (P3, P4, P8, C6, C8, C9)."""
+    from feedloom.sources import ingest as S
+
+    root = _scratch(spark, "verbatims")
+    raw = _raw_verbatims(spark, sf, with_service=True)
+    for sheet, service in VERBATIM_SHEETS:
+        raw.where(F.col("service") == service).drop("service").write.parquet(f"{root}/verbatims__{sheet}.parquet")
+    sales, after = S.read_verbatims(spark, root, fmt="parquet")
+    return prepare_verbatims(sales).withColumn("servicio", F.lit("Ventas")).unionByName(
+        prepare_verbatims(after).withColumn("servicio", F.lit("Posventa")))

@@ -54,16 +54,26 @@ def list_files(spark: SparkSession, root: str, pattern: str, recursive: bool = T
         return []
 
 
-def list_extracts(spark: SparkSession, root: str, suffix: str) -> list[str]:
+def list_extracts(spark: SparkSession, root: str, suffix: str, recursive: bool = True) -> list[str]:
     """Extracts under ``root`` whose name ends with ``suffix``: single files, or folders
-    of part files written by Spark (listed once; only the paths are read)."""
+    of part files written by Spark (listed once; only the paths are read).  With
+    ``recursive=False`` only extracts directly inside ``root`` count."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     except AnalysisException:
         return []
     pattern = r"^(.*?/[^/]*" + re.escape(suffix) + r")(?:/|$)"
     found = files.select(F.regexp_extract("path", pattern, 1).alias("e")).where(F.col("e") != "").distinct()
-    return sorted(r[0] for r in found.collect())
+    out = sorted(r[0] for r in found.collect())
+    if not recursive:
+        top = _unqualified(root).rstrip("/")
+        out = [e for e in out if posixpath.dirname(_unqualified(e)) == top]
+    return out
+
+
+def _unqualified(path: str) -> str:
+    """Path without its scheme (``file:/a`` -> ``/a``, ``s3a://b/a`` -> ``//b/a``)."""
+    return re.sub(r"^[A-Za-z][\w+.-]*:", "", path)
 
 
 def _reader(spark: SparkSession, fmt: str):
@@ -120,11 +130,13 @@ def read_survey_parquet(spark: SparkSession, root: str, sheet: str) -> DataFrame
 def read_verbatims(spark: SparkSession, root: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
     """Flat folder of workbooks with positional sheets: first = sales, second = service.
 
+    A sheet extract is a single file or a folder written by Spark.
+
     Returns two (possibly empty) frames unioned by name.
     """
     out = []
     for sheet in ("sheet0", "sheet1"):
-        files = list_files(spark, root, f"*{SHEET_SEP}{sheet}.{fmt}", recursive=False)
+        files = list_extracts(spark, root, f"{SHEET_SEP}{sheet}.{fmt}", recursive=False)
         parts = []
         for p in files:
             try:
