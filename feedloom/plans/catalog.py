@@ -807,3 +807,17 @@ def q_verbatim_extracts(spark, sf):
     sales, after = S.read_verbatims(spark, root, fmt="parquet")
     return prepare_verbatims(sales).withColumn("servicio", F.lit("Ventas")).unionByName(
         prepare_verbatims(after).withColumn("servicio", F.lit("Posventa")))
+
+
+@register("income_from_csv", ORACLE["enrich_income"])
+def q_income_from_csv(spark, sf):
+    """S10 + S7 + J3: the income lookup exported as CSV and read back with an explicit
+    schema (postal codes stay unpadded strings), then joined to the IP enrichment."""
+    from feedloom.sources import ingest as S
+    from feedloom.sources import sinks as K
+
+    path = _scratch(spark, "income") + "/renta.csv"
+    K.export_csv(X.income_dim(spark, sf), ["codigo_postal", "renta_media"], path)
+    dim = S.read_dim(spark, path, "codigo_postal string, renta_media double")
+    geo = J.enrich_ip(X.event_ips(spark, sf), X.city_ranges(spark, sf), X.asn_ranges(spark, sf))
+    return J.enrich_income(geo, dim).select("event_id", "ip", "ip_postal_code", "renta_media")
