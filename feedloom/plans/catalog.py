@@ -821,3 +821,23 @@ def q_income_from_csv(spark, sf):
     dim = S.read_dim(spark, path, "codigo_postal string, renta_media double")
     geo = J.enrich_ip(X.event_ips(spark, sf), X.city_ranges(spark, sf), X.asn_ranges(spark, sf))
     return J.enrich_income(geo, dim).select("event_id", "ip", "ip_postal_code", "renta_media")
+
+
+@register("stored_knn")
+def q_stored_knn(spark, sf):
+    """S12 + T5 + T2: per service, the comment embeddings are built once into the
+    service's embedding table and read back; benchmark questions retrieve from each."""
+    from feedloom.sources import sinks as K
+
+    root = _scratch(spark, "vectors")
+    vt = X.verbatims(spark, sf, spread=True)
+    questions = RT.hashed_embeddings(X.table(spark, sf, "benchmark"), "text", "item_id", dim=64, out="query_vec")
+    questions = questions.withColumnRenamed("item_id", "query_id")
+    hits = []
+    for service in ("Ventas", "Posventa"):
+        def build(s=service):
+            return RT.hashed_embeddings(vt.where(F.col("service") == s), "comment", "id", dim=64)
+
+        store = K.embeddings_store(spark, root, service, build).withColumnRenamed("id", "vec_id")
+        hits.append(RT.knn(questions, store, k=5).withColumn("service", F.lit(service)))
+    return hits[0].unionByName(hits[1])

@@ -98,3 +98,20 @@ def test_local_top_k_exact_with_ties():
             kth = np.sort(dj)[min(k, n) - 1]
             exp += [(j, i, float(dj[i])) for i in np.nonzero(dj <= kth)[0]]
         assert got == sorted(exp), (n, m, k)
+
+
+def test_stored_knn_equals_direct(spark):
+    """Reading embeddings back from the per-service store changes no retrieval result."""
+    from feedloom.plans.catalog import QUERIES
+
+    stored = {(r.service, r.query_id, r["rank"]): (r.vec_id, r.distance)
+              for r in QUERIES["stored_knn"](spark, SF_SMALL).collect()}
+    vt = X.verbatims(spark, SF_SMALL)
+    q = RT.hashed_embeddings(X.table(spark, SF_SMALL, "benchmark"), "text", "item_id", dim=64, out="query_vec")
+    q = q.withColumnRenamed("item_id", "query_id")
+    direct = {}
+    for service in ("Ventas", "Posventa"):
+        corpus = RT.hashed_embeddings(vt.where(F.col("service") == service), "comment", "id", dim=64)
+        for r in RT.knn(q, corpus.withColumnRenamed("id", "vec_id"), k=5).collect():
+            direct[(service, r.query_id, r["rank"])] = (r.vec_id, r.distance)
+    assert stored == direct and len(stored) > 0
