@@ -841,3 +841,24 @@ def q_stored_knn(spark, sf):
         store = K.embeddings_store(spark, root, service, build).withColumnRenamed("id", "vec_id")
         hits.append(RT.knn(questions, store, k=5).withColumn("service", F.lit(service)))
     return hits[0].unionByName(hits[1])
+
+
+_REPORT_LINE_SQL = "concat_ws(' | ', dim, coalesce(value, 'nan'), CAST(n AS VARCHAR), CAST(share_pct AS VARCHAR), " \
+                   "coalesce(CAST(mean_score AS VARCHAR), 'nan'))"
+
+
+@register("stored_report", X.with_views(_BREAKDOWN_SQL + f"""
+SELECT {_REPORT_LINE_SQL} AS line FROM b""", VT))
+def q_stored_report(spark, sf):
+    """S9 + S11 over R2: the breakdown is stored as the service's text report (one file:
+    an aggregate, bounded by the dimension values), read back whole, split into lines."""
+    from feedloom.sources import ingest as S
+
+    root = _scratch(spark, "reports")
+    b = R.breakdown(X.verbatims(spark, sf))
+    line = F.concat_ws(" | ", "dim", F.coalesce("value", F.lit("nan")), F.col("n").cast("string"),
+                       F.col("share_pct").cast("string"), F.coalesce(F.col("mean_score").cast("string"), F.lit("nan")))
+    b.select(line.alias("line")).orderBy("line").coalesce(1).write.text(f"{root}/informeventas.txt")
+    text = S.read_report(spark, root, "Ventas")
+    lines = text.select(F.explode(F.split(F.col("value"), "\n")).alias("line"))
+    return lines.where(F.col("line") != "")

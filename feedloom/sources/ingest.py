@@ -223,13 +223,15 @@ def read_dim(spark: SparkSession, path: str, schema: StructType | str, fmt: str
 
 
 def read_report(spark: SparkSession, root: str, service: str) -> DataFrame:
-    """Stored report text for a service (one row, whole file); unknown -> empty.
+    """Stored report text for a service (one row per file, whole text); unknown -> empty.
+
+    The report is a single file or a folder written by Spark.
 
     Spark decodes the file as UTF-8 and replaces undecodable bytes.
     """
     from feedloom.operators.columns import name_key
 
     path = posixpath.join(root, f"informe{name_key(service).replace('_', '')}.txt")
-    if not list_files(spark, root, posixpath.basename(path), False):
+    if not _exists(spark, path):
         return empty_frame(spark, "value string")
     return spark.read.text(path, wholetext=True)
