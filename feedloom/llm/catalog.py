@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.common import table
 from feedloom.llm.line_dedup import OP5_SQL, op5_line_dedup
+from feedloom.llm.packing import op4_packing
+from feedloom.llm.quality import op1_quality
+from feedloom.llm.simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": lambda spark, d: op1_quality(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op4_packing": lambda spark, d: op4_packing(table(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: op5_line_dedup(table(spark, d, "documents")),
+    "op9_simhash": lambda spark, d: op9_simhash(table(spark, d, "documents")),
 }
 ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
