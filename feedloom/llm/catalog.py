@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.llm.chunk_bpe import op10_chunk_bpe
 from feedloom.llm.common import table
 from feedloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from feedloom.llm.packing import op4_packing
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": lambda spark, d: op4_packing(table(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: op5_line_dedup(table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: op9_simhash(table(spark, d, "documents")),
+    "op10_chunk_bpe": lambda spark, d: op10_chunk_bpe(table(spark, d, "documents")),
 }
 ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
