@@ -39,7 +39,7 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
 #: Fingerprints per shard aimed at, and the sample that shapes the shards.
-SHARD_SIZE = 16_384
+SHARD_SIZE = 4_096
 SAMPLE_SIZE = 8_192
 _LEAF = 64
 
@@ -220,7 +220,8 @@ def shard_edges(different: DataFrame, max_bits: int = MAX_BITS, shard_size: int
     count = different.count()
     # the smallest hashes are a fair sample of bounded size
     rows = different.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_SIZE).collect()
-    tree, _ = shard_tree(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64), max(1, -(-count // shard_size)))
+    shards = 1 << max(0, (-(-count // shard_size) - 1).bit_length())  # a power of two: halves stay even
+    tree, _ = shard_tree(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64), shards)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
