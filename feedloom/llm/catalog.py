@@ -13,13 +13,15 @@ from feedloom.llm.packing import op4_packing
 from feedloom.llm.quality import op1_quality
 from feedloom.llm.simhash import op9_simhash
 from feedloom.llm.token_files import op2_token_files
+from feedloom.llm.topk import OP8_SQL, op8_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": lambda spark, d: op1_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_token_files": lambda spark, d: op2_token_files(table(spark, d, "documents")),
     "op4_packing": lambda spark, d: op4_packing(table(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: op5_line_dedup(table(spark, d, "documents")),
+    "op8_top_k": lambda spark, d: op8_top_k(table(spark, d, "embeddings")),
     "op9_simhash": lambda spark, d: op9_simhash(table(spark, d, "documents")),
     "op10_chunk_bpe": lambda spark, d: op10_chunk_bpe(table(spark, d, "documents")),
 }
-ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_top_k": OP8_SQL}
