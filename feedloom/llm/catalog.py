@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feedloom.llm.ann import op6_nearest
 from feedloom.llm.chunk_bpe import op10_chunk_bpe
 from feedloom.llm.common import table
+from feedloom.llm.licenses import op3_licenses
 from feedloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from feedloom.llm.packing import op4_packing
 from feedloom.llm.quality import op1_quality
@@ -19,6 +20,7 @@ from feedloom.llm.topk import OP8_SQL, op8_top_k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": lambda spark, d: op1_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_token_files": lambda spark, d: op2_token_files(table(spark, d, "documents")),
+    "op3_licenses": lambda spark, d: op3_licenses(table(spark, d, "documents")),
     "op4_packing": lambda spark, d: op4_packing(table(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: op5_line_dedup(table(spark, d, "documents")),
     "op6_nearest": lambda spark, d: op6_nearest(table(spark, d, "embeddings")),
