@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm.common import materialize, table
+from feedloom.llm.common import bound_batches, materialize, table
 from feedloom.llm.line_dedup import dedup_lines
 from feedloom.llm.packing import pack_documents
 from feedloom.llm.quality import keep_good
@@ -18,21 +18,25 @@ from feedloom.llm.simhash import drop_near_duplicates
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    bound_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines held by many documents go from all but one of them."""
+    bound_batches(spark)
     return dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints link, the one with the smallest doc_id stays."""
+    bound_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, encoded and placed in sequences."""
+    bound_batches(spark)
     return pack_documents(docs)
 
 

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.session import ensure_checkpoint_dir
 
-#: Distinct chunks that one Python worker remembers while encoding; at the bound it starts anew.
-MEMO_ENTRIES = 400_000
+#: Distinct chunks that one Python worker remembers while encoding (about 200 bytes each).
+MEMO_ENTRIES = 800_000
+
+
+#: Bytes of rows that Spark hands a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES``: counted in rows alone, ten thousand long texts are one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table, through Spark's reader."""
+    """One driver table, through Spark's reader; Python workers get it in bounded batches."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,7 +70,7 @@ class ByteBpeEncoder:
     single space or newline that stands between two other characters.  There the
     text may be cut and the parts encoded apart, by the tokenizers library, with
     their leading space or newline.  Chunks repeat, so the ids of the first
-    ``MEMO_ENTRIES`` are kept.  New chunks are encoded together as one string; a
+    ``MEMO_ENTRIES`` are kept.  New chunks are encoded some dozens to a string; a
     chunk starts where a token starts with the space (or is the newline).  A text
     with any other run of white space, or with the string of an added token, is
     encoded by the library in one piece.
@@ -77,48 +89,45 @@ class ByteBpeEncoder:
         self.first = len(self.tok.encode("\n", add_special_tokens=False).ids)
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of the chunks; those that may not be cut off from their neighbours are left out."""
+    def _encode_apart(self, chunks: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of chunks, each behind a space (or starting with its newline), a few dozen to a string."""
         import numpy as np
 
-        found: dict[str, bytes] = {}
-        for lead in " \n":
-            group = [c for c in chunks if (c[:1] == "\n") == (lead == "\n") and _separable(c[1:] if lead == "\n" else c)]
-            if not group:
-                continue
-            text = "".join(group) if lead == "\n" else " " + " ".join(group)
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.starts[lead][ids])
-            if len(at) != len(group) or at[0] != 0:
-                raise ValueError("the tokenizer is not byte-level with spaces leading")
-            raw = ids.tobytes()
-            cuts = [*(at * 4).tolist(), len(raw)]
-            found.update(zip(group, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
-        room = MEMO_ENTRIES - len(self.memo)
-        self.memo.update(list(found.items())[: max(0, room)])
-        return found
+        joined = ["".join(chunks[i : i + 64]) if lead == "\n" else " " + " ".join(chunks[i : i + 64]) for i in range(0, len(chunks), 64)]
+        ids = np.array([i for e in self.tok.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        at = np.flatnonzero(self.starts[lead][ids])
+        if len(at) != len(chunks) or (len(at) and at[0] != 0):
+            raise ValueError("the tokenizer is not byte-level with spaces leading")
+        raw = ids.tobytes()
+        cuts = [*(at * 4).tolist(), len(raw)]
+        return dict(zip(chunks, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        split = [("\n" + t.replace("\n", " \n")).split(" ") if t and not any(a in t for a in self.added) else None for t in texts]
-        new = dict.fromkeys(c for chunks in split if chunks for c in chunks if c not in memo)
-        found = self._learn(list(new)) if new else {}
+        split = [("\n" + t.replace("\n", " \n")).split(" ") if t and not any(a in t for a in self.added) else [""] for t in texts]
+        new = set().union(*split).difference(self.memo)
+        before = len(self.memo)
+        apart = list(filter(_SEPARABLE, new))
+        for lead in " \n":
+            self.memo.update(self._encode_apart([c for c in apart if (c[0] == "\n") == (lead == "\n")], lead))
+        bad = new.difference(apart)
+        ids = self.memo.__getitem__
         out = []
         for t, chunks in zip(texts, split):
             if not t:
                 out.append(b"")
-                continue
-            parts = [memo.get(c) or found.get(c) for c in chunks] if chunks else [None]
-            if None in parts:
+            elif bad and not bad.isdisjoint(chunks):
                 out.append(_u4(self.tok.encode(t, add_special_tokens=False).ids))
             else:
-                out.append(b"".join(parts)[4 * self.first :])
+                out.append(b"".join(map(ids, chunks))[4 * self.first :])
+        if len(self.memo) > MEMO_ENTRIES:  # the oldest, found in the first texts, are the frequent ones
+            for c in list(islice(reversed(self.memo), len(self.memo) - max(before, MEMO_ENTRIES))):
+                del self.memo[c]
         return out
 
 
-def _separable(core: str) -> bool:
-    return bool(core) and not (core[0].isspace() or core[-1].isspace() or "\n" in core)
+#: Chunks that text around them leaves alone: no white space at either end but the newline in front.
+_SEPARABLE = re.compile(r"\n?[^\s\0](?:[^\n\0]*[^\s\0])?").fullmatch
 
 
 def _u4(ids: list[int]) -> bytes:
