@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.ann import op6_nearest
+from feedloom.llm.attention_lm import op7_lm
 from feedloom.llm.chunk_bpe import op10_chunk_bpe
 from feedloom.llm.common import table
 from feedloom.llm.licenses import op3_licenses
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": lambda spark, d: op4_packing(table(spark, d, "documents")),
     "op5_line_dedup": lambda spark, d: op5_line_dedup(table(spark, d, "documents")),
     "op6_nearest": lambda spark, d: op6_nearest(table(spark, d, "embeddings")),
+    "op7_lm": lambda spark, d: op7_lm(table(spark, d, "documents")),
     "op8_top_k": lambda spark, d: op8_top_k(table(spark, d, "embeddings")),
     "op9_simhash": lambda spark, d: op9_simhash(table(spark, d, "documents")),
     "op10_chunk_bpe": lambda spark, d: op10_chunk_bpe(table(spark, d, "documents")),
