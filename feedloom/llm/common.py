@@ -8,6 +8,7 @@ from functools import lru_cache
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedloom.session import ensure_checkpoint_dir
 
@@ -35,6 +36,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Each row as one struct ``row``: whatever its columns are called, they clash with nothing."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, label)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from feedloom.llm.common import materialize
+from feedloom.llm.common import materialize, packed
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -209,36 +209,30 @@ def kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the rewritten text as ``_kept``, ``_n_lines`` and ``_n_dropped`` beside all its columns."""
-    marked = docs.withColumn("_text_key", text_key(F.col("text")))
-    right = bitmaps.select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep")
-    )
-    joined = marked.join(right, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    changed = F.col("_n_dropped") > 0
-    kept = kept_text(F.when(changed, F.col("text")), F.when(changed, F.col("_keep")))  # untouched texts stay out of Python
-    return joined.withColumn("_kept", F.when(changed, kept).otherwise(F.col("text"))).drop("_text_key", "_doc", "_key", "_keep")
+    """(row, n_lines, n_dropped, kept): each row of ``docs`` as a struct, with its text's kept lines."""
+    marked = packed(docs).withColumn("own_key", text_key(F.col("row.text")))
+    right = bitmaps.withColumnRenamed("doc_id", "id")
+    joined = marked.join(right, (F.col("own_key") == F.col("text_key")) & F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    changed = F.col("n_dropped") > 0
+    kept = kept_text(F.when(changed, F.col("row.text")), F.when(changed, F.col("keep")))  # untouched texts stay out of Python
+    return joined.select("row", "n_lines", "n_dropped", F.when(changed, kept).otherwise(F.col("row.text")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with repeated lines removed; n_chars, where present, follows the new text."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    cols = {"text": F.col("_kept")} | ({"n_chars": F.length("_kept").cast("bigint")} if "n_chars" in docs.columns else {})
-    return out.withColumns(cols).select(docs.columns)
+    out = apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op5_line_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the sha256 of what stays, from the bitmaps."""
     docs = documents.select("doc_id", "text")
     return apply_bitmaps(docs, keep_bitmaps(docs)).select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")
     )
 
 
-# ``regexp_replace`` stands for the strip; upper case beyond A-Z stays as it is.
 OP5_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 pieces AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs),

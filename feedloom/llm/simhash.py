@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from feedloom.llm.common import materialize
+from feedloom.llm.common import materialize, packed
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -272,11 +272,11 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
     Rows without a doc_id stay: nothing tells them apart.
     """
     found = simhash_components(docs.select("doc_id", "text"), shingle_words, max_bits)
-    keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keeper")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
-    kept = docs.join(keepers, F.col("doc_id") == F.col("_keeper"), "left_semi")
-    kept = kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("keeper")).distinct()
+    rows = packed(docs)
+    one = Window.partitionBy("row.doc_id").orderBy(F.col("row.text").asc_nulls_last(), F.xxhash64("row"))
+    kept = rows.join(keepers, F.col("row.doc_id") == F.col("keeper"), "left_semi").withColumn("place", F.row_number().over(one)).where("place = 1")
+    return kept.select("row").unionByName(rows.where("row.doc_id IS NULL")).select("row.*")
 
 
 def op9_simhash(documents: DataFrame) -> DataFrame:
