@@ -5,9 +5,10 @@ Index.  Largest inner product is made smallest distance by one more dimension,
 rotated by a random orthogonal matrix, so every prefix of dimensions is a fair sample
 of a distance.  Centroids are learned from a bounded sample (``SAMPLE_ROWS``, by hash);
 every vector is put into the list of its nearest centroid.  The number of lists
-follows the number of vectors.
+follows the number of vectors.  How many lists a query must probe for
+``TARGET_RECALL`` is measured on the sample (vectors without clusters need many).
 
-Search.  A query probes its ``probes`` nearest lists.  A list's vectors lie in column
+Search.  A query probes its nearest lists.  A list's vectors lie in column
 blocks; after each block a candidate whose partial distance is so large that it would,
 by the hypothesis test, hardly end below the query's threshold is abandoned.  The
 threshold is the k-th best exact score so far, first from a random few of the list.
@@ -37,14 +38,16 @@ from feedloom.llm.common import materialize
 from feedloom.llm.vectors import ranked, usable
 
 SAMPLE_ROWS = 16_384
-#: Different vectors per list and per slab aimed at; lists probed by a query; queries per group.
+#: Different vectors per list and per slab aimed at; queries per group.
 LIST_ROWS = 512
 SLAB_ROWS = 4_096
-PROBES = 24
+#: Share of the true neighbours that the probed lists are to hold.
+TARGET_RECALL = 0.96
 QUERIES_PER_BLOCK = 1_024
 BLOCK_DIMS = 16
 #: Strictness of the test: larger abandons later and loses fewer neighbours.
-EPSILON = 2.1
+EPSILON = 1.5
+_STRIP = 64  # queries of a cell scanned together
 _SEED = 20_240_601
 _MAX_LISTS = 4_096
 
@@ -56,6 +59,7 @@ class Index:
     rotation: object  # (dims + 1, dims + 1)
     centroids: object  # (lists, dims + 1), rotated
     norm: float  # the largest norm
+    probes: int = 1  # lists that a query needs, measured on the sample
 
     def lift(self, x, query: bool):
         """Rotated vectors with the additional dimension."""
@@ -80,7 +84,7 @@ def _matrix(column: pd.Series):
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def build_index(distinct: DataFrame, count: int, rounds: int = 8) -> Index:
+def build_index(distinct: DataFrame, count: int, k: int, rounds: int = 8) -> Index:
     """Rotation and centroids from at most ``SAMPLE_ROWS`` vectors."""
     import numpy as np
 
@@ -97,42 +101,70 @@ def build_index(distinct: DataFrame, count: int, rounds: int = 8) -> Index:
         sums, sizes = np.zeros_like(index.centroids), np.bincount(own, minlength=lists)
         np.add.at(sums, own, lifted)
         index.centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], index.centroids)
+    index.probes = enough_probes(index, sample, lifted, k)
     return index
 
 
+def enough_probes(index: Index, sample, lifted, k: int) -> int:
+    """How many lists hold ``TARGET_RECALL`` of the true neighbours of some of the sample's vectors.
+
+    The sample is thinner than the table, so its neighbours lie farther and in more
+    lists than the table's: the measure errs towards too many.
+    """
+    import numpy as np
+
+    asked = np.linspace(0, len(sample) - 1, min(len(sample), 256), dtype=np.int64)
+    scores = sample[asked] @ sample.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(index.centroids)
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    lists = len(index.centroids)
+    order = index.nearest(index.lift(sample[asked], True), lists)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(lists)[None, :], 1)
+    needed = np.take_along_axis(place, index.nearest(lifted, 1)[:, 0][best], 1)
+    return int(np.quantile(needed, TARGET_RECALL, method="higher")) + 1
+
+
 def scan(queries, raw_queries, lifted, raw, ids, own_ids, k: int):
     """Adaptive scan of one slab: (query row, vec_id, score) of each query's k best entries.
 
-    ``ids`` are each entry's smallest vec_ids; ``own_ids`` the queries' vec_ids.
+    ``ids`` are each entry's smallest vec_ids; ``own_ids`` the queries' vec_ids.  A block
+    of columns is one matrix product for a strip of queries while many candidates are
+    alive, and one pass over the pairs that are left when few are.
     """
     import numpy as np
 
-    dims = queries.shape[1]
+    rows, dims = lifted.shape
     blocks = [slice(at, min(at + BLOCK_DIMS, dims)) for at in range(0, dims, BLOCK_DIMS)]
     columns = [np.ascontiguousarray(lifted[:, b]) for b in blocks]
     norms = [(c * c).sum(axis=1) for c in columns]
+    few = np.linspace(0, rows - 1, min(rows, 4 * (k + 1)), dtype=np.int64)
+    near = min(k, rows - 1)  # one more than k: the query's own entry may be among them
     out = []
-    first = np.linspace(0, len(raw) - 1, min(len(raw), 4 * k), dtype=np.int64)
-    for i, own in enumerate(own_ids):
-        q, rq = queries[i], raw_queries[i]
-        start = ((lifted[first] - q) ** 2).sum(axis=1)
-        # one more than k: the query's own entry may be among them
-        limit = np.partition(start, k)[k] if len(start) > k else np.inf
-        alive, partial = np.arange(len(raw)), np.zeros(len(raw))
+    for at in range(0, len(queries), _STRIP):
+        q, rq = queries[at : at + _STRIP], raw_queries[at : at + _STRIP]
+        start = (lifted[few] ** 2).sum(axis=1) + (q * q).sum(axis=1)[:, None] - 2 * q @ lifted[few].T
+        limit = np.partition(start, k, axis=1)[:, k] if len(few) > k else np.full(len(q), np.inf)
+        distance, alive = np.zeros((len(q), rows)), np.ones((len(q), rows), bool)
         for b, c, n in zip(blocks, columns, norms):
-            whole = len(alive) == len(raw)
-            part = (n + q[b] @ q[b] - 2 * (c @ q[b])) if whole else ((c[alive] - q[b]) ** 2).sum(axis=1)
-            partial = partial + part
+            if alive.mean() > 0.25:
+                distance += n + (q[:, b] ** 2).sum(axis=1)[:, None] - 2 * q[:, b] @ c.T
+            else:
+                i, j = np.nonzero(alive)
+                distance[i, j] += ((q[i, b] - c[j]) ** 2).sum(axis=1)
             if b.stop < dims:
-                # distance seen so far, scaled up, against the limit with the test's slack
-                keep = partial * (dims / b.stop) <= limit * (1 + EPSILON / np.sqrt(b.stop)) ** 2
-                alive, partial = alive[keep], partial[keep]
-            if not len(alive):
-                break
-        scores = (raw[alive] * rq).sum(axis=1)  # row by row, so a score does not depend on its neighbours
-        least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1] if len(scores) > k else -np.inf
-        for j in np.flatnonzero(scores >= least):  # ties included: the ranking decides by vec_id
-            out.extend((i, int(v), float(scores[j])) for v in ids[alive[j]] if v != own)
+                # the distance seen so far, scaled up, against the limit with the test's slack
+                alive &= distance * (dims / b.stop) <= (limit * (1 + EPSILON / np.sqrt(b.stop)) ** 2)[:, None] + 1e-9
+        distance[~alive] = np.inf
+        least = np.partition(distance, near, axis=1)[:, near]
+        i, j = np.nonzero(alive & (distance <= (least * (1 + 1e-9))[:, None] + 1e-9))  # ties included: the ranking decides by vec_id
+        scores = (raw[j] * rq[i]).sum(axis=1)
+        for a, e, score in zip(i.tolist(), j.tolist(), scores.tolist()):
+            own = own_ids[at + a]
+            out.extend((at + a, v, score) for v in ids[e].tolist() if v != own)
     return out
 
 
@@ -149,7 +181,7 @@ def _probe(key: tuple, slab: pd.DataFrame, queries: pd.DataFrame, index: Index,
     return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for every query."""
     rows = usable(vectors, allow_zero=False).select("vec_id", F.col("embedding").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = materialize(rows, "usable-vectors")
@@ -161,8 +193,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, probes: int = PROBES)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not count:
         return vectors.sparkSession.createDataFrame([], schema)
-    index = build_index(distinct, count)
-    lists = len(index.centroids)
+    index = build_index(distinct, count, k)
+    lists, probes = len(index.centroids), probes or index.probes
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
