@@ -4,8 +4,8 @@ A score is the sum of partial scores over ``LISTS`` blocks of columns, each bloc
 list of its own.
 
 1. Local lists: each list's k highest partial scores per query are gathered, with the
-   list's lowest one.  Partial sums, with the lowest where a list has not told an
-   entry, are lower bounds; the k-th of them is a total that k candidates reach.
+   list's lowest one and the told entries' totals (rows have all their columns at
+   hand).  The k-th of these totals is one that k candidates reach.
 2. Safe cutoff: a total that high needs at least one list where the partial score,
    less that list's lowest, reaches an equal share.  These cutoffs go out with the
    queries, and every list collects all its entries from them upwards.
@@ -31,7 +31,8 @@ from feedloom.llm.common import materialize
 from feedloom.llm.vectors import best_of_row, ranked, usable
 
 SCALE = 1024
-LISTS = 4
+#: Blocks of columns; the fewer, the higher each share of the cutoff, and the fewer entries are collected.
+LISTS = 2
 ROWS_PER_BUCKET = 8_192
 QUERIES_PER_BLOCK = 2_048
 _STRIP = 128  # queries of a cell scored at once
@@ -56,9 +57,9 @@ def _partials(queries, rows):
 
 
 def _local_lists(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Phase 1 in a cell: each list's k highest entries, and its lowest as an entry without vec_id."""
+    """Phase 1 in a cell: each list's k highest entries with their totals, and the list's lowest."""
     out = []
-    columns = ["query_id", "list", "vec_id", "part", "lowest"]
+    columns = ["query_id", "list", "vec_id", "total", "lowest"]
     if rows.empty or queries.empty:
         return pd.DataFrame(out, columns=columns)
     rows = rows.sort_values("vec_id")
@@ -70,11 +71,11 @@ def _local_lists(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int)
             others = ids != qid
             if not others.any():
                 continue
+            p, there = parts[:, i, others], ids[others]
+            totals = p.sum(axis=0)
             for b in range(len(parts)):
-                p = parts[b, i]
-                lowest = p[others].min()
-                for j in best_of_row(p[others], k):
-                    out.append((qid, b, ids[others][j], p[others][j], lowest))
+                lowest = p[b].min()
+                out.extend((qid, b, there[j], totals[j], lowest) for j in best_of_row(p[b], k))
     return pd.DataFrame(out, columns=columns)
 
 
@@ -104,7 +105,7 @@ def _resolve(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> p
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score, collected) of every query's k highest scores.
 
-    ``collected`` is how many entries the cutoff let through in the winner's cell.
+    ``collected`` is how many of its cell's rows the cutoff let through for the query.
     """
     whole = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(1 << 31)), F.lit(-(1 << 31))).cast("bigint"))
     rows = materialize(usable(vectors, allow_zero=True).select("vec_id", whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "whole-vectors")
@@ -124,14 +125,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = SCALE) -> D
         return left.cogroup(queries.select("*", everywhere(buckets).alias("bucket")).groupBy("bucket", "block"))
 
     # phase 1
-    lists = cells(asked).applyInPandas(lambda key, r, q: _local_lists(key, r, q, k), "query_id bigint, list int, vec_id bigint, part bigint, lowest bigint")
+    lists = cells(asked).applyInPandas(lambda key, r, q: _local_lists(key, r, q, k), "query_id bigint, list int, vec_id bigint, total bigint, lowest bigint")
     lists = materialize(lists, "local-lists")
     lowest = lists.groupBy("query_id", "list").agg(F.min("lowest").alias("lowest"))
     per_query = lowest.groupBy("query_id").agg(F.sum("lowest").alias("floor"), F.sort_array(F.collect_list(F.struct("list", "lowest"))).alias("lowests"))
-    gains = lists.join(lowest.withColumnRenamed("lowest", "least"), ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("least")).alias("gain"))
-    # with fewer than k told entries any gain of 0 will do: everything is collected
-    reached = ranked(gains, k, F.desc("gain")).groupBy("query_id").agg(F.min("gain").alias("gain"), F.count("*").alias("told"))
-    share = F.when(F.col("told") < k, 0).otherwise(F.ceil(F.col("gain") / F.size("lowests")) - 1)
+    told = ranked(lists.select("query_id", "vec_id", "total").distinct(), k, F.desc("total"))
+    reached = told.groupBy("query_id").agg(F.min("total").alias("total"), F.count("*").alias("told"))
+    # fewer than k were told only if there are no more: then everything is collected
+    share = F.when(F.col("told") < k, 0).otherwise(F.ceil((F.col("total") - F.col("floor")) / F.size("lowests")))
     shared = per_query.join(reached, "query_id").withColumn("share", share.cast("bigint"))
     cuts = shared.select("query_id", F.expr("transform(lowests, x -> x.lowest + share)").alias("cuts"))
     # phases 2 and 3
