@@ -1,21 +1,26 @@
-"""Network address expressions."""
+"""Network addresses as bit texts: ``4`` or ``6`` and the address's bits, so that a range is a set of prefixes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import ipaddress
 
-IPV4_TEXT = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 
+def _bits(address: ipaddress.IPv4Address | ipaddress.IPv6Address, length: int) -> str:
+    return f"{address.version}{int(address):0{address.max_prefixlen}b}"[: 1 + length]
 
-def ipv4_to_long(c) -> Column:
-    """Dotted IPv4 text -> its 32-bit value as bigint; malformed or out-of-range -> null.
 
-    Kept as one compact expression (split once, fold the octets) because the
-    optimizer may copy it into pushed-down filters.
-    """
-    c = F.col(c) if isinstance(c, str) else c
-    octets = F.transform(F.split(c, r"\."), lambda o: o.try_cast("int"))
-    value = F.aggregate(octets, F.lit(0).cast("bigint"),
-                        lambda acc, o: F.when(o.between(0, 255), acc * 256 + o))
-    return F.when(c.rlike(IPV4_TEXT), value)
+def address_bits(text: str) -> str | None:
+    """Bits of an address; null where the text is not one (blanks around it and leading zeros are not allowed)."""
+    try:
+        address = ipaddress.ip_address(text)
+    except ValueError:
+        return None
+    return _bits(address, address.max_prefixlen)
+
+
+def range_prefixes(low: str | None, high: str | None) -> list[str]:
+    """Prefixes of the range between two addresses, both included; plain numbers are IPv4."""
+    if low is None or high is None:
+        return []
+    a, b = (ipaddress.IPv4Address(int(x)) if x.isdigit() else ipaddress.ip_address(x) for x in (low, high))
+    return [_bits(n.network_address, n.prefixlen) for n in ipaddress.summarize_address_range(a, b)]

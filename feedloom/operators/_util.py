@@ -18,14 +18,3 @@ def scalar_row(df: DataFrame):
     if len(rows) != 1:
         raise ValueError(f"expected exactly one aggregate row, got {len(rows)}")
     return rows[0]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it is proven to hold at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Above the bound the frame is
-    returned as is and the planner falls back to a shuffle join (AQE may still
-    broadcast it at runtime when the measured size is small).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

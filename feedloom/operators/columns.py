@@ -54,71 +54,78 @@ def drop_if_exists(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
 
 
+# Letters without a canonical decomposition and their plain spelling.
+PLAIN_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ħ": "h", "ı": "i"}
+_FOLD = str.maketrans(PLAIN_LETTERS)
+
+
 def name_key(s: str) -> str:
-    """Lower-case, accents removed, non-word runs -> ``_``, collapsed and trimmed."""
-    t = unicodedata.normalize("NFKD", str(s).lower())
-    t = "".join(ch for ch in t if not unicodedata.combining(ch))
-    t = re.sub(r"\W+", "_", t)
-    return re.sub(r"_+", "_", t).strip("_")
+    """The words of a name, lower-cased and without accents, joined by ``_``."""
+    folded = unicodedata.normalize("NFKD", str(s).lower()).translate(_FOLD)
+    plain = "".join(ch for ch in folded if not unicodedata.combining(ch))
+    return "_".join(re.findall(r"[^\W_]+", plain))
+
+
+#: Rows of a column-name dictionary that the driver reads at most; more is an error, not a cut.
+MAX_NAME_ROWS = 100_000
+
+
+def _name_rows(frame: DataFrame, *cols: str) -> list[tuple]:
+    """A dictionary of column names as tuples; it is as large as the widest table, so it has a bound."""
+    rows = frame.select(*cols).take(MAX_NAME_ROWS + 1)
+    if len(rows) > MAX_NAME_ROWS:
+        raise ValueError(f"a column-name dictionary has over {MAX_NAME_ROWS} rows")
+    return [tuple(r) for r in rows]
 
 
 def _mapping_pairs(mapping) -> list[tuple[str, str]]:
     """Accept a dict, a list of pairs, a pandas frame or a small Spark frame of
     (columna_original, columna_normalizada); rows with a missing side are skipped."""
-    if isinstance(mapping, Mapping):
-        pairs = list(mapping.items())
-    elif isinstance(mapping, DataFrame):
-        pairs = [(r[0], r[1]) for r in mapping.select("columna_original", "columna_normalizada").collect()]
+    names = ["columna_original", "columna_normalizada"]
+    if isinstance(mapping, DataFrame):
+        pairs = _name_rows(mapping, *names)
+    elif isinstance(mapping, Mapping):
+        pairs = mapping.items()
     elif hasattr(mapping, "itertuples"):
-        pairs = list(mapping[["columna_original", "columna_normalizada"]].itertuples(index=False, name=None))
+        pairs = mapping[names].itertuples(index=False, name=None)
     else:
-        pairs = list(mapping)
+        pairs = mapping
     return [(str(a), str(b)) for a, b in pairs if a is not None and b is not None and a == a and b == b]
 
 
+def merge_plan(columns: list[str], mapping) -> list[tuple[str, list[str]]]:
+    """What ``merge_columns`` does, as an ordered list of (output column, its sources).
+
+    An output stands where its first source stood.  A column that the mapping does
+    not name keeps its name, unless a merged column takes it.
+    """
+    by_key = {name_key(original): target for original, target in _mapping_pairs(mapping)}
+    target = {c: by_key[name_key(c)] for c in columns if name_key(c) in by_key}
+    taken = set(target.values())
+    outputs = dict.fromkeys(target.get(c, c) for c in columns if c in target or c not in taken)
+    return [(out, [c for c in columns if target.get(c) == out] or [out]) for out in outputs]
+
+
 def merge_columns(df: DataFrame, mapping) -> DataFrame:
     """P5: canonicalise column names through a mapping, merging synonyms.
 
-    Source columns whose ``name_key`` maps to the same target form a group:
-    one member is renamed, several are coalesced left to right (cast to string
-    when their types differ).  The merged column keeps the target name even if
-    a member already had it.
+    Columns whose ``name_key`` has the same target become one: the first non-null
+    value from left to right, as text where their types differ.
     """
-    key_to_new: dict[str, str] = {}
-    for orig, new in _mapping_pairs(mapping):
-        key_to_new[name_key(orig)] = new
-    groups: dict[str, list[str]] = {}
-    for c in df.columns:
-        k = name_key(c)
-        if k in key_to_new:
-            groups.setdefault(key_to_new[k], []).append(c)
-    if not groups:
-        return df
     types = dict(df.dtypes)
-    members = {c for cols in groups.values() for c in cols}
-    first_of = {cols[0]: new for new, cols in groups.items()}
-    out = []
-    for c in df.columns:
-        if c in first_of:
-            new = first_of[c]
-            cols = groups[new]
-            if len(cols) == 1:
-                out.append(F.col(f"`{c}`").alias(new))
-            else:
-                same = len({types[m] for m in cols}) == 1
-                parts = [F.col(f"`{m}`") if same else F.col(f"`{m}`").cast("string") for m in cols]
-                out.append(F.coalesce(*parts).alias(new))
-        elif c in members or c in groups:
-            continue  # merged away, or overwritten by a merged column of the same name
-        else:
-            out.append(F.col(f"`{c}`"))
-    return df.select(*out)
+
+    def merged(sources: list[str]):
+        mixed = len({types[c] for c in sources}) > 1
+        values = [F.col(f"`{c}`").cast("string") if mixed else F.col(f"`{c}`") for c in sources]
+        return F.coalesce(*values) if len(values) > 1 else values[0]
+
+    return df.select(*(merged(sources).alias(out) for out, sources in merge_plan(df.columns, mapping)))
 
 
 def rename_by_dict(df: DataFrame, dictionary) -> DataFrame:
     """S3: rename columns through a per-file question dictionary (Display ID -> text)."""
     if isinstance(dictionary, DataFrame):
-        dictionary = {str(r[0]): str(r[1]) for r in dictionary.select("Display ID", "Questionnaire").collect()}
+        dictionary = {str(a): str(b) for a, b in _name_rows(dictionary, "`Display ID`", "Questionnaire")}
     return df.select(*[F.col(f"`{c}`").alias(dictionary.get(c, c)) for c in df.columns])
 
 

@@ -1,35 +1,31 @@
 """Lookup enrichment joins.
 
-Lookup dimensions are broadcast only behind a row-count check
-(``bounded_broadcast``); above it they take a shuffle join.  The IP lookup is a
-range join turned into an equi-join on /16 buckets, so no nested loop or
-Cartesian product appears in the plan.
+Joins carry no hint: the planner and AQE broadcast a lookup table when its measured
+bytes are small.  The IP lookup is a range join turned into an equi-join on address
+prefixes, so its work does not depend on how ranges crowd together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from feedloom.functions import zfill5
-from feedloom.functions.net import ipv4_to_long
-from feedloom.operators._util import bounded_broadcast
+from feedloom.functions.net import address_bits, range_prefixes
 
-# Lookup tables up to this many rows are broadcast; larger ones are shuffled.
-MAX_BROADCAST_DIM_ROWS = 2_000_000
 
-
-def enrich_technology(df: DataFrame, dim: DataFrame, key: str = "modelo",
-                      max_rows: int = MAX_BROADCAST_DIM_ROWS) -> DataFrame:
+def enrich_technology(df: DataFrame, dim: DataFrame, key: str = "modelo") -> DataFrame:
     """Left join model -> technology.  Duplicate dim keys multiply rows; null keys never match."""
-    return df.join(bounded_broadcast(dim, max_rows), key, "left")
+    return df.join(dim, key, "left")
 
 
 def enrich_income(df: DataFrame, dim: DataFrame, key: str = "ip_postal_code",
-                  dim_key: str = "codigo_postal", max_rows: int = MAX_BROADCAST_DIM_ROWS) -> DataFrame:
+                  dim_key: str = "codigo_postal") -> DataFrame:
     """Left join postal code -> mean income; the zero-pad is applied to the dimension only."""
     d = dim.withColumn(dim_key, zfill5(dim_key)).withColumnRenamed(dim_key, key)
-    return df.join(bounded_broadcast(d, max_rows), key, "left")
+    return df.join(d, key, "left")
 
 
 # Output columns of the IP enrichment, in order (fixed schema).
@@ -42,46 +38,63 @@ _RANGE_ATTRS = {
     "latitude": "ip_latitude",
     "longitude": "ip_longitude",
 }
-BUCKET_BITS = 16
+_SALTS = 4096
+
+
+@F.pandas_udf(StringType())
+def _bits(texts: pd.Series) -> pd.Series:
+    return texts.map(address_bits, na_action="ignore")
 
 
-def _bucketed(ranges: DataFrame) -> DataFrame:
-    """Explode each [ip_lo, ip_hi] range into the /16 buckets it touches.
+def _prefixes(ranges: DataFrame) -> DataFrame:
+    """Each [ip_lo, ip_hi] range as the address prefixes that make it up (at most two per bit of an address).
 
-    For disjoint ranges the exploded size is at most (#ranges + 65 536), so
-    wide blocks cannot blow it up.
+    Bounds are addresses as text or, for IPv4, as numbers.
     """
-    return ranges.withColumn(
-        "_b",
-        F.explode(F.sequence(F.shiftright("ip_lo", BUCKET_BITS), F.shiftright("ip_hi", BUCKET_BITS))),
-    )
+    cols = [c for c in ranges.columns if c not in ("ip_lo", "ip_hi")]
+    packed = ranges.select(F.col("ip_lo").cast("string").alias("lo"), F.col("ip_hi").cast("string").alias("hi"), F.struct(F.lit(0).alias("_"), *cols).alias("attrs"))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def cover(lo: pd.Series, hi: pd.Series) -> pd.Series:
+        return pd.Series([range_prefixes(a, b) for a, b in zip(lo, hi)], dtype=object)
+
+    return packed.select(F.explode(cover("lo", "hi")).alias("prefix"), "attrs")
+
+
+def _matches(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ip, attrs) of the most specific range of each address; ``addresses`` has ip and bits."""
+    covered = _prefixes(ranges)
+    # the prefix lengths that occur, one row for each address family: at most 33 and 129 numbers
+    family = F.substring("prefix", 1, 1).alias("family")
+    lengths = F.broadcast(covered.groupBy(family).agg(F.collect_set(F.length("prefix")).alias("lengths")))
+    known = addresses.withColumn("family", F.substring("bits", 1, 1)).join(lengths, "family")
+    probes = known.select("ip", F.explode(F.expr("transform(lengths, n -> substring(bits, 1, n))")).alias("prefix"))
+    return probes.join(covered, "prefix").groupBy("ip").agg(F.max_by("attrs", F.length("prefix")).alias("attrs"))
 
 
 def ip_lookup(ips: DataFrame, city: DataFrame, asn: DataFrame, ip_col: str = "ip") -> DataFrame:
     """Distinct IP text -> location attributes; an IP must hit *both* databases."""
-    n = ips.select(ip_col, ipv4_to_long(ip_col).alias("_n")).where(F.col("_n").isNotNull())
-    n = n.withColumn("_b", F.shiftright("_n", BUCKET_BITS))
-    cb = _bucketed(city).alias("c")
-    ab = _bucketed(asn.select("ip_lo", "ip_hi")).alias("a")
-    hit = n.alias("i").join(
-        cb, (F.col("i._b") == F.col("c._b")) & F.col("i._n").between(F.col("c.ip_lo"), F.col("c.ip_hi"))
-    )
-    hit = hit.join(
-        ab, (F.col("i._b") == F.col("a._b")) & F.col("i._n").between(F.col("a.ip_lo"), F.col("a.ip_hi")),
-        "left_semi",
-    )
-    cols = [F.col(f"c.{src}").alias(dst) if src in city.columns else F.lit(None).alias(dst)
+    addresses = ips.select(F.col(ip_col).alias("ip"), _bits(ip_col).alias("bits")).where(F.col("bits").isNotNull())
+    located = _matches(addresses, city)
+    owned = _matches(addresses, asn.select("ip_lo", "ip_hi")).select("ip")
+    cols = [F.col(f"attrs.{src}").alias(dst) if src in city.columns else F.lit(None).alias(dst)
             for src, dst in _RANGE_ATTRS.items()]
-    return hit.select(F.col(f"i.{ip_col}").alias(ip_col), *cols)
+    return located.join(owned, "ip", "left_semi").select(F.col("ip").alias(ip_col), *cols)
+
+
+def _spread_nulls(key: Column) -> Column:
+    """The key, or one of many texts that no address equals, so that null keys do not meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("string")))
 
 
 def enrich_ip(df: DataFrame, city: DataFrame, asn: DataFrame, ip_col: str = "ip") -> DataFrame:
     """Add the fixed six IP attribute columns; any miss (either DB, malformed, null) -> all null.
 
-    Only distinct non-null IPs are looked up (map-side combined), then the
-    attributes are left-joined back on the IP text; AQE splits a hot IP's
-    partition on the fact side if one address dominates.
+    IPv4 and IPv6.  Only distinct non-null IPs are looked up (map-side combined), then
+    the attributes are left-joined back on the IP text; AQE splits a hot IP's partition
+    on the fact side if one address dominates.
     """
     ips = df.where(F.col(ip_col).isNotNull()).select(ip_col).distinct()
-    geo = ip_lookup(ips, city, asn, ip_col)
-    return df.join(geo, ip_col, "left")
+    geo = ip_lookup(ips, city, asn, ip_col).withColumnRenamed(ip_col, "_ip")
+    keyed = df.withColumn("_key", _spread_nulls(F.col(ip_col)))
+    return keyed.join(geo, F.col("_key") == F.col("_ip"), "left").drop("_key", "_ip")

@@ -503,7 +503,7 @@ def _theme_sql() -> str:
 
 @register("report_theme", X.with_views(_theme_sql(), VT))
 def q_report_theme(spark, sf):
-    return R.theme(X.verbatims(spark, sf, spread=True), THEMES)
+    return R.theme(X.verbatims(spark, sf), THEMES)
 
 
 def _contrast_sql() -> str:
@@ -522,7 +522,7 @@ def _contrast_sql() -> str:
 
 @register("report_theme_contrast", X.with_views(_contrast_sql(), VT))
 def q_report_theme_contrast(spark, sf):
-    return R.theme_contrast(X.verbatims(spark, sf, spread=True), THEMES)
+    return R.theme_contrast(X.verbatims(spark, sf), THEMES)
 
 
 @register("report_cross", X.with_views(f"""
@@ -621,18 +621,18 @@ def q_chat_history(spark, sf):
 
 @register("text_vectors")
 def q_text_vectors(spark, sf):
-    return RT.tfidf_vectors(X.verbatims(spark, sf, spread=True), "comment", "id")
+    return RT.tfidf_vectors(X.verbatims(spark, sf), "comment", "id")
 
 
 @register("text_embeddings")
 def q_text_embeddings(spark, sf):
-    return RT.hashed_embeddings(X.verbatims(spark, sf, spread=True), "comment", "id", dim=64)
+    return RT.hashed_embeddings(X.verbatims(spark, sf), "comment", "id", dim=64)
 
 
 @register("knn_comments")
 def q_knn_comments(spark, sf):
     """Benchmark questions against embedded comments: the retrieval step of the chat."""
-    corpus = RT.hashed_embeddings(X.verbatims(spark, sf, spread=True), "comment", "id", dim=64).withColumnRenamed(
+    corpus = RT.hashed_embeddings(X.verbatims(spark, sf), "comment", "id", dim=64).withColumnRenamed(
         "id", "vec_id")
     questions = RT.hashed_embeddings(X.table(spark, sf, "benchmark"), "text", "item_id", dim=64, out="query_vec")
     return RT.knn(questions.withColumnRenamed("item_id", "query_id"), corpus, k=5)
@@ -654,7 +654,7 @@ SELECT service, count(*) AS n_rows, sum(length(line) + 1) AS n_chars,
        sum(len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''))) AS n_words
 FROM l GROUP BY service""", VT))
 def q_corpus_size(spark, sf):
-    return RT.corpus_size(X.verbatims(spark, sf, spread=True), _CORPUS_COLS, "service")
+    return RT.corpus_size(X.verbatims(spark, sf), _CORPUS_COLS, "service")
 
 
 # ============================================================ sources ====
@@ -830,7 +830,7 @@ def q_stored_knn(spark, sf):
     from feedloom.sources import sinks as K
 
     root = _scratch(spark, "vectors")
-    vt = X.verbatims(spark, sf, spread=True)
+    vt = X.verbatims(spark, sf)
     questions = RT.hashed_embeddings(X.table(spark, sf, "benchmark"), "text", "item_id", dim=64, out="query_vec")
     questions = questions.withColumnRenamed("item_id", "query_id")
     hits = []

@@ -14,11 +14,9 @@ from feedloom.functions import to_number
 from feedloom.sources.ingest import read_parquet
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table.  ``spread=True`` for queries that run regexes or tokenisers
-    over whole texts: a small single-file table is then spread over all cores
-    (``sources.ingest.spread_small_input``); cheap queries skip that exchange."""
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread=spread)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _pick(cases: list, key: Column) -> Column:
@@ -33,9 +31,9 @@ def _sql_pick(cases: list, key: str) -> str:
 
 
 # --------------------------------------------------------------------- vt ----
-def verbatims(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def verbatims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbatims with text (documents): one comment per document."""
-    d = table(spark, sf_dir, "documents", spread)
+    d = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     return d.select(
         doc.alias("id"),

@@ -7,6 +7,7 @@ session.  ``local_session`` is only for tests, the bench and the smoke entry.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,12 +45,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a scratch one only when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is;
-    the temporary fallback exists for local tests only.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; a
+    session on a cluster without it is an error.  The temporary folder is for local
+    mode, where the driver and the tasks share one machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not d:
         d = tempfile.mkdtemp(prefix="feedloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

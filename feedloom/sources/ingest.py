@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from feedloom.operators.columns import normalize_columns, rename_by_dict, stringify
+from feedloom.operators.columns import normalize_columns, rename_by_dict
 
 log = logging.getLogger(__name__)
 
@@ -39,29 +39,14 @@ def empty_frame(spark: SparkSession | None = None, schema: StructType | str | No
     return spark.createDataFrame([], schema or StructType([]))
 
 
-def list_files(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> list[str]:
-    """Paths under ``root`` whose file name matches ``pattern`` (names only; no content is read)."""
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", str(recursive).lower())
-            .load(root)
-            .select("path")
-        )
-        return sorted(r[0] for r in files.collect())
-    except AnalysisException:
-        return []
-
-
 def list_extracts(spark: SparkSession, root: str, suffix: str, recursive: bool = True) -> list[str]:
     """Extracts under ``root`` whose name ends with ``suffix``: single files, or folders
     of part files written by Spark (listed once; only the paths are read).  With
     ``recursive=False`` only extracts directly inside ``root`` count."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    except AnalysisException:
-        return []
+    except AnalysisException as e:
+        return _unless_missing(e, [])
     pattern = r"^(.*?/[^/]*" + re.escape(suffix) + r")(?:/|$)"
     found = files.select(F.regexp_extract("path", pattern, 1).alias("e")).where(F.col("e") != "").distinct()
     out = sorted(r[0] for r in found.collect())
@@ -76,45 +61,71 @@ def _unqualified(path: str) -> str:
     return re.sub(r"^[A-Za-z][\w+.-]*:", "", path)
 
 
+# RFC 4180: quotes inside a value are doubled, and a quoted value may hold line breaks.
+# A file with line breaks in values cannot be split, so large facts belong in Parquet.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+
+
 def _reader(spark: SparkSession, fmt: str):
     r = spark.read.format(fmt)
-    if fmt == "csv":
-        r = r.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
-    return r
+    return r.options(**CSV_OPTIONS, inferSchema="false") if fmt == "csv" else r
 
 
 def _read_one(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return _reader(spark, fmt).load(path)
 
 
+# What Spark says of a file that is not of its format.
+_BAD_FILE = ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
+
+
+def _skip_or_raise(error: Exception, path: str, skipped: list | None) -> None:
+    """Note a corrupt extract (or one whose column names collide); any other error goes on."""
+    corrupt = isinstance(error, ValueError) or any(words in str(error) for words in _BAD_FILE)
+    if not corrupt:
+        raise error
+    log.warning("skipping %s: %s", path, error)
+    if skipped is not None:
+        skipped.append((path, str(error)))
+
+
+def _input_order(number: int = 0):
+    """Place of a row in the input: extract, file, split, position; to be taken on the scan itself."""
+    return F.struct(
+        F.lit(number).alias("extract"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")
+    )
+
+
 def read_survey(spark: SparkSession, root: str, sheet: str, fmt: str = "csv",
-                questionnaire: str = "Questionnaire") -> DataFrame:
+                questionnaire: str = "Questionnaire", skipped: list | None = None) -> DataFrame:
     """S1 + S3: every ``*__<sheet>.<fmt>`` extract under ``root`` (recursively).
 
     An extract is a single file or a folder of part files written by Spark.
 
     Per file: rename through the file's own questionnaire extract when one
     exists (Display ID -> question text), normalise names, cast to string.
-    A file that cannot be read is logged and skipped.  Adds ``_file`` (lineage)
-    and ``_row`` (input order: file order, then position in the file).
+    A corrupt extract is logged, added to ``skipped`` as (path, reason) and left
+    out; any other error is raised.  Adds ``_file`` (lineage) and ``_row``, an
+    ordered struct: extract, part file, place in the file.
     """
     parts = []
-    for path in list_extracts(spark, root, f"{SHEET_SEP}{sheet}.{fmt}"):
+    for number, path in enumerate(list_extracts(spark, root, f"{SHEET_SEP}{sheet}.{fmt}")):
         try:
             df = _read_one(spark, path, fmt)
+            names = df.columns
+            df = df.select(*(F.col(f"`{c}`") for c in names), _input_order(number).alias("_row"))
             qpath = path[: -len(f"{sheet}.{fmt}")] + f"{questionnaire}.{fmt}"
-            if qpath != path and _exists(spark, qpath):
+            body = df.drop("_row")
+            if qpath != path and path_exists(spark, qpath):
                 qdf = _read_one(spark, qpath, fmt)
                 if {"Display ID", "Questionnaire"} <= set(qdf.columns):
-                    df = rename_by_dict(df, qdf)
-            df = stringify(normalize_columns(df))
-            df.schema  # resolve now so a broken file fails here, not later
+                    body = rename_by_dict(body, qdf)
+            new = normalize_columns(body).columns
+            df = df.select(*(F.col(f"`{old}`").cast("string").alias(to) for old, to in zip(names, new)), "_row")
             parts.append(df.withColumn("_file", F.lit(posixpath.basename(path))))
-        except Exception as e:  # noqa: BLE001 - a bad workbook must not stop the load
-            log.warning("skipping %s: %s", path, e)
-    if not parts:
-        return empty_frame(spark)
-    return union_diagonal(parts).withColumn("_row", F.monotonically_increasing_id())
+        except Exception as e:  # noqa: BLE001 - raised again unless the extract is corrupt
+            _skip_or_raise(e, path, skipped)
+    return union_diagonal(parts, spark)
 
 
 def read_survey_parquet(spark: SparkSession, root: str, sheet: str) -> DataFrame:
@@ -123,14 +134,17 @@ def read_survey_parquet(spark: SparkSession, root: str, sheet: str) -> DataFrame
         spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"*{SHEET_SEP}{sheet}.parquet").parquet(root)
     )
-    df = stringify(normalize_columns(df))
-    return df.withColumn("_file", F.col("_metadata.file_name")).withColumn("_row", F.monotonically_increasing_id())
+    names = df.columns
+    new = normalize_columns(df).columns
+    return df.select(*(F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(names, new)),
+                     F.col("_metadata.file_name").alias("_file"), _input_order().alias("_row"))
 
 
-def read_verbatims(spark: SparkSession, root: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+def read_verbatims(spark: SparkSession, root: str, fmt: str = "csv", skipped: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Flat folder of workbooks with positional sheets: first = sales, second = service.
 
-    A sheet extract is a single file or a folder written by Spark.
+    A sheet extract is a single file or a folder written by Spark.  Corrupt
+    extracts are left out and added to ``skipped``.
 
     Returns two (possibly empty) frames unioned by name.
     """
@@ -140,73 +154,48 @@ def read_verbatims(spark: SparkSession, root: str, fmt: str = "csv") -> tuple[Da
         parts = []
         for p in files:
             try:
-                df = _read_one(spark, p, fmt)
-                df.schema
-                parts.append(df)
-            except Exception as e:  # noqa: BLE001
-                log.warning("skipping %s: %s", p, e)
+                parts.append(_read_one(spark, p, fmt))
+            except Exception as e:  # noqa: BLE001 - raised again unless the extract is corrupt
+                _skip_or_raise(e, p, skipped)
         out.append(union_diagonal(parts, spark))
     return out[0], out[1]
 
 
 def read_tagged(spark: SparkSession, files: dict[str, str], tag: str = "Mes", fmt: str = "csv") -> DataFrame | None:
-    """Read a fixed set of extracts in one scan, tagging rows with each extract's label.
+    """Read a fixed list of extracts, tag each with its label, concatenate by column name.
 
-    An extract is a single file or a folder of part files written by Spark;
-    rows are tagged by their file name or, inside a folder, by the folder name.
-    Missing extracts are skipped; none at all -> ``None``.
+    An extract is a single file or a folder of part files written by Spark.  Each has
+    its own scan with its own header, so reordered, missing and additional columns keep
+    their values and a label cannot reach another extract's rows.  Missing extracts are
+    skipped; none at all -> ``None``.
     """
-    present = {}
-    for path, label in files.items():
-        if _exists(spark, path):
-            present[path] = label
-        else:
-            log.warning("missing %s", path)
+    present = {path: label for path, label in files.items() if path_exists(spark, path)}
+    for path in files.keys() - present.keys():
+        log.warning("missing %s", path)
     if not present:
         return None
-    labels = F.create_map(*[x for p, lab in present.items() for x in (F.lit(posixpath.basename(p.rstrip("/"))), F.lit(lab))])
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    df = _reader(spark, fmt).load(list(present))
-    return df.withColumn(tag, F.coalesce(F.try_element_at(labels, F.col("_metadata.file_name")),
-                                         F.try_element_at(labels, folder)))
+    return union_diagonal([_read_one(spark, path, fmt).withColumn(tag, F.lit(label)) for path, label in present.items()])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists (lists names only; file contents are not read)."""
     try:
         spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        return _unless_missing(e, False)
 
 
-def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Processed fact table (any Hadoop-compatible URI, e.g. ``s3a://``).
+def _unless_missing(error: AnalysisException, value):
+    """``value`` where the error says that a path does not exist; else the error goes on."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+    return value
 
-    ``spread=True`` is for tables that feed CPU-heavy per-row work (regexes and
-    tokenising over long texts): see ``spread_small_input``.
-    """
-    df = spark.read.parquet(path)
-    return spread_small_input(df) if spread else df
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Rebalance a small table whose scan cannot use every task slot.
-
-    A Parquet file is split by row groups, so a small table written as one file
-    with one row group is scanned by a single task however many cores there
-    are.  Such a table is spread round-robin over ``defaultParallelism``
-    partitions; projections and filters are still pushed below the exchange to
-    the scan.  A table is returned unchanged, with no shuffle, when it is stored
-    in at least that many files or its scan already has more splits than there
-    are slots (one large file).  Any table at cluster scale is in that case.
-    Apply it to a plain scan: the decision reads the file listing and plans the
-    scan's splits, and runs no job.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots or df.rdd.getNumPartitions() > slots:
-        return df
-    return df.repartition(slots)
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Processed fact table (any Hadoop-compatible URI, e.g. ``s3a://``)."""
+    return spark.read.parquet(path)
 
 
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -218,7 +207,7 @@ def read_dim(spark: SparkSession, path: str, schema: StructType | str, fmt: str
     """Lookup dimension with an explicit schema (e.g. postal codes stay strings)."""
     r = spark.read.format(fmt).schema(schema)
     if fmt == "csv":
-        r = r.option("header", "true")
+        r = r.options(**CSV_OPTIONS)
     return r.load(path)
 
 
@@ -232,6 +221,6 @@ def read_report(spark: SparkSession, root: str, service: str) -> DataFrame:
     from feedloom.operators.columns import name_key
 
     path = posixpath.join(root, f"informe{name_key(service).replace('_', '')}.txt")
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return empty_frame(spark, "value string")
     return spark.read.text(path, wholetext=True)

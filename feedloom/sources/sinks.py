@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators.columns import name_key
+from feedloom.sources.ingest import path_exists
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -30,11 +30,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         return False
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.options(**CSV_WRITE_OPTIONS)
     w.save(path)
     return True
 
 
+# RFC 4180, values as they are: doubled quotes, no trimming.
+CSV_WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def export_name(kind: str, segment: str) -> str:
     """Export name ``comentarios_<kind>_<segment>`` (lower-case, spaces -> ``_``)."""
     return f"comentarios_{kind.lower()}_{segment.replace(' ', '_').lower()}.csv"
@@ -42,17 +46,15 @@ def export_name(kind: str, segment: str) -> str:
 
 def export_csv(df: DataFrame, cols: list[str], path: str, mode: str = "overwrite") -> None:
     """CSV export (with header) of a projected verbatim list."""
-    df.select(*cols).write.mode(mode).option("header", "true").csv(path)
+    df.select(*cols).write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
 
 
 def embeddings_store(spark: SparkSession, root: str, service: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The embedding table of a service, built and written once, then read back."""
     path = f"{root.rstrip('/')}/vectorizacion_{name_key(service).replace('_', '')}.parquet"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not path_exists(spark, path):
+        build().write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -62,8 +64,3 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
     return df.checkpoint(eager=True)
-
-
-def with_service(df: DataFrame, service: str, col: str = "service") -> DataFrame:
-    """Tag rows with their service so both fact kinds live in one table partitioned by it."""
-    return df.withColumn(col, F.lit(service))

@@ -121,7 +121,14 @@ def test_normalize_columns_collision(spark):
     assert P.normalize_columns(spark.createDataFrame([(1,)], "` Nombre Cliente ` int")).columns == ["nombre_cliente"]
 
 
+def test_merge_plan_order_and_taken_names():
+    plan = P.merge_plan(["id", "Fecha Alta", "alta", "fecha-alta", "x"], {"fecha alta": "alta"})
+    assert plan == [("id", ["id"]), ("alta", ["Fecha Alta", "fecha-alta"]), ("x", ["x"])]
+    assert P.merge_plan(["a", "b"], {}) == [("a", ["a"]), ("b", ["b"])]
+
+
 def test_name_key():
+    assert P.name_key("Straße_Ærø  łódź") == "strasse_aero_lodz"
     assert P.name_key("  Fecha de Contacto (día)! ") == "fecha_de_contacto_dia"
     assert P.name_key("Teléfono") == "telefono"
 

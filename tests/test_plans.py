@@ -27,14 +27,19 @@ def test_lookup_joins_broadcast(spark):
         assert "BroadcastHashJoin" in plan(df), name
 
 
-def test_ip_range_join_is_equi_join_on_bucket(spark):
+def test_ip_range_join_is_equi_join_on_prefixes(spark):
     df = QUERIES["enrich_ip"](spark, SF_SMALL)
     df.count()
     p = plan(df)
-    assert "Generate explode(sequence(shiftright" in p
+    assert "NestedLoop" not in p and "prefix" in p
     assert "BroadcastHashJoin" in p or "SortMergeJoin" in p
 
 
+def test_text_scans_have_no_exchange(spark):
+    p = plan(QUERIES["text_embeddings"](spark, SF_SMALL))
+    assert "RoundRobinPartitioning" not in p
+
+
 def test_column_pruning_reaches_scan(spark):
     df = QUERIES["matrix_dealer"](spark, SF_SMALL)
     p = plan(df)

@@ -106,7 +106,7 @@ def test_sinks(spark, tmpdir_path):
     name = K.export_name("Negativos", "Taller Uno")
     assert name == "comentarios_negativos_taller_uno.csv"
     K.export_csv(df, ["c", "id"], f"{tmpdir_path}/{name}")
-    back = spark.read.option("header", "true").csv(f"{tmpdir_path}/{name}")
+    back = S.read_dim(spark, f"{tmpdir_path}/{name}", "c string, id int")
     assert sorted(r.c for r in back.collect()) == ["a,b", 'q"x']
     m = K.materialize(df.withColumn("z", F.col("id") * 2))
     assert m.count() == 2
@@ -124,29 +124,62 @@ def test_read_report(spark, tmpdir_path):
     assert S.read_report(spark, tmpdir_path, "Otro").count() == 0
 
 
-def test_spread_small_input(spark, tmpdir_path):
-    """One small file is spread round-robin (pushdown intact); many files are left alone."""
-    one = S.read_parquet(spark, f"{SF_SMALL}/documents.parquet", spread=True).where(F.col("lang") == "en")
-    p = one.select("doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in p and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in p
-    slots = spark.sparkContext.defaultParallelism
-    path = os.path.join(tmpdir_path, "many")
-    spark.range(slots * 4).repartition(slots * 2).write.parquet(path)
-    many = S.read_parquet(spark, path, spread=True)
-    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
-    assert many.count() == slots * 4
-
-
-def test_spread_leaves_large_single_file_alone(spark, tmpdir_path):
-    """One file with many row groups already scans in parallel: no exchange is added."""
-    path = os.path.join(tmpdir_path, "big")
-    (spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).coalesce(1)
-     .write.option("parquet.block.size", 1 << 20).parquet(path))
-    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
-    try:
-        big = S.read_parquet(spark, path, spread=True)
-        assert len(big.inputFiles()) == 1 and big.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
-        assert "Exchange" not in big._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+TEXTS = ["hola\nadios", 'di ""x"" y "z"', "a,b;c", "  spaces kept ", "línea\n\notra", "back\\slash \\n", '"', "end\n"]
+
+
+def test_free_text_survives_csv(spark, tmpdir_path):
+    """Line breaks, quotes, commas, blanks and backslashes, through export, S1, S2, S4 and S7."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, c string")
+    K.export_csv(df, ["id", "c"], f"{tmpdir_path}/x/one__Ventas.csv")
+    K.export_csv(df, ["id", "c"], f"{tmpdir_path}/x/one__sheet0.csv")
+    want = sorted((str(k), t) for k, t in enumerate(TEXTS))
+    back = S.read_survey(spark, f"{tmpdir_path}/x", "Ventas")
+    assert sorted((r.id, r.c) for r in back.collect()) == want
+    assert sorted((r.id, r.c) for r in S.read_verbatims(spark, f"{tmpdir_path}/x")[0].collect()) == want
+    assert sorted((r.id, r.c) for r in S.read_tagged(spark, {f"{tmpdir_path}/x/one__Ventas.csv": "m"}).collect()) == want
+    assert sorted((r.id, r.c) for r in S.read_dim(spark, f"{tmpdir_path}/x/one__Ventas.csv", "id string, c string").collect()) == want
+
+
+def test_read_tagged_concatenates_by_name(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/a/julio ñ.csv", [["T1", 7]], ["taller", "score"])
+    _write(f"{tmpdir_path}/b/julio ñ.csv", [[3, "T2", "more"]], ["score", "taller", "extra"])
+    df = S.read_tagged(spark, {f"{tmpdir_path}/a/julio ñ.csv": "uno", f"{tmpdir_path}/b/julio ñ.csv": "dos"}, tag="mes")
+    assert {(r.taller, r.score, r.extra, r.mes) for r in df.collect()} == {("T1", "7", None, "uno"), ("T2", "3", "more", "dos")}
+    for k, cols in enumerate(("x", "x, y")):
+        spark.createDataFrame([(k, k)], "x int, y int").selectExpr(*cols.split(", ")).write.parquet(f"{tmpdir_path}/p{k}")
+    both = S.read_tagged(spark, {f"{tmpdir_path}/p0": "p0", f"{tmpdir_path}/p1": "p1"}, fmt="parquet")
+    assert {(r.x, r.y, r.Mes) for r in both.collect()} == {(0, None, "p0"), (1, 1, "p1")}
+
+
+def test_row_is_input_order_over_uneven_part_files(spark, tmpdir_path):
+    """Spark packs the largest part first; ``_row`` follows the files all the same."""
+    rows = []
+    for k, n in enumerate((2, 57, 5)):
+        _write(f"{tmpdir_path}/u/book__Ventas.csv/part-{k:05d}.csv", [[f"{k}-{i:03d}"] for i in range(n)], ["v"])
+        rows += [f"{k}-{i:03d}" for i in range(n)]
+    _write(f"{tmpdir_path}/u/zlast__Ventas.csv", [["z"]], ["v"])
+    df = S.read_survey(spark, f"{tmpdir_path}/u", "Ventas")
+    assert [r.v for r in df.orderBy("_row").collect()] == [*rows, "z"]
+
+
+def test_only_corrupt_extracts_are_skipped(spark, tmpdir_path, monkeypatch):
+    import pytest
+
+    spark.range(3).write.parquet(f"{tmpdir_path}/c/good__Ventas.parquet")
+    with open(f"{tmpdir_path}/c/bad__Ventas.parquet", "wb") as f:
+        f.write(b"not parquet at all")
+    skipped = []
+    assert S.read_survey(spark, f"{tmpdir_path}/c", "Ventas", fmt="parquet", skipped=skipped).count() == 3
+    assert len(skipped) == 1 and "bad__Ventas" in skipped[0][0]
+
+    def broken(*args):
+        raise OSError("storage is away")
+
+    monkeypatch.setattr(S, "_read_one", broken)
+    with pytest.raises(OSError):
+        S.read_survey(spark, f"{tmpdir_path}/c", "Ventas", fmt="parquet")
+
+
+def test_processed_facts_and_streamed_weeks(spark, tmpdir_path):
+    K.export_csv(spark.createDataFrame([(1, "x")], "id int, c string"), ["id", "c"], f"{tmpdir_path}/f")
+    assert [(r.id, r.c) for r in S.read_processed(spark, f"{tmpdir_path}/f", "csv").collect()] == [("1", "x")]
