@@ -100,17 +100,19 @@ def byte_histogram(text: str | None):
     return np.sqrt(np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(1, len(raw))).astype(np.float32)
 
 
-def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = 12):
+def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = 12, topic_sample: int = TOPIC_SAMPLE):
     """Centroids of byte histograms of at most ``TOPIC_SAMPLE`` training documents, by hash."""
     import numpy as np
 
-    sample = training.select("text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOPIC_SAMPLE)
+    # ids first: a sort of whole texts would bring TOPIC_SAMPLE of them from every task
+    ids = training.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(topic_sample)
+    sample = training.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
 
     def histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"h": [byte_histogram(t).tolist() for t in batch["text"]]})
 
-    x = np.array([r.h for r in sample.mapInPandas(histograms, "h array<float>").collect()], dtype=np.float32).reshape(-1, 256)
+    x = np.array([r.h for r in sample.mapInPandas(histograms, "h array<float>").limit(topic_sample).collect()], dtype=np.float32).reshape(-1, 256)
     if not len(x):
         return np.zeros((topics, 256), np.float32)
     rng = np.random.default_rng(_SEED)
@@ -135,12 +137,13 @@ def word_counts(training: DataFrame, centroids) -> DataFrame:
         seen: dict[int, Counter] = {}
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame(
-                [(w, k, n) for k, c in seen.items() for w, n in c.items()],
-                columns=["word", "topic", "n"],
-            )
+            out = {
+                "word": [w for c in seen.values() for w in c],
+                "topic": [k for k, c in seen.items() for _ in range(len(c))],
+                "n": [n for c in seen.values() for n in c.values()],
+            }
             seen.clear()
-            return out
+            return pd.DataFrame(out)
 
         for batch in batches:
             for text in batch["text"]:
@@ -243,7 +246,7 @@ def build_model(bigrams: DataFrame, vocabulary: int, starts) -> Model:
         F.broadcast(bins.select(F.col("id").alias("next"), F.col("class").alias("b"))), "next"
     )
     pairs = named.groupBy("topic", "a", "b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((EXPERTS, width, width), np.float64)
+    counts = np.zeros((EXPERTS, width, width), np.float32)
     counts[pairs["topic"], pairs["a"], pairs["b"]] = pairs["n"]
     return _tables(counts, class_of, share, starts, common)
 
@@ -309,16 +312,18 @@ def attend(model: Model, previous, following, at, begin, end):
     weight = np.matmul(q, k.transpose(0, 2, 1))
     weight += _distance_bias(model)
     np.exp(weight, out=weight)
-    weight *= there[:, None, :]
-    weight /= weight.sum(axis=2, keepdims=True) + 1e-30
-    gates = np.matmul(weight, v)
+    # a column of ones sums the weights in the same product
+    summed = np.matmul(weight, np.concatenate((v, np.ones_like(v[:, :, :1])), axis=2) * there[:, :, None])
+    total = summed[:, :, -1:] + 1e-30
+    gates = summed[:, :, :-1] / total
     gates += model.bias
-    gates -= gates.max(axis=2, keepdims=True)
+    np.minimum(gates, 60, out=gates)
     np.exp(gates, out=gates)
-    gates /= gates.sum(axis=2, keepdims=True)
     target = following[context[:, WINDOW - STRIDE :]]
     mixed = gates * model.experts[asked.astype(np.int64) * model.classes + target]
-    return tokens, asked, scored, q, k, v, weight, gates, mixed, mixed.sum(axis=2)
+    one = np.ones(gates.shape[2], np.float32)
+    p = (mixed.reshape(-1, len(one)) @ one) / (gates.reshape(-1, len(one)) @ one + 1e-30)
+    return tokens, asked, scored, there, q, k, v, weight, total, gates, mixed, p.reshape(scored.shape)
 
 
 def _distance_bias(model: Model):
@@ -337,7 +342,7 @@ def text_scores(model: Model, previous, following, lengths):
     out = np.zeros(len(lengths))
     for i in range(0, len(at), _BATCH):
         part = slice(i, i + _BATCH)
-        *_, scored, _, _, _, _, _, _, p = attend(model, previous, following, at[part], begin[part], end[part])
+        scored, *_, p = attend(model, previous, following, at[part], begin[part], end[part])[2:]
         logs = np.log(np.maximum(p, 1e-30), where=scored, out=np.zeros_like(p))
         np.add.at(out, doc[part], logs.sum(axis=1, dtype=np.float64))
     return out
@@ -357,9 +362,11 @@ def descend(model: Model, previous, following, lengths, rate: float = 0.02, epoc
         for i in range(0, len(order), _BATCH):
             part = order[i : i + _BATCH]
             m = model.with_gates(flat)
-            tokens, asked, scored, q, k, v, weight, gates, mixed, p = attend(m, previous, following, at[part], begin[part], end[part])
+            tokens, asked, scored, there, q, k, v, weight, total, gates, mixed, p = attend(m, previous, following, at[part], begin[part], end[part])
+            weight = weight * there[:, None, :] / total
             n = max(1, int(scored.sum()))
-            d_gates = (gates - mixed / np.maximum(p, 1e-30)[:, :, None]) * scored[:, :, None] / n
+            share = gates.sum(axis=2, keepdims=True) + 1e-30
+            d_gates = (gates / share - mixed / (share * np.maximum(p, 1e-30)[:, :, None])) * scored[:, :, None] / n
             d_weight = np.matmul(d_gates, v.transpose(0, 2, 1))
             d_score = weight * (d_weight - (weight * d_weight).sum(axis=2, keepdims=True))
             grads = [np.zeros_like(x) for x in (m.query, m.key, m.value, m.bias, m.nearness)]
@@ -415,7 +422,7 @@ def train_gates(training: DataFrame, model: Model, ranks: str) -> Model:
 
         fitted = share.withColumn("shard", F.pmod(F.col("h"), F.lit(TRAINING_SHARE * shards))).groupBy("shard").applyInPandas(fit, "place int, x double")
         mean = fitted.groupBy("place").agg(F.avg("x").alias("x")).toPandas().sort_values("place")["x"].to_numpy()
-        sent.unpersist()
+        sent.destroy()
         if len(mean):
             model = model.with_gates(mean)
     return model
@@ -523,6 +530,7 @@ def lm_scores(docs: DataFrame, ranks: str) -> DataFrame:
     often = totals.where(F.floor(8 * F.log2("c")) >= F.lit(least)).toPandas() if least is not None else pd.DataFrame({"word": [], "c": []})
     c = often["c"].to_numpy(dtype=np.float64)
     frequent = Frequent([bytes(w) for w in often["word"]], c, np.log10(c + 0.1) - floor)
+    del often, c
     sent = spark.sparkContext.broadcast((model, frequent))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
