@@ -5,7 +5,7 @@ Index.  Largest inner product is made smallest distance by one more dimension,
 rotated by a random orthogonal matrix, so every prefix of dimensions is a fair sample
 of a distance.  Centroids are learned from a bounded sample (``SAMPLE_ROWS``, by hash);
 every vector is put into the list of its nearest centroid.  The number of lists
-follows the number of vectors.  How many lists a query must probe for
+follows the root of the number of vectors.  How many lists a query must probe for
 ``TARGET_RECALL`` is measured on the sample (vectors without clusters need many).
 
 Search.  A query probes its nearest lists.  A list's vectors lie in column
@@ -27,6 +27,7 @@ No vectors or no queries: no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,10 @@ from feedloom.llm.common import materialize
 from feedloom.llm.vectors import ranked, usable
 
 SAMPLE_ROWS = 16_384
-#: Different vectors per list and per slab aimed at; queries per group.
-LIST_ROWS = 512
+#: One list for so many times the root of the number of different vectors: entries that
+#: queries bring back then grow as rows to the power 1.5 at most.
+ROOTS_PER_LIST = 8
+#: Vectors per slab aimed at; queries per group.
 SLAB_ROWS = 4_096
 #: Share of the true neighbours that the probed lists are to hold.
 TARGET_RECALL = 0.96
@@ -94,7 +97,7 @@ def build_index(distinct: DataFrame, count: int, k: int, rounds: int = 8) -> Ind
     rotation = np.linalg.qr(rng.normal(size=(sample.shape[1] + 1,) * 2))[0]
     index = Index(rotation, None, norm)
     lifted = index.lift(sample, False)
-    lists = max(1, min(_MAX_LISTS, -(-count // LIST_ROWS), len(sample) // 4))
+    lists = max(1, min(_MAX_LISTS, math.ceil(count**0.5 / ROOTS_PER_LIST), len(sample) // 4))
     index.centroids = lifted[rng.choice(len(lifted), lists, replace=False)]
     for _ in range(rounds):
         own = index.nearest(lifted, 1)[:, 0]

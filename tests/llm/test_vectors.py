@@ -74,7 +74,7 @@ def test_large_components_stay_exact(spark):
 @pytest.mark.parametrize("slab", [4_096, 40])
 def test_op6_recall_scores_and_ties(spark, monkeypatch, slab):
     monkeypatch.setattr(ann, "SLAB_ROWS", slab)
-    monkeypatch.setattr(ann, "LIST_ROWS", 60)
+    monkeypatch.setattr(ann, "ROOTS_PER_LIST", 2)
     monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 7)
     rows = rows_of(4)
     found = fine(rows, 12, False)
@@ -97,7 +97,7 @@ def test_op6_recall_scores_and_ties(spark, monkeypatch, slab):
 
 
 def test_op6_recall_on_the_table(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 60)  # some thirty lists
+    monkeypatch.setattr(ann, "ROOTS_PER_LIST", 1)  # some forty lists
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = {r.vec_id: np.array(r.embedding, dtype=float) for r in df.collect()}
     ids = np.array(sorted(rows))
