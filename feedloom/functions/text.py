@@ -47,6 +47,7 @@ def has_more_words(c, n: int) -> Column:
 
 # Delay units and their length in days.
 DELAY_UNIT_DAYS = {
+    "h": 1.0 / 24.0,
     "hora": 1.0 / 24.0,
     "horas": 1.0 / 24.0,
     "dia": 1.0,
@@ -55,31 +56,38 @@ DELAY_UNIT_DAYS = {
     "semanas": 7.0,
     "mes": 30.0,
     "meses": 30.0,
+    "ano": 365.0,
+    "anos": 365.0,
 }
-DELAY_PATTERN = r"(\d+)\s*(horas|hora|dias|dia|semanas|semana|meses|mes)([^a-z]|$)"
+# Numbers that are written as words.
+NUMBER_WORDS = {
+    "un": 1, "una": 1, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8,
+    "nueve": 9, "diez": 10, "quince": 15, "veinte": 20, "treinta": 30,
+}
+_UNITS = "|".join(sorted(DELAY_UNIT_DAYS, key=len, reverse=True))
+DELAY_PATTERN = rf"(?<![a-z0-9])(\d+(?:[.,]\d+)?(?=\s*[a-z])|(?:{'|'.join(NUMBER_WORDS)})(?=\s))\s*({_UNITS})(?![a-z0-9])"
 
 
 def delay_days(c) -> Column:
     """Longest delay mentioned in a text, in days (``48 horas`` -> 2.0); null if none.
 
-    Text is lower-cased and accent-folded first so ``días`` and ``dias`` match.
+    Numbers may be decimals (``1,5 horas``), attached (``24h``) or words (``una
+    semana``).  Text is lower-cased and accent-folded first so ``días`` and ``dias``,
+    ``años`` and ``anos`` match.
     """
     raw = _c(c)
     text = fold_accents(F.lower(raw))
     nums = F.regexp_extract_all(text, F.lit(DELAY_PATTERN), 1)
     units = F.regexp_extract_all(text, F.lit(DELAY_PATTERN), 2)
     unit_map = F.create_map(*[x for k, v in DELAY_UNIT_DAYS.items() for x in (F.lit(k), F.lit(v))])
-    days = F.zip_with(nums, units, lambda n, u: n.cast("double") * F.try_element_at(unit_map, u))
-    # cheap digit probe first: most comments mention no number at all
-    return F.when(raw.rlike("[0-9]") & (F.size(days) > 0), F.array_max(days))
-
+    words = F.create_map(*[x for k, v in NUMBER_WORDS.items() for x in (F.lit(k), F.lit(float(v)))])
 
-def term_pattern(terms: list[str]) -> str:
-    """Regex matching any of ``terms`` as a whole word of lower-cased, accent-folded text."""
-    import re
+    def days(n: Column, u: Column) -> Column:
+        return F.coalesce(F.try_element_at(words, n), F.replace(n, F.lit(","), F.lit(".")).try_cast("double")) * F.try_element_at(unit_map, u)
 
-    alts = "|".join(re.escape(t.lower()) for t in terms)
-    return f"(^|[^a-z0-9])(?:{alts})([^a-z0-9]|$)"
+    found = F.zip_with(nums, units, days)
+    # cheap probe for a unit first: most comments mention none
+    return F.when(raw.rlike(r"(?i)hora|[0-9]\s*h|d[ií]a|semana|mes|a[nñ]o") & (F.size(found) > 0), F.array_max(found))
 
 
 def _accent_class(ch: str) -> str:
@@ -91,17 +99,17 @@ def _accent_class(ch: str) -> str:
 
 
 def term_pattern_lower(terms: list[str]) -> str:
-    """Like ``term_pattern`` but for lower-cased text that still carries accents.
+    """Regex matching any of ``terms``, or its plural in -s or -es, as a whole word of
+    lower-cased text that still carries accents.
 
-    Matching ``lower(text)`` against this pattern gives the same result as
-    matching the accent-folded text against ``term_pattern``, without paying
-    for a per-character ``translate`` of every comment.
+    Accents are classes in the pattern, which spares a per-character ``translate`` of
+    every comment.
     """
     word = "a-z0-9" + "".join(a for a in ACCENTED if a.islower())
     alts = "|".join("".join(_accent_class(ch) for ch in fold_plain(t.lower())) for t in terms)
     # look-around boundaries: same matches as a consumed boundary group, but
     # the regex engine scans for the alternatives directly (about 2x faster)
-    return f"(?<![{word}])(?:{alts})(?![{word}])"
+    return f"(?<![{word}])(?:{alts})(?:e?s)?(?![{word}])"
 
 
 def fold_plain(s: str) -> str:
@@ -115,8 +123,3 @@ def mentions(c, terms: list[str], lowered: bool = False) -> Column:
     lower-cased (lower once when testing several themes)."""
     text = _c(c) if lowered else F.lower(_c(c))
     return F.coalesce(text.rlike(term_pattern_lower(terms)), F.lit(False))
-
-
-def fold_text(c) -> Column:
-    """Lower-cased, accent-folded text (the form theme and delay patterns are written for)."""
-    return fold_accents(F.lower(_c(c)))

@@ -19,24 +19,19 @@ def polarity(df: DataFrame, kind: str, score: str = "score", comment: str = "com
              low: float = 5, high: float = 8, min_word: int = 3) -> DataFrame:
     """Negative (score <= low) / positive (score >= high) / all verbatims with > 3 words.
 
-    Ordered by score (ascending for negative and all, descending for positive),
-    with explicit tie-breakers so the order is deterministic.
+    ``ranked`` puts the result in reading order; the filter itself does not sort.
     """
     s = F.col(score)
-    if kind == "negative":
-        out = df.where(s <= low)
-        order = [s.asc_nulls_last()]
-    elif kind == "positive":
-        out = df.where(s >= high)
-        order = [s.desc_nulls_last()]
-    elif kind == "all":
-        out = df
-        order = [s.asc_nulls_last()]
-    else:
+    bands = {"negative": s <= low, "positive": s >= high, "all": F.lit(True)}
+    if kind not in bands:
         raise ValueError(f"unknown polarity {kind!r}")
-    out = min_words(out, comment, min_word)
-    ties = [F.col(c) for c in ("dt", "id") if c in df.columns]
-    return out.orderBy(*order, *ties)
+    return min_words(df.where(bands[kind]), comment, min_word)
+
+
+def ranked(df: DataFrame, kind: str, score: str = "score") -> DataFrame:
+    """O1: reading order of a polarity list: by score (descending for positive), then date and id."""
+    s = F.col(score).desc_nulls_last() if kind == "positive" else F.col(score).asc_nulls_last()
+    return df.orderBy(s, *[F.col(c) for c in ("dt", "id") if c in df.columns])
 
 
 def segment(df: DataFrame, dim: str, value: str) -> DataFrame:

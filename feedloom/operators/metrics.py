@@ -7,7 +7,7 @@ pandas drops null group keys, so each grouping below filters them first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import has_more_words
@@ -134,28 +134,25 @@ def compare_technology(df: DataFrame, dealer: str = "dealer", tech: str = "techn
                        score: str = "score", domain: list[str] = TECHNOLOGIES) -> DataFrame:
     """Every dealer x fixed technology domain: dealer mean vs mean over *all* rows.
 
-    The overall side has at most ``len(domain)`` rows, so it is broadcast; the
-    dealer grid is generated with ``explode`` (no join).  Missing means -> 0.
+    One aggregate to (dealer, technology) sums gives both sides; the overall side has at
+    most ``len(domain)`` rows, so it is broadcast.  Missing means -> 0, with the number
+    of scores beside them (``dealer_n``, ``overall_n``) to tell them from a real 0.
     """
-    in_domain = F.col(tech).isin(domain)
-    own = (
-        df.where(F.col(dealer).isNotNull() & in_domain)
-        .groupBy(dealer, tech)
-        .agg(F.avg(score).alias("_own"))
+    sums = (
+        df.groupBy(dealer, F.when(F.col(tech).isin(domain), F.col(tech)).alias(tech))
+        .agg(F.sum(F.col(score).cast("double")).alias("_s"), F.count(score).alias("_c"))
     )
-    overall = df.where(in_domain).groupBy(tech).agg(F.avg(score).alias("_all"))
-    grid = (
-        df.where(F.col(dealer).isNotNull()).select(dealer).distinct()
-        .select(dealer, F.explode(F.array(*[F.lit(t) for t in domain])).alias(tech))
-    )
-    return (
-        grid.join(own, [dealer, tech], "left")
-        .join(F.broadcast(overall), tech, "left")
-        .select(
-            dealer, tech,
-            F.coalesce(round2("_own"), F.lit(0.0)).alias("dealer_mean"),
-            F.coalesce(round2("_all"), F.lit(0.0)).alias("overall_mean"),
-        )
+    entry = F.when(F.col(tech).isNotNull(), F.struct(F.col(tech).alias("t"), F.struct(F.col("_s").alias("s"), F.col("_c").alias("c")).alias("v")))
+    own = sums.where(F.col(dealer).isNotNull()).groupBy(dealer).agg(F.map_from_entries(F.collect_list(entry)).alias("_own"))
+    overall = sums.where(F.col(tech).isNotNull()).groupBy(tech).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    grid = own.select(dealer, F.explode(F.array(*[F.lit(t) for t in domain])).alias(tech), "_own").withColumn("_v", F.try_element_at("_own", F.col(tech)))
+    zero = F.lit(0).cast("bigint")
+    return grid.join(F.broadcast(overall), tech, "left").select(
+        dealer, tech,
+        F.coalesce(round2(F.try_divide(F.col("_v.s"), F.col("_v.c"))), F.lit(0.0)).alias("dealer_mean"),
+        F.coalesce("_v.c", zero).alias("dealer_n"),
+        F.coalesce(round2(F.try_divide(F.col("_s"), F.col("_c"))), F.lit(0.0)).alias("overall_mean"),
+        F.coalesce("_c", zero).alias("overall_n"),
     )
 
 
@@ -164,27 +161,24 @@ def compare_model(df: DataFrame, dealer: str = "dealer", model: str = "model",
                   score: str = "score") -> DataFrame:
     """For each dealer and each model seen at it: dealer mean vs mean of all *other* rows.
 
-    One aggregation to (dealer, model) partial sums, then per-model totals by a
-    window (a partition holds one row per dealer, not per visit).  Rows without
-    a dealer count toward the rest, as an inequality test on them does.
+    One aggregation to (dealer, model) partial sums, from which the models' totals are
+    summed and joined back, so no task holds a model's dealers.  Rows without a dealer
+    count toward the rest, as an inequality test on them does.  Missing means -> 0;
+    ``dealer_n`` and ``rest_n`` count the scores.
     """
     sums = (
         df.where(F.col(model).isNotNull())
         .groupBy(dealer, model)
         .agg(F.sum(F.col(score).cast("double")).alias("_s"), F.count(score).alias("_c"))
     )
-    w = Window.partitionBy(model)
-    rest = F.try_divide(F.sum("_s").over(w) - F.col("_s"), F.sum("_c").over(w) - F.col("_c"))
-    own = F.try_divide(F.col("_s"), F.col("_c"))
-    return (
-        sums.select(dealer, model, own.alias("_own"), rest.alias("_rest"))
-        .where(F.col(dealer).isNotNull())
-        .select(
-            dealer, model,
-            F.coalesce(round2("_own"), F.lit(0.0)).alias("dealer_mean"),
-            F.coalesce(round2("_rest"), F.lit(0.0)).alias("rest_mean"),
-        )
-        .orderBy(dealer, "dealer_mean", model)
+    totals = sums.groupBy(model).agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
+    rest = F.try_divide(F.col("_ts") - F.coalesce("_s", F.lit(0.0)), F.col("_tc") - F.col("_c"))
+    return sums.where(F.col(dealer).isNotNull()).join(totals, model).select(
+        dealer, model,
+        F.coalesce(round2(F.try_divide(F.col("_s"), F.col("_c"))), F.lit(0.0)).alias("dealer_mean"),
+        F.col("_c").alias("dealer_n"),
+        F.coalesce(round2(rest), F.lit(0.0)).alias("rest_mean"),
+        (F.col("_tc") - F.col("_c")).alias("rest_n"),
     )
 
 

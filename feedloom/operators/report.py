@@ -169,6 +169,27 @@ def theme_contrast(df: DataFrame, themes: dict[str, list[str]], low: float = 4,
     )
 
 
+def theme_dealers(df: DataFrame, themes: dict[str, list[str]], low: float = 5, best: int = 3, dealer: str = "dealer",
+                  text: str = "comment", score: str = "score") -> DataFrame:
+    """R8 by dealer: how often each theme is mentioned at dealers whose mean is below ``low``, and at the ``best`` dealers.
+
+    One aggregate per dealer; the best are the first by mean (then count, then name).
+    """
+    names = list(themes)
+    flags = df.where(F.col(dealer).isNotNull()).select(F.col(dealer).alias("_d"), F.col(score).alias("_s"), F.lower(text).alias("_t"))
+    hits = [F.sum(mentions("_t", themes[n], lowered=True).cast("bigint")).alias(f"_h{i}") for i, n in enumerate(names)]
+    each = flags.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"), F.avg("_s").alias("_m"), *hits).where(F.col("_m").isNotNull())
+    groups = each.where(F.col("_m") < low).withColumn("_g", F.lit("low")).unionByName(
+        each.orderBy(F.desc("_m"), F.desc("_n"), "_d").limit(best).withColumn("_g", F.lit("best"))
+    )
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("theme"), F.col(f"_h{i}").alias("h")) for i, n in enumerate(names)]))
+    parts = groups.select("_g", "_n", rows.alias("r")).groupBy("r.theme").agg(
+        *[F.sum(F.when(F.col("_g") == g, F.col(c)).otherwise(0)).alias(out) for g in ("low", "best") for c, out in (("_n", f"n_{g}"), ("r.h", f"mentions_{g}"))]
+    )
+    share = lambda g: round2(F.try_divide(F.col(f"mentions_{g}") * 100.0, F.col(f"n_{g}"))).alias(f"share_{g}_pct")
+    return parts.select("theme", "n_low", "mentions_low", share("low"), "n_best", "mentions_best", share("best"))
+
+
 # -------------------------------------------------------------------- R9 ----
 def cross(df: DataFrame, d1: str = "model", d2: str = "dealer", score: str = "score") -> DataFrame:
     """Two-dimension cross table: n and mean for every observed (d1, d2) pair."""
@@ -205,10 +226,12 @@ def delay_bands(df: DataFrame, edges: list[float] = DELAY_EDGES, text: str = "co
 
 
 # ------------------------------------------------------------------- R11 ----
-def gap_to(df: DataFrame, dim: str = "dealer", score: str = "score") -> DataFrame:
-    """Each entity's mean against the overall mean: gap in points and in percent.
+def gap_to(df: DataFrame, dim: str = "dealer", score: str = "score", ref: str | None = None) -> DataFrame:
+    """Each entity's mean against a reference mean: gap in points and in percent.
 
-    One pass: the overall mean is the ALL group of the same (checkpointed) aggregate.
+    The reference is the group ``ref`` of the same dimension (``Eléctrico`` against
+    ``Gasolina``), or by default all rows.  One pass: the reference is a row of the
+    same (checkpointed) aggregate.
     """
     both = (
         df.select(_pairs([dim], True).alias("p"), F.col(score).alias("_s"))
@@ -216,13 +239,14 @@ def gap_to(df: DataFrame, dim: str = "dealer", score: str = "score") -> DataFram
         .agg(F.avg("_s").alias("_m"))
         .checkpoint(eager=True)
     )
-    overall = scalar_row(both.where(F.col("dim") == "ALL").select("_m"))["_m"]
+    at = F.col("dim") == "ALL" if ref is None else (F.col("dim") == dim) & (F.col("value") == ref)
+    overall = scalar_row(both.where(at).agg(F.max("_m").alias("_m")))["_m"]
     agg = both.where((F.col("dim") == dim) & F.col("value").isNotNull()).select(F.col("value").alias(dim), "_m")
-    ref = F.lit(overall).cast("double")
+    mean = F.lit(overall).cast("double")
     return agg.select(
         dim,
         round2("_m").alias("mean_score"),
-        round2(ref).alias("overall_mean"),
-        round2(F.col("_m") - ref).alias("gap_points"),
-        round2(F.try_divide((F.col("_m") - ref) * 100.0, ref)).alias("gap_pct"),
+        round2(mean).alias("overall_mean" if ref is None else "ref_mean"),
+        round2(F.col("_m") - mean).alias("gap_points"),
+        round2(F.try_divide((F.col("_m") - mean) * 100.0, mean)).alias("gap_pct"),
     )

@@ -1,23 +1,20 @@
 """Retrieval over comments: enriched text, vectors, exact kNN, context, chat history.
 
-* The kNN corpus always stays partitioned; only the query batch is broadcast
-  (as a numpy matrix), and only after its size is checked.  Larger batches are
-  split into bounded chunks by a hash of the query id.  Each Arrow batch of the
-  corpus is scored with vectorised numpy and emits its local top-k per query,
-  so the shuffle carries at most k rows (plus exact ties) per query and batch;
-  a final ``row_number`` filter keeps the global top-k.
-* Chat history uses an explode-and-group formulation: every message is copied
-  to the (at most ``n``) later turns whose window it belongs to, so each group
-  holds at most ``n`` rows no matter how long one conversation is.
-* Text vectors are TF-IDF from Spark ML (hashing into a fixed number of
-  buckets).  Dense embeddings default to hashed token counts computed in the
-  JVM; a caller-supplied embedding model can be plugged in through
-  ``embed_texts`` (``mapInPandas``, fixed-size batches per call).
+* kNN meets corpus and queries in cells (a bucket of rows, a block of queries) by one
+  cogrouped shuffle of (id, vector) only; nothing passes through the driver.  A cell
+  is scored with vectorised numpy and emits its local top-k per query, so at most k
+  rows (plus ties) per query and bucket go on; payload columns join the winners.
+* Chat history copies every message to the (at most ``n``) later positions whose window
+  it belongs to, so each group holds at most ``n`` rows no matter how long one
+  conversation is; positions are counted per block of turns.
+* Text vectors are TF-IDF over a fixed number of token buckets.  Dense embeddings
+  default to hashed token counts; a caller-supplied embedding model can be plugged in
+  through ``embed_texts`` (``mapInPandas``, fixed-size batches per call).  Buckets are
+  taken from md5, which other engines compute alike.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -58,93 +55,65 @@ def enriched_text(df: DataFrame, labels=ENRICHED_LABELS, out: str = "texto_enriq
 
 
 # -------------------------------------------------------------------- T2 ----
-MAX_BROADCAST_QUERIES = 5000
+#: Queries of a cell; rows of a bucket are the corpus over ``spark.sql.shuffle.partitions``.
+QUERIES_PER_CELL = 4096
+#: Distances equal to so many decimals are ties: engines add up squares in different orders.
+TIE_DIGITS = 9
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "query_id", qvec: str = "query_vec",
         vid: str = "vec_id", vec: str = "embedding", payload: list[str] | None = None,
-        max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+        queries_per_cell: int = QUERIES_PER_CELL) -> DataFrame:
     """Exact L2 k-nearest neighbours of every query vector in the corpus.
 
     Returns (qid, rank, vid, payload…, distance) with rank 1..k by ascending
     squared distance (ties broken by ``vid``); fewer than k rows when the
-    corpus is smaller.  The corpus is scanned once per query chunk, in Arrow
-    batches: each batch emits only its local top-k (plus exact ties) per query,
-    and a final ``row_number`` keeps the global top-k.
+    corpus is smaller.  A query meets the vectors of its own length; null vectors on
+    either side take no part.
     """
     payload = [c for c in (payload or []) if c not in (vid, vec)]
-    first = queries.select(qid, qvec).limit(max_broadcast + 1).collect()
-    if len(first) <= max_broadcast:
-        return _knn_chunk(first, queries, corpus, k, qid, qvec, vid, vec, payload)
-    parts = []
-    nchunks = math.ceil(queries.count() / max_broadcast) * 2
-    pending = [(queries.select(qid, qvec), nchunks, 0)]
-    while pending:  # split by hash until every chunk is within the bound
-        frame, n, salt = pending.pop()
-        for c in range(n):
-            chunk = frame.where(F.pmod(F.xxhash64(F.col(qid), F.lit(salt)), F.lit(n)) == c)
-            rows = chunk.limit(max_broadcast + 1).collect()
-            if len(rows) > max_broadcast:
-                if salt > 32:
-                    raise ValueError(f"query ids in {qid!r} are not unique enough to chunk")
-                pending.append((chunk, 2, salt + 1))
-            elif rows:
-                parts.append(_knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _knn_chunk(rows, queries, corpus, k, qid, qvec, vid, vec, payload) -> DataFrame:
-    # ``rows`` is a query chunk already proven to hold at most the broadcast bound.
-    qids = [r[0] for r in rows]
-    qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
-    spark = corpus.sparkSession
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    fields = [corpus.schema[vid]] + [corpus.schema[c] for c in payload]
-    schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType)] + fields
-                          + [T.StructField("_d", T.DoubleType())])
-    cols = [vid, *payload]
-
-    def score(batches):
-        q_ids, q = bq.value
-        q_ids = np.asarray(q_ids, dtype=object)
-        for pdf in batches:
-            if len(q_ids) == 0 or len(pdf) == 0:
-                continue
-            lens = pdf[vec].map(lambda v: -1 if v is None else len(v)).to_numpy()
-            ok = lens == q.shape[1]
-            if not ok.any():
-                continue
-            sub = pdf.loc[ok].reset_index(drop=True)
-            x = np.stack(sub[vec].to_numpy()).astype(np.float64)
-            rows, qs, dist = _local_top_k(x, q, k)
-            part = sub.iloc[rows][cols].reset_index(drop=True)
-            part.insert(0, qid, q_ids[qs])
-            part["_d"] = dist
-            yield part
-
-    local = corpus.select(vid, vec, *payload).mapInPandas(score, schema)
-    w = Window.partitionBy(qid).orderBy(F.col("_d"), F.col(vid))
-    return (
-        local.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(qid, "rank", vid, *payload, F.round("_d", 6).alias("distance"))
-    )
+    buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("qv")).where(F.col("qv").isNotNull())
+    blocks = max(1, -(-asked.count() // queries_per_cell))
+    rows = corpus.select(F.col(vid).alias("v"), F.col(vec).alias("x")).where(F.col("x").isNotNull())
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = rows.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int")).withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("bucket", every(buckets))
+    schema = T.StructType([T.StructField("q", queries.schema[qid].dataType), T.StructField("v", corpus.schema[vid].dataType), T.StructField("d", T.DoubleType())])
+
+    def score(key, here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, same in there.groupby(there["qv"].map(len)):
+            fits = here[here["x"].map(len) == n]
+            if n and len(fits):
+                x, q = np.stack(fits["x"].to_numpy()).astype(np.float64), np.stack(same["qv"].to_numpy()).astype(np.float64)
+                r, c, d = _local_top_k(x, q, k)
+                out.append(pd.DataFrame({"q": same["q"].to_numpy()[c], "v": fits["v"].to_numpy()[r], "d": d}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "v": [], "d": []})
+
+    local = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInPandas(score, schema)
+    best = Window.partitionBy("q").orderBy(F.round("d", TIE_DIGITS), "v")
+    hits = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    hits = hits.select(F.col("q").alias(qid), "rank", F.col("v").alias(vid), F.round("d", 6).alias("distance"))
+    if payload:
+        hits = hits.join(corpus.select(vid, *payload), vid, "left")
+    return hits.select(qid, "rank", vid, *payload, "distance")
 
 
 QUERY_BLOCK = 256
 
 
-def _local_top_k(x: np.ndarray, q: np.ndarray, k: int):
+def _local_top_k(x: np.ndarray, q: np.ndarray, k: int, slack: float = 2 * 10.0**-TIE_DIGITS):
     """Exact per-query top-k (plus exact ties) of squared L2 distance within one batch.
 
     Candidates are preselected with the matrix form ``|x|^2 + |q|^2 - 2 x.q``
     (BLAS), widened by a bound on its rounding error, so they contain every row
     whose exact distance is within the k-th smallest.  Exact distances
     ``sum((x - q)^2)`` are then computed for the candidates only and the rule
-    "distance <= k-th smallest" is applied to them.  Returns (row, query, distance).
+    "distance <= k-th smallest (plus ``slack``)" is applied to them.  Returns (row, query, distance).
     """
     n, dim = x.shape
     xx = np.einsum("ij,ij->i", x, x)
@@ -156,7 +125,7 @@ def _local_top_k(x: np.ndarray, q: np.ndarray, k: int):
             approx = xx[:, None] + qq[None, :] - 2.0 * (x @ qb.T)
             kth = np.partition(approx, k - 1, axis=0)[k - 1]
             # |approx - exact| <= dim * eps * (|x|^2 + |q|^2) per entry, twice for the k-th
-            tol = 4.0 * (dim + 2) * np.finfo(np.float64).eps * (xx.max() + qq)
+            tol = slack + 4.0 * (dim + 2) * np.finfo(np.float64).eps * (xx.max() + qq)
             r, c = np.nonzero(approx <= (kth + tol)[None, :])
         else:
             r, c = np.divmod(np.arange(n * len(qb)), len(qb))
@@ -166,7 +135,7 @@ def _local_top_k(x: np.ndarray, q: np.ndarray, k: int):
         counts = np.bincount(c, minlength=len(qb))
         starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
         kth_exact = d[np.maximum(starts + np.minimum(counts, k) - 1, 0)]
-        keep = d <= kth_exact[c]
+        keep = d <= kth_exact[c] + slack
         out_r.append(r[keep])
         out_q.append(c[keep] + s)
         out_d.append(d[keep])
@@ -202,60 +171,74 @@ def build_context(hits: DataFrame, payload: DataFrame, qid: str = "query_id", vi
 
 
 # -------------------------------------------------------------------- T4 ----
+TURN_BLOCK = 1024
+
+
+def _positions(conv: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    """0-based position of each message by turn, counted per block of turn numbers, so one long conversation is many tasks' work."""
+    blocked = conv.select(conv_id, turn, role, text, F.floor(F.col(turn) / TURN_BLOCK).alias("_b"))
+    inside = Window.partitionBy(conv_id, "_b").orderBy(turn, role, text)
+    before = Window.partitionBy("_c").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocked.groupBy(F.col(conv_id).alias("_c"), F.col("_b").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = blocked.withColumn("_in", F.row_number().over(inside) - 1)
+    same = F.col(conv_id).eqNullSafe(F.col("_c")) & F.col("_b").eqNullSafe(F.col("_k"))
+    return numbered.join(sizes, same, "left").select(conv_id, turn, role, text, (F.col("_before") + F.col("_in")).cast("bigint").alias("_t"))
+
+
 def history_window(conv: DataFrame, n: int = 4, conv_id: str = "conv_id", turn: str = "turn",
                    role: str = "role", text: str = "text", at_role: str = "user") -> DataFrame:
     """At each ``at_role`` message: the last ``n`` messages including it, only when at least
-    ``n`` exist (else empty).  ``turn`` is the 0-based position in the conversation."""
-    copies = conv.select(
-        conv_id, role, text, F.col(turn).alias("_t"),
-        F.explode(F.sequence(F.col(turn), F.col(turn) + (n - 1))).alias("_target"),
+    ``n`` exist (else empty).  ``turn`` orders the messages; its numbers may have gaps."""
+    copies = _positions(conv, conv_id, turn, role, text).select(
+        conv_id, turn, role, text, "_t", F.explode(F.sequence(F.col("_t"), F.col("_t") + (n - 1))).alias("_target"),
     )
     msg = F.struct(F.col("_t").alias("t"), F.col(role).alias("role"), F.col(text).alias("text"))
+    own = F.col("_t") == F.col("_target")
     grouped = copies.groupBy(conv_id, "_target").agg(
         F.array_sort(F.collect_list(msg)).alias("_msgs"),
-        F.max(F.when(F.col("_t") == F.col("_target"), F.col(role))).alias("_role"),
-        F.max((F.col("_t") == F.col("_target")).cast("int")).alias("_exists"),
+        F.max(F.when(own, F.col(role))).alias("_role"),
+        F.max(F.when(own, F.col(turn))).alias("_turn"),
+        F.max(own.cast("int")).alias("_exists"),
     )
     full = F.size("_msgs") >= n
     joined = F.array_join(F.transform("_msgs", lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["text"], F.lit("")))), "\n")
     return grouped.where((F.col("_exists") == 1) & (F.col("_role") == at_role)).select(
         conv_id,
-        F.col("_target").alias(turn),
+        F.col("_turn").alias(turn),
         F.when(full, F.lit(n)).otherwise(F.lit(0)).alias("n_history"),
         F.when(full, joined).otherwise(F.lit("")).alias("history"),
     )
 
 
 # -------------------------------------------------------------------- T5 ----
-TOKEN_PATTERN = r"(?U)[^\w]+"
+TOKEN_PATTERN = r"[^\p{L}\p{N}_]+"
+
+
+def token_buckets(c, buckets: int) -> Column:
+    """Bucket numbers of a text's lower-cased words: the first 8 hex digits of each word's md5, modulo ``buckets``."""
+    c = F.col(c) if isinstance(c, str) else c
+    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_PATTERN), lambda t: t != "")
+    return F.transform(words, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets).cast("int"))
 
 
 def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_features: int = 1 << 18,
                   out: str = "features") -> DataFrame:
-    """Sparse TF-IDF vectors with Spark ML: tokenise, hash into ``num_features``
-    buckets, weight by inverse document frequency.
+    """Sparse TF-IDF vectors: (id, array of (index, value)), by index.
 
-    Everything runs in the JVM; fitting the IDF is one distributed aggregate
-    whose state is bounded by ``num_features``.  Term counts are checkpointed
-    once and shared by the fit and the transform.
+    Words fall into ``num_features`` buckets; value = count x ln((rows + 1) / (rows with
+    the bucket + 1)).  Counts are combined before they are shuffled; the document
+    frequencies have at most ``num_features`` rows.  A row without words has no entry.
     """
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-
-    tokens = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, toLowercase=True)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    counted = tf.transform(tokens.transform(df.select(id_col, F.coalesce(F.col(text), F.lit("")).alias(text))))
-    # fitting and applying the IDF both need the term counts: compute them once,
-    # into the session's reliable checkpoint folder
-    counted = counted.select(id_col, "_tf").checkpoint(eager=True)
-    model = IDF(inputCol="_tf", outputCol=out).fit(counted)
-    return model.transform(counted).select(id_col, out)
-
-
-def hashed_token_ids(c, dim: int) -> Column:
-    """Token bucket ids of a text (lower-cased word tokens hashed into ``dim`` buckets), JVM-side."""
-    c = F.col(c) if isinstance(c, str) else c
-    toks = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_PATTERN), lambda t: t != "")
-    return F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    counted = df.select(id_col, F.explode(token_buckets(text, num_features)).alias("index")).groupBy(id_col, "index").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.checkpoint(eager=True)  # used for the frequencies and for the weights
+    rows = F.lit(df.count())
+    weights = counted.groupBy("index").agg(F.log((rows + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    entries = counted.join(weights, "index").groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct("index", (F.col("n") * F.col("idf")).alias("value")))).alias(out)
+    )
+    empty = F.array().cast("array<struct<index:int,value:double>>")
+    return df.select(id_col).join(entries, id_col, "left").withColumn(out, F.coalesce(out, empty))
 
 
 def hashed_embeddings(df: DataFrame, text: str = "comment", id_col: str = "id", dim: int = 64,
@@ -279,7 +262,7 @@ def hashed_embeddings(df: DataFrame, text: str = "comment", id_col: str = "id",
             vecs = (counts / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
             yield pd.DataFrame({id_col: pdf[id_col], out: list(vecs)})
 
-    return df.select(id_col, hashed_token_ids(text, dim).alias("_ids")).mapInPandas(run, schema)
+    return df.select(id_col, token_buckets(text, dim).alias("_ids")).mapInPandas(run, schema)
 
 
 def embed_texts(df: DataFrame, embed_fn: Callable[[list[str]], np.ndarray], text: str = "comment",

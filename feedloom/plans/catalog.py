@@ -154,9 +154,10 @@ _TECH_SQL = "[" + ", ".join(f"'{t}'" for t in M.TECHNOLOGIES) + "]"
 @register("dealer_vs_all_technology", X.with_views(f"""
 , dealers AS (SELECT DISTINCT dealer FROM vts WHERE dealer IS NOT NULL),
 grid AS (SELECT dealer, unnest({_TECH_SQL}) AS technology FROM dealers),
-own AS (SELECT dealer, technology, avg(score) AS m FROM vts WHERE dealer IS NOT NULL GROUP BY 1, 2),
-tot AS (SELECT technology, avg(score) AS m FROM vts GROUP BY 1)
-SELECT g.dealer, g.technology, coalesce({r2('o.m')}, 0.0) AS dealer_mean, coalesce({r2('t.m')}, 0.0) AS overall_mean
+own AS (SELECT dealer, technology, avg(score) AS m, count(score) AS n FROM vts WHERE dealer IS NOT NULL GROUP BY 1, 2),
+tot AS (SELECT technology, avg(score) AS m, count(score) AS n FROM vts GROUP BY 1)
+SELECT g.dealer, g.technology, coalesce({r2('o.m')}, 0.0) AS dealer_mean, coalesce(o.n, 0) AS dealer_n,
+       coalesce({r2('t.m')}, 0.0) AS overall_mean, coalesce(t.n, 0) AS overall_n
 FROM grid g LEFT JOIN own o ON g.dealer = o.dealer AND g.technology = o.technology
 LEFT JOIN tot t ON g.technology = t.technology""", VT))
 def q_dealer_vs_all_technology(spark, sf):
@@ -167,6 +168,8 @@ def q_dealer_vs_all_technology(spark, sf):
 , pairs AS (SELECT DISTINCT dealer, model FROM vf WHERE dealer IS NOT NULL AND model IS NOT NULL)
 SELECT p.dealer, p.model,
   coalesce({r2('(SELECT avg(score) FROM vf f WHERE f.model = p.model AND f.dealer = p.dealer)')}, 0.0) AS dealer_mean,
+  (SELECT count(score) FROM vf f WHERE f.model = p.model AND f.dealer = p.dealer) AS dealer_n,
+  (SELECT count(score) FROM vf f WHERE f.model = p.model AND (f.dealer IS NULL OR f.dealer <> p.dealer)) AS rest_n,
   coalesce({r2('(SELECT avg(score) FROM vf f WHERE f.model = p.model AND (f.dealer IS NULL OR f.dealer <> p.dealer))')}, 0.0) AS rest_mean
 FROM pairs p""", VF))
 def q_dealer_vs_rest_model(spark, sf):
@@ -429,7 +432,8 @@ _FOLD = f"translate(lower({{x}}), '{TX.ACCENTED}', '{TX.PLAIN}')"
 
 
 def _mention_sql(terms) -> str:
-    return f"coalesce(regexp_matches({_FOLD.format(x='comment')}, '{TX.term_pattern(terms)}'), false)"
+    forms = ", ".join(f"'{t}{end}'" for t in terms for end in ("", "s", "es"))
+    return f"coalesce(list_has_any(regexp_split_to_array({_FOLD.format(x='comment')}, '[^a-z0-9]+'), [{forms}]), false)"
 
 
 def _pct(num: str, den: str) -> str:
@@ -525,6 +529,25 @@ def q_report_theme_contrast(spark, sf):
     return R.theme_contrast(X.verbatims(spark, sf), THEMES)
 
 
+def _dealer_theme_sql() -> str:
+    parts = []
+    for name, terms in THEMES.items():
+        hit = _mention_sql(terms)
+        low, top = "dealer IN (SELECT dealer FROM low)", "dealer IN (SELECT dealer FROM top)"
+        counts = {g: (f"count(*) FILTER ({of})", f"count(*) FILTER ({of} AND {hit})") for g, of in (("low", low), ("best", top))}
+        cols = ", ".join(f"{n} AS n_{g}, {m} AS mentions_{g}, {_pct(m, n)} AS share_{g}_pct" for g, (n, m) in counts.items())
+        parts.append(f"SELECT '{name}' AS theme, {cols} FROM vts")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("report_theme_dealers", X.with_views(f"""
+, d AS (SELECT dealer, avg(score) AS m, count(*) AS n FROM vts WHERE dealer IS NOT NULL GROUP BY dealer HAVING avg(score) IS NOT NULL),
+low AS (SELECT dealer FROM d WHERE m < 5), top AS (SELECT dealer FROM d ORDER BY m DESC, n DESC, dealer LIMIT 3)
+{_dealer_theme_sql()}""", VT))
+def q_report_theme_dealers(spark, sf):
+    return R.theme_dealers(X.verbatims(spark, sf), THEMES)
+
+
 @register("report_cross", X.with_views(f"""
 SELECT model, dealer, count(*) AS n, {r2('avg(score)')} AS mean_score
 FROM vts WHERE model IS NOT NULL AND dealer IS NOT NULL GROUP BY model, dealer""", VT))
@@ -532,15 +555,24 @@ def q_report_cross(spark, sf):
     return R.cross(X.verbatims(spark, sf))
 
 
-_UNIT_CASE = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in TX.DELAY_UNIT_DAYS.items())
+# Written apart from the operator's pattern: decimal marks become ``p``, every other mark is
+# doubled so that matches may share it, and each unit is a fixed word list.
+_DELAY_WORDS = "un una uno dos tres cuatro cinco seis siete ocho nueve diez quince veinte treinta".split()
+_DELAY_NUMBERS = [1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 30]
+_DELAY_UNITS = {"horas": 1 / 24, "hora": 1 / 24, "h": 1 / 24, "dias": 1, "dia": 1, "semanas": 7, "semana": 7, "meses": 30, "mes": 30, "anos": 365, "ano": 365}
+_DELAY_RE = f"(^|[^a-z0-9])([0-9]+(p[0-9]+)?[^a-z0-9]*|({'|'.join(_DELAY_WORDS)})[^a-z0-9]+)({'|'.join(_DELAY_UNITS)})([^a-z0-9]|$)"
+_NUMBER_CASE = " ".join(f"WHEN '{w}' THEN {n}" for w, n in zip(_DELAY_WORDS, _DELAY_NUMBERS))
+_UNIT_CASE = " ".join(f"WHEN '{u}' THEN {v!r}" for u, v in _DELAY_UNITS.items())
 
 
 @register("report_delay_bands", X.with_views(f"""
-, t AS (SELECT score, {_FOLD.format(x='comment')} AS s FROM vts),
-m AS (SELECT score, regexp_extract_all(s, '{TX.DELAY_PATTERN}', 1) AS nums,
-             regexp_extract_all(s, '{TX.DELAY_PATTERN}', 2) AS units FROM t),
-d AS (SELECT score, CASE WHEN len(nums) > 0 THEN list_max(list_transform(range(1, len(nums) + 1),
-        lambda i: CAST(nums[i] AS DOUBLE) * CASE units[i] {_UNIT_CASE} END)) END AS days FROM m)
+, t AS (SELECT score, regexp_replace(regexp_replace({_FOLD.format(x='comment')}, '([0-9])[.,]([0-9])', '\\1p\\2', 'g'),
+                                     '([^a-z0-9])', '\\1\\1', 'g') AS s FROM vts),
+m AS (SELECT score, regexp_extract_all(s, '{_DELAY_RE}', 2) AS nums, regexp_extract_all(s, '{_DELAY_RE}', 5) AS units FROM t),
+d AS (SELECT score, CASE WHEN len(nums) > 0 THEN list_max(list_transform(range(1, len(nums) + 1), lambda i:
+        coalesce(CASE regexp_replace(nums[i], '[^a-z0-9]', '', 'g') {_NUMBER_CASE} END,
+                 CAST(replace(regexp_replace(nums[i], '[^a-z0-9]', '', 'g'), 'p', '.') AS DOUBLE))
+        * CASE units[i] {_UNIT_CASE} END)) END AS days FROM m)
 SELECT CASE WHEN days IS NULL THEN 'none' WHEN days < 1 THEN '<1d' WHEN days < 7 THEN '1-7d'
             WHEN days < 30 THEN '7-30d' ELSE '>=30d' END AS band,
        count(*) AS n, {r2('avg(score)')} AS mean_score, {r2('avg(days)')} AS mean_days
@@ -558,6 +590,16 @@ def q_report_gap(spark, sf):
     return R.gap_to(X.verbatims(spark, sf))
 
 
+@register("report_gap_ref", X.with_views(f"""
+, a AS (SELECT technology, avg(score) AS m FROM vts WHERE technology IS NOT NULL GROUP BY technology),
+o AS (SELECT m AS ov FROM a WHERE technology = 'Gasolina')
+SELECT technology, {r2('m')} AS mean_score, {r2('ov')} AS ref_mean, {r2('m - ov')} AS gap_points,
+       {r2('(m - ov) * CAST(100 AS DOUBLE) / ov')} AS gap_pct FROM a, o""", VT))
+def q_report_gap_ref(spark, sf):
+    """Each technology against petrol."""
+    return R.gap_to(X.verbatims(spark, sf), "technology", ref="Gasolina")
+
+
 # =========================================================== retrieval ====
 
 
@@ -579,7 +621,7 @@ _CENTROID_SQL = """centroids AS (
     GROUP BY label, pos) GROUP BY label),
 hits AS (
   SELECT query_id, rank, vec_id, label, round(d, 6) AS distance FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM (
       SELECT c.query_id, e.vec_id, e.label,
              list_sum(list_transform(range(1, len(e.embedding) + 1),
                                      lambda i: (CAST(e.embedding[i] AS DOUBLE) - c.qv[i]) ** 2)) AS d
@@ -619,23 +661,102 @@ def q_chat_history(spark, sf):
     return RT.history_window(X.table(spark, sf, "conversations"), 4)
 
 
-@register("text_vectors")
+@register("chat_history_gaps", """
+WITH c AS (SELECT conv_id, turn * 3 + 7 + (turn % 2) AS turn, role, text FROM conversations WHERE turn % 5 <> 3)
+SELECT conv_id, turn, CASE WHEN rn >= 4 THEN 4 ELSE 0 END AS n_history,
+       CASE WHEN rn >= 4 THEN array_to_string(h, chr(10)) ELSE '' END AS history
+FROM (SELECT conv_id, turn, role, row_number() OVER w AS rn,
+             list(role || ': ' || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""")
+def q_chat_history_gaps(spark, sf):
+    """T4 on conversations whose turn numbers start late and have gaps."""
+    c = X.table(spark, sf, "conversations").where(F.col("turn") % 5 != 3)
+    return RT.history_window(c.withColumn("turn", F.col("turn") * 3 + 7 + F.col("turn") % 2), 4)
+
+
+def _buckets_sql(text: str, n: int) -> str:
+    """Word buckets of a text in DuckDB."""
+    return (f"list_transform(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''), "
+            f"lambda t: CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {n})")
+
+
+def _embedding_sql(view: str, source: str, text: str, key: str, dim: int = 64) -> str:
+    """Views ``<view>``: (key, e) with the normalised bucket counts as FLOAT[]."""
+    return f"""{view}_b AS (SELECT {key}, {_buckets_sql(text, dim)} AS b FROM {source}),
+{view}_c AS (SELECT {key}, list_transform(range({dim}), lambda i: CAST(len(list_filter(b, lambda x: x = i)) AS DOUBLE)) AS c FROM {view}_b),
+{view} AS (SELECT {key}, list_transform(c, lambda x: CAST(CASE WHEN list_sum(c) = 0 THEN 0 ELSE x / sqrt(list_sum(list_transform(c, lambda y: y * y))) END AS FLOAT)) AS e FROM {view}_c)"""
+
+
+@register("text_vectors", X.with_views(f"""
+, w AS (SELECT id, unnest({_buckets_sql('comment', 1 << 18)}) AS index FROM vt),
+tf AS (SELECT id, index, count(*) AS n FROM w GROUP BY ALL),
+df AS (SELECT index, ln(((SELECT count(*) FROM vt) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS idf FROM tf GROUP BY index)
+SELECT id, CAST(index AS INTEGER) AS index, round(n * idf, 6) AS value FROM tf JOIN df USING (index)""", VT))
 def q_text_vectors(spark, sf):
-    return RT.tfidf_vectors(X.verbatims(spark, sf), "comment", "id")
+    vectors = RT.tfidf_vectors(X.verbatims(spark, sf), "comment", "id")
+    entries = vectors.select("id", F.explode("features").alias("f"))
+    return entries.select("id", F.col("f.index").alias("index"), F.round("f.value", 6).alias("value"))
 
 
-@register("text_embeddings")
+@register("text_embeddings", X.with_views(", " + _embedding_sql("emb", "vt", "comment", "id") + "\nSELECT id, e AS embedding FROM emb", VT))
 def q_text_embeddings(spark, sf):
     return RT.hashed_embeddings(X.verbatims(spark, sf), "comment", "id", dim=64)
 
 
-@register("knn_comments")
+def _length_model(texts: list[str]):
+    """A deterministic embedding function for the hook: length, spaces and vowels of each text."""
+    import numpy as np
+
+    return np.array([[len(t or ""), (t or "").count(" "), sum((t or "").count(v) for v in "aeiou")] for t in texts], dtype=np.float32)
+
+
+@register("embedded_by_function", X.with_views("""
+SELECT id, [CAST(length(comment) AS FLOAT), CAST(length(comment) - length(replace(comment, ' ', '')) AS FLOAT),
+            CAST(length(regexp_replace(comment, '[^aeiou]', '', 'g')) AS FLOAT)] AS embedding FROM vt WHERE comment IS NOT NULL""", VT))
+def q_embedded_by_function(spark, sf):
+    """T5's hook with a caller's function."""
+    return RT.embed_texts(X.verbatims(spark, sf).where(F.col("comment").isNotNull()), _length_model, "comment", "id")
+
+
+# What a retrieved comment shows.
+STORE_COLS = ["dt", "dealer", "model", "technology", "score_raw", "comment"]
+
+
+def _embedded(v):
+    """The retrieval table of verbatims: id, the six shown columns, and the vector of the enriched text."""
+    e = RT.hashed_embeddings(RT.enriched_text(v), "texto_enriquecido", "id", dim=64)
+    return v.select("id", *STORE_COLS).join(e, "id").withColumnRenamed("id", "vec_id")
+
+
+def _questions(spark, sf):
+    q = RT.hashed_embeddings(X.table(spark, sf, "benchmark"), "text", "item_id", dim=64, out="query_vec")
+    return q.withColumnRenamed("item_id", "query_id")
+
+
+_ENRICHED_SQL = """concat_ws(' | ',
+  'Taller: ' || coalesce(dealer, 'nan'), 'Modelo: ' || coalesce(model, 'nan'),
+  'Tecnología: ' || coalesce(technology, 'nan'), 'Puntuación: ' || coalesce(score_raw, 'nan'),
+  'Comentario: ' || coalesce(comment, 'nan'),
+  'Fecha: ' || coalesce(strftime(CAST(dt AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), 'nan'))"""
+
+
+def _retrieval_sql(by_service: bool) -> str:
+    part = "query_id, service" if by_service else "query_id"
+    shown = ", ".join(f"v.{c}" for c in STORE_COLS)
+    return f""", {_embedding_sql('emb', 'vt', _ENRICHED_SQL, 'id')},
+{_embedding_sql('qs', 'benchmark', 'text', 'item_id')},
+pairs AS (SELECT q.item_id AS query_id, e.id AS vec_id, v.service,
+    list_sum(list_transform(range(1, 65), lambda i: (CAST(e.e[i] AS DOUBLE) - CAST(q.e[i] AS DOUBLE)) ** 2)) AS d
+  FROM qs q, emb e JOIN vt v ON v.id = e.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round(d, 9), vec_id) AS rank FROM pairs)
+SELECT b.query_id, b.rank, b.vec_id, {shown}, round(b.d, 6) AS distance{', b.service' if by_service else ''}
+FROM best b JOIN vt v ON v.id = b.vec_id WHERE b.rank <= 5"""
+
+
+@register("knn_comments", X.with_views(_retrieval_sql(False), VT))
 def q_knn_comments(spark, sf):
-    """Benchmark questions against embedded comments: the retrieval step of the chat."""
-    corpus = RT.hashed_embeddings(X.verbatims(spark, sf), "comment", "id", dim=64).withColumnRenamed(
-        "id", "vec_id")
-    questions = RT.hashed_embeddings(X.table(spark, sf, "benchmark"), "text", "item_id", dim=64, out="query_vec")
-    return RT.knn(questions.withColumnRenamed("item_id", "query_id"), corpus, k=5)
+    """Benchmark questions against the embedded enriched texts: the retrieval step of the chat."""
+    return RT.knn(_questions(spark, sf), _embedded(X.verbatims(spark, sf)), k=5, payload=STORE_COLS)
 
 
 def _csv_sql(c: str) -> str:
@@ -706,6 +827,7 @@ def q_survey_extracts(spark, sf):
     and its ``__Questionnaire`` sheet; the last book has none), read back with per-book
     renames, normalised names, all-string columns and a union by name."""
     from feedloom.sources import ingest as S
+    from feedloom.sources import sinks as K
 
     root = _scratch(spark, "survey")
     c = X.table(spark, sf, "customer")
@@ -714,15 +836,13 @@ def q_survey_extracts(spark, sf):
         F.when(F.col("c_acctbal") < 0, "n").otherwise("S").alias("Q1"),
         F.floor("c_acctbal").cast("bigint").alias("Q2"), "c_mktsegment",
     )
+    # one scan writes all workbooks; a partition folder becomes its book's sheet by name
+    raw.withColumn("book", F.concat(F.lower("c_mktsegment"), F.lit("__Ventas.csv"))).drop("c_mktsegment").write.partitionBy("book").options(**K.CSV_WRITE_OPTIONS).csv(root)
     books = sorted(r[0] for r in c.select("c_mktsegment").distinct().collect())  # a handful of workbooks
     questions = spark.createDataFrame(SURVEY_QUESTIONS, "`Display ID` string, Questionnaire string")
-    for book in books:
-        path = f"{root}/{book.lower()}"
-        raw.where(F.col("c_mktsegment") == book).drop("c_mktsegment").write.option("header", "true").csv(
-            f"{path}__Ventas.csv")
-        if book != books[-1]:
-            questions.write.option("header", "true").csv(f"{path}__Questionnaire.csv")
-    return S.read_survey(spark, root, "Ventas").drop("_row")
+    for book in books[:-1]:
+        questions.write.options(**K.CSV_WRITE_OPTIONS).csv(f"{root}/book={book.lower()}__Questionnaire.csv")
+    return S.read_survey(spark, root, "Ventas").drop("_row").withColumn("_file", F.regexp_replace("_file", "^book=", ""))
 
 
 # ====================================================== schema (P1-P8) ====
@@ -823,23 +943,18 @@ def q_income_from_csv(spark, sf):
     return J.enrich_income(geo, dim).select("event_id", "ip", "ip_postal_code", "renta_media")
 
 
-@register("stored_knn")
+@register("stored_knn", X.with_views(_retrieval_sql(True), VT))
 def q_stored_knn(spark, sf):
-    """S12 + T5 + T2: per service, the comment embeddings are built once into the
-    service's embedding table and read back; benchmark questions retrieve from each."""
+    """S12 + T5 + T2: per service, the retrieval table (payload and vector) is built once,
+    stored and read back; benchmark questions retrieve from each."""
     from feedloom.sources import sinks as K
 
     root = _scratch(spark, "vectors")
     vt = X.verbatims(spark, sf)
-    questions = RT.hashed_embeddings(X.table(spark, sf, "benchmark"), "text", "item_id", dim=64, out="query_vec")
-    questions = questions.withColumnRenamed("item_id", "query_id")
     hits = []
     for service in ("Ventas", "Posventa"):
-        def build(s=service):
-            return RT.hashed_embeddings(vt.where(F.col("service") == s), "comment", "id", dim=64)
-
-        store = K.embeddings_store(spark, root, service, build).withColumnRenamed("id", "vec_id")
-        hits.append(RT.knn(questions, store, k=5).withColumn("service", F.lit(service)))
+        store = K.embeddings_store(spark, root, service, lambda s=service: _embedded(vt.where(F.col("service") == s)))
+        hits.append(RT.knn(_questions(spark, sf), store, k=5, payload=STORE_COLS).withColumn("service", F.lit(service)))
     return hits[0].unionByName(hits[1])
 
 
@@ -850,15 +965,15 @@ _REPORT_LINE_SQL = "concat_ws(' | ', dim, coalesce(value, 'nan'), CAST(n AS VARC
 @register("stored_report", X.with_views(_BREAKDOWN_SQL + f"""
 SELECT {_REPORT_LINE_SQL} AS line FROM b""", VT))
 def q_stored_report(spark, sf):
-    """S9 + S11 over R2: the breakdown is stored as the service's text report (one file:
-    an aggregate, bounded by the dimension values), read back whole, split into lines."""
+    """S11 over R2: the breakdown is stored as the service's text report, read back file
+    by file, split into lines."""
     from feedloom.sources import ingest as S
 
     root = _scratch(spark, "reports")
     b = R.breakdown(X.verbatims(spark, sf))
     line = F.concat_ws(" | ", "dim", F.coalesce("value", F.lit("nan")), F.col("n").cast("string"),
                        F.col("share_pct").cast("string"), F.coalesce(F.col("mean_score").cast("string"), F.lit("nan")))
-    b.select(line.alias("line")).orderBy("line").coalesce(1).write.text(f"{root}/informeventas.txt")
+    b.select(line.alias("line")).write.text(f"{root}/informeventas.txt")
     text = S.read_report(spark, root, "Ventas")
     lines = text.select(F.explode(F.split(F.col("value"), "\n")).alias("line"))
     return lines.where(F.col("line") != "")

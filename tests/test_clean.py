@@ -142,8 +142,9 @@ def test_rename_and_drop_ignore_missing(spark):
 def test_polarity_bands(spark):
     df = spark.createDataFrame([(i, None if s is None else float(s), "a b c d e") for i, s in enumerate([1, 5, 6, 7, 8, None])],
                                "id int, score double, comment string")
-    assert [r.id for r in FL.polarity(df, "negative").collect()] == [0, 1]
-    assert [r.id for r in FL.polarity(df, "positive").collect()] == [4]
+    read = lambda kind: [r.id for r in FL.ranked(FL.polarity(df, kind), kind).collect()]
+    assert read("negative") == [0, 1]
+    assert read("positive") == [4]
     assert FL.segment(df, "id", FL.ALL).count() == 6
     assert df.select(F.lit(1)).count() == 6
 
@@ -154,3 +155,21 @@ def test_slug_value_key(spark):
     df = _one_col(spark, ["Servicio Técnico", "  Ventas!! ", "Ñandú--Motor"])
     got = [r.s for r in df.select("i", slug("v").alias("s")).orderBy("i").collect()]
     assert got == ["servicio_tecnico", "ventas", "nandu_motor"]
+
+
+def test_delay_days_forms(spark):
+    from feedloom.functions.text import delay_days
+
+    cases = {"esperé 1,5 horas": 1.5 / 24, "tardó 1.5 horas": 1.5 / 24, "una semana": 7, "2 años": 730, "24h sin coche": 1, "dos días y 3 horas": 2,
+             "48 HORAS": 2, "unas horas": None, "luna semana": None, "5 mesas": None, "tres meses.": 90, "x5 horas": None, "": None, "un mes": 30, "10 dias,2 semanas": 14}
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, c string").select("c", delay_days("c").alias("d"))
+    for r in df.collect():
+        assert (r.d is None) == (cases[r.c] is None) and (r.d is None or abs(r.d - cases[r.c]) < 1e-9), r
+
+
+def test_mentions_plurals(spark):
+    from feedloom.functions.text import mentions
+
+    cases = {"muchas esperas": True, "Esperás": True, "desespera": False, "atenciones": True, "atención": True, "esperamos": False, "tardanzas!": True, None: False}
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, c string").select("c", mentions("c", ["espera", "atencion", "tardanza"]).alias("m"))
+    assert {r.c: r.m for r in df.collect()} == cases

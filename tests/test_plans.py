@@ -56,7 +56,7 @@ def test_filter_pushed_to_scan(spark):
 def test_knn_top_k_is_limited_before_shuffle(spark):
     df = QUERIES["knn_l2"](spark, SF_SMALL)
     p = plan(df)
-    assert "MapInPandas" in p or "PythonMapInArrow" in p
+    assert "FlatMapCoGroupsInPandas" in p and "NestedLoop" not in p
     assert "WindowGroupLimit" in p
 
 

@@ -27,7 +27,7 @@ def test_knn_matches_numpy(spark):
 def test_knn_small_corpus_and_chunks(spark):
     corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 5.0])], "vec_id long, embedding array<float>")
     queries = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "query_id long, query_vec array<double>")
-    out = RT.knn(queries, corpus, k=5, max_broadcast=3)
+    out = RT.knn(queries, corpus, k=5, queries_per_cell=3)
     assert out.count() == 30  # fewer than k corpus rows: all of them, per query
     first = {r.query_id: r.vec_id for r in out.where("rank = 1").collect()}
     assert first[0] == 1 and first[1] == 2 and first[9] == 3
@@ -65,11 +65,37 @@ def test_embed_hook_batches(spark):
 def test_tfidf_vectors(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "A c"), (3, None)], "id int, comment string")
     out = {r.id: r.features for r in RT.tfidf_vectors(df, num_features=1 << 20).collect()}
-    assert len(out[1].indices) == 2 and len(out[2].indices) == 2 and len(out[3].indices) == 0
-    vals = sorted(out[1].values)
+    assert len(out[1]) == 2 and len(out[2]) == 2 and len(out[3]) == 0
+    vals = sorted(f.value for f in out[1])
     assert abs(vals[0] - np.log(4 / 3)) < 1e-12 and abs(vals[1] - 2 * np.log(4 / 2)) < 1e-12
 
 
+def test_knn_skips_null_and_mixed_lengths_and_plans_one_scan(spark, tmpdir_path):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [5.0]), (4, [1.0, 1.0]), (5, [])], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [0.0, 0.1]), (1, [0.0, 0.1]), (2, None), (3, [4.0]), (4, [1.0, 2.0, 3.0])], "query_id long, query_vec array<double>")
+    got = sorted((r.query_id, r.vec_id) for r in RT.knn(queries.dropDuplicates(), corpus, k=5).collect())
+    assert got == [(1, 1), (1, 4), (3, 3)]
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    many = spark.range(20_000).select(F.col("id").alias("query_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i * F.col("id")) % 7 / 10.0).alias("query_vec"))
+    hits = RT.knn(many, emb, k=3)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("embeddings") <= 1 or plan.count("Relation [vec_id") == 1
+    assert hits.count() == 60_000
+
+
+def test_history_window_counts_messages_not_turn_numbers(spark):
+    """Gaps, a late start, more than one block of turns, a null conversation."""
+    turns = [5, 6, 9, 1023, 1024, 1025, 5000, 5003]
+    rows = [(c, t, "user" if k % 2 else "assistant", f"m{t}") for c in (1, None) for k, t in enumerate(turns)]
+    got = {(r.conv_id, r.turn): (r.n_history, r.history) for r in RT.history_window(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c in (1, None):
+        mine = [r for r in rows if r[0] == c]
+        for k, r in enumerate(mine):
+            if r[2] == "user":
+                want = [f"{m[2]}: {m[3]}" for m in mine[max(0, k - 3) : k + 1]] if k >= 3 else []
+                assert got[(c, r[1])] == (len(want), "\n".join(want))
+
+
 def test_hashed_embeddings(spark):
     df = spark.createDataFrame([(1, "Hola hola mundo"), (2, None)], "id int, comment string")
     rows = {r.id: np.array(r.embedding) for r in RT.hashed_embeddings(df, dim=16).collect()}
@@ -101,17 +127,13 @@ def test_local_top_k_exact_with_ties():
 
 
 def test_stored_knn_equals_direct(spark):
-    """Reading embeddings back from the per-service store changes no retrieval result."""
-    from feedloom.plans.catalog import QUERIES
-
-    stored = {(r.service, r.query_id, r["rank"]): (r.vec_id, r.distance)
-              for r in QUERIES["stored_knn"](spark, SF_SMALL).collect()}
-    vt = X.verbatims(spark, SF_SMALL)
-    q = RT.hashed_embeddings(X.table(spark, SF_SMALL, "benchmark"), "text", "item_id", dim=64, out="query_vec")
-    q = q.withColumnRenamed("item_id", "query_id")
+    """Reading the store back changes no retrieval result; hits show the six columns."""
+    from feedloom.plans import catalog as Q
+
+    stored = {(r.service, r.query_id, r["rank"]): (r.vec_id, r.distance, r.comment) for r in Q.QUERIES["stored_knn"](spark, SF_SMALL).collect()}
     direct = {}
     for service in ("Ventas", "Posventa"):
-        corpus = RT.hashed_embeddings(vt.where(F.col("service") == service), "comment", "id", dim=64)
-        for r in RT.knn(q, corpus.withColumnRenamed("id", "vec_id"), k=5).collect():
-            direct[(service, r.query_id, r["rank"])] = (r.vec_id, r.distance)
+        vt = X.verbatims(spark, SF_SMALL).where(F.col("service") == service)
+        hits = RT.knn(Q._questions(spark, SF_SMALL), Q._embedded(vt), k=5, payload=Q.STORE_COLS)
+        direct |= {(service, r.query_id, r["rank"]): (r.vec_id, r.distance, r.comment) for r in hits.collect()}
     assert stored == direct and len(stored) > 0
