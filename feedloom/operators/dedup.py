@@ -4,27 +4,27 @@ D1 semantics: rows are grouped by the name keys (null keys form a group of
 their own); walking each group in input order, a row is removed when at least
 ``threshold`` comparable columns are equal and non-null versus an earlier row
 that was *kept*.  This is the greedy, order-dependent pass of the original
-cleaner, computed exactly with three distributed steps:
+cleaner, computed exactly and the same way for groups of every size:
 
 1. **Copy collapse.**  Identical rows with at least ``threshold`` non-null
    comparable columns are always removed after their first occurrence (an
    identical earlier copy, or whatever removed it, removes them too).  One
    ``groupBy`` with map-side partial aggregation folds them, so a hot group of
-   copies is pre-aggregated before it is shuffled.
-2. **Bounded groups** (at most ``max_group_rows`` distinct rows) run the greedy
-   pass in one task as a higher-order ``aggregate`` over the sorted group.
-3. **Large groups** never go to one task, and their pairs are never built all
-   at once.  Exact pigeonhole blocking puts every similar pair into a shared
-   bucket: two similar rows agree on every column of at least one of
-   ``C - threshold + 1`` disjoint column blocks.  The greedy result is resolved
-   in rounds.  Each round takes only the first ``bucket_window`` undecided rows
-   of every bucket (a partial top-k before the shuffle).  It pairs them with
-   the bucket's undecided rows (at most ``bucket_window`` partners per row and
-   block, verified on the spot).  Then it propagates: a row is kept once it is
-   inside all its buckets' windows and every similar predecessor is removed;
-   a row is removed as soon as one is kept.  A hot bucket advances by a window
-   per round instead of shuffling all its pairs at once.  All state is
-   checkpointed to cut lineage.
+   copies is pre-aggregated before it is shuffled.  The result is written once;
+   everything after works on its row ids and hashed cells.
+2. **Buckets.**  Two similar rows agree on every column of at least one of
+   ``C - threshold + 1`` disjoint column blocks.  The columns with the most
+   different values are blocks of their own and all others are packed into the
+   last block, so that every block is selective.  A row's buckets (hashes of
+   group, block and block values) come from one pass.
+3. **Rounds.**  A round takes the first undecided rows of every bucket (a window
+   that doubles each round), pairs them with the bucket's other undecided rows,
+   keeps the pairs that are similar, and propagates: a row is kept once it is
+   inside all its buckets' windows and every similar predecessor is removed; a
+   row is removed as soon as one is kept.  A hot bucket is an ordinary join key,
+   which adaptive execution splits.  All state is checkpointed to cut lineage.
+
+Cells are compared by their 64-bit hashes and groups by 128 bits.
 """
 
 from __future__ import annotations
@@ -35,17 +35,15 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-# Rows per bucket and round in the large-group path.  Kept below Spark's
+# Rows per bucket in the first round.  Kept below Spark's
 # ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default) so the
 # per-bucket top-k is planned as a partial limit before the shuffle.
 BUCKET_WINDOW = 512
 
 
-
 def distinct_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact distinct over a projection."""
     return df.select(*cols).dropDuplicates()
@@ -55,18 +53,12 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def _sim(y: Column, r: Column, n: int) -> Column:
-    return reduce(add, [F.coalesce((y[f"c{i}"] == r[f"c{i}"]).cast("int"), F.lit(0)) for i in range(n)])
-
-
-def _keys_equal(left: str, right: str, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys],
-                  F.lit(True))
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
 def drop_near_duplicates(df: DataFrame, keys=("apellido_cliente", "nombre_cliente"), order: str = "_row",
                          threshold: int = 30, compare: list[str] | None = None,
-                         max_group_rows: int = 2000, max_large_groups: int = 100000,
                          bucket_window: int = BUCKET_WINDOW) -> DataFrame:
     """Remove later rows that repeat >= ``threshold`` comparable columns of an earlier kept row.
 
@@ -80,94 +72,59 @@ def drop_near_duplicates(df: DataFrame, keys=("apellido_cliente", "nombre_client
         raise ValueError(f"order column {order!r} is required to define 'earlier'")
     compare = list(compare) if compare is not None else [c for c in df.columns if c not in keys and c != order]
     others = [c for c in df.columns if c not in keys and c not in compare and c != order]
-    cols_out = df.columns
+    cols_out = [_q(c) for c in df.columns]
 
     # -- 1. collapse exact copies (only where copies are provably similar) --
     nn = reduce(add, [_q(c).isNotNull().cast("int") for c in compare], F.lit(0))
     solo = F.when(nn < threshold, _q(order)).alias("_solo")
-    collapsed = (
+    rows = (
         df.groupBy(*[_q(k) for k in keys], *[_q(c) for c in compare], solo)
         .agg(F.min(F.struct(_q(order).alias(order), *[_q(c).alias(c) for c in others])).alias("_first"))
         .select(*[_q(k) for k in keys], *[_q(c) for c in compare], "_first.*")
+        .select(*cols_out)
+        .checkpoint()
     )
-
-    # -- 2. split groups by size (one small aggregate; usually no group is large) --
-    sizes = collapsed.groupBy(*[_q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    large_keys = sizes.where(F.col("_n") > max_group_rows).drop("_n")
-    n_large = large_keys.limit(max_large_groups + 1).count()
-    if n_large == 0:
-        return _fold_small(collapsed, keys, order, compare, others, threshold).select(*[_q(c) for c in cols_out])
-    if n_large <= max_large_groups:
-        large_keys = F.broadcast(large_keys)
-    cond = _keys_equal("a", "b", keys)
-    small = collapsed.alias("a").join(large_keys.alias("b"), cond, "left_anti")
-    large = collapsed.alias("a").join(large_keys.alias("b"), cond, "left_semi")
-
-    kept_small = _fold_small(small, keys, order, compare, others, threshold)
-    kept_large = _resolve_large(large, keys, order, compare, threshold, bucket_window)
-    return kept_small.select(*[_q(c) for c in cols_out]).unionByName(kept_large.select(*[_q(c) for c in cols_out]))
-
-
-def _fold_small(df: DataFrame, keys, order, compare, others, threshold) -> DataFrame:
-    row = F.struct(
-        _q(order).alias("o"),
-        *[_q(c).alias(f"c{i}") for i, c in enumerate(compare)],
-        *[_q(c).alias(f"x{i}") for i, c in enumerate(others)],
-    )
-    elem_type = df.select(row.alias("r")).schema["r"].dataType
-    empty = F.array().cast(T.ArrayType(elem_type))
-    n = len(compare)
-
-    def step(acc: Column, r: Column) -> Column:
-        dup = F.exists(acc, lambda y: _sim(y, r, n) >= threshold) if n else F.lit(threshold <= 0) & (F.size(acc) > 0)
-        return F.when(dup, acc).otherwise(F.concat(acc, F.array(r)))
-
-    folded = (
-        df.groupBy(*[_q(k) for k in keys])
-        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-        .select(*[_q(k) for k in keys], F.explode(F.aggregate("_rows", empty, step)).alias("_r"))
-    )
-    return folded.select(
-        *[_q(k) for k in keys],
-        F.col("_r.o").alias(order),
-        *[F.col(f"_r.c{i}").alias(c) for i, c in enumerate(compare)],
-        *[F.col(f"_r.x{i}").alias(c) for i, c in enumerate(others)],
-    )
-
-
-def _resolve_large(df: DataFrame, keys, order, compare, threshold, window: int) -> DataFrame:
     n = len(compare)
     if threshold > n:  # nothing can be similar
-        return df
+        return rows
     if threshold <= 0:  # everything is similar: the first row of each group survives
-        first = df.groupBy(*[_q(k) for k in keys]).agg(F.min(_q(order)).alias("_o"))
-        return df.join(first.select(F.col("_o").alias(order)), order, "left_semi")
-
-    # Pigeonhole buckets: two similar rows agree (non-null) on every column of
-    # at least one of ``n - threshold + 1`` disjoint column blocks, so every
-    # similar pair shares a bucket (group keys, block, block values).  Buckets
-    # are named by a 64-bit hash; a collision only merges buckets, which adds
-    # candidates that the verification (keys and similarity) rejects.
-    nblocks = n - threshold + 1
-    blocks = [compare[b::nblocks] for b in range(nblocks)]
-    ks = [_q(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    vec = F.struct(*[_q(c).alias(f"c{i}") for i, c in enumerate(compare)]).alias("v")
-    members = reduce(DataFrame.unionByName, [
-        df.where(reduce(lambda a, b: a & b, [_q(c).isNotNull() for c in cols]))
-        .select(_q(order).alias("o"), F.xxhash64(F.lit(b), *[_q(k) for k in keys], *[_q(c) for c in cols])
-                .alias("bucket"), *ks, vec)
-        for b, cols in enumerate(blocks)
-    ]).checkpoint()
+        first = rows.groupBy(*[_q(k) for k in keys]).agg(F.min(_q(order)).alias(order)).select(order)
+        return rows.join(first, order, "left_semi").select(*cols_out)
+    kept = _resolve(rows, keys, order, compare, threshold, bucket_window)
+    return rows.join(kept, order, "left_semi").select(*cols_out)
+
+
+def _blocks(rows: DataFrame, compare: list[str], threshold: int) -> list[list[int]]:
+    """Column numbers of each block: the most varied columns alone, the others together."""
+    counts = rows.agg(*[F.approx_count_distinct(_q(c)).alias(f"_{i}") for i, c in enumerate(compare)]).first()
+    varied = sorted(range(len(compare)), key=lambda i: (-counts[i], i))
+    alone = len(compare) - threshold
+    return [[i] for i in varied[:alone]] + [varied[alone:]]
+
+
+def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], threshold: int, window: int) -> DataFrame:
+    """Ids (as ``order``) of the rows that are kept."""
+    blocks = _blocks(rows, compare, threshold)
+    group = [x for k in keys for x in (_q(k), _q(k).isNull())]  # a hash passes over nulls, so they are marked
+    cells = rows.select(
+        _q(order).alias("o"), F.xxhash64(F.lit(1), *group).alias("g1"), F.xxhash64(F.lit(2), *group).alias("g2"),
+        F.array(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c))) for c in compare]).alias("cells"),
+    ).checkpoint()
+    buckets = [
+        F.when(_all([F.col("cells")[i].isNotNull() for i in block]), F.xxhash64(F.lit(b), "g1", "g2", *[F.col("cells")[i] for i in block]))
+        for b, block in enumerate(blocks)
+    ]
+    members = cells.select("o", F.explode(F.array_compact(F.array(*buckets))).alias("bucket")).checkpoint()
     n_mem = members.groupBy("o").agg(F.count(F.lit(1)).alias("n_mem"))
     # a row in no bucket is similar to nothing: kept at once
     state = (
-        df.select(_q(order).alias("o")).join(n_mem, "o", "left")
+        cells.select("o").join(n_mem, "o", "left")
         .select("o", F.when(F.col("n_mem").isNull(), F.lit("K")).otherwise(F.lit("U")).alias("s"),
                 F.coalesce("n_mem", F.lit(0)).alias("n_mem"))
         .checkpoint()
     )
-    same_group = reduce(lambda a, b: a & b,
-                        [F.col(f"p.k{i}").eqNullSafe(F.col(f"r.k{i}")) for i in range(len(keys))], F.lit(True))
+    same = F.aggregate(F.zip_with("p.cells", "r.cells", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), F.lit(0), add)
+    similar = (F.col("p.g1") == F.col("r.g1")) & (F.col("p.g2") == F.col("r.g2")) & (same >= threshold)
     rounds = steps = 0
     while not state.where(F.col("s") == "U").isEmpty():
         rounds += 1
@@ -180,13 +137,16 @@ def _resolve_large(df: DataFrame, keys, order, compare, threshold, window: int)
         head = live.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("o"))).where(
             F.col("_r") <= window).drop("_r")
         n_head = head.groupBy("o").agg(F.count(F.lit(1)).alias("n_head"))
-        edges = (
-            head.alias("p").join(live.alias("r"), (F.col("p.bucket") == F.col("r.bucket")) & (F.col("p.o") < F.col("r.o")))
-            .where(same_group & (_sim(F.col("p.v"), F.col("r.v"), n) >= threshold))
-            .select(F.col("p.o").alias("src"), F.col("r.o").alias("dst"))
+        pairs = (
+            head.alias("h").join(live.alias("l"), (F.col("h.bucket") == F.col("l.bucket")) & (F.col("h.o") < F.col("l.o")))
+            .select(F.col("h.o").alias("src"), F.col("l.o").alias("dst"))
             .distinct()
-            .checkpoint()
         )
+        edges = (
+            pairs.join(cells.alias("p"), F.col("src") == F.col("p.o")).join(cells.alias("r"), F.col("dst") == F.col("r.o"))
+            .where(similar).select("src", "dst").checkpoint()
+        )
+        window *= 2
         local = (
             undecided.join(n_head, "o", "left")
             .select("o", "s", "n_mem", (F.coalesce("n_head", F.lit(0)) == F.col("n_mem")).alias("complete"))
@@ -217,5 +177,4 @@ def _resolve_large(df: DataFrame, keys, order, compare, threshold, window: int)
                 break
         state = state.where(F.col("s") != "U").unionByName(local.select("o", "s", "n_mem")).checkpoint()
     log.info("near-duplicate resolution: %d rounds, %d propagation steps", rounds, steps)
-    kept = state.where(F.col("s") == "K").select(F.col("o").alias(order))
-    return df.join(kept, order, "left_semi")
+    return state.where(F.col("s") == "K").select(F.col("o").alias(order))

@@ -369,9 +369,37 @@ def q_near_duplicates(spark, sf):
 
 @register("near_duplicates_blocked", ORACLE["near_duplicates"])
 def q_near_duplicates_blocked(spark, sf):
-    """Same operator with every group forced through the distributed (large-group) path."""
-    return D.drop_near_duplicates(X.survey(spark, sf), keys=("k1", "k2"), order="id", threshold=4,
-                                  max_group_rows=0)
+    """The same with windows of a few rows, so that it takes several rounds."""
+    return D.drop_near_duplicates(X.survey(spark, sf), keys=("k1", "k2"), order="id", threshold=4, bucket_window=32)
+
+
+# Forty comparable columns over the customers: few-valued answers and some varied ones.
+_WIDE = {f"w{i}": (2 + i % 3 if i < 30 else 40 + i) for i in range(40)}
+_WIDE_SIM = " + ".join(f"coalesce(CAST(x[1].{c} = y.{c} AS INTEGER), 0)" for c in _WIDE)
+
+
+def _wide(spark, sf):
+    k = F.col("c_custkey")
+    base = F.floor(k / 3)  # neighbours share most answers
+    cells = [F.when((k + i) % 17 != 0, F.when((k * (i + 1)) % 11 == 0, k % m).otherwise(base % m)).alias(c) for i, (c, m) in enumerate(_WIDE.items())]
+    names = [F.when(k % 3 == 0, F.col("c_mktsegment")).alias("k1"), (F.col("c_nationkey") % 2).cast("string").alias("k2")]
+    return X.table(spark, sf, "customer").select(k.alias("id"), *names, *cells)
+
+
+_WIDE_CELLS = ", ".join(
+    f"CASE WHEN (k + {i}) % 17 <> 0 THEN CASE WHEN (k * {i + 1}) % 11 = 0 THEN k % {m} ELSE (k // 3) % {m} END END AS {c}" for i, (c, m) in enumerate(_WIDE.items()))
+
+
+@register("near_duplicates_wide", f"""
+WITH wide AS (SELECT k AS id, CASE WHEN k % 3 = 0 THEN c_mktsegment END AS k1, CAST(c_nationkey % 2 AS VARCHAR) AS k2, {_WIDE_CELLS}
+              FROM (SELECT c_custkey AS k, * FROM customer)),
+g AS (SELECT k1, k2, list(struct_pack(id := id, k1 := k1, k2 := k2, {', '.join(f'{c} := {c}' for c in _WIDE)}) ORDER BY id) AS l FROM wide GROUP BY k1, k2),
+k AS (SELECT unnest(list_reduce(list_transform(l, lambda x: [x]),
+        lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: ({_WIDE_SIM}) >= 30)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS r FROM g)
+SELECT r.id AS id, r.k1 AS k1, r.k2 AS k2, r.w0 AS w0, r.w39 AS w39 FROM k""")
+def q_near_duplicates_wide(spark, sf):
+    """D1 at its default threshold over forty columns, with a group of two thirds of the rows."""
+    return D.drop_near_duplicates(_wide(spark, sf), keys=("k1", "k2"), order="id").select("id", "k1", "k2", "w0", "w39")
 
 
 # ================================================================ joins ====

@@ -61,7 +61,7 @@ def test_fold_matches_brute_force(spark, seed, threshold):
 @pytest.mark.parametrize("seed,threshold", [(11, 4), (12, 3), (13, 0), (14, 7)])
 def test_distributed_path_matches_brute_force(spark, seed, threshold):
     rows = make_rows(seed, 150)
-    out = drop_near_duplicates(to_df(spark, rows), ("k1", "k2"), order="id", threshold=threshold, max_group_rows=0)
+    out = drop_near_duplicates(to_df(spark, rows), ("k1", "k2"), order="id", threshold=threshold)
     assert sorted(r.id for r in out.collect()) == brute_force(rows, threshold)
 
 
@@ -72,10 +72,32 @@ def test_windowed_rounds_match_brute_force(spark, seed, threshold, window):
     for r in rows[: len(rows) * 2 // 3]:
         r["k1"], r["k2"] = None, None  # one hot (null-name) group
     out = drop_near_duplicates(to_df(spark, rows), ("k1", "k2"), order="id", threshold=threshold,
-                               max_group_rows=0, bucket_window=window)
+                               bucket_window=window)
     assert sorted(r.id for r in out.collect()) == brute_force(rows, threshold)
 
 
+def test_wide_rows_hot_group_and_low_cardinality(spark):
+    """Forty columns, most of them yes/no, threshold 30, two thirds of the rows without names."""
+    rnd = random.Random(5)
+    cols = [f"q{i}" for i in range(40)]
+    base = [{c: rnd.randint(0, 500) if i < 8 else rnd.choice([0, 1, 1, None]) if i < 12 else rnd.choice([0, 1]) for i, c in enumerate(cols)} for _ in range(12)]
+    rows = []
+    for i in range(220):
+        r = {"id": i, "k1": None if rnd.random() < 0.66 else rnd.choice("ab"), "k2": None, **rnd.choice(base)}
+        for c in rnd.sample(cols, rnd.choice([0, 2, 4, 6, 20])):
+            r[c] = rnd.randint(0, 500)
+        rows.append(r)
+    kept = []
+    for r in rows:
+        if not any(k["k1"] == r["k1"] and sum(k[c] is not None and k[c] == r[c] for c in cols) >= 30 for k in kept):
+            kept.append(r)
+    schema = "id long, k1 string, k2 string, " + ", ".join(f"{c} int" for c in cols)
+    df = spark.createDataFrame([tuple(r[c] for c in ("id", "k1", "k2", *cols)) for r in rows], schema)
+    out = drop_near_duplicates(df, ("k1", "k2"), order="id", threshold=30, bucket_window=5)
+    assert sorted(r.id for r in out.collect()) == [r["id"] for r in kept]
+    assert 12 < len(kept) < 200
+
+
 def test_bucket_window_is_partial_top_k(spark):
     """The per-bucket window is planned as a partial WindowGroupLimit (pre-shuffle)."""
     from pyspark.sql import Window
