@@ -905,6 +905,59 @@ def q_merge_columns(spark, sf):
     return P.merge_columns(P.stringify(P.normalize_columns(raw)), NAME_MAPPING)
 
 
+_SURVEY_IP = "concat_ws('.', CAST(id % 223 + 1 AS VARCHAR), CAST(id % 256 AS VARCHAR), CAST(id % 100 AS VARCHAR), '7')"
+
+
+@register("prepared_survey", X.with_views(f"""
+, r AS (SELECT id, lower({_WS.format(x='email')}) AS email, regexp_replace(telefono, '[^0-9]', '', 'g') AS t, coalesce(trim(tiempo_empleado), '') AS te,
+               CASE WHEN id % 7 < 3 THEN true WHEN id % 7 < 6 THEN false END AS recomienda,
+               'Brand#' || CAST(1 + id % 5 AS VARCHAR) || CAST(1 + id // 5 % 5 AS VARCHAR) AS modelo, {_SURVEY_IP} AS ip, id % 223 + 1 AS block,
+               try_strptime(respondido, '%d/%m/%Y %H:%M:%S') AS respondido FROM contacts),
+p AS (SELECT *, CASE WHEN starts_with(t, '0034') THEN substr(t, 5) WHEN starts_with(t, '34') THEN substr(t, 3) ELSE t END AS tel FROM r),
+kept AS (SELECT * FROM p
+  WHERE email IS NOT NULL AND length(email) > 0 AND regexp_matches(email, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w{{2,}}$')
+    AND NOT regexp_matches(email, '{CL.EMAIL_BAD_START}') AND NOT ({_SUFFIX_SQL}) AND email NOT IN {_sql_list(CL.EMAIL_FAKE_EXACT)}
+    AND length(tel) = 9 AND regexp_matches(tel, '^[0-9]{{9}}$') AND NOT regexp_matches(tel, '{CL.PHONE_FAKE_PREFIX}')
+    AND tel NOT IN {_sql_list(CL.PHONE_PLACEHOLDERS)})
+SELECT CAST(id AS VARCHAR) AS id, email, tel AS "teléfono",
+       CAST(coalesce(TRY_CAST(nullif(regexp_extract(te, '(\\d+)m', 1), '') AS BIGINT), 0) * 60
+          + coalesce(TRY_CAST(nullif(regexp_extract(te, '(\\d+)s', 1), '') AS BIGINT), 0) AS BIGINT) AS tiempo_empleado,
+       recomienda, modelo, tecnologia, respondido, CAST(respondido AS DATE) AS respondido_fecha, strftime(respondido, '%H:%M:%S') AS respondido_hora, ip,
+       CASE WHEN block % 2 = 0 THEN 'C' || CAST(block AS VARCHAR) END AS ip_city, d.renta_media
+FROM kept LEFT JOIN tech_dim ON modelo = tech_dim.model
+LEFT JOIN (SELECT CASE WHEN length(codigo_postal) < 5 THEN lpad(codigo_postal, 5, '0') ELSE codigo_postal END AS pc, renta_media FROM income_dim) d
+  ON block % 2 = 0 AND lpad(CAST(block * 37 AS VARCHAR), 5, '0') = d.pc""", CT, X.TECH_SQL, X.INCOME_SQL))
+def q_prepared_survey(spark, sf):
+    """The whole preparation: two CSV workbooks with a question sheet, one repeating rows of
+    the other (S10, S1, S3), cleaned, deduplicated, typed and enriched, stored and read
+    back (S9, S6, S13)."""
+    from feedloom.plans.preparation import prepare_survey
+    from feedloom.sources import ingest as S
+    from feedloom.sources import sinks as K
+
+    root = _scratch(spark, "prepared")
+    i = F.col("id")
+    text = lambda c: c.cast("string")
+    raw = X.contacts(spark, sf).select(
+        i.alias("ID"), F.concat(F.lit("Ruiz "), text(i)).alias("Apellido Cliente"), F.concat(F.lit("Ana "), text(i)).alias("Nombre Cliente"),
+        F.col("email").alias("Email"), F.col("telefono").alias("Teléfono"), F.col("tiempo_empleado").alias("Tiempo Empleado"),
+        F.when(i % 7 < 3, "S").when(i % 7 < 6, "n").otherwise("-").alias("Q1"),
+        F.concat(F.lit("Brand#"), text(1 + i % 5), text(1 + F.floor(i / 5) % 5)).alias("Modelo Coche"),
+        F.col("respondido").alias("Respondido"), F.concat_ws(".", text(i % 223 + 1), text(i % 256), text(i % 100), F.lit("7")).alias("IP"),
+    )
+    K.export_csv(raw, raw.columns, f"{root}/raw/a__Ventas.csv")
+    K.export_csv(raw.where(i % 3 == 0), raw.columns, f"{root}/raw/b__Ventas.csv")
+    questions = spark.createDataFrame([("Q1", "¿Recomendaría?")], "`Display ID` string, Questionnaire string")
+    for book in "ab":
+        K.export_csv(questions, questions.columns, f"{root}/raw/{book}__Questionnaire.csv")
+    facts = prepare_survey(
+        S.read_survey(spark, f"{root}/raw", "Ventas"), X.technology_dim(spark, sf).withColumnRenamed("model", "modelo"),
+        {"modelo coche": "modelo", "¿recomendaría?": "recomienda"}, X.city_ranges(spark, sf), X.asn_ranges(spark, sf), X.income_dim(spark, sf), threshold=2)
+    K.write_table(facts.drop("_row"), f"{root}/facts")
+    return S.read_processed(spark, f"{root}/facts").select(
+        "id", "email", "teléfono", "tiempo_empleado", "recomienda", "modelo", "tecnologia", "respondido", "respondido_fecha", "respondido_hora", "ip", "ip_city", "renta_media")
+
+
 def _raw_verbatims(spark, sf, with_service: bool = False):
     v = X.verbatims(spark, sf)
     resp = F.date_format(

@@ -14,6 +14,7 @@ from feedloom.operators import cleaning as C
 from feedloom.operators import columns as P
 from feedloom.operators import dedup as D
 from feedloom.operators import enrich as J
+from feedloom.sources.sinks import materialize
 
 
 def prepare_survey(raw: DataFrame, tech_dim: DataFrame | None = None, mapping=None,
@@ -21,8 +22,11 @@ def prepare_survey(raw: DataFrame, tech_dim: DataFrame | None = None, mapping=No
     """Clean, type and enrich one kind of survey facts (sales or after-sales).
 
     ``raw`` is the union of per-file extracts (all strings, normalised names,
-    with an ``order`` column).  Steps whose columns are absent are skipped.
+    with an ``order`` column).  Steps whose columns are absent are skipped.  What later
+    steps read twice is materialised: the input before rows are compared, the kept rows
+    before their yes/no columns are found.
     """
+    raw = materialize(raw)
     df = D.drop_near_duplicates(raw, ("apellido_cliente", "nombre_cliente"), order=order, threshold=threshold,
                                 compare=[c for c in raw.columns
                                          if c not in ("apellido_cliente", "nombre_cliente", order, "_file")])
@@ -33,7 +37,7 @@ def prepare_survey(raw: DataFrame, tech_dim: DataFrame | None = None, mapping=No
         df = C.clean_email(df, "email")
     if "teléfono" in cols:
         df = C.clean_phone_es(df, "teléfono")
-    df = C.dash_to_null(df)
+    df = materialize(C.dash_to_null(df))
     lineage = [c for c in (order, "_file") if c in df.columns]
     df = C.infer_bool(df, [c for c in df.columns if c not in lineage and c != "tiempo_empleado"])
     if mapping is not None:
