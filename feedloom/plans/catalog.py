@@ -435,6 +435,32 @@ def q_enrich_ip(spark, sf):
     return J.enrich_ip(X.event_ips(spark, sf), X.city_ranges(spark, sf), X.asn_ranges(spark, sf))
 
 
+@register("enrich_ip_dense", """
+WITH e AS (SELECT event_id, user_id % 256 AS u, event_id % 200 AS b FROM events),
+i AS (SELECT event_id, u, b, event_id % 9 AS kind FROM e)
+SELECT event_id,
+  CASE kind WHEN 0 THEN NULL WHEN 1 THEN '010.1.' || b || '.' || u WHEN 2 THEN ' 10.1.' || b || '.' || u WHEN 3 THEN '2001:db8::' || lower(to_hex(b * 256 + u))
+            WHEN 4 THEN '2001:0DB8:0:0::' || upper(to_hex(b * 256 + u)) ELSE '10.1.' || b || '.' || u END AS ip,
+  CASE WHEN kind IN (3, 4) AND u < 128 THEN 'v6-' || b WHEN kind > 4 AND b < 150 AND u % 8 < 6 THEN 'v4-' || b || '-' || (u // 8) WHEN kind > 4 AND b BETWEEN 140 AND 180 THEN 'wide' END AS ip_city
+FROM i""")
+def q_enrich_ip_dense(spark, sf):
+    """J2 with thousands of ranges inside one /16 under a wide one, IPv6 ranges, and texts that are no address."""
+    k, n = F.col("id"), lambda c: c.cast("string")
+    four = spark.range(150 * 32).select(
+        F.concat(F.lit("10.1."), n(F.floor(k / 32)), F.lit("."), n(k % 32 * 8)).alias("ip_lo"),
+        F.concat(F.lit("10.1."), n(F.floor(k / 32)), F.lit("."), n(k % 32 * 8 + 5)).alias("ip_hi"), F.concat(F.lit("v4-"), n(F.floor(k / 32)), F.lit("-"), n(k % 32)).alias("city"))
+    six = spark.range(200).select(
+        F.concat(F.lit("2001:db8::"), F.hex(k * 256)).alias("ip_lo"), F.concat(F.lit("2001:db8::"), F.hex(k * 256 + 127)).alias("ip_hi"), F.concat(F.lit("v6-"), n(k)).alias("city"))
+    wide = spark.range(1).select(F.lit("10.1.140.0").alias("ip_lo"), F.lit("10.1.180.255").alias("ip_hi"), F.lit("wide").alias("city"))
+    asn = spark.createDataFrame([("10.0.0.0", "10.255.255.255"), ("2001:db8::", "2001:db8::ffff:ffff")], "ip_lo string, ip_hi string")
+    b, u, kind = F.col("event_id") % 200, F.col("user_id") % 256, F.col("event_id") % 9
+    text = F.concat(F.lit("10.1."), n(b), F.lit("."), n(u))
+    ip = (F.when(kind == 0, None).when(kind == 1, F.concat(F.lit("0"), text)).when(kind == 2, F.concat(F.lit(" "), text))
+          .when(kind == 3, F.concat(F.lit("2001:db8::"), F.lower(F.hex(b * 256 + u)))).when(kind == 4, F.concat(F.lit("2001:0DB8:0:0::"), F.hex(b * 256 + u))).otherwise(text))
+    events = X.table(spark, sf, "events").select("event_id", ip.alias("ip"))
+    return J.enrich_ip(events, four.unionByName(six).unionByName(wide), asn).select("event_id", "ip", "ip_city")
+
+
 @register("enrich_income", X.with_views(_GEO_SQL + """
 SELECT e.event_id, e.ip, e.ip_postal_code, d.renta_media FROM enriched e
 LEFT JOIN (SELECT CASE WHEN length(codigo_postal) < 5 THEN lpad(codigo_postal, 5, '0') ELSE codigo_postal END AS pc,
@@ -873,6 +899,49 @@ def q_survey_extracts(spark, sf):
     return S.read_survey(spark, root, "Ventas").drop("_row").withColumn("_file", F.regexp_replace("_file", "^book=", ""))
 
 
+# Texts with what CSV must protect: line breaks, quotes, separators, blanks at the ends.
+_HARD_TEXT_SQL = """CASE doc_id % 4 WHEN 0 THEN '"' || text || '"' WHEN 1 THEN ' ' || text || chr(10) || 'a,"b""c"' WHEN 2 THEN replace(text, ' ', ',"') ELSE text END"""
+
+
+@register("free_text_csv", f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, {_HARD_TEXT_SQL} AS text, via FROM documents, (VALUES ('survey'), ('sheet'), ('tagged')) v(via)
+WHERE text IS NOT NULL AND text <> ''""")
+def q_free_text_csv(spark, sf):
+    """Whole document texts through S10 and back by S1, S2 and S4, character for character."""
+    from feedloom.sources import ingest as S
+    from feedloom.sources import sinks as K
+
+    root = _scratch(spark, "texts")
+    k, t = F.col("doc_id"), F.col("text")
+    hard = (F.when(k % 4 == 0, F.concat(F.lit('"'), t, F.lit('"'))).when(k % 4 == 1, F.concat(F.lit(" "), t, F.lit('\na,"b""c"')))
+            .when(k % 4 == 2, F.replace(t, F.lit(" "), F.lit(',"'))).otherwise(t))
+    d = X.table(spark, sf, "documents").where(t.isNotNull() & (t != "")).select(k.alias("id"), hard.alias("text"))
+    for sheet in ("Ventas", "sheet0"):
+        K.export_csv(d, ["id", "text"], f"{root}/libro__{sheet}.csv")
+    survey = S.read_survey(spark, root, "Ventas").select("id", "text", F.lit("survey").alias("via"))
+    sheet = S.read_verbatims(spark, root)[0].withColumn("via", F.lit("sheet"))
+    tagged = S.read_tagged(spark, {f"{root}/libro__Ventas.csv": "tagged"}, tag="via")
+    return survey.unionByName(sheet).unionByName(tagged)
+
+
+@register("tagged_drift", """
+SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 <> 2 THEN c_name END AS nombre,
+       CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segmento, CASE c_custkey % 3 WHEN 0 THEN 'Enero' WHEN 1 THEN 'Febrero' ELSE 'Año nuevo' END AS mes
+FROM customer""")
+def q_tagged_drift(spark, sf):
+    """S4 + U2 over monthly files whose columns drift and change places, one with a non-ASCII name."""
+    from feedloom.sources import ingest as S
+    from feedloom.sources import sinks as K
+
+    root = _scratch(spark, "drift")
+    c = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nombre"), F.col("c_mktsegment").alias("segmento"))
+    files = {}
+    for k, (name, label, cols) in enumerate([("m/enero.csv", "Enero", ["id", "nombre"]), ("n/enero.csv", "Febrero", ["segmento", "nombre", "id"]), ("año 1.csv", "Año nuevo", ["segmento", "id"])]):
+        K.export_csv(c.where(F.col("id") % 3 == k), cols, f"{root}/{name}")
+        files[f"{root}/{name}"] = label
+    return S.read_tagged(spark, files | {f"{root}/falta.csv": "Nunca"}, tag="mes")
+
+
 # ====================================================== schema (P1-P8) ====
 
 # Column-name dictionary used by the merge query (original spelling -> canonical).

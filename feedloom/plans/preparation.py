@@ -59,7 +59,7 @@ def prepare_verbatims(raw: DataFrame) -> DataFrame:
         return raw
     df = raw
     if "Date of Response" in df.columns:
-        df = df.withColumn("Date", parse_datetime("Date of Response").cast("date"))
+        df = P.with_date(df.withColumn("Date of Response", parse_datetime("Date of Response")), "Date of Response", "Date")
     df = P.drop_if_exists(df, P.VERBATIM_DROPS)
     df = P.rename(df, P.VERBATIM_RENAMES)
     if "Tecnología" in df.columns:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators.columns import name_key
+from feedloom.operators.columns import name_key, project
 from feedloom.sources.ingest import path_exists
 
 
@@ -46,7 +46,7 @@ def export_name(kind: str, segment: str) -> str:
 
 def export_csv(df: DataFrame, cols: list[str], path: str, mode: str = "overwrite") -> None:
     """CSV export (with header) of a projected verbatim list."""
-    df.select(*cols).write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
+    project(df, cols).write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
 
 
 def embeddings_store(spark: SparkSession, root: str, service: str, build: Callable[[], DataFrame]) -> DataFrame:
