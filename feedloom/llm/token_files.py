@@ -13,7 +13,7 @@ mask (rotate right by 15, add a constant) keeps a checksum of data that itself h
 checksums from being trivial.  Frames leave Spark through its text sink, as raw bytes,
 and come back through its binaryFile source, so any store that Spark knows will do.
 
-Files are kept near ``file_tokens`` so that one fits a task's memory.  The index, a
+A file holds as many records as make ``FILE_BYTES`` of average text.  The index, a
 Parquet table beside the files, has a row per record (file, offset, length, doc_id,
 n_tokens, start); ``read_records`` gives every reader its records in a shuffled order
 from it, without scanning for frame borders.
@@ -37,8 +37,8 @@ from feedloom.llm.common import byte_bpe, load_tokenizer, public_tokenizer, shar
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8  # fixed value: the constant that masks checksums
-#: Records per file at most; with texts of a few thousand bytes a file stays in the tens of MB.
-RECORDS_PER_FILE = 20_000
+#: Bytes of text per file aimed at, by the mean length of the texts; a file is read back whole.
+FILE_BYTES = 32 << 20
 
 _INDEX = "file string, offset bigint, length bigint, doc_id string, n_tokens bigint, ids_crc32 bigint, start_in_file bigint"
 
@@ -87,9 +87,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str) -> None:
                     out.append(frame(struct.pack("<Bq", doc_id is not None, int(doc_id or 0)) + ids))
                 yield pd.DataFrame({"frame": out})
 
+    mean = docs.agg(F.avg(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    per_file = max(1, int(FILE_BYTES / (mean + 32)))
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     frames = ordered.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(records, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

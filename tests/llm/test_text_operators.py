@@ -87,9 +87,9 @@ def test_op10_encodes_and_decodes(odd_docs):
 # --- token files ------------------------------------------------------------
 
 
-@pytest.mark.parametrize("per_file", [20_000, 3])
-def test_op2_round_trip(spark, odd_docs, monkeypatch, per_file):
-    monkeypatch.setattr(token_files, "RECORDS_PER_FILE", per_file)
+@pytest.mark.parametrize("file_bytes", [token_files.FILE_BYTES, 10_000])
+def test_op2_round_trip(spark, odd_docs, monkeypatch, file_bytes):
+    monkeypatch.setattr(token_files, "FILE_BYTES", file_bytes)
     docs = odd_docs.unionByName(odd_docs.sparkSession.createDataFrame([(k, f"text {k} " * k) for k in range(10, 60)], "doc_id bigint, text string"), allowMissingColumns=True)
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.op2_token_files(docs).collect()), key=lambda r: r[0])
     rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
