@@ -66,9 +66,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
 
 
+def lowered(text: str | None) -> bytes:
+    """A text as UTF-8 (null: empty); bytes lower A-Z alone, and split at [\\x20\\x09-\\x0D] alone."""
+    return (text or "").encode().lower()
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8; bytes lower A-Z alone and split at [\\x20\\x09-\\x0D] alone."""
-    return (text or "").encode().lower().split()
+    """Words of a text as UTF-8."""
+    return lowered(text).split()
 
 
 @lru_cache(maxsize=2)
@@ -92,11 +97,10 @@ def subwords(encoder, word: bytes) -> list[int]:
 # --- topics -----------------------------------------------------------------
 
 
-def byte_histogram(text: str | None):
-    """Square roots of the byte shares of the lowered text: near for texts of one language or kind."""
+def byte_histogram(raw: bytes):
+    """Square roots of the byte shares of a lowered text: near for texts of one language or kind."""
     import numpy as np
 
-    raw = (text or "").encode().lower()
     return np.sqrt(np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(1, len(raw))).astype(np.float32)
 
 
@@ -110,7 +114,7 @@ def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = 12
 
     def histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"h": [byte_histogram(t).tolist() for t in batch["text"]]})
+            yield pd.DataFrame({"h": [byte_histogram(lowered(t)).tolist() for t in batch["text"]]})
 
     x = np.array([r.h for r in sample.mapInPandas(histograms, "h array<float>").limit(topic_sample).collect()], dtype=np.float32).reshape(-1, 256)
     if not len(x):
@@ -147,9 +151,10 @@ def word_counts(training: DataFrame, centroids) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                topic = int(((centroids - byte_histogram(text)) ** 2).sum(axis=1).argmin())
+                raw = lowered(text)
+                topic = int(((centroids - byte_histogram(raw)) ** 2).sum(axis=1).argmin())
                 own = seen.setdefault(topic, Counter())
-                own.update(words_of(text))
+                own.update(raw.split())
                 own[None] += 1
             if sum(map(len, seen.values())) > _TASK_WORDS:
                 yield flush()
@@ -463,10 +468,11 @@ class Scorer:
         at = np.array([find(w, -1) for w in flat], dtype=np.int64)
         doc = np.repeat(np.arange(len(texts)), n_words)
         rare = np.flatnonzero(at < 0)
-        new = {w: i for i, w in enumerate(dict.fromkeys(flat[i] for i in rare))}
+        rare_words = [flat[i] for i in rare.tolist()]
+        new = {w: i for i, w in enumerate(dict.fromkeys(rare_words))}
         more = [subwords(self.encoder, w) for w in new]
         if new:
-            at[rare] = [len(self.lengths) + new[flat[i]] for i in rare]
+            at[rare] = np.array([new[w] for w in rare_words]) + len(self.lengths)
         lengths = np.concatenate((self.lengths, np.array([len(x) for x in more], dtype=np.int64)))
         ids = np.concatenate((self.ids, np.array([i for x in more for i in x], dtype=np.int64)))
         begins = np.cumsum(lengths) - lengths
@@ -486,7 +492,7 @@ class Scorer:
         often = at < len(self.lengths)
         known = np.bincount(doc[often], weights=self.frequent.counts[at[often]] > 0, minlength=len(texts)).astype(np.int64)
         base = np.bincount(doc[often], weights=self.frequent.log_base[at[often]], minlength=len(texts))
-        return n_words, known, base, log / np.log(10), Counter((doc[i], flat[i]) for i in rare)
+        return n_words, known, base, log / np.log(10), Counter(zip(doc[rare].tolist(), rare_words))
 
 
 _KEPT: list = []  # the worker's last broadcast value and its scorer
