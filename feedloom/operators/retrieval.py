@@ -215,11 +215,20 @@ def history_window(conv: DataFrame, n: int = 4, conv_id: str = "conv_id", turn:
 TOKEN_PATTERN = r"[^\p{L}\p{N}_]+"
 
 
-def token_buckets(c, buckets: int) -> Column:
-    """Bucket numbers of a text's lower-cased words: the first 8 hex digits of each word's md5, modulo ``buckets``."""
+def words(c) -> Column:
+    """Lower-cased words of a text (null: none)."""
     c = F.col(c) if isinstance(c, str) else c
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_PATTERN), lambda t: t != "")
-    return F.transform(words, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets).cast("int"))
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_PATTERN), lambda t: t != "")
+
+
+def bucket(word: Column, buckets: int) -> Column:
+    """Bucket number of a word: the first 8 hex digits of its md5, modulo ``buckets``."""
+    return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
+
+
+def token_buckets(c, buckets: int) -> Column:
+    """Bucket numbers of a text's words."""
+    return F.transform(words(c), lambda t: bucket(t, buckets))
 
 
 def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_features: int = 1 << 18,
@@ -230,7 +239,9 @@ def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_
     the bucket + 1)).  Counts are combined before they are shuffled; the document
     frequencies have at most ``num_features`` rows.  A row without words has no entry.
     """
-    counted = df.select(id_col, F.explode(token_buckets(text, num_features)).alias("index")).groupBy(id_col, "index").agg(F.count(F.lit(1)).alias("n"))
+    # counted by word first: each word of a row is hashed once, and by all tasks
+    by_word = df.select(id_col, F.explode(words(text)).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = by_word.groupBy(id_col, bucket(F.col("word"), num_features).alias("index")).agg(F.sum("n").alias("n"))
     counted = counted.checkpoint(eager=True)  # used for the frequencies and for the weights
     rows = F.lit(df.count())
     weights = counted.groupBy("index").agg(F.log((rows + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
