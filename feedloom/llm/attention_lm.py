@@ -37,6 +37,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,7 +54,7 @@ STRIDE = 24
 KEY_DIMS = 8
 TRAINING_SHARE = 32
 SHARD_DOCS = 1_000
-ROUNDS = 2
+ROUNDS = 1
 FREQUENT_WORDS = 300_000
 TOPIC_SAMPLE = 4_096
 _TASK_WORDS = 500_000  # different words that a task counts before it passes them on
@@ -172,18 +173,19 @@ def bigram_counts(counts: DataFrame, ranks: str) -> DataFrame:
 
         encoder = subword_encoder(ranks)
         for batch in batches:
-            pairs, topics, ns = [], [], []
-            for word, topic, n in zip(batch["word"], batch["topic"], batch["n"]):
-                ids = [] if word is None else subwords(encoder, bytes(word))
-                pairs += zip([-1, *ids], [*ids, -1])
-                topics += [topic] * (len(ids) + 1)
-                ns += [n] * (len(ids) + 1)
-            if not pairs:
+            ids = [[] if word is None else subwords(encoder, bytes(word)) for word in batch["word"]]
+            if not ids:
                 continue
-            p = np.array(pairs, dtype=np.int64)
-            key = (np.array(topics, dtype=np.int64) << 40) + ((p[:, 0] + 1) << 20) + p[:, 1] + 1
+            lengths = np.array([len(x) for x in ids], dtype=np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+            slot = np.arange(len(flat)) + np.repeat(np.arange(len(ids)), lengths)
+            previous = np.full(len(flat) + len(ids), -1, dtype=np.int64)
+            following = previous.copy()
+            following[slot] = previous[slot + 1] = flat
+            topics, ns = (np.repeat(batch[c].to_numpy(), lengths + 1) for c in ("topic", "n"))
+            key = (topics.astype(np.int64) << 40) + ((previous + 1) << 20) + following + 1
             key, at = np.unique(key, return_inverse=True)
-            n = np.bincount(at, weights=np.array(ns, dtype=np.float64)).astype(np.int64)
+            n = np.bincount(at, weights=ns).astype(np.int64)
             yield pd.DataFrame({"topic": key >> 40, "prev": ((key >> 20) & 0xFFFFF) - 1, "next": (key & 0xFFFFF) - 1, "n": n})
 
     found = counts.select("word", "topic", "n").mapInPandas(inside, "topic int, prev int, next int, n bigint")
@@ -313,12 +315,14 @@ def attend(model: Model, previous, following, at, begin, end):
     tokens = previous[context]
     asked = tokens[:, WINDOW - STRIDE :]
     scored = there[:, WINDOW - STRIDE :]
-    q, k, v = model.query[asked], model.key[tokens], model.value[tokens]
+    # a column of ones sums the weights in the product with the values; what is not there has a row of zeros
+    values = np.zeros((model.classes + 1, model.value.shape[1] + 1), np.float32)
+    values[:-1, :-1], values[:-1, -1] = model.value, 1
+    q, k, v = model.query[asked], model.key[tokens], values[np.where(there, tokens, model.classes)]
     weight = np.matmul(q, k.transpose(0, 2, 1))
     weight += _distance_bias(model)
     np.exp(weight, out=weight)
-    # a column of ones sums the weights in the same product
-    summed = np.matmul(weight, np.concatenate((v, np.ones_like(v[:, :, :1])), axis=2) * there[:, :, None])
+    summed = np.matmul(weight, v)
     total = summed[:, :, -1:] + 1e-30
     gates = summed[:, :, :-1] / total
     gates += model.bias
@@ -328,7 +332,7 @@ def attend(model: Model, previous, following, at, begin, end):
     mixed = gates * model.experts[asked.astype(np.int64) * model.classes + target]
     one = np.ones(gates.shape[2], np.float32)
     p = (mixed.reshape(-1, len(one)) @ one) / (gates.reshape(-1, len(one)) @ one + 1e-30)
-    return tokens, asked, scored, there, q, k, v, weight, total, gates, mixed, p.reshape(scored.shape)
+    return tokens, asked, scored, there, q, k, v[:, :, :-1], weight, total, gates, mixed, p.reshape(scored.shape)
 
 
 def _distance_bias(model: Model):
@@ -445,6 +449,15 @@ class Frequent:
     log_base: object  # log10 of the baseline's probability
 
 
+def _runs(values, begins, lengths):
+    """Runs of ``values``, each from its begin and as long as its length, end to end."""
+    import numpy as np
+
+    ends = np.cumsum(lengths, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat((begins - (ends - lengths)).astype(np.int32), lengths) + np.arange(total, dtype=np.int32)]
+
+
 class Scorer:
     """Per worker: the frequent words' classes and baseline values."""
 
@@ -453,46 +466,60 @@ class Scorer:
 
         self.model, self.frequent, self.encoder = model, frequent, subword_encoder(ranks)
         self.place = {w: i for i, w in enumerate(frequent.words)}
-        ids = [subwords(self.encoder, w) for w in frequent.words]
-        self.lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        self.ids = np.array([i for x in ids for i in x], dtype=np.int64)
+        self.lengths, self.classes, self.shares = self._pieces(frequent.words)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def _pieces(self, words: list[bytes]):
+        """Of each word: how many subwords, their classes end to end, the log of their shares of the classes."""
+        import numpy as np
+
+        ids = [subwords(self.encoder, w) for w in words]
+        lengths = np.array([len(x) for x in ids], dtype=np.int32)
+        flat = np.array([i for x in ids for i in x], dtype=np.int64)
+        shares = np.bincount(np.repeat(np.arange(len(ids)), lengths), weights=self.model.share[flat], minlength=len(ids))
+        return lengths, self.model.class_of[flat], shares
 
     def score(self, texts: list[str | None]):
-        """(n_words, known, base of frequent words, score) arrays, and how often each text has each rarer word."""
+        """(n_words, known, base of frequent words, score) arrays, and how often each text has each rarer word.
+
+        What a word has of its own (subwords, shares, baseline) is looked up per word;
+        only classes are laid out per subword.
+        """
         import numpy as np
 
-        model, find = self.model, self.place.get
+        model, n = self.model, len(texts)
         split = [words_of(t) for t in texts]
         n_words = np.array([len(w) for w in split], dtype=np.int64)
         flat = [w for ws in split for w in ws]
-        at = np.array([find(w, -1) for w in flat], dtype=np.int64)
-        doc = np.repeat(np.arange(len(texts)), n_words)
-        rare = np.flatnonzero(at < 0)
-        rare_words = [flat[i] for i in rare.tolist()]
-        new = {w: i for i, w in enumerate(dict.fromkeys(rare_words))}
-        more = [subwords(self.encoder, w) for w in new]
-        if new:
-            at[rare] = np.array([new[w] for w in rare_words]) + len(self.lengths)
-        lengths = np.concatenate((self.lengths, np.array([len(x) for x in more], dtype=np.int64)))
-        ids = np.concatenate((self.ids, np.array([i for x in more for i in x], dtype=np.int64)))
-        begins = np.cumsum(lengths) - lengths
+        # the large dictionary and tables once per different word; the rest works on small arrays
+        different = set(flat)
+        often = [w for w in different if w in self.place]
+        new = list(different.difference(often))
+        local = {w: k for k, w in enumerate((*often, *new))}
+        at = np.array([local[w] for w in flat], dtype=np.int32)
+        doc = np.repeat(np.arange(n), n_words)
+        here = np.array([self.place[w] for w in often], dtype=np.int64)
+        new_lengths, new_classes, new_shares = self._pieces(new)
+        lengths = np.concatenate((self.lengths[here], new_lengths))
+        classes = np.concatenate((_runs(self.classes, self.begins[here], self.lengths[here]), new_classes))
+        shares = np.concatenate((self.shares[here], new_shares))
+        known_word = np.concatenate((self.frequent.counts[here] > 0, np.zeros(len(new), bool)))
+        word_base = np.concatenate((self.frequent.log_base[here], np.zeros(len(new))))
         each = lengths[at]
-        token = ids[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begins[at], each)]
-        token_doc = np.repeat(doc, each)
-        n_tokens = np.bincount(token_doc, minlength=len(texts))
+        token = _runs(classes, (np.cumsum(lengths) - lengths)[at], each)
+        n_tokens = np.bincount(doc, weights=each, minlength=n).astype(np.int64)
         # a start before and an end behind each document's classes
-        edge = model.classes - 1
-        slot = np.arange(len(token)) + token_doc
-        previous = np.full(len(token) + len(texts), edge, np.int32)
+        previous = np.full(len(token) + n, model.classes - 1, np.int32)
         following = previous.copy()
-        previous[slot + 1] = model.class_of[token]
-        following[slot] = model.class_of[token]
+        stops = np.cumsum(n_tokens)
+        for d, (i, j) in enumerate(zip((stops - n_tokens).tolist(), stops.tolist())):
+            previous[i + d + 1 : j + d + 1] = following[i + d : j + d] = token[i:j]
         log = text_scores(model, previous, following, n_tokens + 1)
-        log += np.bincount(token_doc, weights=model.share[token], minlength=len(texts))
-        often = at < len(self.lengths)
-        known = np.bincount(doc[often], weights=self.frequent.counts[at[often]] > 0, minlength=len(texts)).astype(np.int64)
-        base = np.bincount(doc[often], weights=self.frequent.log_base[at[often]], minlength=len(texts))
-        return n_words, known, base, log / np.log(10), Counter(zip(doc[rare].tolist(), rare_words))
+        log += np.bincount(doc, weights=shares[at], minlength=n)
+        known = np.bincount(doc, weights=known_word[at], minlength=n).astype(np.int64)
+        base = np.bincount(doc, weights=word_base[at], minlength=n)
+        rare = np.flatnonzero(at >= len(often))
+        return n_words, known, base, log / np.log(10), Counter(zip(doc[rare].tolist(), [flat[i] for i in rare.tolist()]))
 
 
 _KEPT: list = []  # the worker's last broadcast value and its scorer
@@ -542,8 +569,8 @@ def lm_scores(docs: DataFrame, ranks: str) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(sent, ranks)
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.iloc[at : at + 128]
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
                 n_words, known, base, log, rare = scorer.score(part["text"].tolist())
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n_words": n_words, "known": known, "base": base, "log": log})
                 if rare:
