@@ -7,16 +7,17 @@ ids, then one end.  The model's probability of the next subword is
 
 P_k are ``EXPERTS`` bigram tables over the commonest subwords (rarer ones share two
 classes, with their own share of the class), counted over all training documents, each
-document counting for the topic nearest to its byte histogram.  The gates g are the
+document counting for the topic nearest to its byte histogram.  From a word's last subword
+they lead to the first one of the next word, counted over the running text.  The gates g are the
 softmax of what causal self-attention gathers from the subwords so far, with learned
 queries, keys, values and relative-position weights; values start as each subword's
 evidence for each topic and are trained by gradient descent in numpy.
 
 Corpus passes, all over whole texts:
 
-1. Word counts per topic, combined in each task, then by Spark.  From them come the
-   baseline's counts, and the bigram tables (a word's inside is counted once per
-   different word and topic, not per occurrence).
+1. Word counts and subword pairs at word borders per topic, combined in each task, then
+   by Spark.  From them come the baseline's counts and the bigram tables (a word's
+   inside is counted once per different word and topic, not per occurrence).
 2. Training: ``1 / TRAINING_SHARE`` of the training documents, so it grows with the
    corpus, dealt to shards; every shard descends from the same start, Spark averages.
 3. Scoring: overlapping windows of ``WINDOW`` subwords, of which the last ``STRIDE``
@@ -57,8 +58,10 @@ SHARD_DOCS = 1_000
 ROUNDS = 1
 FREQUENT_WORDS = 300_000
 TOPIC_SAMPLE = 4_096
+_COUNTED = ["word", "topic", "prev", "next", "n"]
 _TASK_WORDS = 500_000  # different words that a task counts before it passes them on
 _BATCH = 256  # windows attended to at once
+_PULLS = [10.0 * 4**i for i in range(9)]  # weights of the back-off at word borders, chosen among by the counts
 _SEED = 7
 
 
@@ -135,11 +138,24 @@ def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = 12
 # --- counts -----------------------------------------------------------------
 
 
-def word_counts(training: DataFrame, centroids) -> DataFrame:
-    """(word, topic, n) over all training documents; word null counts the documents' ends."""
+def running_counts(training: DataFrame, centroids, ranks: str) -> DataFrame:
+    """(word, topic, prev, next, n) over the running text of all training documents.
+
+    A row has either a word, or the subwords beside a border between words: the last of
+    the word before (-1: the document's start) and the first of the word behind (-1: its
+    end).  Tasks combine, then Spark.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        encoder = subword_encoder(ranks)
         seen: dict[int, Counter] = {}
+        ends: dict[bytes, int] = {}  # first subword of a word << 20, and its last
+
+        def ends_of(word: bytes) -> int:
+            ids = subwords(encoder, word)
+            return ((ids[0] + 1) << 20) + ids[-1] + 1
 
         def flush() -> pd.DataFrame:
             out = {
@@ -148,25 +164,39 @@ def word_counts(training: DataFrame, centroids) -> DataFrame:
                 "n": [n for c in seen.values() for n in c.values()],
             }
             seen.clear()
-            return pd.DataFrame(out)
+            return pd.DataFrame(out).assign(prev=None, next=None).astype({"prev": "Int32", "next": "Int32"})[_COUNTED]
 
         for batch in batches:
+            borders = []
             for text in batch["text"]:
                 raw = lowered(text)
                 topic = int(((centroids - byte_histogram(raw)) ** 2).sum(axis=1).argmin())
-                own = seen.setdefault(topic, Counter())
-                own.update(raw.split())
-                own[None] += 1
+                split = raw.split()
+                seen.setdefault(topic, Counter()).update(split)
+                for w in set(split).difference(ends):
+                    ends[w] = ends_of(w)
+                both = np.fromiter(map(ends.__getitem__, split), np.int64, len(split))
+                # 0 is the start of the document as prev and its end as next
+                borders.append((topic << 40) + (np.r_[0, both & 0xFFFFF] << 20) + np.r_[both >> 20, 0])
+                if len(ends) > _TASK_WORDS:
+                    ends.clear()
+            if borders:
+                key, n = np.unique(np.concatenate(borders), return_counts=True)
+                rows = {"word": None, "topic": key >> 40, "prev": ((key >> 20) & 0xFFFFF) - 1, "next": (key & 0xFFFFF) - 1, "n": n}
+                yield pd.DataFrame(rows)[_COUNTED]
             if sum(map(len, seen.values())) > _TASK_WORDS:
                 yield flush()
         yield flush()
 
-    counted = training.select("text").mapInPandas(count, "word binary, topic int, n bigint")
-    return counted.groupBy("word", "topic").agg(F.sum("n").alias("n"))
+    counted = training.select("text").mapInPandas(count, "word binary, topic int, prev int, next int, n bigint")
+    return counted.groupBy("word", "topic", "prev", "next").agg(F.sum("n").alias("n"))
 
 
 def bigram_counts(counts: DataFrame, ranks: str) -> DataFrame:
-    """(topic, prev, next, n) within words: prev -1 is the word's start, next -1 its end; a document's end is prev = next = -1."""
+    """(topic, prev, next, n) within words: prev -1 is the word's start, next -1 its end; a document's end is prev = next = -1.
+
+    ``counts``: words by topic; word null counts documents' ends.
+    """
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -229,7 +259,7 @@ class Model:
         return Model(self.class_of, self.share, self.experts, *parts)
 
 
-def build_model(bigrams: DataFrame, vocabulary: int, starts) -> Model:
+def build_model(bigrams: DataFrame, borders: DataFrame, vocabulary: int, starts) -> Model:
     """Expert tables and untrained gates.  ``starts``: per id, whether it begins with a space.
 
     What reaches the driver is bounded by the vocabulary, then by the classes.
@@ -249,16 +279,36 @@ def build_model(bigrams: DataFrame, vocabulary: int, starts) -> Model:
 
     # classes of ids fit a small table; Spark adds up pairs before the driver sees them
     bins = bigrams.sparkSession.createDataFrame(pd.DataFrame({"id": np.r_[-1, np.arange(vocabulary)], "class": np.r_[CLASSES + 2, class_of]}), "id int, class int")
-    named = bigrams.join(F.broadcast(bins.select(F.col("id").alias("prev"), F.col("class").alias("a"))), "prev").join(
-        F.broadcast(bins.select(F.col("id").alias("next"), F.col("class").alias("b"))), "next"
-    )
-    pairs = named.groupBy("topic", "a", "b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((EXPERTS, width, width), np.float32)
-    counts[pairs["topic"], pairs["a"], pairs["b"]] = pairs["n"]
-    return _tables(counts, class_of, share, starts, common)
+    def by_class(counted: DataFrame):
+        named = counted.join(F.broadcast(bins.select(F.col("id").alias("prev"), F.col("class").alias("a"))), "prev").join(
+            F.broadcast(bins.select(F.col("id").alias("next"), F.col("class").alias("b"))), "next"
+        )
+        pairs = named.groupBy("topic", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros((EXPERTS, width, width), np.float32)
+        counts[pairs["topic"], pairs["a"], pairs["b"]] = pairs["n"]
+        return counts
+
+    return _tables(by_class(bigrams), class_of, share, starts, common, by_class(borders))
+
+
+def pulled(n, back):
+    """Rows of counts as distributions, pulled towards ``back`` by the weight under which each
+    count is best foretold by the others (leave-one-out), over all rows."""
+    import numpy as np
+
+    row = n.sum(axis=-1, keepdims=True)
+    at = n > 0
+    held, rows, behind = n[at], np.broadcast_to(row, n.shape)[at], np.broadcast_to(back, n.shape)[at]
+
+    def told(weight: float) -> float:
+        return float((held * np.log((held - 1 + weight * behind) / (rows - 1 + weight))).sum(dtype=np.float64))
+
+    weight = max(_PULLS, key=told)
+    return (n + weight * back) / (row + weight)
 
 
-def _tables(counts, class_of, share, starts, common) -> Model:
+def _tables(counts, class_of, share, starts, common, borders=None) -> Model:
+    """``counts`` within words, ``borders`` from the last class of a word to the first of the next (edge: a document's start, its end)."""
     import numpy as np
 
     width, edge = counts.shape[1], counts.shape[1] - 1  # edge: start of a word as prev, its end as next
@@ -281,9 +331,10 @@ def _tables(counts, class_of, share, starts, common) -> Model:
     for k, n in enumerate(counts):
         begins = smoothed(n[edge] * first, begin, 50.0)
         table = smoothed(n[:edge] * inner, backs, 20.0)
-        # after a word's last subword: its end, then the first subword of the next word or the text's end
-        experts[:edge, :, k] = table * (np.arange(width) != edge) + table[:, edge : edge + 1] * begins
-        experts[edge, :, k] = begins
+        # after a word's last subword: its end, then, given that subword, the first of the next word or the text's end
+        across = np.broadcast_to(begins, (width, width)) if borders is None else pulled(borders[k] * first, begins)
+        experts[:edge, :, k] = table * (np.arange(width) != edge) + table[:, edge : edge + 1] * across[:edge]
+        experts[edge, :, k] = across[edge]
     by_topic = counts.sum(axis=1) + 1.0
     evidence = np.log(by_topic / by_topic.sum(axis=1, keepdims=True))
     evidence = (evidence - evidence.mean(axis=0)).T.astype(np.float32)
@@ -539,9 +590,13 @@ def lm_scores(docs: DataFrame, ranks: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     training = docs.where(~held_out(F.col("doc_id")))
-    counts = materialize(word_counts(training, topic_centroids(training)), "word-counts")
-    totals = materialize(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "word-totals")
-    n_docs = counts.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    running = materialize(running_counts(training, topic_centroids(training), ranks), "running-counts")
+    borders = running.where("prev IS NOT NULL").select("topic", "prev", "next", "n")
+    words = running.where("prev IS NULL").select("word", "topic", "n")
+    ends = borders.where("next = -1").groupBy("topic").agg(F.sum("n").alias("n")).select(F.lit(None).cast("binary").alias("word"), "topic", "n")
+    counts = words.unionByName(ends)
+    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "word-totals")
+    n_docs = ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + n_docs, v + (n_docs > 0)
     floor = float(np.log10(n + 0.1 * (v + 1)))
@@ -549,7 +604,7 @@ def lm_scores(docs: DataFrame, ranks: str) -> DataFrame:
     encoder = subword_encoder(ranks)
     vocabulary = encoder.n_vocab
     starts = np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(vocabulary)])
-    model = build_model(materialize(bigram_counts(counts, ranks), "bigrams"), vocabulary, starts)
+    model = build_model(materialize(bigram_counts(counts, ranks), "bigrams"), borders, vocabulary, starts)
     model = train_gates(training, model, ranks)
 
     # the count from which words are few enough: found on a histogram of 8 steps per doubling

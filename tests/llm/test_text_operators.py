@@ -410,6 +410,35 @@ def test_gradient_descent_lowers_the_loss():
     assert after > before + 10
 
 
+def test_op7_word_order_counts(make_docs):
+    """Held-out texts in the order of the training texts score clearly above the same words shuffled."""
+    rng = random.Random(4)
+    words = [a + b for a in ("red", "blue", "green", "dark") for b in (" car", " tree", " house", " river")]
+    words = sorted({w for pair in words for w in pair.split()})
+    follows = {w: words[(7 * i + 3) % len(words)] for i, w in enumerate(words)}
+
+    def told():
+        w, out = rng.choice(words), []
+        for _ in range(40):
+            out.append(w)
+            w = follows[w] if rng.random() < 0.95 else rng.choice(words)
+        return out
+
+    rows, shuffled = [], {}
+    for i in range(400):
+        text = told()
+        rows.append((i, " ".join(text)))
+        if held(i, 10):
+            rng.shuffle(text)
+            shuffled[i] = " ".join(text)
+    unseen = [i + 10_000 for i in range(5_000) if held(i + 10_000, 10)]
+    mixed = dict(zip(unseen, shuffled.values()))
+    score = {r.doc_id: r.score for r in attention_lm.op7_lm(make_docs(rows + list(mixed.items()))).collect()}
+    pairs_of = list(zip(shuffled, mixed))
+    assert len(pairs_of) > 20
+    assert sum(score[a] - score[b] for a, b in pairs_of) / len(pairs_of) > 5
+
+
 def test_op7_odd_rows(odd_docs):
     rows = pairs(odd_docs)
     got = attention_lm.op7_lm(odd_docs).collect()
