@@ -18,8 +18,10 @@ Corpus passes, all over whole texts:
 1. Word counts and subword pairs at word borders per topic, combined in each task, then
    by Spark.  From them come the baseline's counts and the bigram tables (a word's
    inside is counted once per different word and topic, not per occurrence).
-2. Training: ``1 / TRAINING_SHARE`` of the training documents, so it grows with the
-   corpus, dealt to shards; every shard descends from the same start, Spark averages.
+   Topics are fitted before, on the byte histograms of all training documents.
+2. Training on all training documents, dealt by hash to rounds, one more for every
+   doubling of the corpus.  In a round every task descends along its documents from the
+   averaged gates of the round before; Spark averages by windows.
 3. Scoring: overlapping windows of ``WINDOW`` subwords, of which the last ``STRIDE``
    are scored, so each subword is scored once with the others as context.
 
@@ -53,11 +55,13 @@ CLASSES = 768
 WINDOW = 32
 STRIDE = 24
 KEY_DIMS = 8
-TRAINING_SHARE = 32
-SHARD_DOCS = 1_000
-ROUNDS = 1
+#: Training documents for which the rounds of training are one more than for half as many.
+ROUND_DOCS = 2_048
+#: Passes over all histograms that fit the topics.
+TOPIC_ROUNDS = 4
 FREQUENT_WORDS = 300_000
-TOPIC_SAMPLE = 4_096
+TOPIC_SAMPLE = 4_096  # documents that say where the topics start
+_TRAINED_AT_ONCE = 64  # documents that a task lays end to end
 _COUNTED = ["word", "topic", "prev", "next", "n"]
 _TASK_WORDS = 500_000  # different words that a task counts before it passes them on
 _BATCH = 256  # windows attended to at once
@@ -108,11 +112,11 @@ def byte_histogram(raw: bytes):
     return np.sqrt(np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(1, len(raw))).astype(np.float32)
 
 
-def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = 12, topic_sample: int = TOPIC_SAMPLE):
-    """Centroids of byte histograms of at most ``TOPIC_SAMPLE`` training documents, by hash."""
+def first_centroids(training: DataFrame, topics: int, topic_sample: int):
+    """Where the topics start: k-means of the byte histograms of at most ``topic_sample`` documents, by hash."""
     import numpy as np
 
-    # ids first: a sort of whole texts would bring TOPIC_SAMPLE of them from every task
+    # ids first: a sort of whole texts would bring topic_sample of them from every task
     ids = training.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(topic_sample)
     sample = training.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
 
@@ -129,12 +133,40 @@ def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = 12
         d = np.min([((x - c) ** 2).sum(axis=1) for c in centers], axis=0)
         centers.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[0])
     centers = np.array(centers)
-    for _ in range(rounds):
+    for _ in range(12):
         own = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
         centers = np.array([x[own == k].mean(axis=0) if (own == k).any() else centers[k] for k in range(topics)])
     return centers
 
 
+def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = TOPIC_ROUNDS, topic_sample: int = TOPIC_SAMPLE):
+    """Centroids of the byte histograms of all training documents; a sample only says where k-means starts."""
+    import numpy as np
+
+    centers = first_centroids(training, topics, topic_sample)
+    for _ in range(rounds):
+        now = centers
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((topics, 257))
+            for batch in batches:
+                for text in batch["text"]:
+                    h = byte_histogram(lowered(text))
+                    own = total[((now - h) ** 2).sum(axis=1).argmin()]
+                    own[:-1] += h
+                    own[-1] += 1
+            place = np.flatnonzero(total)
+            yield pd.DataFrame({"place": place, "x": total.ravel()[place]})
+
+        found = training.where(F.col("text").isNotNull()).select("text").mapInPandas(sums, "place int, x double")
+        added = found.groupBy("place").agg(F.sum("x").alias("x")).toPandas()
+        total = np.zeros((topics, 257))
+        total.ravel()[added["place"].to_numpy(dtype=np.int64)] = added["x"].to_numpy(dtype=np.float64)
+        n = total[:, -1:]
+        centers = np.where(n > 0, total[:, :-1] / np.maximum(n, 1), now).astype(np.float32)
+    return centers
+
+
 # --- counts -----------------------------------------------------------------
 
 
@@ -408,20 +440,28 @@ def text_scores(model: Model, previous, following, lengths):
     return out
 
 
-def descend(model: Model, previous, following, lengths, rate: float = 0.02, epochs: int = 1):
-    """Train the gates on documents laid end to end (Adam); returns them as one vector."""
-    import numpy as np
+class Descent:
+    """Adam on the gates of a model, over as many runs of documents as come."""
 
-    rng = np.random.default_rng(_SEED)
-    at, begin, end, _ = windows(lengths)
-    flat = model.gates_of().astype(np.float64)
-    first, second, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    distance = np.clip((np.arange(STRIDE) + WINDOW - STRIDE)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
-    for _ in range(epochs):
-        order = rng.permutation(len(at))
+    def __init__(self, model: Model, rate: float = 0.02):
+        import numpy as np
+
+        self.model, self.rate = model, rate
+        self.flat = model.gates_of().astype(np.float64)
+        self.first, self.second, self.steps, self.windows = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0
+        self.rng = np.random.default_rng(_SEED)
+
+    def run(self, previous, following, lengths) -> None:
+        """One epoch over documents laid end to end."""
+        import numpy as np
+
+        at, begin, end, _ = windows(lengths)
+        self.windows += len(at)
+        distance = np.clip((np.arange(STRIDE) + WINDOW - STRIDE)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
+        order = self.rng.permutation(len(at))
         for i in range(0, len(order), _BATCH):
             part = order[i : i + _BATCH]
-            m = model.with_gates(flat)
+            m = self.model.with_gates(self.flat)
             tokens, asked, scored, there, q, k, v, weight, total, gates, mixed, p = attend(m, previous, following, at[part], begin[part], end[part])
             weight = weight * there[:, None, :] / total
             n = max(1, int(scored.sum()))
@@ -436,11 +476,18 @@ def descend(model: Model, previous, following, lengths, rate: float = 0.02, epoc
             grads[3] += d_gates.sum(axis=(0, 1))
             grads[4] += np.bincount(distance.ravel(), weights=d_score.sum(axis=0).ravel(), minlength=WINDOW)
             g = np.concatenate([x.ravel() for x in grads])
-            step += 1
-            first = 0.9 * first + 0.1 * g
-            second = 0.99 * second + 0.01 * g * g
-            flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return flat
+            self.steps += 1
+            self.first = 0.9 * self.first + 0.1 * g
+            self.second = 0.99 * self.second + 0.01 * g * g
+            self.flat -= self.rate * (self.first / (1 - 0.9**self.steps)) / (np.sqrt(self.second / (1 - 0.99**self.steps)) + 1e-8)
+
+
+def descend(model: Model, previous, following, lengths, rate: float = 0.02, epochs: int = 1):
+    """Train the gates on documents laid end to end; returns them as one vector."""
+    descent = Descent(model, rate)
+    for _ in range(epochs):
+        descent.run(previous, following, lengths)
+    return descent.flat
 
 
 def _scatter(table, rows, values) -> None:
@@ -463,25 +510,39 @@ def class_sequence(model: Model, ids: list):
     return previous, following, np.array([len(c) + 1 for c in classes], dtype=np.int64)
 
 
-def train_gates(training: DataFrame, model: Model, ranks: str) -> Model:
-    """Shards of a fixed share of the training documents descend apart; their gates are averaged."""
+def training_rounds(n_docs: int) -> int:
+    """Rounds that build on each other: one more for every doubling of the training documents."""
+    return max(2, 1 + int(n_docs // ROUND_DOCS).bit_length())
+
+
+def train_gates(training: DataFrame, model: Model, ranks: str, n_docs: int) -> Model:
+    """Gates after all rounds; every training document is in one of them."""
     import numpy as np
 
-    share = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(TRAINING_SHARE)) == 0).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    share = materialize(share, "gate-training")
-    shards = max(1, -(-share.count() // SHARD_DOCS))
+    rounds = training_rounds(n_docs)
     spark = training.sparkSession
-    for _ in range(ROUNDS):
+    for number in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-
-        def fit(shard: pd.DataFrame) -> pd.DataFrame:
-            encoder, m = subword_encoder(ranks), sent.value
-            ids = [np.array([i for w in words_of(t) for i in subwords(encoder, w)], dtype=np.int64) for t in shard["text"]]
-            flat = descend(m, *class_sequence(m, ids))
-            return pd.DataFrame({"place": np.arange(len(flat)), "x": flat})
-
-        fitted = share.withColumn("shard", F.pmod(F.col("h"), F.lit(TRAINING_SHARE * shards))).groupBy("shard").applyInPandas(fit, "place int, x double")
-        mean = fitted.groupBy("place").agg(F.avg("x").alias("x")).toPandas().sort_values("place")["x"].to_numpy()
+        rate = 0.02 / (1 + number) ** 0.5
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            encoder, descent, ids = subword_encoder(ranks), Descent(sent.value, rate), {}
+            for batch in batches:
+                texts = batch["text"].tolist()
+                for at in range(0, len(texts), _TRAINED_AT_ONCE):
+                    split = [words_of(t) for t in texts[at : at + _TRAINED_AT_ONCE]]
+                    for w in set(chain.from_iterable(split)).difference(ids):
+                        ids[w] = subwords(encoder, w)
+                    laid = [np.fromiter(chain.from_iterable(map(ids.__getitem__, ws)), np.int64) for ws in split]
+                    descent.run(*class_sequence(descent.model, laid))
+                    if len(ids) > _TASK_WORDS // 4:
+                        ids.clear()
+            if descent.windows:
+                yield pd.DataFrame({"place": np.arange(len(descent.flat)), "x": descent.flat * descent.windows, "n": descent.windows})
+
+        share = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == number).select("text")
+        fitted = share.mapInPandas(fit, "place int, x double, n bigint")
+        mean = fitted.groupBy("place").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas().sort_values("place")["x"].to_numpy()
         sent.destroy()
         if len(mean):
             model = model.with_gates(mean)
@@ -605,7 +666,7 @@ def lm_scores(docs: DataFrame, ranks: str) -> DataFrame:
     vocabulary = encoder.n_vocab
     starts = np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(vocabulary)])
     model = build_model(materialize(bigram_counts(counts, ranks), "bigrams"), borders, vocabulary, starts)
-    model = train_gates(training, model, ranks)
+    model = train_gates(training, model, ranks, n_docs)
 
     # the count from which words are few enough: found on a histogram of 8 steps per doubling
     steps = totals.groupBy(F.floor(8 * F.log2("c")).alias("step")).count().orderBy(F.desc("step")).collect()

@@ -439,6 +439,32 @@ def test_op7_word_order_counts(make_docs):
     assert sum(score[a] - score[b] for a, b in pairs_of) / len(pairs_of) > 5
 
 
+def test_op7_trains_on_every_document_in_rounds(make_docs, monkeypatch):
+    """Every training document is laid out for descent once; more documents are more rounds; topics see all histograms."""
+    assert [attention_lm.training_rounds(n) for n in (0, 2_047, 4_096, 8_192, 16_384)] == [2, 2, 3, 4, 5]
+    rows = [(i, "ab " * (i % 5 + 1)) for i in range(300)]
+    docs = make_docs(rows)
+    seen = docs.sparkSession.sparkContext.accumulator(0)
+    run = attention_lm.Descent.run
+
+    def counted(self, previous, following, lengths):
+        seen.add(len(lengths))
+        return run(self, previous, following, lengths)
+
+    ranks = common.public_tokenizer("byte_bpe_50k.tiktoken")
+    vocabulary = attention_lm.subword_encoder(ranks).n_vocab
+    model = tiny_model()
+    model.class_of = np.full(vocabulary, 4, np.int32)
+    monkeypatch.setattr(attention_lm, "Descent", type("Counted", (attention_lm.Descent,), {"run": counted}))
+    attention_lm.train_gates(docs, model, ranks, 300)
+    assert seen.value == 300
+    # a sample of one kind alone starts the topics; all histograms move them
+    mixed = make_docs([(i, "a" if i % 2 else "zzzz z") for i in range(60)])
+    centers = attention_lm.topic_centroids(mixed, topics=1, topic_sample=1)
+    want = np.mean([attention_lm.byte_histogram(b"a"), attention_lm.byte_histogram(b"zzzz z")], axis=0)
+    assert np.allclose(centers[0], want, atol=1e-5)
+
+
 def test_op7_odd_rows(odd_docs):
     rows = pairs(odd_docs)
     got = attention_lm.op7_lm(odd_docs).collect()
