@@ -1,17 +1,18 @@
 """Licence scan: passages compared with licence templates by Dice coefficient over word bigrams.
 
-A text is cut into segments (lines, and sentences within them).  A passage is a run of
-segments in a row; its words are lower-cased, without punctuation.  With A and B the
-bigram multisets of passage and template, Dice is ``2 |A & B| / (|A| + |B|)``.
+A passage is any run of words in a row, lower-cased, without punctuation; it may begin and
+end inside a line or a sentence.  With A and B the bigram multisets of passage and
+template, Dice is ``2 |A & B| / (|A| + |B|)``.  (``scan`` is the search over runs of
+whole segments alone, lines and sentences; the query does not use it.)
 
 Pruning, none of which loses a match:
 
 * size bounds: Dice of at least t needs ``|A|`` between ``t / (2 - t)`` and
   ``(2 - t) / t`` times ``|B|``, so a passage meets only templates of about its size;
-* an inverted index of template bigrams: the best passage starts with a segment that
-  holds one (cutting another off would raise Dice);
-* counting: a passage with too few positions that hold any of a template's bigrams
-  cannot reach t, and its multisets are not compared.
+* an inverted index of template bigrams: the best passage starts and ends with one
+  (cutting another off would raise Dice);
+* counting: a start with too few positions of the template's bigrams within the largest
+  size cannot reach t; from others a window grows with running counts.
 
 Of overlapping matches the one with the highest Dice stays (ties: the larger
 template, then the earlier, then the shorter passage, then the licence's name).
@@ -180,13 +181,57 @@ def choose(hits: list[tuple], templates: list[Template], spans: list[tuple]) ->
     return sorted(out, key=lambda m: m[2])
 
 
+def find_passages(text: str, templates: list[Template], index: dict[tuple, list[int]], threshold: float) -> list[tuple]:
+    """(licence, dice, start, end, template size) of the chosen matches among all runs of words, by position."""
+    folded = text.lower()
+    if len(folded) != len(text):  # a letter that grows when lowered would move the positions
+        folded = "".join(low if len(low := c.lower()) == 1 else c for c in text)
+    w = _WORD.findall(folded)
+    places: dict[int, list[int]] = {}
+    for k, b in enumerate(zip(w, w[1:])):
+        for t in index.get(b, ()):
+            places.setdefault(t, []).append(k)
+    hits = []
+    for t, at in places.items():
+        template = templates[t]
+        low, high = size_bounds(template.size, threshold)
+        ahead = 0
+        for a, start in enumerate(at):
+            # bigrams of the template among the next ``high``: at least ``low`` of them are needed
+            while ahead < len(at) and at[ahead] < start + high + 1e-9:
+                ahead += 1
+            if ahead - a < low - 1e-9:
+                continue
+            counts, shared = Counter(), 0
+            for b in range(a, ahead):
+                pair = (w[at[b]], w[at[b] + 1])
+                counts[pair] += 1
+                shared += counts[pair] <= template.bigrams[pair]
+                size = at[b] - start + 1
+                if size > high + 1e-9:
+                    break
+                if 2 * shared >= threshold * (size + template.size) - 1e-9:
+                    dice = 2 * shared / (size + template.size)
+                    if dice >= threshold:
+                        hits.append((dice, t, start, at[b] + 1))
+    if not hits:
+        return []
+    spans = [m.span() for m in _WORD.finditer(folded)]
+    taken, out = bytearray(len(w)), []
+    for dice, t, i, j in sorted(hits, key=lambda h: (-h[0], -templates[h[1]].size, h[2], h[3], templates[h[1]].name)):
+        if taken.find(1, i, j + 1) < 0:
+            taken[i : j + 1] = b"\1" * (j + 1 - i)
+            out.append((templates[t].name, dice, spans[i][0], spans[j][1], templates[t].size))
+    return sorted(out, key=lambda m: m[2])
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, start, end, template_bigrams) of every match; start and end are code points."""
     prepared, index = prepare(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc_id, *match) for doc_id, text in zip(batch["id"], batch["text"]) if text for match in scan(text, prepared, index, threshold)]
+            rows = [(doc_id, *match) for doc_id, text in zip(batch["id"], batch["text"]) if text for match in find_passages(text, prepared, index, threshold)]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "dice", "start", "end", "template_bigrams"])
 
     found = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(run, _OUT)

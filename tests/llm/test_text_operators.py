@@ -161,6 +161,52 @@ def test_op3_finds_planted_lines_and_nothing_else(spark, make_docs, odd_docs):
     assert {r.doc_id for r in licenses.op3_licenses(whole).collect()} == lines
 
 
+def brute_passages(text, threshold, prepared):
+    """Every word span against every template; greedy by Dice, as licenses.choose."""
+    from collections import Counter
+
+    found = [(m.span(), m[0].lower()) for m in licenses._WORD.finditer(text)]
+    hits = []
+    for i in range(len(found)):
+        for j in range(i + 1, len(found)):
+            w = [x for _, x in found[i : j + 1]]
+            a = Counter(zip(w, w[1:]))
+            for t, template in enumerate(prepared):
+                dice = 2 * sum((a & template.bigrams).values()) / (j - i + template.size)
+                if dice >= threshold:
+                    hits.append((dice, t, i, j))
+    out = licenses.choose(hits, prepared, [(k, k) for k in range(len(found))])
+    return [(name, dice, found[i][0][0], found[j][0][1], size) for name, dice, i, j, size in out]
+
+
+def test_license_passages_equal_brute_force_over_all_word_spans():
+    rng = random.Random(12)
+    short = [x for x in licenses.TEMPLATES if len(x[1]) < 130]
+    prepared, index = licenses.prepare(short)
+    filler = "the of to and software is license version this work under any by".split()
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(short)[1].split() if rng.random() < 0.6 else rng.choices(filler, k=rng.randint(1, 9))
+            parts.append(" ".join(x for x in w if rng.random() < 0.95) + rng.choice(["\n", ". ", " ", ", "]))
+        text = "".join(parts)
+        for threshold in (0.6, 0.8):
+            assert licenses.find_passages(text, prepared, index, threshold) == brute_passages(text, threshold, prepared)
+
+
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("This file is part of the project and is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Copyright 2020 The Example Authors, licensed under the Apache License, Version 2.0", "Apache-2.0"),
+        ("Released under the MIT license by the author of this page in 2019", "MIT"),
+    ],
+)
+def test_op3_finds_notices_inside_sentences(make_docs, text, name):
+    (row,) = licenses.op3_licenses(make_docs([(1, text)])).collect()
+    assert row.license == name and text[row.start : row.end].lower().split()[0] in ("licensed", "released")
+
+
 # --- packing ----------------------------------------------------------------
 
 
