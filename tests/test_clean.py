@@ -173,3 +173,15 @@ def test_mentions_plurals(spark):
     cases = {"muchas esperas": True, "Esperás": True, "desespera": False, "atenciones": True, "atención": True, "esperamos": False, "tardanzas!": True, None: False}
     df = spark.createDataFrame(list(enumerate(cases)), "id int, c string").select("c", mentions("c", ["espera", "atencion", "tardanza"]).alias("m"))
     assert {r.c: r.m for r in df.collect()} == cases
+
+
+def test_delay_days_number_words(spark):
+    cases = {
+        "doce días": 12, "veinticuatro horas": 1, "cien dias": 100, "cuarenta y ocho horas": 2, "treinta y un días": 31,
+        "dieciséis dias": 16, "veintidós días": 22, "noventa y nueve dias": 99, "ciento veinte horas": 5, "doscientas cuarenta horas": 10,
+        "mil doscientas horas": 50, "dos mil cuatrocientas horas": 100, "2 mil dias": 2000, "media hora": 1 / 48, "dos dias y medio": 2.5,
+        "una semana y media": 10.5, "tres y media horas": 3.5 / 24, "espere dos dias y media hora": 2, "entre dos y tres dias": 3,
+    }
+    df = spark.createDataFrame([(c, float(w)) for c, w in cases.items()], "c string, want double")
+    got = {r.c: (r.d, r.want) for r in df.select("c", "want", delay_days("c").alias("d")).collect()}
+    assert {c: g for c, g in got.items() if g[0] is None or abs(g[0] - g[1]) > 1e-9} == {}
