@@ -10,10 +10,13 @@ Pruning, none of which loses a match:
 * size bounds: Dice of at least t needs ``|A|`` between ``t / (2 - t)`` and
   ``(2 - t) / t`` times ``|B|``, so a passage meets only templates of about its size;
 * an inverted index of template bigrams: the best passage starts and ends with one
-  (cutting another off would raise Dice);
+  (cutting another off would raise Dice) or with a mark;
 * counting: a start with too few positions of the template's bigrams within the largest
   size cannot reach t; from others a window grows with running counts.
 
+A passage takes a template's name only if both have the same marks: version numbers and
+the words that tell a family's licences apart (Lesser, ShareAlike, or later).
+
 Of overlapping matches the one with the highest Dice stays (ties: the larger
 template, then the earlier, then the shorter passage, then the licence's name).
 
@@ -25,7 +28,9 @@ tables give no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -98,6 +103,47 @@ TEMPLATES: list[tuple[str, str]] = [
     ),
 ]
 
+
+def _families() -> list[tuple[str, str]]:
+    """Notices of every Creative Commons licence and of the GNU licences, by version."""
+    out = []
+    for version, kind in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"), ("1.0", "Generic")):
+        for short, long in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives")):
+            name = f"CC-{short}-{version}"
+            out.append((name, f"Licensed under CC {short} {version}."))
+            out.append((name, f"This work is licensed under a Creative Commons Attribution{long} {version} {kind} License."))
+    for short, long, versions in (("GPL", "General", ("2", "3")), ("LGPL", "Lesser General", ("2.1", "3")), ("LGPL", "Library General", ("2",)), ("AGPL", "Affero General", ("3",))):
+        for version in versions:
+            name = f"{short}-{version if '.' in version else version + '.0'}"
+            out.append((name, f"This work is licensed under the GNU {long} Public License, version {version}."))
+            out.append((f"{name}-or-later", f"This work is licensed under the GNU {long} Public License, version {version} or later."))
+            for thing in ("program", "library"):
+                for end, term in (("", f"version {version} of the License."), ("-or-later", f"either version {version} of the License, or (at your option) any later version.")):
+                    out.append((
+                        name + end,
+                        f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {long} Public License as published by the "
+                        f"Free Software Foundation, {term} This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+                        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {long} Public License for more details.",
+                    ))
+    clauses = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+    )
+    third = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    return [*out, ("BSD-2-Clause", clauses), ("BSD-3-Clause", clauses + third)]
+
+
+TEMPLATES += [x for x in _families() if x not in TEMPLATES]
+
+#: Words that tell licences of one family apart.
+_MARKS = {"lesser", "affero", "sharealike", "noderivatives", "noderivs", "noncommercial", "sa", "nd", "nc", "later", "endorse", "advertising"}
+#: Words that a number behind them makes a version.
+_BEFORE_VERSION = {"version", "v", "license", "licence", "by", "nc", "sa", "nd", "attribution", "sharealike", "noderivatives", "noncommercial", "gpl", "lgpl", "agpl", "bsd"}
+_VERSION = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)?\Z")
+_LATER = re.compile(r"(of the licen[sc]e )?or (at your option )?(any )?(later|newer)\b|of the licen[sc]e or at your option")
+
 _SEGMENT = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 _OUT = "doc_id string, license string, dice double, start int, end int, template_bigrams int"
@@ -108,6 +154,27 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def mark(before: str, word: str) -> str | None:
+    """What a word says about which licence of a family is meant: a version or a distinguishing word."""
+    if word in _MARKS or (word == "library" and before == "gnu"):
+        return word
+    found = _VERSION.match(word) if before in _BEFORE_VERSION else None
+    return found[1] if found else None
+
+
+def marks(w: list[str]) -> dict[int, str]:
+    """Place and value of the marks among words."""
+    return {k: m for k, (a, b) in enumerate(zip(["", *w], w)) if (m := mark(a, b))}
+
+
+def agrees(template: Template, w: list[str], told: dict[int, str], i: int, j: int) -> bool:
+    """Whether words i to j, with "or later" behind the last mark, carry the marks of the template and no others."""
+    own = [k for k in told if i <= k <= j]
+    if {told[k] for k in own} != template.marks:
+        return False
+    return not own or "later" in template.marks or not _LATER.match(" ".join(w[own[-1] + 1 : own[-1] + 10]))
+
+
 @dataclass
 class Template:
     """A licence notice and its bigram counts."""
@@ -115,6 +182,7 @@ class Template:
     name: str
     bigrams: Counter
     size: int
+    marks: set
 
 
 def prepare(templates: list[tuple[str, str]]) -> tuple[list[Template], dict[tuple, list[int]]]:
@@ -126,7 +194,7 @@ def prepare(templates: list[tuple[str, str]]) -> tuple[list[Template], dict[tupl
         if bigrams:
             for b in bigrams:
                 index.setdefault(b, []).append(len(out))
-            out.append(Template(name, bigrams, len(w) - 1))
+            out.append(Template(name, bigrams, len(w) - 1, set(marks(w).values())))
     return out, index
 
 
@@ -191,29 +259,30 @@ def find_passages(text: str, templates: list[Template], index: dict[tuple, list[
     for k, b in enumerate(zip(w, w[1:])):
         for t in index.get(b, ()):
             places.setdefault(t, []).append(k)
-    hits = []
+    hits, told = [], None
     for t, at in places.items():
         template = templates[t]
         low, high = size_bounds(template.size, threshold)
-        ahead = 0
-        for a, start in enumerate(at):
-            # bigrams of the template among the next ``high``: at least ``low`` of them are needed
-            while ahead < len(at) and at[ahead] < start + high + 1e-9:
-                ahead += 1
-            if ahead - a < low - 1e-9:
+        need = max(1, math.ceil(low - 1e-9))  # so many bigrams of the template among ``high``
+        if not any(at[x + need - 1] < at[x] + high + 1e-9 for x in range(len(at) - need + 1)):
+            continue
+        told = marks(w) if told is None else told
+        # a mark may also stand at the edge of a passage without a bigram of the template
+        points = sorted({*at, *(k for k in told if k < len(w) - 1), *(k - 1 for k in told if k)})
+        for a, start in enumerate(points):
+            if bisect_left(at, start + high + 1e-9) - bisect_left(at, start) < need:
                 continue
             counts, shared = Counter(), 0
-            for b in range(a, ahead):
-                pair = (w[at[b]], w[at[b] + 1])
-                counts[pair] += 1
-                shared += counts[pair] <= template.bigrams[pair]
-                size = at[b] - start + 1
+            for k in points[a:]:
+                size = k - start + 1
                 if size > high + 1e-9:
                     break
-                if 2 * shared >= threshold * (size + template.size) - 1e-9:
-                    dice = 2 * shared / (size + template.size)
-                    if dice >= threshold:
-                        hits.append((dice, t, start, at[b] + 1))
+                pair = (w[k], w[k + 1])
+                counts[pair] += 1
+                shared += counts[pair] <= template.bigrams[pair]
+                dice = 2 * shared / (size + template.size)
+                if dice >= threshold and agrees(template, w, told, start, k + 1):
+                    hits.append((dice, t, start, k + 1))
     if not hits:
         return []
     spans = [m.span() for m in _WORD.finditer(folded)]
