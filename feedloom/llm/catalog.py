@@ -10,6 +10,8 @@ from feedloom.llm.ann import op6_nearest
 from feedloom.llm.attention_lm import op7_lm
 from feedloom.llm.chunk_bpe import op10_chunk_bpe
 from feedloom.llm.common import table
+from feedloom.llm.exact_dedup import OP13_SQL, op13_exact_dedup
+from feedloom.llm.lexical import OP12_SQL, op12_lexical
 from feedloom.llm.licenses import op3_licenses
 from feedloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from feedloom.llm.packing import op4_packing
@@ -29,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": lambda spark, d: op8_top_k(table(spark, d, "embeddings")),
     "op9_simhash": lambda spark, d: op9_simhash(table(spark, d, "documents")),
     "op10_chunk_bpe": lambda spark, d: op10_chunk_bpe(table(spark, d, "documents")),
+    "op12_lexical": lambda spark, d: op12_lexical(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_exact_dedup": lambda spark, d: op13_exact_dedup(table(spark, d, "documents")),
 }
-ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_top_k": OP8_SQL}
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_top_k": OP8_SQL, "op12_lexical": OP12_SQL, "op13_exact_dedup": OP13_SQL}
