@@ -19,6 +19,7 @@ from feedloom.llm.quality import op1_quality
 from feedloom.llm.simhash import op9_simhash
 from feedloom.llm.token_files import op2_token_files
 from feedloom.llm.topk import OP8_SQL, op8_top_k
+from feedloom.llm.trie import OP11_SQL, op11_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": lambda spark, d: op1_quality(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": lambda spark, d: op8_top_k(table(spark, d, "embeddings")),
     "op9_simhash": lambda spark, d: op9_simhash(table(spark, d, "documents")),
     "op10_chunk_bpe": lambda spark, d: op10_chunk_bpe(table(spark, d, "documents")),
+    "op11_prefix_trie": lambda spark, d: op11_prefix_trie(table(spark, d, "conversations")),
     "op12_lexical": lambda spark, d: op12_lexical(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op13_exact_dedup": lambda spark, d: op13_exact_dedup(table(spark, d, "documents")),
 }
-ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_top_k": OP8_SQL, "op12_lexical": OP12_SQL, "op13_exact_dedup": OP13_SQL}
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_top_k": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_lexical": OP12_SQL, "op13_exact_dedup": OP13_SQL}

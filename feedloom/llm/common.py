@@ -146,3 +146,19 @@ def _u4(ids: list[int]) -> bytes:
 def byte_bpe(path: str) -> ByteBpeEncoder:
     """The worker's encoder for a file; kept from task to task."""
     return ByteBpeEncoder(path)
+
+
+#: A key with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 1_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with ``table``, which has one row per key and in ``count`` how many of the ``total`` rows hold it.
+
+    Hot keys are broadcast, being few; in the join with the others no key holds more
+    than 1/HOT_SHARE of the rows.  ``how``: inner or left.
+    """
+    hot = table.where(F.col(count) * HOT_SHARE > total)
+    usual = table.where(F.col(count) * HOT_SHARE <= total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(usual, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
