@@ -210,7 +210,10 @@ def _rank_last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The sums before each of at most ``LAST_RUNS`` runs."""
     import numpy as np
 
-    runs = pd.concat(batches).sort_values("arc")
+    parts = list(batches)
+    if not parts:
+        return
+    runs = pd.concat(parts).sort_values("arc")
     arcs = runs["arc"].to_numpy()
     _, before = _follow(_local(arcs, runs["next"].to_numpy()), runs[["pos", "leaves", "saved"]].to_numpy())
     yield pd.DataFrame(np.column_stack((arcs, before)), columns=["arc", "pos", "leaves", "saved"])

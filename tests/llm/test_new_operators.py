@@ -16,12 +16,17 @@ from tests.conftest import SF_SMALL
 from tests.llm import brute
 
 TURNS = "conv_id bigint, turn int, role string, text string"
-CLASH = {c: F.lit(0) for c in ("row", "h", "norm", "keeper", "copies", "group_size", "id", "block", "pos", "depth", "parent", "shared", "base", "score", "n_terms", "ids", "tfs", "rank", "term")}
+CLASH = ("row", "h", "norm", "keeper", "copies", "group_size", "id", "block", "pos", "depth", "parent", "shared", "base", "score", "n_terms", "ids", "tfs", "rank", "term")
 
 
 # --- exact dedup -------------------------------------------------------------
 
 
+def with_clash(df):
+    """Extra columns whose names clash with inner ones."""
+    return df.withColumns({c: F.lit(0) for c in CLASH if c not in df.columns})
+
+
 def brute_exact(rows):
     clean = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)
@@ -52,7 +57,7 @@ def collected(df):
 def test_op13_equals_brute_force(make_docs, monkeypatch, share):
     monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
     rows = exact_rows()
-    docs = make_docs(rows).withColumns(CLASH)
+    docs = with_clash(make_docs(rows))
     assert collected(exact_dedup.op13_exact_dedup(docs)) == brute_exact(rows)
 
 
@@ -73,7 +78,7 @@ def test_op13_empty_table_and_plan(make_docs, capsys):
 
 def test_drop_exact_duplicates_keeps_columns(make_docs):
     rows = exact_rows()
-    docs = make_docs(rows).withColumns(CLASH)
+    docs = with_clash(make_docs(rows))
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in brute_exact(rows) if r[3]), key=repr)
@@ -118,8 +123,8 @@ def lexical_rows(seed, n=400):
 @pytest.mark.parametrize(("seed", "chars", "shard", "postings"), [(1, 8_000_000, 32_768, 4_000_000), (2, 300, 17, 4_000_000), (3, 8_000_000, 10_000, 50)])
 def test_op12_equals_brute_force(spark, make_docs, seed, chars, shard, postings):
     docs, items = lexical_rows(seed)
-    table = spark.createDataFrame(items, "item_id bigint, text string").withColumns(CLASH)
-    got = lexical.lexical_search(make_docs(docs).withColumns(CLASH), table, block_chars=chars, shard_docs=shard, shard_postings=postings)
+    table = with_clash(spark.createDataFrame(items, "item_id bigint, text string"))
+    got = lexical.lexical_search(with_clash(make_docs(docs)), table, block_chars=chars, shard_docs=shard, shard_postings=postings)
     assert sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in got.collect()) == brute_lexical(docs, items)
 
 
@@ -207,7 +212,7 @@ def test_op11_equals_brute_force(spark, monkeypatch, seed, nodes, last):
     monkeypatch.setattr(trie.conversation_trie, "__defaults__", (None, None, 0, nodes, last))
     rows = trie_rows(seed)
     random.Random(seed).shuffle(rows)
-    df = spark.createDataFrame(rows, TURNS).withColumns({c: v for c, v in CLASH.items()})
+    df = with_clash(spark.createDataFrame(rows, TURNS))
     assert trie_of(trie.op11_prefix_trie(df)) == brute_trie(rows)
 
 
