@@ -15,8 +15,8 @@ from feedloom.functions.clean import (  # noqa: F401
     yes_no_ok,
     zfill5,
 )
+from feedloom.functions.delays import delay_days  # noqa: F401
 from feedloom.functions.text import (  # noqa: F401
-    delay_days,
     fold_accents,
     has_more_words,
     slug,

@@ -1,4 +1,4 @@
-"""Text column expressions: whitespace, accents, slugs, word counts, delays."""
+"""Text column expressions: whitespace, accents, slugs, word counts, theme words."""
 
 from __future__ import annotations
 
@@ -45,72 +45,6 @@ def has_more_words(c, n: int) -> Column:
     return F.coalesce(_c(c).rlike(r"(?U)^\s*+(?:\S++\s++){%d}\S" % n), F.lit(False))
 
 
-# Delay units and their length in days.
-DELAY_UNIT_DAYS = {
-    "h": 1.0 / 24.0,
-    "hora": 1.0 / 24.0,
-    "horas": 1.0 / 24.0,
-    "dia": 1.0,
-    "dias": 1.0,
-    "semana": 7.0,
-    "semanas": 7.0,
-    "mes": 30.0,
-    "meses": 30.0,
-    "ano": 365.0,
-    "anos": 365.0,
-}
-# Numbers that are written as words, accents folded.
-_ONES = {"un": 1, "una": 1, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9}
-_TEENS = {"cero": 0, "diez": 10, "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15, "veinte": 20}
-_TEENS |= {"dieci" + w: 10 + n for w, n in _ONES.items() if n > 5} | {"veinti" + w: 20 + n for w, n in _ONES.items()}
-_TENS = {"treinta": 30, "cuarenta": 40, "cincuenta": 50, "sesenta": 60, "setenta": 70, "ochenta": 80, "noventa": 90}
-_HUNDREDS = {"ciento": 100} | {
-    stem + end: n
-    for stem, n in {"doscient": 200, "trescient": 300, "cuatrocient": 400, "quinient": 500, "seiscient": 600, "setecient": 700, "ochocient": 800, "novecient": 900}.items()
-    for end in ("os", "as")
-}
-NUMBER_WORDS = {**_ONES, **_TEENS, **_TENS, **_HUNDREDS, "cien": 100, "medio": 0.5, "media": 0.5, "y": 0}
-
-
-def _any(words) -> str:
-    return f"(?:{'|'.join(sorted(words, key=len, reverse=True))})(?![a-z0-9])"
-
-
-_BELOW_100 = rf"(?:{_any(_TENS)}(?:\s+y\s+{_any(_ONES)})?|{_any([*_TEENS, *_ONES])})"
-_BELOW_1000 = rf"(?:{_any(_HUNDREDS)}(?:\s+{_BELOW_100})?|{_any(['cien'])}|{_BELOW_100})"
-_HALF = _any(["medio", "media"])
-_WORDED = rf"(?:(?:{_BELOW_1000}\s+)?{_any(['mil'])}(?:\s+{_BELOW_1000})?|{_BELOW_1000})(?:\s+y\s+{_HALF})?|{_HALF}"
-_UNITS = "|".join(sorted(DELAY_UNIT_DAYS, key=len, reverse=True))
-DELAY_PATTERN = rf"(?<![a-z0-9])(\d+(?:[.,]\d+)?(?:\s+mil(?=\s))?(?=\s*[a-z])|(?:{_WORDED})(?=\s))\s*({_UNITS})(?![a-z0-9])(\s+y\s+{_HALF}(?!\s+(?:{_UNITS})(?![a-z0-9])))?"
-
-
-def delay_days(c) -> Column:
-    """Longest delay mentioned in a text, in days (``48 horas`` -> 2.0); null if none.
-
-    Numbers may be decimals (``1,5 horas``), attached (``24h``) or Spanish words below a
-    million (``cuarenta y ocho horas``, ``media hora``, ``dos dias y medio``).  Text is
-    lower-cased and accent-folded first so ``días`` and ``dias``, ``años`` and ``anos``
-    match.
-    """
-    raw = _c(c)
-    text = fold_accents(F.lower(raw))
-    nums, units, halves = (F.regexp_extract_all(text, F.lit(DELAY_PATTERN), i) for i in (1, 2, 3))
-    unit_map = F.create_map(*[x for k, v in DELAY_UNIT_DAYS.items() for x in (F.lit(k), F.lit(v))])
-    words = F.create_map(*[x for k, v in NUMBER_WORDS.items() for x in (F.lit(k), F.lit(float(v)))])
-
-    def add(total: Column, w: Column) -> Column:
-        own = F.coalesce(F.try_element_at(words, w), F.replace(w, F.lit(","), F.lit(".")).try_cast("double"))
-        return F.when(w == "mil", F.when(total == 0, 1000.0).otherwise(total * 1000)).otherwise(total + own)
-
-    found = F.zip_with(
-        F.zip_with(nums, halves, lambda n, h: F.aggregate(F.split(n, r"\s+"), F.lit(0.0), add) + F.when(h != "", 0.5).otherwise(0.0)),
-        units,
-        lambda n, u: n * F.try_element_at(unit_map, u),
-    )
-    # cheap probe for a unit first: most comments mention none
-    return F.when(raw.rlike(r"(?i)hora|[0-9]\s*h|d[ií]a|semana|mes|a[nñ]o") & (F.size(found) > 0), F.array_max(found))
-
-
 def _accent_class(ch: str) -> str:
     """Regex for one plain letter that also matches its accented lower-case forms."""
     import re

@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _norm_name(name: str) -> str:
+def norm_name(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Strip, lower-case and replace spaces by ``_`` in every column name."""
-    new = [_norm_name(c) for c in df.columns]
+    new = [norm_name(c) for c in df.columns]
     dupes = sorted({n for n in new if new.count(n) > 1})
     if dupes:
         raise ValueError(f"normalised column names collide: {dupes}")

@@ -12,11 +12,16 @@ cleaner, computed exactly and the same way for groups of every size:
    ``groupBy`` with map-side partial aggregation folds them, so a hot group of
    copies is pre-aggregated before it is shuffled.  The result is written once;
    everything after works on its row ids and hashed cells.
-2. **Buckets.**  Two similar rows agree on every column of at least one of
-   ``C - threshold + 1`` disjoint column blocks.  The columns with the most
-   different values are blocks of their own and all others are packed into the
-   last block, so that every block is selective.  A row's buckets (hashes of
-   group, block and block values) come from one pass.
+2. **Buckets.**  Similar rows differ in at most ``C - threshold`` columns, and a
+   differing column spoils one block, so of ``C - threshold + r`` disjoint column
+   blocks they agree on at least ``r``.  Every choice of ``r`` blocks is a signature;
+   a row's buckets are hashes of group, signature and the values of its columns.
+   Small groups take ``r = 1``: the columns with the most different values are blocks
+   of their own and all others are the last block.  A group of ``HOT_GROUP`` rows or
+   more gets a layout of its own: ``r`` and the blocks with the fewest colliding pairs
+   in a bounded sample of the group, so that columns of few values, each useless alone,
+   are selective together.  Any layout gives the same result.  A bucket with one member
+   is no bucket, and a row without buckets is kept at once.
 3. **Rounds.**  A round takes the first undecided rows of every bucket (a window
    that doubles each round), pairs them with the bucket's other undecided rows,
    keeps the pairs that are similar, and propagates: a row is kept once it is
@@ -43,6 +48,14 @@ log = logging.getLogger(__name__)
 # per-bucket top-k is planned as a partial limit before the shuffle.
 BUCKET_WINDOW = 512
 
+#: Groups of so many rows choose their own signatures, from about so many sampled rows.
+HOT_GROUP = 1_000
+LAYOUT_SAMPLE = 4_096
+#: Signatures of a row at most; more blocks to a signature are only tried below that.
+MAX_SIGNATURES = 300
+#: A group with over 1/HOT_SHARE of all rows has its layout broadcast; such groups are fewer than HOT_SHARE.
+HOT_SHARE = 1_000
+
 
 def distinct_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact distinct over a projection."""
@@ -102,19 +115,130 @@ def _blocks(rows: DataFrame, compare: list[str], threshold: int) -> list[list[in
     return [[i] for i in varied[:alone]] + [varied[alone:]]
 
 
-def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], threshold: int, window: int) -> DataFrame:
-    """Ids (as ``order``) of the rows that are kept."""
-    blocks = _blocks(rows, compare, threshold)
-    group = [x for k in keys for x in (_q(k), _q(k).isNull())]  # a hash passes over nulls, so they are marked
-    cells = rows.select(
-        _q(order).alias("o"), F.xxhash64(F.lit(1), *group).alias("g1"), F.xxhash64(F.lit(2), *group).alias("g2"),
-        F.array(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c))) for c in compare]).alias("cells"),
-    ).checkpoint()
+def choose_layout(cells, threshold: int, rows: int) -> tuple[list[int], list[list[int]]]:
+    """(block of each column, signatures as lists of blocks) for a group, from sampled rows of hashed cells (0: null).
+
+    For r = 1, 2, ... the columns are dealt to blocks so that blocks are about equally
+    selective, and the pairs that agree on a signature are counted in the sample.  The
+    cheapest in pairs plus memberships, for the whole group, is taken.
+    """
+    from itertools import combinations
+    from math import comb
+
+    import numpy as np
+
+    n, width = cells.shape
+    spare = width - threshold
+
+    def pairs(keys) -> float:
+        same = np.unique(keys, return_counts=True)[1].astype(float)
+        return float((same * (same - 1)).sum() / 2)
+
+    agree = [pairs(cells[cells[:, c] != 0, c]) for c in range(width)]
+    all_pairs = max(n * (n - 1) / 2, 1.0)
+    told = [-np.log(max(p, 0.5) / all_pairs) for p in agree]  # how much a column tells rows apart
+    best = None
+    for r in range(1, threshold + 1):
+        blocks = spare + r
+        if comb(blocks, r) > MAX_SIGNATURES:
+            break
+        weight, block_of = np.zeros(blocks), [0] * width
+        for c in sorted(range(width), key=lambda c: (-told[c], c)):
+            at = int(weight.argmin())
+            block_of[c] = at
+            weight[at] += told[c] + 1e-9  # columns that tell nothing are spread as well
+        hashes, whole = np.zeros((n, blocks), np.uint64), np.ones((n, blocks), bool)
+        for c in range(width):
+            at = block_of[c]
+            hashes[:, at] = (hashes[:, at] ^ cells[:, c].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            whole[:, at] &= cells[:, c] != 0
+        signatures = [list(s) for s in combinations(range(blocks), r)]
+        found = 0.0
+        for number, signature in enumerate(signatures):
+            key = np.zeros(n, np.uint64)
+            for at in signature:
+                key = (key ^ hashes[:, at]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            found += pairs(key[whole[:, signature].all(axis=1)])
+            if best is not None and found * (rows / n) ** 2 > best[0]:
+                break
+        cost = found * (rows / n) ** 2 + len(signatures) * rows
+        if best is None or cost < best[0]:
+            best = (cost, block_of, signatures)
+    return best[1], best[2]
+
+
+def _of_groups(cells: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """``cells`` with what ``groups`` (g1, g2, n, ...) says of their group; the few crowded groups are broadcast."""
+    crowded = F.broadcast(groups.where(F.col("n") * HOT_SHARE > total))  # fewer than HOT_SHARE groups
+    others = groups.where(F.col("n") * HOT_SHARE <= total)
+    rest = cells.join(F.broadcast(crowded.select("g1", "g2")), ["g1", "g2"], "left_anti")
+    return cells.join(crowded, ["g1", "g2"]).unionByName(rest.join(others, ["g1", "g2"]))
+
+
+def _layouts(cells: DataFrame, hot: DataFrame, threshold: int, total: int) -> DataFrame:
+    """(g1, g2, n, block_of, signatures) of every group of ``hot`` (g1, g2, n); a group's sample is bounded."""
+    import numpy as np
+    import pandas as pd
+
+    share = F.greatest(F.floor(F.col("n") / LAYOUT_SAMPLE), F.lit(1))
+    sample = _of_groups(cells, hot, total).where(F.pmod(F.xxhash64("o"), share) == 0)
+
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.array([[0 if c is None or c != c else int(c) for c in row] for row in rows["cells"]], dtype=np.int64)
+        block_of, signatures = choose_layout(m, threshold, int(rows["n"].iat[0]))
+        return pd.DataFrame({"g1": [key[0]], "g2": [key[1]], "n": [rows["n"].iat[0]], "block_of": [block_of], "signatures": [signatures]})
+
+    text = sample.select("g1", "g2", "n", "cells")
+    return text.groupBy("g1", "g2").applyInPandas(choose, "g1 bigint, g2 bigint, n bigint, block_of array<int>, signatures array<array<int>>")
+
+
+def _own_buckets(rows: DataFrame) -> DataFrame:
+    """(o, bucket) of rows that carry their group's layout."""
+    cell = F.zip_with("cells", "block_of", lambda c, b: F.struct(c.alias("c"), b.alias("b")))
+
+    def block_hash(number: Column) -> Column:
+        own = F.filter(cell, lambda x: x["b"] == number)
+        return F.when(F.exists(own, lambda x: x["c"].isNull()), F.lit(None)).otherwise(F.aggregate(own, F.lit(7).cast("bigint"), lambda h, x: F.xxhash64(h, x["c"])))
+
+    hashed = rows.withColumn("_blocks", F.transform(F.sequence(F.lit(0), F.array_max("block_of")), block_hash))
+
+    def bucket(signature: Column, number: Column) -> Column:
+        parts = F.transform(signature, lambda b: F.get("_blocks", b))
+        whole = ~F.exists(parts, lambda h: h.isNull())
+        return F.when(whole, F.aggregate(parts, F.xxhash64("g1", "g2", number), lambda h, x: F.xxhash64(h, x)))
+
+    return hashed.select("o", F.explode(F.array_compact(F.transform("signatures", bucket))).alias("bucket"))
+
+
+def bucket_members(cells: DataFrame, blocks: list[list[int]], threshold: int) -> DataFrame:
+    """(o, bucket) such that similar rows share a bucket; rows alone in their group or bucket are left out."""
+    sizes = cells.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+    total = cells.count()
+    layouts = _layouts(cells, sizes.where(F.col("n") >= HOT_GROUP), threshold, total).checkpoint()
     buckets = [
         F.when(_all([F.col("cells")[i].isNotNull() for i in block]), F.xxhash64(F.lit(b), "g1", "g2", *[F.col("cells")[i] for i in block]))
         for b, block in enumerate(blocks)
     ]
-    members = cells.select("o", F.explode(F.array_compact(F.array(*buckets))).alias("bucket")).checkpoint()
+    small = _of_groups(cells, sizes, total).where(F.col("n") < HOT_GROUP)
+    own = _of_groups(cells, layouts, total)
+    members = small.select("o", F.explode(F.array_compact(F.array(*buckets))).alias("bucket")).unionByName(_own_buckets(own)).checkpoint()
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return members.join(shared, "bucket", "left_semi").select("o", "bucket").checkpoint()
+
+
+def hashed_cells(rows: DataFrame, keys: list[str], order: str, compare: list[str]) -> DataFrame:
+    """(o, g1, g2, cells): row id, 128-bit hash of the group and 64-bit hashes of the compared values (null stays null)."""
+    group = [x for k in keys for x in (_q(k), _q(k).isNull())]  # a hash passes over nulls, so they are marked
+    return rows.select(
+        _q(order).alias("o"), F.xxhash64(F.lit(1), *group).alias("g1"), F.xxhash64(F.lit(2), *group).alias("g2"),
+        F.array(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c))) for c in compare]).alias("cells"),
+    ).checkpoint()
+
+
+def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], threshold: int, window: int) -> DataFrame:
+    """Ids (as ``order``) of the rows that are kept."""
+    cells = hashed_cells(rows, keys, order, compare)
+    members = bucket_members(cells, _blocks(rows, compare, threshold), threshold)
     n_mem = members.groupBy("o").agg(F.count(F.lit(1)).alias("n_mem"))
     # a row in no bucket is similar to nothing: kept at once
     state = (

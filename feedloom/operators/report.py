@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import delay_days, mentions
+from feedloom.functions.delays import delay_days
+from feedloom.functions.text import mentions
 from feedloom.operators._util import round2, scalar_row
 
 DIMENSIONS = ["technology", "model", "dealer"]
@@ -225,6 +226,92 @@ def delay_bands(df: DataFrame, edges: list[float] = DELAY_EDGES, text: str = "co
     )
 
 
+#: Decimal places kept of a delay when scores are added up by delay: its first three digits.
+_DIGITS = 3
+VERDICTS = ["genial", "bien", "mal"]
+
+
+def delay_scores(df: DataFrame, by: list[str] = (), text: str = "comment", score: str = "score") -> DataFrame:
+    """Scored delays added up: (by..., place, lo, hi, n, s, ss) with count, sum and sum of squares of the scores.
+
+    Delays that agree in their first three digits are one place, so a group has at most
+    some 900 places per power of ten, whatever the number of comments.
+    """
+    d = df.select(*by, delay_days(text).alias("days"), F.col(score).cast("double").alias("_s")).where(F.col("days") > 0).where("_s IS NOT NULL")
+    power = F.floor(F.log10("days")).cast("int")
+    place = F.struct(power.alias("power"), F.rint(F.col("days") / F.pow(F.lit(10.0), power - (_DIGITS - 1))).cast("int").alias("digits"))
+    return d.groupBy(*by, place.alias("place")).agg(
+        F.min("days").alias("lo"), F.max("days").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("_s").alias("s"), F.sum(F.col("_s") * F.col("_s")).alias("ss")
+    )
+
+
+def best_cuts(n, s, ss, k: int) -> list[int]:
+    """Where to cut a sequence into ``k`` pieces so that squared errors from the pieces' means are least.
+
+    The sequence is given by count, sum and sum of squares of each place; a piece is
+    one or more places.  Of equal solutions (to nine decimals) the one with the first
+    cut furthest left, then the second, and so on.  Dynamic programming from the right,
+    one row of costs at a time: time k m^2, memory k m.
+    """
+    import numpy as np
+
+    m = len(n)
+    k = min(k, m)
+    total = [np.concatenate(([0.0], np.cumsum(np.asarray(x, dtype=float)))) for x in (n, s, ss)]
+
+    def cost(i: int, ends):
+        count, sums, squares = (t[ends] - t[i] for t in total)
+        return squares - sums * sums / count
+
+    rest = np.array([cost(i, np.array([m]))[0] for i in range(m)] + [0.0])  # one piece from i on
+    choices = []
+    for pieces in range(2, k + 1):
+        best, at = np.full(m + 1, np.inf), np.full(m + 1, m, dtype=int)
+        for i in range(m - pieces + 1):
+            ends = np.arange(i + 1, m - pieces + 2)
+            costs = cost(i, ends) + rest[ends]
+            at[i] = ends[np.flatnonzero(costs <= costs.min() + 1e-9)[0]]
+            best[i] = costs[at[i] - i - 1]
+        choices.append(at)
+        rest = best
+    cuts, i = [], 0
+    for at in reversed(choices):
+        i = int(at[i])
+        cuts.append(i)
+    return cuts
+
+
+def delay_verdicts(df: DataFrame, by: list[str] = (), verdicts: list[str] = VERDICTS, text: str = "comment", score: str = "score") -> DataFrame:
+    """Which delays customers call great, fair or bad, learned from their scores.
+
+    Delays are cut into as many ranges as there are verdicts (fewer, where fewer delays
+    occur) so that scores differ as little as possible inside the ranges.  The range with
+    the best mean score gets the first verdict, and so on.  Returns (by..., band,
+    from_days, to_days, n, mean_score, verdict), one set of ranges per group of ``by``.
+    """
+    keys = list(by)
+    table = delay_scores(df, keys, text, score)
+    fields = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keys)
+    schema = (fields + ", " if fields else "") + "band int, from_days double, to_days double, n bigint, mean_score double, verdict string"
+
+    def cut(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("lo")
+        edges = [0, *best_cuts(rows["n"].to_numpy(), rows["s"].to_numpy(), rows["ss"].to_numpy(), len(verdicts)), len(rows)]
+        parts = [rows.iloc[a:b] for a, b in zip(edges, edges[1:])]
+        means = [p["s"].sum() / p["n"].sum() for p in parts]
+        order = sorted(range(len(parts)), key=lambda i: (-means[i], i))
+        out = [(i + 1, p["lo"].min(), p["hi"].max(), p["n"].sum(), means[i], verdicts[order.index(i)]) for i, p in enumerate(parts)]
+        found = pd.DataFrame(out, columns=["band", "from_days", "to_days", "n", "mean_score", "verdict"])
+        for c in keys:
+            found[c] = rows[c].iat[0]
+        return found[[*keys, "band", "from_days", "to_days", "n", "mean_score", "verdict"]]
+
+    cuts = table.drop("place").groupBy(*(keys or [F.lit(0)])).applyInPandas(cut, schema)
+    return cuts.select(*keys, "band", F.round("from_days", 6).alias("from_days"), F.round("to_days", 6).alias("to_days"), "n", round2("mean_score").alias("mean_score"), "verdict")
+
+
 # ------------------------------------------------------------------- R11 ----
 def gap_to(df: DataFrame, dim: str = "dealer", score: str = "score", ref: str | None = None) -> DataFrame:
     """Each entity's mean against a reference mean: gap in points and in percent.

@@ -1,7 +1,8 @@
 """Retrieval over comments: enriched text, vectors, exact kNN, context, chat history.
 
-* kNN meets corpus and queries in cells (a bucket of rows, a block of queries) by one
-  cogrouped shuffle of (id, vector) only; nothing passes through the driver.  A cell
+* kNN deals the corpus to pivots and rules parts out by the triangle inequality.  What is
+  left meets in cells (a bucket of a part's rows, a block of queries) by a cogrouped
+  shuffle of (id, vector) only; of the vectors, the driver sees a bounded sample.  A cell
   is scored with vectorised numpy and emits its local top-k per query, so at most k
   rows (plus ties) per query and bucket go on; payload columns join the winners.
 * Chat history copies every message to the (at most ``n``) later positions whose window
@@ -55,48 +56,208 @@ def enriched_text(df: DataFrame, labels=ENRICHED_LABELS, out: str = "texto_enriq
 
 
 # -------------------------------------------------------------------- T2 ----
-#: Queries of a cell; rows of a bucket are the corpus over ``spark.sql.shuffle.partitions``.
+#: Queries and corpus rows that meet in one cell at most (about).
 QUERIES_PER_CELL = 4096
+ROWS_PER_BUCKET = 8192
+#: Pivots are centres of a bounded sample of the corpus; every row is indexed under one.
+MAX_PIVOTS = 512
+PIVOT_SAMPLE = 4096
 #: Distances equal to so many decimals are ties: engines add up squares in different orders.
 TIE_DIGITS = 9
 
 
+class PivotIndex:
+    """Pivots per vector length, and of each pivot's rows how many there are and how near and far they lie.
+
+    Small by construction: at most ``MAX_PIVOTS`` pivots and one entry for every length
+    that the sample does not hold (such rows are always visited).
+    """
+
+    def __init__(self, sample: list, rows: int, pivots: int = MAX_PIVOTS):
+        wanted = min(pivots, max(1, int(rows**0.5)))
+        self.pivots: dict[int, np.ndarray] = {}
+        by_length: dict[int, list] = {}
+        for x in sample:
+            by_length.setdefault(len(x), []).append(x)
+        for n, vectors in by_length.items():
+            x = np.array(vectors, dtype=np.float64)
+            if n and np.isfinite(x).all():
+                self.pivots[n] = _centres(x, max(1, wanted * len(x) // len(sample)))
+        self.parts: dict[int, dict[str, np.ndarray]] = {}
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pivot number and distance of each row; number -1 where the length has no pivots."""
+        pivots = self.pivots.get(x.shape[1])
+        if pivots is None:
+            return np.full(len(x), -1), np.zeros(len(x))
+        part = _squares(x, pivots).argmin(axis=1)
+        return part, np.sqrt(((x - pivots[part]) ** 2).sum(axis=1))
+
+    def add_parts(self, stats: list) -> None:
+        """Rows of (length, part, rows, near, far)."""
+        for n in {r["length"] for r in stats}:
+            own = sorted((r for r in stats if r["length"] == n), key=lambda r: r["part"])
+            self.parts[n] = {c: np.array([r[c] for r in own]) for c in ("part", "rows", "near", "far")}
+
+    def home(self, q: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per query the parts of the nearest pivots that hold ``k`` rows between them (all, if fewer)."""
+        there = self.parts.get(q.shape[1])
+        if there is None:
+            return [np.empty(0, int)] * len(q)
+        if q.shape[1] not in self.pivots:
+            return [there["part"]] * len(q)
+        d = _squares(q, self.pivots[q.shape[1]])[:, there["part"]]
+        out = []
+        for order in np.argsort(d, axis=1, kind="stable"):
+            enough = int(np.searchsorted(np.cumsum(there["rows"][order]), k)) + 1
+            out.append(there["part"][order[:enough]])
+        return out
+
+    def beyond(self, q: np.ndarray, kth: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per query the further parts that may hold a row within squared distance ``kth``.
+
+        By the triangle inequality a row of part j is no nearer than |d(q, pivot j)| less
+        the ring of distances that j's rows have from their pivot, and no nearer than the
+        plane half-way between pivot j and the query's nearest pivot.
+        """
+        home = self.home(q, k)
+        pivots = self.pivots.get(q.shape[1])
+        there = self.parts.get(q.shape[1])
+        if there is None or pivots is None:
+            return [np.empty(0, int)] * len(q)
+        d = np.sqrt(np.maximum(_squares(q, pivots), 0))
+        first = d.argmin(axis=1)
+        between = np.sqrt(np.maximum(_squares(pivots, pivots), 0))
+        own = d[:, there["part"]]
+        ring = np.maximum(own - there["far"], there["near"] - own)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (own**2 - (d[np.arange(len(q)), first] ** 2)[:, None]) / (2 * between[first][:, there["part"]])
+        plane[~np.isfinite(plane)] = 0
+        # distances are rounded: bounds give way a little
+        bound = np.maximum(np.maximum(ring, plane) - 1e-6 * (1 + own + there["far"]), 0)
+        near = bound**2 <= kth[:, None] + 2 * 10.0**-TIE_DIGITS
+        return [np.setdiff1d(there["part"][mask], seen) for mask, seen in zip(near, home)]
+
+
+def _squares(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances, as a matrix product."""
+    return np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", p, p)[None, :] - 2 * (x @ p.T)
+
+
+def _centres(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
+    """``k`` centres of a sample: k-means from evenly spaced different vectors."""
+    different = np.unique(x, axis=0)
+    centres = different[np.linspace(0, len(different) - 1, min(k, len(different))).astype(int)]
+    for _ in range(rounds):
+        own = _squares(x, centres).argmin(axis=1)
+        count = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+    return np.unique(centres, axis=0)
+
+
+def pivot_index(rows: DataFrame, pivots: int = MAX_PIVOTS) -> tuple[DataFrame, PivotIndex]:
+    """(v, x, length, part) of every row of (v, x), and the index over the parts."""
+    sample = [r[0] for r in rows.orderBy(F.xxhash64("v")).limit(PIVOT_SAMPLE).select("x").collect()]
+    index = PivotIndex(sample, rows.count(), pivots)
+
+    def assign(batches):
+        for pdf in batches:
+            lengths = pdf["x"].map(len).to_numpy()
+            part, dist = np.full(len(pdf), -1), np.zeros(len(pdf))
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                if n:
+                    part[at], dist[at] = index.nearest(np.stack(pdf["x"].to_numpy()[at]).astype(np.float64))
+            yield pdf.assign(length=lengths, part=part, dist=dist)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("length", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    dealt = rows.mapInPandas(assign, schema).checkpoint()
+    stats = dealt.where("length > 0").groupBy("length", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("dist").alias("near"), F.max("dist").alias("far"))
+    index.add_parts([r.asDict() for r in stats.collect()])  # a row per pivot
+    return dealt, index
+
+
+def _visits(asked: DataFrame, choose: Callable) -> DataFrame:
+    """(q, qv, length, part) for every part that ``choose`` (vectors, rows) names."""
+
+    def plan(batches):
+        for pdf in batches:
+            lengths = pdf["qv"].map(len).to_numpy()
+            for n in np.unique(lengths[lengths > 0]):
+                own = pdf[lengths == n]
+                parts = choose(np.stack(own["qv"].to_numpy()).astype(np.float64), own)
+                at = np.repeat(np.arange(len(own)), [len(p) for p in parts])
+                yield pd.DataFrame({"q": own["q"].to_numpy()[at], "qv": own["qv"].to_numpy()[at], "length": n, "part": np.concatenate(parts) if len(at) else np.empty(0, int)})
+
+    schema = T.StructType([asked.schema["q"], asked.schema["qv"], T.StructField("length", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    return asked.mapInPandas(plan, schema)
+
+
+def _score_visits(dealt: DataFrame, index: PivotIndex, visits: DataFrame, k: int, queries_per_cell: int, rows_per_bucket: int) -> DataFrame | None:
+    """Local top-k (q, v, d) of all visits: a part is as many buckets as its rows need, and blocks as its visits need."""
+    spark = dealt.sparkSession
+    counts = visits.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # at most a row per part
+    if not counts:
+        return None
+    size = {(int(n), int(p)): int(r) for n, there in index.parts.items() for p, r in zip(there["part"], there["rows"])}
+    cells = [(c["length"], c["part"], -(-size[c["length"], c["part"]] // rows_per_bucket), -(-c["n"] // queries_per_cell)) for c in counts]
+    shape = F.broadcast(spark.createDataFrame(cells, "length int, part int, buckets int, blocks int"))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def dealt_by(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    left = dealt.join(shape, ["length", "part"]).select("v", "x", "length", "part", dealt_by("v", "buckets").alias("bucket"), every("blocks").alias("block"))
+    right = visits.join(shape, ["length", "part"]).select("q", "qv", "length", "part", dealt_by("q", "blocks").alias("block"), every("buckets").alias("bucket"))
+    schema = T.StructType([visits.schema["q"], dealt.schema["v"], T.StructField("d", T.DoubleType())])
+
+    def score(key, here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if here.empty or there.empty:
+            return pd.DataFrame({"q": [], "v": [], "d": []})
+        x, q = np.stack(here["x"].to_numpy()).astype(np.float64), np.stack(there["qv"].to_numpy()).astype(np.float64)
+        r, c, d = _local_top_k(x, q, k)
+        return pd.DataFrame({"q": there["q"].to_numpy()[c], "v": here["v"].to_numpy()[r], "d": d})
+
+    keys = ["length", "part", "bucket", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "query_id", qvec: str = "query_vec",
         vid: str = "vec_id", vec: str = "embedding", payload: list[str] | None = None,
-        queries_per_cell: int = QUERIES_PER_CELL) -> DataFrame:
+        queries_per_cell: int = QUERIES_PER_CELL, rows_per_bucket: int = ROWS_PER_BUCKET, pivots: int = MAX_PIVOTS) -> DataFrame:
     """Exact L2 k-nearest neighbours of every query vector in the corpus.
 
     Returns (qid, rank, vid, payload…, distance) with rank 1..k by ascending
     squared distance (ties broken by ``vid``); fewer than k rows when the
     corpus is smaller.  A query meets the vectors of its own length; null vectors on
     either side take no part.
+
+    Every vector is dealt to its nearest pivot.  A query first meets the parts of the
+    nearest pivots that hold k vectors, which gives its k-th distance so far; after that
+    only the parts that the triangle inequality does not rule out.  Parts that no query
+    visits are not shuffled, and cells follow the number of rows and of visits.
     """
     payload = [c for c in (payload or []) if c not in (vid, vec)]
-    buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("qv")).where(F.col("qv").isNotNull())
-    blocks = max(1, -(-asked.count() // queries_per_cell))
-    rows = corpus.select(F.col(vid).alias("v"), F.col(vec).alias("x")).where(F.col("x").isNotNull())
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("qv")).where(F.col("qv").isNotNull()).checkpoint()
+    rows = corpus.select(F.col(vid).alias("v"), F.col(vec).alias("x")).where(F.col("x").isNotNull()).checkpoint()
+    dealt, index = pivot_index(rows, pivots)
 
-    left = rows.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int")).withColumn("block", every(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("bucket", every(buckets))
-    schema = T.StructType([T.StructField("q", queries.schema[qid].dataType), T.StructField("v", corpus.schema[vid].dataType), T.StructField("d", T.DoubleType())])
-
-    def score(key, here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n, same in there.groupby(there["qv"].map(len)):
-            fits = here[here["x"].map(len) == n]
-            if n and len(fits):
-                x, q = np.stack(fits["x"].to_numpy()).astype(np.float64), np.stack(same["qv"].to_numpy()).astype(np.float64)
-                r, c, d = _local_top_k(x, q, k)
-                out.append(pd.DataFrame({"q": same["q"].to_numpy()[c], "v": fits["v"].to_numpy()[r], "d": d}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "v": [], "d": []})
-
-    local = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInPandas(score, schema)
     best = Window.partitionBy("q").orderBy(F.round("d", TIE_DIGITS), "v")
-    hits = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = _score_visits(dealt, index, _visits(asked, lambda q, own: index.home(q, k)), k, queries_per_cell, rows_per_bucket)
+    if near is None:
+        hits = asked.join(rows, F.lit(False)).select("q", F.lit(1).alias("rank"), "v", F.lit(0.0).alias("d"))
+    else:
+        near = near.checkpoint()
+        first = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        kth = first.groupBy("q").agg(F.max("d").alias("kth"), F.count(F.lit(1)).alias("found")).where(F.col("found") >= k).select("q", "kth")
+        bounded = asked.join(kth, "q")  # who found fewer than k has met every part
+        far = _score_visits(dealt, index, _visits(bounded, lambda q, own: index.beyond(q, own["kth"].to_numpy(), k)), k, queries_per_cell, rows_per_bucket)
+        local = near if far is None else near.unionByName(far)
+        hits = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     hits = hits.select(F.col("q").alias(qid), "rank", F.col("v").alias(vid), F.round("d", 6).alias("distance"))
     if payload:
         hits = hits.join(corpus.select(vid, *payload), vid, "left")

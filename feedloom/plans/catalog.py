@@ -17,6 +17,7 @@ from feedloom.operators import cleaning as C
 from feedloom.operators import columns as P
 from feedloom.operators import dedup as D
 from feedloom.operators import enrich as J
+from feedloom.operators import findings as FD
 from feedloom.operators import filters as FL
 from feedloom.operators import metrics as M
 from feedloom.operators import report as R
@@ -609,30 +610,37 @@ def q_report_cross(spark, sf):
     return R.cross(X.verbatims(spark, sf))
 
 
-# Written apart from the operator's pattern: decimal marks become ``p``, every other mark is
-# doubled so that matches may share it, and each unit is a fixed word list.
-_DELAY_WORDS = "un una uno dos tres cuatro cinco seis siete ocho nueve diez quince veinte treinta".split()
-_DELAY_NUMBERS = [1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 30]
-_DELAY_UNITS = {"horas": 1 / 24, "hora": 1 / 24, "h": 1 / 24, "dias": 1, "dia": 1, "semanas": 7, "semana": 7, "meses": 30, "mes": 30, "anos": 365, "ano": 365}
-_DELAY_RE = f"(^|[^a-z0-9])([0-9]+(p[0-9]+)?[^a-z0-9]*|({'|'.join(_DELAY_WORDS)})[^a-z0-9]+)({'|'.join(_DELAY_UNITS)})([^a-z0-9]|$)"
-_NUMBER_CASE = " ".join(f"WHEN '{w}' THEN {n}" for w, n in zip(_DELAY_WORDS, _DELAY_NUMBERS))
-_UNIT_CASE = " ".join(f"WHEN '{u}' THEN {v!r}" for u, v in _DELAY_UNITS.items())
-
-
 @register("report_delay_bands", X.with_views(f"""
-, t AS (SELECT score, regexp_replace(regexp_replace({_FOLD.format(x='comment')}, '([0-9])[.,]([0-9])', '\\1p\\2', 'g'),
-                                     '([^a-z0-9])', '\\1\\1', 'g') AS s FROM vts),
-m AS (SELECT score, regexp_extract_all(s, '{_DELAY_RE}', 2) AS nums, regexp_extract_all(s, '{_DELAY_RE}', 5) AS units FROM t),
-d AS (SELECT score, CASE WHEN len(nums) > 0 THEN list_max(list_transform(range(1, len(nums) + 1), lambda i:
-        coalesce(CASE regexp_replace(nums[i], '[^a-z0-9]', '', 'g') {_NUMBER_CASE} END,
-                 CAST(replace(regexp_replace(nums[i], '[^a-z0-9]', '', 'g'), 'p', '.') AS DOUBLE))
-        * CASE units[i] {_UNIT_CASE} END)) END AS days FROM m)
 SELECT CASE WHEN days IS NULL THEN 'none' WHEN days < 1 THEN '<1d' WHEN days < 7 THEN '1-7d'
             WHEN days < 30 THEN '7-30d' ELSE '>=30d' END AS band,
        count(*) AS n, {r2('avg(score)')} AS mean_score, {r2('avg(days)')} AS mean_days
-FROM d GROUP BY 1""", VT))
+FROM delayed GROUP BY 1""", VT, X.DELAYED_SQL))
 def q_report_delay_bands(spark, sf):
-    return R.delay_bands(X.verbatims(spark, sf))
+    """Delays are planted in the comments as numerals and number words; the oracle knows them without reading."""
+    return R.delay_bands(X.delayed(spark, sf))
+
+
+@register("report_delay_verdicts", X.with_views(f"""
+, t AS (SELECT service, days, count(*) AS n, sum(score) AS s, sum(score * score) AS ss FROM delayed
+        WHERE days IS NOT NULL AND score IS NOT NULL GROUP BY service, days),
+p AS (SELECT service, days, row_number() OVER w AS i, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(ss) OVER w AS ss,
+             sum(n) OVER (PARTITION BY service) AS an, sum(s) OVER (PARTITION BY service) AS a_s
+      FROM t WINDOW w AS (PARTITION BY service ORDER BY days)),
+c AS (SELECT a.service, a.i AS i, b.i AS j,
+             - a.s * a.s / a.n - (b.s - a.s) * (b.s - a.s) / (b.n - a.n) - (b.a_s - b.s) * (b.a_s - b.s) / (b.an - b.n) AS cost
+      FROM p a JOIN p b ON a.service = b.service AND a.i < b.i AND b.n < b.an),
+best AS (SELECT service, i, j FROM (
+  SELECT *, row_number() OVER (PARTITION BY service ORDER BY round(cost, 6), i, j) AS place FROM c) WHERE place = 1),
+bands AS (
+  SELECT t.service, CASE WHEN p.i <= best.i THEN 1 WHEN p.i <= best.j THEN 2 ELSE 3 END AS band, min(t.days) AS lo, max(t.days) AS hi,
+         CAST(sum(t.n) AS BIGINT) AS n, sum(t.s) / sum(t.n) AS m
+  FROM t JOIN p ON t.service = p.service AND t.days = p.days JOIN best ON best.service = t.service GROUP BY ALL)
+SELECT service, band, round(lo, 6) AS from_days, round(hi, 6) AS to_days, n, {r2('m')} AS mean_score,
+       CASE row_number() OVER (PARTITION BY service ORDER BY m DESC, band) WHEN 1 THEN 'genial' WHEN 2 THEN 'bien' ELSE 'mal' END AS verdict
+FROM bands""", VT, X.DELAYED_SQL))
+def q_report_delay_verdicts(spark, sf):
+    """Which delays the customers of sales and of service call great, fair or bad."""
+    return R.delay_verdicts(X.delayed(spark, sf), ["service"])
 
 
 @register("report_gap", X.with_views(f"""
@@ -654,6 +662,62 @@ def q_report_gap_ref(spark, sf):
     return R.gap_to(X.verbatims(spark, sf), "technology", ref="Gasolina")
 
 
+# ------------------------------------------------------------ findings ----
+@register("report_distinctive_terms", X.with_views("""
+, d AS (SELECT dealer, count(*) AS n, avg(score) AS m FROM vts WHERE dealer IS NOT NULL GROUP BY dealer HAVING avg(score) IS NOT NULL),
+top AS (SELECT dealer FROM d ORDER BY m DESC, n DESC, dealer LIMIT 3),
+sides AS (SELECT dealer, 'best' AS side FROM top UNION ALL SELECT dealer, 'low' FROM d WHERE m < 5 AND dealer NOT IN (SELECT dealer FROM top)),
+w AS (SELECT side, list_filter(regexp_split_to_array(lower(coalesce(comment, '')), '[^\\p{L}\\p{N}_]+'), lambda t: t <> '') AS ws FROM vts JOIN sides USING (dealer)),
+g AS (SELECT side, 1 AS n, unnest(ws) AS term FROM w
+      UNION ALL SELECT side, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
+c AS (SELECT n, term, count(*) FILTER (side = 'low') AS yl, count(*) FILTER (side = 'best') AS yb FROM g GROUP BY n, term),
+t AS (SELECT *, sum(yl) OVER (PARTITION BY n) AS nl, sum(yb) OVER (PARTITION BY n) AS nb FROM c),
+e AS (SELECT *, (yl + yb) * CAST(500 AS DOUBLE) / (nl + nb) AS a FROM t WHERE yl + yb >= 5),
+z AS (SELECT term, yl, yb, round((ln((yl + a) / (nl + 500 - yl - a)) - ln((yb + a) / (nb + 500 - yb - a))) / sqrt(1 / (yl + a) + 1 / (yb + a)), 9) AS z FROM e),
+r AS (SELECT CASE WHEN z > 0 THEN 'low' ELSE 'best' END AS side, term, yl, yb, z,
+             row_number() OVER (PARTITION BY z > 0 ORDER BY abs(z) DESC, term) AS rank FROM z WHERE z <> 0)
+SELECT side, CAST(rank AS INTEGER) AS rank, term, yl AS n_low, yb AS n_best, round(z, 6) AS z FROM r WHERE rank <= 20""", VT))
+def q_report_distinctive_terms(spark, sf):
+    """Words and pairs of words that set badly rated dealers apart from the best three."""
+    return FD.distinctive_terms(X.verbatims(spark, sf))
+
+
+@register("report_silences", """
+WITH o AS (SELECT o_custkey AS dealer, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS m FROM orders),
+lim AS (SELECT min(m) AS lo, max(m) AS hi FROM o),
+spine AS (SELECT dealer, unnest(range(lo, hi + 1)) AS m FROM (SELECT DISTINCT dealer FROM o), lim),
+f AS (SELECT s.dealer, s.m, count(o.m) AS n FROM spine s LEFT JOIN o ON o.dealer = s.dealer AND o.m = s.m GROUP BY ALL),
+g AS (SELECT *, m - row_number() OVER (PARTITION BY dealer, n = 0 ORDER BY m) AS run FROM f),
+runs AS (SELECT dealer, n = 0 AS quiet, min(m) AS first, max(m) AS last, sum(n) AS n FROM g GROUP BY dealer, n = 0, run),
+w AS (SELECT *, lag(n) OVER p AS nb, lag(last - first + 1) OVER p AS ab, lead(n) OVER p AS na FROM runs WINDOW p AS (PARTITION BY dealer ORDER BY first))
+SELECT dealer, make_date(first // 12, first % 12 + 1, 1) AS from_month, CAST(last - first + 1 AS INTEGER) AS n_months,
+       CASE WHEN nb IS NULL THEN 'late' WHEN last - first + 1 < 2 THEN 'gap' WHEN na IS NULL THEN 'stopped' ELSE 'pause' END AS kind,
+       CAST(ab AS BIGINT) AS active_months, CAST(nb AS BIGINT) AS n_before, CAST(na AS BIGINT) AS n_after
+FROM w WHERE quiet""")
+def q_report_silences(spark, sf):
+    """Runs of months without an order, per customer, over the months that the table covers."""
+    orders = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("dealer"), F.col("o_orderdate").alias("dt"))
+    return FD.silences(orders)
+
+
+@register("report_mean_drivers", X.with_views("""
+, b AS (SELECT model, dealer, score FROM vts WHERE model IS NOT NULL AND dealer IS NOT NULL AND score IS NOT NULL),
+g AS (SELECT avg(score) AS g, count(*) AS n FROM b),
+m AS (SELECT model, avg(score) AS mm, count(*) AS nm, sum(score) AS sm FROM b GROUP BY model),
+d AS (SELECT dealer, avg(score) AS md, count(*) AS nd FROM b GROUP BY dealer),
+x AS (SELECT m.model, d.dealer, mm, nm, sm, md, nd, count(b.score) AS n, coalesce(sum(b.score), 0) AS s
+      FROM m CROSS JOIN d LEFT JOIN b ON b.model = m.model AND b.dealer = d.dealer GROUP BY ALL),
+y AS (SELECT x.*, CAST(x.n AS DOUBLE) / nm AS share, (CAST(x.n AS DOUBLE) / nm - CAST(nd AS DOUBLE) / g.n) * (md - g) AS mix, mm - g AS gap FROM x, g),
+o AS (SELECT model, dealer, n, s / n AS mean_score, share, share * (s / n - md) AS level, mix,
+             CASE WHEN nm > n THEN mm - (sm - s) / (nm - n) END AS influence, gap FROM y WHERE n > 0
+      UNION ALL SELECT model, '(otros)', 0, NULL, 0, 0, coalesce(sum(mix) FILTER (n = 0), 0), NULL, any_value(gap) FROM y GROUP BY model)
+SELECT model, dealer, n, round(mean_score, 6) AS mean_score, round(share, 6) AS share, round(level, 6) AS level, round(mix, 6) + 0 AS mix,
+       round(influence, 6) AS influence, round(gap, 6) AS gap FROM o""", VT))
+def q_report_mean_drivers(spark, sf):
+    """Which dealers move a model's mean away from the overall mean, by level and by mix."""
+    return FD.mean_drivers(X.verbatims(spark, sf))
+
+
 # =========================================================== retrieval ====
 
 
@@ -899,6 +963,51 @@ def q_survey_extracts(spark, sf):
     return S.read_survey(spark, root, "Ventas").drop("_row").withColumn("_file", F.regexp_replace("_file", "^book=", ""))
 
 
+# Fixture of drifting headers: what each shape of workbook calls the question Q1 in its own sheet.
+_BOOK_QUESTIONS = {0: "Nota", 1: "Valor"}
+
+
+@register("survey_headers", """
+WITH b AS (SELECT *, c_custkey % 4 AS shape, c_custkey // 4 % 6 AS book FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS id,
+       CASE shape WHEN 0 THEN c_name WHEN 3 THEN c_name || chr(10) || '"' || c_mktsegment || '"' END AS nombre_cliente,
+       CASE WHEN shape < 2 THEN c_mktsegment END AS email,
+       CASE WHEN shape = 0 THEN CAST(c_nationkey AS VARCHAR) END AS email_2,
+       CASE WHEN shape = 2 AND book % 3 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS nota,
+       CASE WHEN shape = 2 AND book % 3 = 1 THEN CAST(c_nationkey AS VARCHAR) END AS valor,
+       CASE WHEN shape = 2 AND book % 3 = 2 THEN CAST(c_nationkey AS VARCHAR) END AS q1,
+       'libro' || shape || book || '__Ventas.csv' AS _file
+FROM b""")
+def q_survey_headers(spark, sf):
+    """S1 + S3 + U1 over two dozen workbooks in four header shapes: columns change places, are
+    missing, have line breaks and quotes in their names, come to the same name, or are named
+    by question sheets that differ from book to book.  One scan per header."""
+    from feedloom.sources import ingest as S
+    from feedloom.sources import sinks as K
+
+    root = _scratch(spark, "headers")
+    k, name = F.col("c_custkey"), F.col("c_name")
+    quoted = F.concat(name, F.lit('\n"'), F.col("c_mktsegment"), F.lit('"'))
+    nation = F.col("c_nationkey").cast("string")
+    shapes = [
+        [k.alias("ID"), name.alias("Nombre Cliente"), F.col("c_mktsegment").alias("Email"), nation.alias("EMAIL ")],
+        [F.col("c_mktsegment").alias("email"), k.alias("ID")],
+        [nation.alias("Q1"), k.alias("ID")],
+        [k.alias(" ID"), quoted.alias("Nombre\nCliente")],
+    ]
+    customers = X.table(spark, sf, "customer")
+    for shape, columns in enumerate(shapes):
+        book = F.concat(F.lit(f"libro{shape}"), F.floor(k / 4) % 6, F.lit("__Ventas.csv")).alias("book")
+        rows = customers.where(k % 4 == shape).select(*columns, book)
+        rows.write.partitionBy("book").options(**K.CSV_WRITE_OPTIONS).csv(f"{root}/{shape}")
+    for book in range(6):
+        if book % 3 in _BOOK_QUESTIONS:
+            questions = spark.createDataFrame([("Q1", _BOOK_QUESTIONS[book % 3])], "`Display ID` string, Questionnaire string")
+            K.export_csv(questions, questions.columns, f"{root}/2/book=libro2{book}__Questionnaire.csv")
+    rows = S.read_survey(spark, root, "Ventas").drop("_row").withColumn("_file", F.regexp_replace("_file", "^book=", ""))
+    return rows.withColumnRenamed("nombre\ncliente", "con_salto").withColumn("nombre_cliente", F.coalesce("nombre_cliente", "con_salto")).drop("con_salto")
+
+
 # Texts with what CSV must protect: line breaks, quotes, separators, blanks at the ends.
 _HARD_TEXT_SQL = """CASE doc_id % 4 WHEN 0 THEN '"' || text || '"' WHEN 1 THEN ' ' || text || chr(10) || 'a,"b""c"' WHEN 2 THEN replace(text, ' ', ',"') ELSE text END"""
 

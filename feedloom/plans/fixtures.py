@@ -68,6 +68,77 @@ vts AS (
   FROM vt)"""
 
 
+# ---------------------------------------------------------------- delays ----
+# Spanish number words, from which ``spelled`` makes all numbers below a thousand.
+_BELOW_16 = "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince".split()
+_TENS_ES = "diez veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+_HUNDREDS_ES = "cien doscientas trescientas cuatrocientas quinientas seiscientas setecientas ochocientas novecientas".split()
+
+
+def spelled(n: int) -> str:
+    """A number from 0 to 999 in Spanish words."""
+    if n < 16:
+        return _BELOW_16[n]
+    if n < 100:
+        ten, one = divmod(n, 10)
+        if one == 0:
+            return _TENS_ES[ten - 1]
+        return {1: "dieci", 2: "veinti"}.get(ten, _TENS_ES[ten - 1] + " y ") + _BELOW_16[one]
+    hundred, rest = divmod(n, 100)
+    if rest == 0:
+        return _HUNDREDS_ES[hundred - 1]
+    return ("ciento" if hundred == 1 else _HUNDREDS_ES[hundred - 1]) + " " + spelled(rest)
+
+
+def delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbatims with a delay planted in front of most comments, and scores that follow the delay.
+
+    The text is made from a number, so the oracle knows every delay without reading text.
+    """
+    d = table(spark, sf_dir, "documents")
+    kind, i = F.col("doc_id") % 10, F.floor(F.col("doc_id") / 10)
+    words = F.array(*[F.lit(spelled(n)) for n in range(1, 252)])
+    word = lambda n: F.element_at(words, n.cast("int"))
+    num = lambda n: n.cast("string")
+    phrase = (
+        F.when(kind == 1, F.concat(F.lit("Tardaron "), num(i % 60 + 1), F.lit(" horas. ")))
+        .when(kind == 2, F.concat(F.lit("Esperé "), word(i % 45 + 1), F.lit(" DÍAS: ")))
+        .when(kind == 3, F.concat(F.lit("Más de "), word(i % 5 + 2), F.lit(" semanas y media, ")))
+        .when(kind == 4, F.concat(F.lit("Fueron "), num(i % 6 + 1), F.lit(",5 meses; ")))
+        .when(kind == 5, F.concat(F.lit("Listo en "), num(i % 20 + 1), F.lit("h. ")))
+        .when(kind == 6, F.when(i % 2 == 0, "Media hora. ").otherwise("medio mes! "))
+        .when(kind == 7, F.concat(F.lit("Unas "), word(i % 150 + 101), F.lit(" horas. ")))
+        .when(kind == 8, F.concat(F.lit("dos días y "), word(i % 23 + 1), F.lit(" horas... ")))
+        .when(kind == 9, F.when(i % 2 == 0, "Un año y medio. ").otherwise("mil doscientos días. "))
+        .otherwise("Sin demora. ")
+    )
+    base = verbatims(spark, sf_dir).select("id", "dealer", "service", "comment", "score")
+    marks = d.select(F.col("doc_id").alias("id"), phrase.alias("phrase"), _planted_days(kind, i).alias("_days"))
+    j = F.col("id")
+    own = (F.when(F.col("_days") < 1, 8 - j % 2).when(F.col("_days") < 7, 5 + j % 2).when(F.col("_days") >= 7, 1 + j % 3)).cast("double")
+    return base.join(marks, "id").select("id", "dealer", "service", F.concat("phrase", "comment").alias("comment"), F.coalesce(own, F.col("score")).alias("score"))
+
+
+def _planted_days(kind: Column, i: Column) -> Column:
+    return (
+        F.when(kind == 1, (i % 60 + 1) / 24.0).when(kind == 2, (i % 45 + 1).cast("double")).when(kind == 3, (i % 5 + 2.5) * 7).when(kind == 4, (i % 6 + 1.5) * 30)
+        .when(kind == 5, (i % 20 + 1) / 24.0).when(kind == 6, F.when(i % 2 == 0, 0.5 / 24).otherwise(15.0)).when(kind == 7, (i % 150 + 101) / 24.0).when(kind == 8, 2.0)
+        .when(kind == 9, F.when(i % 2 == 0, 547.5).otherwise(1200.0))
+    )
+
+
+DELAYED_SQL = """planted AS (
+  SELECT id, dealer, service, score AS own_score, id // 10 AS i, id % 10 AS kind FROM vts),
+delays AS (
+  SELECT *, CAST(CASE kind WHEN 1 THEN (i % 60 + 1) / 24.0 WHEN 2 THEN i % 45 + 1 WHEN 3 THEN (i % 5 + 2.5) * 7
+    WHEN 4 THEN (i % 6 + 1.5) * 30 WHEN 5 THEN (i % 20 + 1) / 24.0 WHEN 6 THEN CASE WHEN i % 2 = 0 THEN 0.5 / 24 ELSE 15 END
+    WHEN 7 THEN (i % 150 + 101) / 24.0 WHEN 8 THEN 2 WHEN 9 THEN CASE WHEN i % 2 = 0 THEN 547.5 ELSE 1200 END END AS DOUBLE) AS days
+  FROM planted),
+delayed AS (
+  SELECT id, dealer, service, days, CASE WHEN days < 1 THEN 8 - id % 2 WHEN days < 7 THEN 5 + id % 2 WHEN days >= 7 THEN 1 + id % 3 ELSE own_score END AS score
+  FROM delays)"""
+
+
 # --------------------------------------------------------------------- vf ----
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large numeric fact: one scored visit per line item.

@@ -158,7 +158,7 @@ def test_slug_value_key(spark):
 
 
 def test_delay_days_forms(spark):
-    from feedloom.functions.text import delay_days
+    from feedloom.functions import delay_days
 
     cases = {"esperé 1,5 horas": 1.5 / 24, "tardó 1.5 horas": 1.5 / 24, "una semana": 7, "2 años": 730, "24h sin coche": 1, "dos días y 3 horas": 2,
              "48 HORAS": 2, "unas horas": None, "luna semana": None, "5 mesas": None, "tres meses.": 90, "x5 horas": None, "": None, "un mes": 30, "10 dias,2 semanas": 14}

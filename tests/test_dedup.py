@@ -131,3 +131,57 @@ def test_distinct_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None)], "x int, y string")
     assert sorted(distinct_rows(df, ["x", "y"]).collect(), key=str) == sorted(
         [(1, "a"), (2, None)], key=str)
+
+
+@pytest.mark.parametrize("seed,threshold,cap", [(41, 4, 300), (42, 3, 300), (43, 5, 6), (44, 6, 300), (45, 1, 300)])
+def test_hot_groups_with_their_own_signatures_match_brute_force(spark, monkeypatch, seed, threshold, cap):
+    """Groups of any size choose their signatures, from a small sample; a group of two thirds is broadcast or joined."""
+    from feedloom.operators import dedup
+
+    monkeypatch.setattr(dedup, "HOT_GROUP", 2)
+    monkeypatch.setattr(dedup, "LAYOUT_SAMPLE", 20)
+    monkeypatch.setattr(dedup, "MAX_SIGNATURES", cap)
+    monkeypatch.setattr(dedup, "HOT_SHARE", 2 if seed % 2 else 1000)
+    rows = make_rows(seed, 200)
+    for r in rows[: len(rows) * 2 // 3]:
+        r["k1"], r["k2"] = None, None
+    out = drop_near_duplicates(to_df(spark, rows), ("k1", "k2"), order="id", threshold=threshold, bucket_window=3)
+    assert sorted(r.id for r in out.collect()) == brute_force(rows, threshold)
+
+
+def test_signatures_of_low_variety_columns_are_selective(spark):
+    """One group of 100 000 different rows over ten columns of eight values: a hundredth of its pairs is never reached."""
+    from pyspark.sql import functions as F
+
+    from feedloom.operators import dedup
+
+    n, cols = 100_000, [f"c{i}" for i in range(10)]
+    df = spark.range(n).select(F.col("id"), F.lit(None).cast("string").alias("k"), *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(8))).alias(c) for i, c in enumerate(cols)])
+    cells = dedup.hashed_cells(df, ["k"], "id", cols)
+    members = dedup.bucket_members(cells, dedup._blocks(df, cols, 8), 8)
+    sizes = members.groupBy("bucket").count()
+    pairs, rows = sizes.agg(F.sum(F.expr("count * (count - 1) / 2")), F.sum("count")).first()
+    assert pairs < n * (n - 1) / 2 / 100 and rows < 30 * n
+    # two rows that agree on eight of ten columns share a bucket: all of them, against a plain join on eight columns
+    from itertools import combinations
+
+    similar = None
+    for chosen in combinations(cols, 8):
+        same = df.alias("a").join(df.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in chosen]).where("a.id < b.id").select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+        similar = same if similar is None else similar.unionByName(same)
+    similar = similar.distinct()
+    met = members.alias("m").join(members.alias("o"), F.expr("m.bucket = o.bucket AND m.o < o.o")).select(F.col("m.o").alias("x"), F.col("o.o").alias("y")).distinct()
+    assert similar.count() > 1000 and similar.join(met, ["x", "y"], "left_anti").count() == 0
+
+
+def test_layout_prefers_signatures_that_tell_rows_apart():
+    import numpy as np
+
+    from feedloom.operators.dedup import choose_layout
+
+    rng = np.random.default_rng(1)
+    varied = rng.integers(1, 1 << 40, (500, 3))
+    poor = rng.integers(1, 4, (500, 7))
+    block_of, signatures = choose_layout(np.concatenate((varied, poor), axis=1).astype(np.int64), 8, 50_000)
+    assert len(block_of) == 10 and all(len(s) == len(signatures[0]) for s in signatures)
+    assert max(block_of) + 1 == 2 + len(signatures[0])
