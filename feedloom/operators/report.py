@@ -308,7 +308,8 @@ def delay_verdicts(df: DataFrame, by: list[str] = (), verdicts: list[str] = VERD
             found[c] = rows[c].iat[0]
         return found[[*keys, "band", "from_days", "to_days", "n", "mean_score", "verdict"]]
 
-    cuts = table.drop("place").groupBy(*(keys or [F.lit(0)])).applyInPandas(cut, schema)
+    groups = table.drop("place") if keys else table.drop("place").withColumn("_all", F.lit(0))
+    cuts = groups.groupBy(*(keys or ["_all"])).applyInPandas(cut, schema)
     return cuts.select(*keys, "band", F.round("from_days", 6).alias("from_days"), F.round("to_days", 6).alias("to_days"), "n", round2("mean_score").alias("mean_score"), "verdict")
 
 

@@ -1,6 +1,7 @@
 """kNN against numpy, chat history against a list slice, embedder hook, TF-IDF."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import retrieval as RT
@@ -137,3 +138,51 @@ def test_stored_knn_equals_direct(spark):
         hits = RT.knn(Q._questions(spark, SF_SMALL), Q._embedded(vt), k=5, payload=Q.STORE_COLS)
         direct |= {(service, r.query_id, r["rank"]): (r.vec_id, r.distance, r.comment) for r in hits.collect()}
     assert stored == direct and len(stored) > 0
+
+
+def _clustered(n, dims, seed, spread=0.05):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(25, dims)) * 3
+    x = (centres[rng.integers(0, 25, n)] + spread * rng.normal(size=(n, dims))).astype(np.float32)
+    x[rng.random(n) < 0.3] = x[0]  # a third of all rows is one vector
+    return x
+
+
+@pytest.mark.parametrize(("pivots", "cell", "bucket"), [(512, 4096, 8192), (7, 3, 50), (1, 4096, 30)])
+def test_knn_with_pivots_equals_brute_force(spark, pivots, cell, bucket):
+    x = _clustered(900, 8, 1)
+    q = np.concatenate((x[:6], _clustered(6, 8, 2), np.zeros((1, 8), np.float32)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, []), (5002, [1.0, 2.0]), (5003, [1.0, 2.5])]
+    asked = [(i, v.tolist()) for i, v in enumerate(q)] + [(70, None), (71, []), (72, [1.0, 2.0]), (73, [1.0] * 5)]
+    got = RT.knn(spark.createDataFrame(asked, "query_id long, query_vec array<float>"), spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5,
+                 queries_per_cell=cell, rows_per_bucket=bucket, pivots=pivots)
+    want = []
+    for i, v in asked:
+        if v:
+            near = sorted((round(float(((np.array(w, np.float32).astype(float) - np.array(v, np.float32).astype(float)) ** 2).sum()), 9), j) for j, w in rows if w and len(w) == len(v))[:5]
+            want += [(i, r + 1, j) for r, (_, j) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == want
+
+
+def test_knn_visits_few_parts(spark):
+    """Over clustered vectors the triangle bound leaves a query a small share of the parts, and of the rows."""
+    x = _clustered(4000, 8, 3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, x array<float>")
+    dealt, index = RT.pivot_index(rows)
+    q = x[::40].astype(float)
+    there = index.parts[8]
+    assert there["rows"].sum() == 4000 and len(there["part"]) > 15
+    home = index.home(q, 5)
+    d = ((q[:, None, :] - x[None].astype(float)) ** 2).sum(axis=2)
+    kth = np.sort(d, axis=1)[:, 4]
+    further = index.beyond(q, kth, 5)
+    visited = np.mean([len(a) + len(b) for a, b in zip(home, further)])
+    assert visited < 0.2 * len(there["part"])
+    assert all(not set(a) & set(b) for a, b in zip(home, further))
+
+
+def test_knn_empty_sides(spark):
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, query_vec array<float>")
+    assert RT.knn(asked, some.limit(0)).count() == 0 and RT.knn(asked.limit(0), some).count() == 0
+    assert [tuple(r) for r in RT.knn(asked, some).collect()] == [(1, 1, 1, 0.0)]
