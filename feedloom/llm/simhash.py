@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -66,8 +66,8 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, *more: str) -> DataFrame:
+    """(doc_id, more..., fp) with the fingerprint's 64 bits as a signed long."""
 
     @F.pandas_udf(LongType())
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
         for s in texts:
             yield pd.Series(np.array([fingerprint(t, shingle_words) for t in s], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", *more, fp("text").alias("fp"))
 
 
 @dataclass
@@ -255,27 +255,41 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id reachable."""
-    fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
+def _rooted(fps: DataFrame, max_bits: int, shard_size: int) -> DataFrame:
+    """(fp, first_doc, root) per different fingerprint; ``root`` names its component."""
     different = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
     linked = components(shard_edges(different, max_bits, shard_size))
     rooted = different.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted, "rooted-fingerprints")
+    return materialize(rooted, "rooted-fingerprints")
+
+
+def simhash_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id reachable."""
+    fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
+    rooted = _rooted(fps, max_bits, shard_size)
     roots = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     return fps.join(rooted.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _text_key(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each group stays, that of its smallest doc_id (of repeated ids, the least text).
+    """One row of each component stays: that of its smallest doc_id (of its texts there, the one with the least hash).
 
+    A doc_id that occurs with texts of several components is looked at text by text.
     Rows without a doc_id stay: nothing tells them apart.
     """
-    found = simhash_components(docs.select("doc_id", "text"), shingle_words, max_bits)
-    keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("keeper")).distinct()
+    texts = docs.select("doc_id", "text")
+    fps = materialize(fingerprints(texts.withColumn("text_key", _text_key(F.col("text"))), shingle_words, "text_key"), "fingerprints")
+    members = fps.where("doc_id IS NOT NULL").join(_rooted(fps.select("doc_id", "fp"), max_bits, SHARD_SIZE).select("fp", "root"), "fp")
+    keepers = members.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("keeper"), F.col("k.text_key").alias("keeper_text"))
     rows = packed(docs)
-    one = Window.partitionBy("row.doc_id").orderBy(F.col("row.text").asc_nulls_last(), F.xxhash64("row"))
-    kept = rows.join(keepers, F.col("row.doc_id") == F.col("keeper"), "left_semi").withColumn("place", F.row_number().over(one)).where("place = 1")
+    own = _text_key(F.col("row.text"))
+    kept = rows.join(keepers, (F.col("row.doc_id") == F.col("keeper")) & (own == F.col("keeper_text")), "left_semi")
+    one = Window.partitionBy("row.doc_id", own).orderBy(F.xxhash64("row"))
+    kept = kept.withColumn("place", F.row_number().over(one)).where("place = 1")
     return kept.select("row").unionByName(rows.where("row.doc_id IS NULL")).select("row.*")
 
 

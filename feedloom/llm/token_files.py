@@ -101,8 +101,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def write_index(spark: SparkSession, path: str, index_path: str, tokenizer: str) -> DataFrame:
     """Read every file back, check each record, and write the offset index; returns it.
 
-    ``start`` counts the ids of all records before, across files; file names are in
-    record order.
+    ``start`` counts the ids of all records before, across files; the numbers in file
+    names give the record order.
     """
     kind = id_type(tokenizer)
 
@@ -123,10 +123,14 @@ def write_index(spark: SparkSession, path: str, index_path: str, tokenizer: str)
     found = _files(spark, path).mapInPandas(scan, _INDEX).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     found.write.parquet(index_path)
     index = spark.read.parquet(index_path)
-    # one row per file
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    # one row per file, numbered by partition and by file of the partition; names do not sort (c1000 before c101)
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("int")
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens")).select("file", "tokens", number(r"part-(\d+)").alias("part"), number(r"-c(\d+)[^/]*$").alias("place"))
+    earlier = Window.unboundedPreceding
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(earlier, -1)
+    parts = totals.groupBy("part").agg(F.sum("tokens").alias("tokens"))  # one row per partition
+    parts = parts.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(earlier, -1)), F.lit(0)).alias("before"))
+    bases = totals.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(parts, "part").select("file", (F.col("before") + F.col("inside")).alias("base"))
     return index.join(bases, "file").withColumn("start", F.col("base") + F.col("start_in_file")).drop("base", "start_in_file")
 
 

@@ -15,10 +15,12 @@ Rows and queries meet in cells of bounded size (a bucket of rows, a block of que
 so neither side is collected or broadcast and no task grows with the input.  The query
 set is given, so every row meets every block of queries once a phase.
 
-Components become floor(scale * x) with x as double, clipped to +-2**31; scores are
-exact integers (long arithmetic).  Defined results: see ``vectors.usable``; zero
-vectors take part.  A query is never its own candidate.  Fewer than k candidates: all.
-No vectors or no queries: no rows.  Other columns are ignored.
+Components become floor(scale * x) with x as double; scores are exact integers: by
+doubles or long arithmetic where these hold every product, else by unbounded integers.
+A component or a score that does not fit a long is an error by name.  Defined results:
+see ``vectors.usable``; zero vectors take part, and a vector meets those of its own
+length.  A query is never its own candidate.  Fewer than k candidates: all.  No vectors
+or no queries: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ def _matrix(column: pd.Series):
     return np.array(column.tolist(), dtype=np.int64)
 
 
-def _partials(queries, rows):
-    """Partial scores (lists, queries, rows), exact: by BLAS where doubles hold them, else in integers."""
+def _partials(queries, rows, own):
+    """Partial scores (lists, queries, rows), exact; ``own`` marks a query's own row, whose scores do not count."""
     import numpy as np
 
     blocks = np.array_split(np.arange(rows.shape[1]), min(LISTS, rows.shape[1]))
@@ -53,7 +55,15 @@ def _partials(queries, rows):
     if bound < 1 << 52:
         q, r = queries.astype(np.float64), rows.astype(np.float64)
         return np.stack([q[:, b] @ r[:, b].T for b in blocks]).astype(np.int64)
-    return np.stack([queries[:, b] @ rows[:, b].T for b in blocks])
+    if bound < 1 << 62:
+        return np.stack([queries[:, b] @ rows[:, b].T for b in blocks])
+    q, r = queries.astype(object), rows.astype(object)
+    parts = np.stack([q[:, b] @ r[:, b].T for b in blocks])
+    parts[:, own] = 0
+    for x in (*parts, parts.sum(axis=0)):
+        if max(x.max(), -x.min()) >= 1 << 63:
+            raise OverflowError("a score does not fit a long integer")
+    return parts.astype(np.int64)
 
 
 def _local_lists(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -66,7 +76,7 @@ def _local_lists(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int)
     ids, qids = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
     r, q = _matrix(rows["v"]), _matrix(queries["qv"])
     for at in range(0, len(q), _STRIP):
-        parts = _partials(q[at : at + _STRIP], r)
+        parts = _partials(q[at : at + _STRIP], r, qids[at : at + _STRIP][:, None] == ids[None, :])
         for i, qid in enumerate(qids[at : at + _STRIP]):
             others = ids != qid
             if not others.any():
@@ -91,9 +101,9 @@ def _resolve(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> p
     ids, qids = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
     r, q, cuts = _matrix(rows["v"]), _matrix(queries["qv"]), _matrix(queries["cuts"])
     for at in range(0, len(q), _STRIP):
-        parts = _partials(q[at : at + _STRIP], r)
-        collected = (parts >= cuts[at : at + _STRIP].T[:, :, None]).any(axis=0)
-        collected &= qids[at : at + _STRIP][:, None] != ids[None, :]
+        own = qids[at : at + _STRIP][:, None] == ids[None, :]
+        parts = _partials(q[at : at + _STRIP], r, own)
+        collected = (parts >= cuts[at : at + _STRIP].T[:, :, None]).any(axis=0) & ~own
         for i, qid in enumerate(qids[at : at + _STRIP]):
             found = np.flatnonzero(collected[i])
             scores = parts[:, i, found].sum(axis=0)
@@ -107,8 +117,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = SCALE) -> D
 
     ``collected`` is how many of its cell's rows the cutoff let through for the query.
     """
-    whole = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(1 << 31)), F.lit(-(1 << 31))).cast("bigint"))
-    rows = materialize(usable(vectors, allow_zero=True).select("vec_id", whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "whole-vectors")
+    scaled = lambda x: x.cast("double") * scale
+    too_large = F.exists("embedding", lambda x: F.abs(scaled(x)) >= float(1 << 63))
+    whole = F.when(too_large, F.raise_error(F.lit("a component does not fit a long integer")).cast("array<bigint>")).otherwise(F.transform("embedding", lambda x: F.floor(scaled(x)).cast("bigint")))
+    rows = usable(vectors, allow_zero=True, one_length=False).select("vec_id", whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = materialize(rows.withColumn("size", F.size("v")), "whole-vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     buckets, blocks = max(1, -(-n // ROWS_PER_BUCKET)), max(1, -(-n_queries // QUERIES_PER_BLOCK))
 
@@ -118,11 +131,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = SCALE) -> D
     def everywhere(parts: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
-    left = rows.select("vec_id", "v", cell("row", buckets).alias("bucket"), everywhere(blocks).alias("block")).groupBy("bucket", "block")
-    asked = rows.where("q").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), cell("query", blocks).alias("block"))
+    keys = ["dims", "bucket", "block"]
+    left = rows.select("vec_id", "v", F.col("size").alias("dims"), cell("row", buckets).alias("bucket"), everywhere(blocks).alias("block")).groupBy(*keys)
+    asked = rows.where("q").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("size").alias("dims"), cell("query", blocks).alias("block"))
 
     def cells(queries: DataFrame):
-        return left.cogroup(queries.select("*", everywhere(buckets).alias("bucket")).groupBy("bucket", "block"))
+        return left.cogroup(queries.select("*", everywhere(buckets).alias("bucket")).groupBy(*keys))
 
     # phase 1
     lists = cells(asked).applyInPandas(lambda key, r, q: _local_lists(key, r, q, k), "query_id bigint, list int, vec_id bigint, total bigint, lowest bigint")

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, allow_zero: bool) -> DataFrame:
+def usable(vectors: DataFrame, allow_zero: bool, one_length: bool = True) -> DataFrame:
     """(vec_id, embedding) that can be scored, one row per vec_id.
 
     Out go null ids, vectors that are null or empty, or hold null or non-finite
-    components, all-zero ones unless allowed, and those that are not as long as most
-    (ties: the longer).  Of several rows with one vec_id the smallest vector stands.
+    components, all-zero ones unless allowed, and, with ``one_length``, those that are
+    not as long as most (ties: the longer).  Of several rows with one vec_id the smallest
+    vector stands.
     """
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float("inf"))))
@@ -19,6 +20,8 @@ def usable(vectors: DataFrame, allow_zero: bool) -> DataFrame:
     if not allow_zero:
         wanted = wanted & F.exists(x, lambda v: v != 0)
     rows = vectors.select("vec_id", "embedding").where(F.coalesce(wanted, F.lit(False)))
+    if not one_length:
+        return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sizes = rows.groupBy(F.size(x).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     if not sizes:
         return rows

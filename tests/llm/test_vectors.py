@@ -123,3 +123,29 @@ def test_few_candidates_and_empty_tables(spark):
         assert op(df.where("vec_id = 3")).count() == 0
         assert op(df.where("vec_id = 20")).count() == 0
     assert vectors.usable(spark.createDataFrame(rows_of(5), SCHEMA), False).count() == len(fine(rows_of(5), 12, False))
+
+
+def test_op8_has_no_clip_and_meets_own_length_alone(spark):
+    """Components far beyond 32 bits, products beyond 64 bits with the query itself, two lengths, clashing columns."""
+    rows = [(0, [1.0]), (100, [3e6]), (5, [2.5e6]), (7, [-2e6]), (200, [1.0, 2.0]), (9, [3.0, 4.0]), (11, [1e9, 1.0]), (300, [5.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    clash = {c: F.lit(1) for c in ("v", "q", "size", "bucket", "block", "list", "total", "lowest", "query_id", "score", "rank", "label")}
+    got = sorted(tuple(r) for r in topk.op8_top_k(df.withColumns(clash)).collect())
+    found = dict(rows)
+    want = []
+    for q in (0, 100, 200):
+        same = [(-whole(found[q], v), i) for i, v in found.items() if i != q and len(v) == len(found[q])]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(same))]
+    assert got == want and got[0] == (0, 1, 100, 3145728000000)
+
+
+def test_op8_names_what_does_not_fit(spark):
+    for rows, words in (([(0, [4e6]), (1, [4e6])], "score does not fit"), ([(0, [1e17]), (1, [1.0])], "component does not fit")):
+        with pytest.raises(Exception, match=words):
+            topk.op8_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+
+
+def test_op6_ignores_clashing_columns(spark):
+    df = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    clash = {c: F.lit(1) for c in ("query_id", "rank", "score", "list", "slab", "x", "v", "n", "ids", "block", "q")}
+    assert sorted(map(tuple, ann.op6_nearest(df.withColumns(clash)).collect())) == sorted(map(tuple, ann.op6_nearest(df).collect()))
