@@ -11,6 +11,10 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊ
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
 
 
+#: What lies between the words of a lower-cased text; theme terms are looked for between such places.
+WORD_BREAK = "[^a-z0-9" + "".join(a for a in ACCENTED if a.islower()) + "]+"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -46,6 +46,20 @@ def _bits(texts: pd.Series) -> pd.Series:
     return texts.map(address_bits, na_action="ignore")
 
 
+_BYTE = "(0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_IPV4 = rf"\A{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}\z"
+
+
+def with_bits(ips: DataFrame, ip_col: str) -> DataFrame:
+    """(ip, bits) of the addresses among ``ips``: IPv4 by column functions, the rest (with colons) by Python."""
+    ip = F.col(ip_col)
+    numbers = F.split(ip, r"\.")
+    v4 = F.concat(F.lit("4"), *[F.lpad(F.bin(numbers[i].cast("bigint")), 8, "0") for i in range(4)])
+    plain = ips.where(ip.rlike(_IPV4)).select(ip.alias("ip"), v4.alias("bits"))
+    long = ips.where(ip.contains(":")).select(ip.alias("ip"), _bits(ip_col).alias("bits")).where(F.col("bits").isNotNull())
+    return plain.unionByName(long)
+
+
 def _prefixes(ranges: DataFrame) -> DataFrame:
     """Each [ip_lo, ip_hi] range as the address prefixes that make it up (at most two per bit of an address).
 
@@ -63,7 +77,7 @@ def _prefixes(ranges: DataFrame) -> DataFrame:
 
 def _matches(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ip, attrs) of the most specific range of each address; ``addresses`` has ip and bits."""
-    covered = _prefixes(ranges)
+    covered = _prefixes(ranges).checkpoint()  # used for the lengths and for the join
     # the prefix lengths that occur, one row for each address family: at most 33 and 129 numbers
     family = F.substring("prefix", 1, 1).alias("family")
     lengths = F.broadcast(covered.groupBy(family).agg(F.collect_set(F.length("prefix")).alias("lengths")))
@@ -74,7 +88,7 @@ def _matches(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def ip_lookup(ips: DataFrame, city: DataFrame, asn: DataFrame, ip_col: str = "ip") -> DataFrame:
     """Distinct IP text -> location attributes; an IP must hit *both* databases."""
-    addresses = ips.select(F.col(ip_col).alias("ip"), _bits(ip_col).alias("bits")).where(F.col("bits").isNotNull())
+    addresses = with_bits(ips, ip_col)
     located = _matches(addresses, city)
     owned = _matches(addresses, asn.select("ip_lo", "ip_hi")).select("ip")
     cols = [F.col(f"attrs.{src}").alias(dst) if src in city.columns else F.lit(None).alias(dst)

@@ -166,3 +166,65 @@ def mean_drivers(df: DataFrame, model: str = "model", dealer: str = "dealer", sc
     )
     numbers = [F.round(F.col(c), 6).alias(c) for c in ("mean_score", "share", "level", "mix", "influence", "gap")]
     return rows.drop("_usual").unionByName(absent).select(model, dealer, "n", *numbers)
+
+
+# ------------------------------------------------------ R5: turns in a trend ----
+#: What a break costs, in variances of a single response: it must explain more than that.
+BREAK_COST = 12.0
+
+
+def best_segments(n, s, ss, penalty: float) -> list[int]:
+    """First places of the segments (the first is 0) with the least squared error plus ``penalty`` per break.
+
+    Dynamic programming over the cumulative sums of count, score and squared score; of
+    equal solutions (to nine decimals) the one whose last segment begins first.
+    """
+    import numpy as np
+
+    total = [np.concatenate(([0.0], np.cumsum(np.asarray(x, dtype=float)))) for x in (n, s, ss)]
+    m = len(n)
+    best, begin = np.zeros(m + 1), np.zeros(m + 1, dtype=int)
+    for j in range(1, m + 1):
+        starts = np.arange(j)
+        count, sums, squares = (t[j] - t[starts] for t in total)
+        costs = best[starts] + np.where(starts > 0, penalty, 0.0) + squares - sums * sums / count
+        begin[j] = np.flatnonzero(costs <= costs.min() + 1e-9)[0]
+        best[j] = costs[begin[j]]
+    out, j = [], m
+    while j > 0:
+        j = int(begin[j])
+        out.append(j)
+    return out[::-1]
+
+
+def trend_breaks(df: DataFrame, dim: str = "dealer", date: str = "dt", score: str = "score", cost: float = BREAK_COST) -> DataFrame:
+    """The stretches of months over which an entity's mean score holds still.
+
+    Returns (entity, segment, from_month, to_month, n, mean_score, change), ``change``
+    against the stretch before.  A break is worth its cost only if it takes more than
+    ``cost`` variances of a single response (from inside the months) off the squared
+    error, so noise in small months makes no break.  One row per (entity, month) reaches a
+    task: a group is as long as the calendar.  Months without scores are passed over.
+    """
+    known = df.where(F.col(dim).isNotNull() & F.col(date).isNotNull() & F.col(score).isNotNull())
+    s = F.col(score).cast("double")
+    monthly = known.groupBy(F.col(dim), F.date_trunc("month", date).cast("date").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("ss"))
+    schema = f"`{dim}` {monthly.schema[dim].dataType.simpleString()}, segment int, from_month date, to_month date, n bigint, mean_score double, change double"
+
+    def cut(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("month")
+        spare = rows["n"].sum() - len(rows)
+        inside = (rows["ss"] - rows["s"] ** 2 / rows["n"]).sum()
+        starts = best_segments(rows["n"].to_numpy(), rows["s"].to_numpy(), rows["ss"].to_numpy(), cost * max(inside, 0.0) / max(spare, 1))
+        out, last = [], None
+        for number, (a, b) in enumerate(zip(starts, [*starts[1:], len(rows)]), 1):
+            part = rows.iloc[a:b]
+            mean = part["s"].sum() / part["n"].sum()
+            out.append((rows[dim].iat[0], number, part["month"].iat[0], part["month"].iat[-1], part["n"].sum(), mean, None if last is None else mean - last))
+            last = mean
+        return pd.DataFrame(out, columns=[dim, "segment", "from_month", "to_month", "n", "mean_score", "change"])
+
+    found = monthly.groupBy(dim).applyInPandas(cut, schema)
+    return found.select(dim, "segment", "from_month", "to_month", "n", F.round("mean_score", 6).alias("mean_score"), F.round("change", 6).alias("change"))

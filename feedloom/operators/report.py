@@ -7,11 +7,11 @@ dimensions are computed in a single shuffle by exploding (dim, value) pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.delays import delay_days
-from feedloom.functions.text import mentions
+from feedloom.functions.text import WORD_BREAK, fold_accents, fold_plain, mentions
 from feedloom.operators._util import round2, scalar_row
 
 DIMENSIONS = ["technology", "model", "dealer"]
@@ -113,31 +113,45 @@ def coverage_gaps(df: DataFrame, dim: str = "dealer", date: str = "dt") -> DataF
 
 
 # -------------------------------------------------------------------- R7 ----
-def _stack(df: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
-    """Turn a one-row wide aggregate (``<field>_<i>`` columns) into one row per name."""
-    rows = F.array(*[F.struct(F.lit(n).alias("theme"), *[F.col(f"{f}_{i}").alias(f) for f in fields])
-                     for i, n in enumerate(names)])
-    return df.select(F.explode(rows).alias("r")).select("r.*")
+def theme_mentions(df: DataFrame, themes: dict[str, list[str]], *keep: Column, text: str = "comment") -> DataFrame:
+    """(theme, keep...): one row for every theme that a comment mentions, however often.
+
+    A comment's different words are looked up in one table of all terms, with their
+    plurals in -s and -es, so the work does not depend on the number of themes.  Terms
+    that are more than a word (``mal servicio``) are looked for by pattern.  Case and
+    accents are ignored.
+    """
+    spark = df.sparkSession
+    single, longer = [], {}
+    for theme, terms in themes.items():
+        for term in terms:
+            plain = fold_plain(term.lower())
+            if plain.isascii() and plain.isalnum():
+                single += [(plain + end, theme) for end in ("", "s", "es")]
+            else:
+                longer.setdefault(theme, []).append(term)
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.lower(text).alias("_text"), *[c.alias(f"_k{i}") for i, c in enumerate(keep)])
+    kept = [f"_k{i}" for i in range(len(keep))]
+    words = rows.select("_row", *kept, F.explode(F.array_distinct(F.split("_text", WORD_BREAK))).alias("_w"))
+    table = spark.createDataFrame(sorted(set(single)) or [], "_w string, theme string")  # the caller's own list of terms
+    found = words.withColumn("_w", fold_accents("_w")).join(F.broadcast(table), "_w").select("_row", "theme", *kept)
+    if longer:
+        named = F.array_compact(F.array(*[F.when(mentions("_text", terms, lowered=True), F.lit(theme)) for theme, terms in longer.items()]))
+        found = found.unionByName(rows.select("_row", *kept, F.explode(named).alias("theme")))
+    return found.dropDuplicates(["_row", "theme"]).drop("_row")
+
+
+def _each_theme(spark, themes: dict) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(t,) for t in themes], "theme string"))
 
 
 def theme(df: DataFrame, themes: dict[str, list[str]], text: str = "comment", score: str = "score") -> DataFrame:
     """Per keyword theme: comments mentioning it, % of all comments, mean score of those comments."""
-    names = list(themes)
-    # lower-case the text once, flag every theme once, then aggregate the flags
-    flags = df.select(F.col(score).alias("_s"), F.lower(text).alias("_t")).select(
-        "_s", *[mentions("_t", themes[n], lowered=True).alias(f"_h{i}") for i, n in enumerate(names)])
-    aggs = [F.count(F.lit(1)).alias("_total")]
-    for i in range(len(names)):
-        hit = F.col(f"_h{i}")
-        aggs += [F.sum(hit.cast("int")).alias(f"n_mentions_{i}"), F.avg(F.when(hit, F.col("_s"))).alias(f"m_{i}")]
-    wide = flags.agg(*aggs)
-    long = _stack(wide.select("*", *[F.col("_total").alias(f"total_{i}") for i in range(len(names))]),
-                  names, ["n_mentions", "m", "total"])
-    return long.select(
-        "theme",
-        F.coalesce(F.col("n_mentions"), F.lit(0)).cast("bigint").alias("n_mentions"),
-        round2(F.try_divide(F.col("n_mentions") * 100.0, F.col("total"))).alias("share_pct"),
-        round2("m").alias("mean_score"),
+    counts = theme_mentions(df, themes, F.col(score), text=text).groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.avg("_k0").alias("m"))
+    total = F.lit(df.count())
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
+    return _each_theme(df.sparkSession, themes).join(counts, "theme", "left").select(
+        "theme", n.alias("n_mentions"), round2(F.try_divide(n * 100.0, total)).alias("share_pct"), round2("m").alias("mean_score")
     )
 
 
@@ -145,50 +159,37 @@ def theme(df: DataFrame, themes: dict[str, list[str]], text: str = "comment", sc
 def theme_contrast(df: DataFrame, themes: dict[str, list[str]], low: float = 4, high: float = 7,
                    text: str = "comment", score: str = "score") -> DataFrame:
     """Share of comments mentioning each theme among low-scored vs high-scored comments."""
-    names = list(themes)
-    flags = df.select(F.col(score).alias("_s"), F.lower(text).alias("_t")).select(
-        "_s", *[mentions("_t", themes[n], lowered=True).alias(f"_h{i}") for i, n in enumerate(names)])
-    s = F.col("_s")
-    is_low, is_high = s <= low, s >= high
-    aggs = [F.sum(is_low.cast("int")).alias("_nl"), F.sum(is_high.cast("int")).alias("_nh")]
-    for i in range(len(names)):
-        hit = F.col(f"_h{i}")
-        aggs += [F.sum((hit & is_low).cast("int")).alias(f"ml_{i}"), F.sum((hit & is_high).cast("int")).alias(f"mh_{i}")]
-    wide = flags.agg(*aggs)
-    wide = wide.select("*", *[F.col("_nl").alias(f"nl_{i}") for i in range(len(names))],
-                       *[F.col("_nh").alias(f"nh_{i}") for i in range(len(names))])
-    long = _stack(wide, names, ["nl", "ml", "nh", "mh"])
-    z = F.lit(0)
-    return long.select(
-        "theme",
-        F.coalesce("nl", z).cast("bigint").alias("n_low"),
-        F.coalesce("ml", z).cast("bigint").alias("mentions_low"),
-        round2(F.try_divide(F.col("ml") * 100.0, F.col("nl"))).alias("share_low_pct"),
-        F.coalesce("nh", z).cast("bigint").alias("n_high"),
-        F.coalesce("mh", z).cast("bigint").alias("mentions_high"),
-        round2(F.try_divide(F.col("mh") * 100.0, F.col("nh"))).alias("share_high_pct"),
-    )
+    sides = {"low": F.col(score) <= low, "high": F.col(score) >= high}
+    total = scalar_row(df.agg(*[F.count_if(c).alias(side) for side, c in sides.items()]))
+    counts = theme_mentions(df, themes, *sides.values(), text=text).groupBy("theme").agg(*[F.count_if(f"_k{i}").alias(f"m_{side}") for i, side in enumerate(sides)])
+    out = ["theme"]
+    for side in sides:
+        n, m = F.lit(total[side]).cast("bigint"), F.coalesce(F.col(f"m_{side}"), F.lit(0)).cast("bigint")
+        out += [n.alias(f"n_{side}"), m.alias(f"mentions_{side}"), round2(F.try_divide(m * 100.0, n)).alias(f"share_{side}_pct")]
+    return _each_theme(df.sparkSession, themes).join(counts, "theme", "left").select(*out)
 
 
 def theme_dealers(df: DataFrame, themes: dict[str, list[str]], low: float = 5, best: int = 3, dealer: str = "dealer",
                   text: str = "comment", score: str = "score") -> DataFrame:
     """R8 by dealer: how often each theme is mentioned at dealers whose mean is below ``low``, and at the ``best`` dealers.
 
-    One aggregate per dealer; the best are the first by mean (then count, then name).
+    One aggregate per dealer, one per (dealer, theme); the best are the first by mean
+    (then count, then name).
     """
-    names = list(themes)
-    flags = df.where(F.col(dealer).isNotNull()).select(F.col(dealer).alias("_d"), F.col(score).alias("_s"), F.lower(text).alias("_t"))
-    hits = [F.sum(mentions("_t", themes[n], lowered=True).cast("bigint")).alias(f"_h{i}") for i, n in enumerate(names)]
-    each = flags.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"), F.avg("_s").alias("_m"), *hits).where(F.col("_m").isNotNull())
-    groups = each.where(F.col("_m") < low).withColumn("_g", F.lit("low")).unionByName(
-        each.orderBy(F.desc("_m"), F.desc("_n"), "_d").limit(best).withColumn("_g", F.lit("best"))
-    )
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("theme"), F.col(f"_h{i}").alias("h")) for i, n in enumerate(names)]))
-    parts = groups.select("_g", "_n", rows.alias("r")).groupBy("r.theme").agg(
-        *[F.sum(F.when(F.col("_g") == g, F.col(c)).otherwise(0)).alias(out) for g in ("low", "best") for c, out in (("_n", f"n_{g}"), ("r.h", f"mentions_{g}"))]
+    known = df.where(F.col(dealer).isNotNull())
+    each = known.groupBy(F.col(dealer).alias("_d")).agg(F.count(F.lit(1)).alias("_n"), F.avg(score).alias("_m")).where(F.col("_m").isNotNull()).checkpoint(eager=True)
+    groups = each.where(F.col("_m") < low).select("_d", "_n", F.lit("low").alias("_g")).unionByName(
+        each.orderBy(F.desc("_m"), F.desc("_n"), "_d").limit(best).select("_d", "_n", F.lit("best").alias("_g"))
     )
-    share = lambda g: round2(F.try_divide(F.col(f"mentions_{g}") * 100.0, F.col(f"n_{g}"))).alias(f"share_{g}_pct")
-    return parts.select("theme", "n_low", "mentions_low", share("low"), "n_best", "mentions_best", share("best"))
+    hits = theme_mentions(known, themes, F.col(dealer), text=text).groupBy("theme", F.col("_k0").alias("_d")).agg(F.count(F.lit(1)).alias("_h"))
+    mentioned = hits.join(groups.select("_d", "_g"), "_d").groupBy("theme").agg(*[F.sum(F.when(F.col("_g") == g, F.col("_h"))).alias(f"m_{g}") for g in ("low", "best")])
+    total = scalar_row(groups.agg(*[F.sum(F.when(F.col("_g") == g, F.col("_n")).otherwise(0)).alias(g) for g in ("low", "best")]))
+    out = ["theme"]
+    for g in ("low", "best"):
+        n, m = F.lit(total[g]).cast("bigint"), F.coalesce(F.col(f"m_{g}"), F.lit(0)).cast("bigint")
+        out += [n.alias(f"n_{g}"), m.alias(f"mentions_{g}"), round2(F.try_divide(m * 100.0, n)).alias(f"share_{g}_pct")]
+    rows = _each_theme(df.sparkSession, themes).join(mentioned, "theme", "left").select(*out)
+    return rows if total["low"] is not None else rows.limit(0)
 
 
 # -------------------------------------------------------------------- R9 ----

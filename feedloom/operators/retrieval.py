@@ -406,7 +406,8 @@ def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_
     counted = counted.checkpoint(eager=True)  # used for the frequencies and for the weights
     rows = F.lit(df.count())
     weights = counted.groupBy("index").agg(F.log((rows + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
-    entries = counted.join(weights, "index").groupBy(id_col).agg(
+    # at most num_features rows: broadcast, so that a common word's rows stay where they are
+    entries = counted.join(F.broadcast(weights), "index").groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("index", (F.col("n") * F.col("idf")).alias("value")))).alias(out)
     )
     empty = F.array().cast("array<struct<index:int,value:double>>")

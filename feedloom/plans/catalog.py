@@ -718,6 +718,51 @@ def q_report_mean_drivers(spark, sf):
     return FD.mean_drivers(X.verbatims(spark, sf))
 
 
+# A name of each customer's workshop, spelled in six ways: as registered, in capitals, with other
+# marks, with a letter missing, with a letter doubled, and with the company form written together.
+_SPELLED_SQL = """spelled AS (
+  SELECT n_nationkey AS truth, CASE c_custkey % 11 WHEN 0 THEN upper(base) || ' S.A.' WHEN 1 THEN replace(base, ' ', '  - ') || ', S.A'
+    WHEN 2 THEN left(base, 8) || substr(base, 10) || ' S.A.' WHEN 3 THEN left(base, 9) || substr(base, 9) || ' S.A.' WHEN 4 THEN base || ' SA'
+    WHEN 5 THEN replace(base, 'o', 'ó') || ' S.A.' ELSE base || ' S.A.' END AS dealer
+  FROM (SELECT c_custkey, n_nationkey, 'Motores ' || n_name || ' ' || CAST(n_nationkey + 100 AS VARCHAR) AS base FROM customer JOIN nation ON n_nationkey = c_nationkey))"""
+
+
+def _spelled(spark, sf):
+    c = X.table(spark, sf, "customer").join(X.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    base, k = F.concat(F.lit("Motores "), "n_name", F.lit(" "), (F.col("n_nationkey") + 100).cast("string")), F.col("c_custkey") % 11
+    sa = F.lit(" S.A.")
+    name = (
+        F.when(k == 0, F.concat(F.upper(base), sa)).when(k == 1, F.concat(F.replace(base, F.lit(" "), F.lit("  - ")), F.lit(", S.A")))
+        .when(k == 2, F.concat(F.left(base, F.lit(8)), F.substr(base, F.lit(10)), sa)).when(k == 3, F.concat(F.left(base, F.lit(9)), F.substr(base, F.lit(9)), sa))
+        .when(k == 4, F.concat(base, F.lit(" SA"))).when(k == 5, F.concat(F.replace(base, F.lit("o"), F.lit("ó")), sa)).otherwise(F.concat(base, sa))
+    )
+    return c.select(name.alias("dealer"), F.col("c_custkey"))
+
+
+@register("dealer_names", "WITH " + _SPELLED_SQL + """,
+c AS (SELECT truth, dealer AS name, count(*) AS n FROM spelled GROUP BY ALL)
+SELECT name, first_value(name) OVER (PARTITION BY truth ORDER BY n DESC, name) AS canonical, n, count(*) OVER (PARTITION BY truth) AS n_variants FROM c""")
+def q_dealer_names(spark, sf):
+    """R6 + P6: spelling variants of workshop names, brought together by slug, q-grams and edit distance; the oracle knows who is who."""
+    from feedloom.operators import names as N
+
+    return N.resolve_names(_spelled(spark, sf))
+
+
+@register("name_slugs", "WITH " + _SPELLED_SQL + """
+SELECT slug, count(DISTINCT dealer) AS n_names, count(*) AS n
+FROM (SELECT dealer, trim(regexp_replace(translate(lower(dealer), 'ó', 'o'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM spelled) GROUP BY slug""")
+def q_name_slugs(spark, sf):
+    """P6 over values: names with one slug."""
+    return _spelled(spark, sf).groupBy(TX.slug("dealer").alias("slug")).agg(F.count_distinct("dealer").alias("n_names"), F.count(F.lit(1)).alias("n"))
+
+
+@register("report_trend_breaks")
+def q_report_trend_breaks(spark, sf):
+    """Stretches of months over which a dealer's mean holds still; compared with brute force in the tests."""
+    return FD.trend_breaks(X.facts(spark, sf))
+
+
 # =========================================================== retrieval ====
 
 
@@ -1217,6 +1262,31 @@ def q_stored_knn(spark, sf):
     return hits[0].unionByName(hits[1])
 
 
+def _stamped(load: int):
+    """An embedder whose vectors tell the load in which a text was embedded."""
+    return lambda texts: texts.select("text_key", F.array(F.length("text"), F.lit(load)).cast("array<float>").alias("embedding"))
+
+
+@register("store_refresh", X.with_views(f"""
+, t AS (SELECT id, dealer, dt, {_ENRICHED_SQL} AS old_text FROM vt WHERE service = 'Ventas'),
+first_load AS (SELECT * FROM t WHERE dt < DATE '2025-03-01'),
+second_load AS (SELECT id, dealer, dt, CASE WHEN id % 7 = 0 THEN old_text || ' (corregido)' ELSE old_text END AS new_text FROM t WHERE dt >= DATE '2025-02-01')
+SELECT id, dealer, dt, sha256(new_text) AS text_key,
+       [CAST(length(new_text) AS FLOAT), CAST(CASE WHEN new_text IN (SELECT old_text FROM first_load) THEN 1 ELSE 2 END AS FLOAT)] AS embedding
+FROM second_load""", VT))
+def q_store_refresh(spark, sf):
+    """S12 over two loads: comments leave, arrive and are corrected; only unseen texts are embedded again."""
+    from feedloom.sources import store as ST
+
+    root = _scratch(spark, "store")
+    t = RT.enriched_text(X.verbatims(spark, sf).where(F.col("service") == "Ventas")).select("id", "dealer", "dt", "texto_enriquecido")
+    ST.refresh_embeddings(t.where(F.col("dt") < F.lit("2025-03-01").cast("date")), root, "Ventas", _stamped(1))
+    text = F.col("texto_enriquecido")
+    later = t.where(F.col("dt") >= F.lit("2025-02-01").cast("date")).withColumn("texto_enriquecido", F.when(F.col("id") % 7 == 0, F.concat(text, F.lit(" (corregido)"))).otherwise(text))
+    ST.refresh_embeddings(later, root, "Ventas", _stamped(2))
+    return ST.read_embeddings(spark, root, "Ventas").drop("texto_enriquecido")
+
+
 _REPORT_LINE_SQL = "concat_ws(' | ', dim, coalesce(value, 'nan'), CAST(n AS VARCHAR), CAST(share_pct AS VARCHAR), " \
                    "coalesce(CAST(mean_score AS VARCHAR), 'nan'))"
 

@@ -77,3 +77,34 @@ def test_best_and_critical(spark):
     assert best == ["b", "d", "c"]
     crit = [r.value for r in R.critical(df, ["dealer"]).collect()]
     assert crit == ["e", "a"]
+
+
+def test_themes_in_one_pass_equal_one_pattern_each(spark):
+    """Hundreds of themes, terms of several words and marks, accents, plurals, repeated words; one join in the plan."""
+    import random
+
+    from feedloom.functions.text import mentions
+
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(300)] + ["Atención", "atencion", "ESPERA", "esperas", "tardanzas", "ñoño", "a-b", "mal", "servicio", "mal servicio", "mal, servicio", "x_espera", "vehículoß"]
+    rows = [(i, rng.choice([1.0, 3.0, 5.0, 8.0, None]), rng.choice(["d1", "d2", "d3", "d4", None]), rng.choice([None, ""]) if rng.random() < 0.05 else " ".join(rng.choice(vocabulary) for _ in range(12))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, score double, dealer string, comment string")
+    themes = {f"tema {i}": [f"t{i}", f"T{(i * 7) % 300}"] for i in range(290)}
+    themes |= {"espera": ["espera", "tardanza"], "trato": ["atención", "atencion"], "frases": ["mal servicio", "a-b"], "mixto": ["mal servicio", "ñoño"], "nada": ["inaudito"], "sin": []}
+    for name in themes:
+        themes[name] = themes[name] or ["nunca dicho"]
+    hit = df.select("*", *[mentions("comment", terms).alias(f"h{i}") for i, terms in enumerate(themes.values())]).toPandas()
+    got = {r.theme: r for r in R.theme(df, themes).collect()}
+    contrast = {r.theme: r for r in R.theme_contrast(df, themes).collect()}
+    assert set(got) == set(contrast) == set(themes)
+    for i, name in enumerate(themes):
+        own = hit[hit[f"h{i}"]]
+        assert got[name].n_mentions == len(own), name
+        scores = own["score"].dropna()
+        assert (got[name].mean_score is None) == scores.empty and (scores.empty or abs(got[name].mean_score - scores.mean()) < 0.0051)
+        assert (contrast[name].mentions_low, contrast[name].mentions_high) == ((own["score"] <= 4).sum(), (own["score"] >= 7).sum())
+        assert contrast[name].n_low == (hit["score"] <= 4).sum()
+    assert R.theme(df.limit(0), {"a": ["b"]}).collect()[0].n_mentions == 0
+    assert R.theme_dealers(df.limit(0), {"a": ["b"]}).count() == 0
+    plan = R.theme_mentions(df, {k: themes[k] for k in list(themes)[:290]})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") == 0 and plan.count("BroadcastHashJoin") == 1
