@@ -1,12 +1,19 @@
 """BPE encoding with content-defined chunk reuse, and decoding.
 
 A rolling hash over bytes cuts a text where the content says so, wherever the passage
-stands, so passages that documents share give equal chunks.  A Python worker encodes
-a chunk once and keeps its ids; other documents, batches and tasks of the worker take
-them from its store.  A cut may fall into a word, so joins are repaired: the text from
-the last white space before the cut to the first behind it is encoded again, and put
-in place of what the chunks have there.  The window grows until what it replaces
-agrees exactly with the chunks' own ids; without agreement the whole text is encoded.
+stands, so passages that documents share give equal chunks.  A Python worker has the
+tokenizer encode a chunk once and keeps its ids; other documents, batches and tasks of
+the worker take them from its store.  A cut may fall into a word, so joins are repaired:
+a window around the cut, whole words on both sides, is encoded again.  It stands in for
+what the chunks have there if the tokenizer's ids agree exactly on both sides:
+
+* the left part of the window alone gives the last ids of the left chunk, the right part
+  the first ids of the right chunk, so it is known which ids the window replaces;
+* the outer words of the window have the same ids in it as they have in the chunks, so
+  what the cut changed lies between them.
+
+Otherwise the window grows by a word on both sides; where a chunk has no more whole words,
+the whole text is encoded.
 
 The store is per worker and bounded in bytes, not corpus-wide: taking ids to other
 machines would shuffle every text, which costs more than encoding it (see README).
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from feedloom.llm.common import MEMO_ENTRIES, load_tokenizer, public_tokenizer
+from feedloom.llm.common import load_tokenizer, public_tokenizer
 
 WINDOW_BYTES = 32
 MEAN_BYTES = 1024
@@ -98,85 +105,82 @@ def chunks_of(text: str) -> list[str]:
     return out
 
 
-def _head(chunk: str) -> str:
-    """Up to the first space or newline."""
-    return chunk[: min((p for p in (chunk.find(" "), chunk.find("\n")) if p >= 0), default=0)]
+def _word_before(chunk: str, at: int) -> int:
+    """Where the white space before the last word in front of ``at`` stands; -1 if no whole word is there."""
+    end = len(chunk[:at].rstrip(" \n"))
+    return max(chunk.rfind(" ", 0, end), chunk.rfind("\n", 0, end))
+
+
+def _word_behind(chunk: str, at: int) -> int:
+    """Where the first word from ``at`` on ends; -1 if it may go on behind the chunk."""
+    begin = len(chunk) - len(chunk[at:].lstrip(" \n"))
+    ends = [p for p in (chunk.find(" ", begin), chunk.find("\n", begin)) if p >= 0]
+    return min(ends, default=-1)
 
 
-def _tail(chunk: str) -> str:
-    """From behind the last space or newline."""
-    return chunk[max(chunk.rfind(" "), chunk.rfind("\n")) + 1 :]
+class Window:
+    """Text around a cut: ``words`` whole words of both chunks and what the cut parted."""
+
+    def __init__(self, left: str, right: str, words: int):
+        inner = max(left.rfind(" "), left.rfind("\n"))
+        begin = inner
+        behind = min(p for p in (right.find(" "), right.find("\n")) if p >= 0)
+        end = behind
+        self.known = inner >= 0
+        for _ in range(words):
+            if self.known:
+                begin, end = _word_before(left, begin), _word_behind(right, end)
+                self.known = begin >= 0 and end >= 0
+        if self.known:
+            # a piece carries the white space in front of it, as it has it in the chunk
+            self.left, self.right = left[begin:], right[:end]
+            self.first, self.last = left[begin:inner], right[behind:end]
+            self.pieces = (self.left, self.right, self.left + self.right, self.first, self.last)
 
 
 class ChunkEncoder:
-    """Encodes whole texts through a store of chunks; kept from task to task of a worker."""
+    """Encodes whole texts through a store of chunks; kept from task to task of a worker.
+
+    Counts chunks encoded and reused, joins, windows that had to grow, and texts encoded whole.
+    """
 
-    def __init__(self, path: str):
-        self.tok = load_tokenizer(path)
+    def __init__(self, path: str, tok=None):
+        self.tok = tok or load_tokenizer(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
         self.store: dict[str, bytes] = {}
-        self.size = self.reused = self.encoded = 0
+        self.size = self.reused = self.encoded = self.joins = self.grown = self.whole = 0
 
-    def _fill_words(self, texts: list[str]) -> dict[str, bytes]:
-        """Ids of the words of ``texts`` that are not known yet; space and newline always part words."""
-        import numpy as np
+    def _ids(self, texts) -> dict[str, bytes]:
+        """The tokenizer's ids of each different text."""
+        different = list(dict.fromkeys(texts))
+        return dict(zip(different, (_u4(e.ids) for e in self.tok.encode_batch_fast(different, add_special_tokens=False)))) if different else {}
 
-        seen = dict.fromkeys(w for t in texts for w in t.replace("\n", " ").split(" ") if w not in self.words)
-        seen.pop("", None)
-        new = list(seen)
-        if not new:
-            return {}
-        e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(e.ids, dtype="<u4").tobytes()
-        ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(new)), side="right") * 4
-        ends = ends.tolist()
-        found = {w: raw[i:j] for w, i, j in zip(new, [0, *ends], ends)}
-        room = MEMO_ENTRIES - len(self.words)
-        self.words.update(list(found.items())[: max(0, room)])
-        return found
-
-    def _encode(self, text: str, found: dict[str, bytes]) -> bytes:
-        words = self.words
-        return b"".join([words[w] if w in words else found[w] for w in text.replace("\n", " ").split(" ") if w])
-
-    def _edge(self, chunk: str, ids: bytes, found: dict[str, bytes], at_end: bool) -> tuple[str, int] | None:
-        """The chunk's piece at one end that its ids agree with, and the bytes of those ids; None if none does."""
-        at = -1
-        while True:
-            if at_end:
-                at = max(chunk.rfind(" ", 0, at if at >= 0 else None), chunk.rfind("\n", 0, at if at >= 0 else None))
-                piece = chunk[at + 1 :]
-            else:
-                nexts = [p for p in (chunk.find(" ", at + 1), chunk.find("\n", at + 1)) if p >= 0]
-                at = min(nexts, default=-1)
-                piece = chunk[:at]
-            if at < 0:
-                return None
-            own = self._encode(piece, found)
-            if ids.endswith(own) if at_end else ids.startswith(own):
-                return piece, len(own)
-
-    def _join(self, text: str, chunks: list[str], ids: list[bytes], found: dict[str, bytes]) -> bytes:
+    def _join(self, text: str, chunks: list[str], own: list[bytes], pieces: dict[str, bytes]) -> bytes:
+        """Ids of a text from those of its chunks; ``pieces`` holds those of the smallest windows."""
         parts, cut = [], 0
-        for k, own in enumerate(ids):
-            if k + 1 == len(ids):
-                parts.append(own[cut:])
-                break
-            tail, head = self._edge(chunks[k], own, found, True), self._edge(chunks[k + 1], ids[k + 1], found, False)
-            if tail is None or head is None or cut + tail[1] > len(own):
-                return _u4(self.tok.encode(text, add_special_tokens=False).ids)
-            parts.append(own[cut : len(own) - tail[1]])
-            middle = tail[0] + head[0]
-            if middle:
-                self._more(middle, found)
-                parts.append(self._encode(middle, found))
-            cut = head[1]
-        return b"".join(parts)
-
-    def _more(self, text: str, found: dict[str, bytes]) -> None:
-        if any(w and w not in self.words and w not in found for w in text.replace("\n", " ").split(" ")):
-            found.update(self._fill_words([text]))
+        for k in range(len(chunks) - 1):
+            self.joins += 1
+            words = 1
+            while True:
+                window = Window(chunks[k], chunks[k + 1], words)
+                if not window.known:
+                    return self._encode_whole(text)
+                ids = pieces if window.left in pieces and window.pieces[2] in pieces else self._ids(window.pieces)
+                left, right, both, first, last = (ids[p] for p in window.pieces)
+                placed = own[k].endswith(left) and own[k + 1].startswith(right)
+                if placed and first and last and all(x.startswith(first) for x in (left, both)) and all(x.endswith(last) for x in (right, both)):
+                    break
+                words += 1
+                self.grown += 1
+            if cut + len(left) > len(own[k]):
+                return self._encode_whole(text)  # the windows of two joins meet
+            parts += [own[k][cut : len(own[k]) - len(left)], both]
+            cut = len(right)
+        return b"".join([*parts, own[-1][cut:]])
+
+    def _encode_whole(self, text: str) -> bytes:
+        self.whole += 1
+        return _u4(self.tok.encode(text, add_special_tokens=False).ids)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -184,20 +188,17 @@ class ChunkEncoder:
         new = list(dict.fromkeys(c for chunks in split if chunks for c in chunks if c not in self.store))
         self.encoded += len(new)
         self.reused += sum(len(c) for c in split if c) - len(new)
-        # what the joins will need is looked up together with the chunks
-        ends = [[(_head(c), _tail(c)) for c in chunks] for chunks in split if chunks]
-        joins = [left[1] + right[0] for each in ends for left, right in zip(each, each[1:])]
-        found = self._fill_words([*new, *joins, *(piece for each in ends for pair in each for piece in pair)])
-        fresh = {c: self._encode(c, found) for c in new}
+        fresh = self._ids(new)
+        windows = [Window(left, right, 1) for chunks in split if chunks for left, right in zip(chunks, chunks[1:])]
+        pieces = self._ids(p for w in windows if w.known for p in w.pieces)
         out = []
         for t, chunks in zip(texts, split):
             if not t:
                 out.append(b"")
             elif not chunks:
-                out.append(_u4(self.tok.encode(t, add_special_tokens=False).ids))
+                out.append(self._encode_whole(t))
             else:
-                ids = [fresh[c] if c in fresh else self.store[c] for c in chunks]
-                out.append(self._join(t, chunks, ids, found))
+                out.append(self._join(t, chunks, [fresh[c] if c in fresh else self.store[c] for c in chunks], pieces))
         self._keep(fresh)
         return out
 
