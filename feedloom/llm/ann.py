@@ -11,8 +11,9 @@ follows the root of the number of vectors.  How many lists a query must probe fo
 Search.  A query probes its nearest lists.  A list's vectors lie in column
 blocks; after each block a candidate whose partial distance is so large that it would,
 by the hypothesis test, hardly end below the query's threshold is abandoned.  The
-threshold is the k-th best exact score so far, first from a random few of the list.
-Survivors get their exact inner product in double precision on the original vectors.
+threshold is the k-th best exact distance among the list's vectors scanned so far: a list
+is scanned some hundreds of rows at a time, and every such step tightens it.  Survivors
+get their exact inner product in double precision on the original vectors.
 
 Equal vectors are indexed once, with their k + 1 smallest vec_ids (no more can be among
 the k nearest, ties going to the smaller id), so a vector that a third of the rows
@@ -51,6 +52,7 @@ BLOCK_DIMS = 16
 #: Strictness of the test: larger abandons later and loses fewer neighbours.
 EPSILON = 1.5
 _STRIP = 64  # queries of a cell scanned together
+_STEP = 256  # rows scanned between two looks at the threshold
 _SEED = 20_240_601
 _MAX_LISTS = 4_096
 
@@ -131,12 +133,13 @@ def enough_probes(index: Index, sample, lifted, k: int) -> int:
     return int(np.quantile(needed, TARGET_RECALL, method="higher")) + 1
 
 
-def scan(queries, raw_queries, lifted, raw, ids, own_ids, k: int):
+def scan(queries, raw_queries, lifted, raw, ids, own_ids, k: int, seen: dict | None = None):
     """Adaptive scan of one slab: (query row, vec_id, score) of each query's k best entries.
 
     ``ids`` are each entry's smallest vec_ids; ``own_ids`` the queries' vec_ids.  A block
     of columns is one matrix product for a strip of queries while many candidates are
-    alive, and one pass over the pairs that are left when few are.
+    alive, and one pass over the pairs that are left when few are.  ``seen`` adds up how
+    many pairs there were and how many reached the last block (``pairs``, ``whole``).
     """
     import numpy as np
 
@@ -144,26 +147,39 @@ def scan(queries, raw_queries, lifted, raw, ids, own_ids, k: int):
     blocks = [slice(at, min(at + BLOCK_DIMS, dims)) for at in range(0, dims, BLOCK_DIMS)]
     columns = [np.ascontiguousarray(lifted[:, b]) for b in blocks]
     norms = [(c * c).sum(axis=1) for c in columns]
-    few = np.linspace(0, rows - 1, min(rows, 4 * (k + 1)), dtype=np.int64)
     near = min(k, rows - 1)  # one more than k: the query's own entry may be among them
     out = []
     for at in range(0, len(queries), _STRIP):
         q, rq = queries[at : at + _STRIP], raw_queries[at : at + _STRIP]
-        start = (lifted[few] ** 2).sum(axis=1) + (q * q).sum(axis=1)[:, None] - 2 * q @ lifted[few].T
-        limit = np.partition(start, k, axis=1)[:, k] if len(few) > k else np.full(len(q), np.inf)
-        distance, alive = np.zeros((len(q), rows)), np.ones((len(q), rows), bool)
-        for b, c, n in zip(blocks, columns, norms):
-            if alive.mean() > 0.25:
-                distance += n + (q[:, b] ** 2).sum(axis=1)[:, None] - 2 * q[:, b] @ c.T
-            else:
-                i, j = np.nonzero(alive)
-                distance[i, j] += ((q[i, b] - c[j]) ** 2).sum(axis=1)
-            if b.stop < dims:
-                # the distance seen so far, scaled up, against the limit with the test's slack
-                alive &= distance * (dims / b.stop) <= (limit * (1 + EPSILON / np.sqrt(b.stop)) ** 2)[:, None] + 1e-9
-        distance[~alive] = np.inf
-        least = np.partition(distance, near, axis=1)[:, near]
-        i, j = np.nonzero(alive & (distance <= (least * (1 + 1e-9))[:, None] + 1e-9))  # ties included: the ranking decides by vec_id
+        parts = [q[:, b] for b in blocks]
+        squares = [(x * x).sum(axis=1)[:, None] for x in parts]
+        best = np.full((len(q), near + 1), np.inf)  # the smallest exact distances so far
+        found = []
+        for g in range(0, rows, _STEP):
+            step = slice(g, min(g + _STEP, rows))
+            limit = best.max(axis=1)
+            distance, alive = np.zeros((len(q), step.stop - g)), np.ones((len(q), step.stop - g), bool)
+            for x, xx, b, c, n in zip(parts, squares, blocks, columns, norms):
+                if alive.mean() > 0.25:
+                    distance += n[step] + xx - 2 * x @ c[step].T
+                else:
+                    i, j = np.nonzero(alive)
+                    distance[i, j] += ((x[i] - c[step][j]) ** 2).sum(axis=1)
+                if b.stop < dims:
+                    # the distance seen so far, scaled up, against the limit with the test's slack
+                    alive &= distance * (dims / b.stop) <= (limit * (1 + EPSILON / np.sqrt(b.stop)) ** 2)[:, None] + 1e-9
+            if seen is not None:
+                seen["pairs"] = seen.get("pairs", 0) + alive.size
+                seen["whole"] = seen.get("whole", 0) + int(alive.sum())
+            distance[~alive] = np.inf
+            both = np.concatenate((best, distance), axis=1)
+            best = np.partition(both, near, axis=1)[:, : near + 1]
+            i, j = np.nonzero(distance <= (best.max(axis=1) * (1 + 1e-9))[:, None] + 1e-9)
+            found.append((i, j + g, distance[i, j]))
+        i, j, d = (np.concatenate(x) for x in zip(*found))
+        last = d <= best.max(axis=1)[i] * (1 + 1e-9) + 1e-9  # ties included: the ranking decides by vec_id
+        last &= np.isfinite(d)
+        i, j = i[last], j[last]
         scores = (raw[j] * rq[i]).sum(axis=1)
         for a, e, score in zip(i.tolist(), j.tolist(), scores.tolist()):
             own = own_ids[at + a]
@@ -218,16 +234,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, probes: int | None = N
     placed = materialize(distinct.mapInPandas(place, "v array<float>, ids array<bigint>, list int"), "lists")
     # how many slabs each list has: one row per list
     slabs = placed.groupBy("list").agg(F.ceil(F.count("*") / SLAB_ROWS).cast("int").alias("slabs"))
-    slabbed = placed.join(F.broadcast(slabs), "list").withColumn("slab", F.pmod(F.xxhash64("v"), F.col("slabs")).cast("int"))
     queries = rows.where("q").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
 
     def search(asked: DataFrame, n: int) -> DataFrame:
-        probing = asked.mapInPandas(probe(n), "query_id bigint, qv array<float>, list int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        here = probing.join(F.broadcast(slabs.withColumnRenamed("list", "l")), F.col("list") == F.col("l")).select(
-            "query_id", "qv", "list", "block", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab")
-        )
-        there = slabbed.select("v", "ids", "list", "slab", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        probing = materialize(asked.mapInPandas(probe(n), "query_id bigint, qv array<float>, list int"), "probes")
+        # a list's slabs, and the blocks that its own queries make up: one row per list
+        asking = probing.groupBy("list").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("blocks"))
+        cells = F.broadcast(slabs.join(asking, "list").select(F.col("list").alias("l"), F.col("slabs").alias("s"), "blocks"))
+
+        def every(parts: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+        def own(key: str, parts: str) -> Column:
+            return F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+
+        here = probing.join(cells, F.col("list") == F.col("l")).select("query_id", "qv", "list", own("query_id", "blocks").alias("block"), every("s").alias("slab"))
+        there = placed.join(cells, F.col("list") == F.col("l")).select("v", "ids", "list", own("v", "s").alias("slab"), every("blocks").alias("block"))
         keys = ["list", "slab", "block"]
         met = there.groupBy(*keys).cogroup(here.groupBy(*keys))
         found = met.applyInPandas(lambda key, a, b: _probe(key, a, b, index, k), "query_id bigint, vec_id bigint, score double")

@@ -149,3 +149,19 @@ def test_op6_ignores_clashing_columns(spark):
     df = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     clash = {c: F.lit(1) for c in ("query_id", "rank", "score", "list", "slab", "x", "v", "n", "ids", "block", "q")}
     assert sorted(map(tuple, ann.op6_nearest(df.withColumns(clash)).collect())) == sorted(map(tuple, ann.op6_nearest(df).collect()))
+
+
+def test_op6_threshold_tightens_and_abandons():
+    """Over clustered vectors most candidates are abandoned before their last block, and the neighbours are still found."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 64))
+    x = centers[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 64))
+    rotation = np.linalg.qr(rng.normal(size=(65, 65)))[0]
+    index = ann.Index(rotation, None, float(np.sqrt((x * x).sum(axis=1).max())))
+    seen = {}
+    found = ann.scan(index.lift(x[:60], True), x[:60], index.lift(x, False), x, [np.array([i]) for i in range(4000)], list(range(60)), 10, seen)
+    assert seen["pairs"] == 60 * 4000 and seen["whole"] < 0.25 * seen["pairs"]
+    scores = x[:60] @ x.T
+    scores[np.arange(60), np.arange(60)] = -np.inf
+    true = {(q, int(v)) for q, row in enumerate(scores) for v in np.argsort(-row)[:10]}
+    assert len(true & {(q, v) for q, v, _ in found}) >= 0.97 * len(true)
