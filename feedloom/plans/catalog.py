@@ -757,10 +757,42 @@ def q_name_slugs(spark, sf):
     return _spelled(spark, sf).groupBy(TX.slug("dealer").alias("slug")).agg(F.count_distinct("dealer").alias("n_names"), F.count(F.lit(1)).alias("n"))
 
 
-@register("report_trend_breaks")
+# Scores with planted turns: a third of the dealers fall in June 1995, a third have half a good year in 1996.
+_TURNS_SQL = """turns AS (
+  SELECT dealer, date_trunc('month', dt) AS month,
+    score - CASE WHEN l_suppkey % 3 = 0 AND dt >= DATE '1995-06-01' THEN 4 ELSE 0 END
+          + CASE WHEN l_suppkey % 3 = 1 AND dt >= DATE '1996-03-01' AND dt < DATE '1996-09-01' THEN 8 ELSE 0 END AS score
+  FROM vf)"""
+
+
+@register("report_trend_breaks", "WITH RECURSIVE " + VF + ", " + _TURNS_SQL + """,
+m AS (SELECT dealer, month, count(*) AS n, CAST(sum(score) AS DOUBLE) AS s, CAST(sum(score * score) AS DOUBLE) AS ss FROM turns GROUP BY ALL),
+c AS (SELECT dealer, list(month ORDER BY month) AS months, list_prepend(CAST(0 AS DOUBLE), list(an ORDER BY month)) AS n, list_prepend(CAST(0 AS DOUBLE), list(a_s ORDER BY month)) AS s,
+             list_prepend(CAST(0 AS DOUBLE), list(ass ORDER BY month)) AS ss, 12 * greatest(sum(own), 0) / greatest(sum(cnt) - count(*), 1) AS pen
+      FROM (SELECT dealer, month, n AS cnt, ss - s * s / n AS own, CAST(sum(n) OVER w AS DOUBLE) AS an, sum(s) OVER w AS a_s, sum(ss) OVER w AS ass
+            FROM m WINDOW w AS (PARTITION BY dealer ORDER BY month)) GROUP BY dealer),
+dp AS (
+  SELECT dealer, 0 AS j, [CAST(0 AS DOUBLE)] AS f, CAST([] AS INTEGER[]) AS begins FROM c
+  UNION ALL
+  SELECT dealer, j + 1, list_append(f, list_min(costs)), list_append(begins, CAST(list_position(list_transform(costs, lambda x: x <= list_min(costs) + 1e-9), true) - 1 AS INTEGER))
+  FROM (SELECT d.dealer, j, f, begins, list_transform(range(1, j + 2), lambda i: f[i] + CASE WHEN i > 1 THEN pen ELSE 0 END + (ss[j + 2] - ss[i])
+               - (s[j + 2] - s[i]) * (s[j + 2] - s[i]) / (n[j + 2] - n[i])) AS costs
+        FROM dp d JOIN c ON c.dealer = d.dealer WHERE j < len(months))),
+done AS (SELECT dp.dealer, begins, len(months) AS size FROM dp JOIN c ON c.dealer = dp.dealer WHERE j = len(months)),
+cuts AS (
+  SELECT dealer, begins, begins[size] AS lo, size AS hi FROM done
+  UNION ALL SELECT dealer, begins, begins[lo], lo FROM cuts WHERE lo > 0),
+seg AS (SELECT u.dealer, row_number() OVER w AS segment, lo, hi, (s[hi + 1] - s[lo + 1]) / (n[hi + 1] - n[lo + 1]) AS mean, n[hi + 1] - n[lo + 1] AS cnt, months[lo + 1] AS a, months[hi] AS b
+        FROM cuts u JOIN c ON c.dealer = u.dealer WINDOW w AS (PARTITION BY u.dealer ORDER BY lo))
+SELECT dealer, CAST(segment AS INTEGER) AS segment, CAST(a AS DATE) AS from_month, CAST(b AS DATE) AS to_month, CAST(cnt AS BIGINT) AS n, round(mean, 6) AS mean_score,
+       round(mean - lag(mean) OVER (PARTITION BY dealer ORDER BY segment), 6) AS change FROM seg""")
 def q_report_trend_breaks(spark, sf):
-    """Stretches of months over which a dealer's mean holds still; compared with brute force in the tests."""
-    return FD.trend_breaks(X.facts(spark, sf))
+    """Stretches of months over which a dealer's mean holds still, with planted turns."""
+    key, dt = F.col("l_suppkey"), F.col("dt")
+    day = lambda d: F.lit(d).cast("date")
+    fall = F.when((key % 3 == 0) & (dt >= day("1995-06-01")), 4).otherwise(0)
+    rise = F.when((key % 3 == 1) & (dt >= day("1996-03-01")) & (dt < day("1996-09-01")), 8).otherwise(0)
+    return FD.trend_breaks(X.facts(spark, sf).withColumn("score", F.col("score") - fall + rise))
 
 
 # =========================================================== retrieval ====

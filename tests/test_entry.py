@@ -14,3 +14,11 @@ def test_entry_works_without_training_data(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'matrix_dealer' in q and set(e.oracle_sql()) <= set(q) and not [k for k in q if k.startswith('op') or k == 'pipeline']"
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_entry_names_a_broken_import_inside_the_optional_part(tmp_path):
+    shutil.copytree(f"{ROOT}/feedloom", tmp_path / "feedloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode != 0 and "a_module_that_is_not_there" in done.stderr
