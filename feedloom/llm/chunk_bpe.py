@@ -13,7 +13,11 @@ what the chunks have there if the tokenizer's ids agree exactly on both sides:
   what the cut changed lies between them.
 
 Otherwise the window grows by a word on both sides; where a chunk has no more whole words,
-the whole text is encoded.
+the whole text is encoded.  Windows always go to the tokenizer as they are.
+
+Chunks do too, or, ``by_words``, word by word: a tokenizer that drops white space and never
+looks across it gives a chunk the ids of its words, and a worker asks for each word once.
+The joins then hold these ids against the tokenizer's on running text.
 
 The store is per worker and bounded in bytes, not corpus-wide: taking ids to other
 machines would shuffle every text, which costs more than encoding it (see README).
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from feedloom.llm.common import load_tokenizer, public_tokenizer
+from feedloom.llm.common import MEMO_ENTRIES, load_tokenizer, public_tokenizer
 
 WINDOW_BYTES = 32
 MEAN_BYTES = 1024
@@ -135,7 +139,7 @@ class Window:
             # a piece carries the white space in front of it, as it has it in the chunk
             self.left, self.right = left[begin:], right[:end]
             self.first, self.last = left[begin:inner], right[behind:end]
-            self.pieces = (self.left, self.right, self.left + self.right, self.first, self.last)
+            self.pieces = (self.left, self.right, self.left + self.right)
 
 
 class ChunkEncoder:
@@ -144,8 +148,9 @@ class ChunkEncoder:
     Counts chunks encoded and reused, joins, windows that had to grow, and texts encoded whole.
     """
 
-    def __init__(self, path: str, tok=None):
-        self.tok = tok or load_tokenizer(path)
+    def __init__(self, path: str, by_words: bool = False, tok=None):
+        self.tok, self.by_words = tok or load_tokenizer(path), by_words
+        self.words: dict[str, bytes] = {}
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.store: dict[str, bytes] = {}
         self.size = self.reused = self.encoded = self.joins = self.grown = self.whole = 0
@@ -155,23 +160,47 @@ class ChunkEncoder:
         different = list(dict.fromkeys(texts))
         return dict(zip(different, (_u4(e.ids) for e in self.tok.encode_batch_fast(different, add_special_tokens=False)))) if different else {}
 
-    def _join(self, text: str, chunks: list[str], own: list[bytes], pieces: dict[str, bytes]) -> bytes:
-        """Ids of a text from those of its chunks; ``pieces`` holds those of the smallest windows."""
+    def _word_ids(self, texts) -> dict[str, bytes]:
+        """Ids of each different text, put together from its words'; the tokenizer is given words that are new."""
+        import numpy as np
+
+        split = {t: t.replace("\n", " ").split(" ") for t in texts}
+        new = list(dict.fromkeys(w for ws in split.values() for w in ws if w and w not in self.words))
+        found = self.words
+        if new:
+            e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            ends = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(new)), side="right") * 4).tolist()
+            fresh = {w: raw[i:j] for w, i, j in zip(new, [0, *ends], ends)}
+            if len(self.words) + len(fresh) <= MEMO_ENTRIES:
+                self.words.update(fresh)
+            else:
+                found = self.words | fresh
+        return {t: b"".join([found[w] for w in ws if w]) for t, ws in split.items()}
+
+    def _apart(self, texts) -> dict[str, bytes]:
+        """Ids of chunks and of words on their own."""
+        return self._word_ids(texts) if self.by_words else self._ids(texts)
+
+    def _join(self, text: str, chunks: list[str], own: list[bytes], windows: list[Window], pieces: dict[str, bytes], words: dict[str, bytes]) -> bytes:
+        """Ids of a text from those of its chunks; ``windows`` are the smallest ones, ``pieces`` and ``words`` their ids."""
         parts, cut = [], 0
-        for k in range(len(chunks) - 1):
+        for k, window in enumerate(windows):
             self.joins += 1
-            words = 1
+            size, ids, outer = 1, pieces, words
             while True:
-                window = Window(chunks[k], chunks[k + 1], words)
                 if not window.known:
                     return self._encode_whole(text)
-                ids = pieces if window.left in pieces and window.pieces[2] in pieces else self._ids(window.pieces)
-                left, right, both, first, last = (ids[p] for p in window.pieces)
+                if size > 1:
+                    ids, outer = self._ids(window.pieces), self._apart((window.first, window.last))
+                left, right, both = (ids[p] for p in window.pieces)
+                first, last = outer[window.first], outer[window.last]
                 placed = own[k].endswith(left) and own[k + 1].startswith(right)
-                if placed and first and last and all(x.startswith(first) for x in (left, both)) and all(x.endswith(last) for x in (right, both)):
+                if placed and first and last and left.startswith(first) and both.startswith(first) and right.endswith(last) and both.endswith(last):
                     break
-                words += 1
+                size += 1
                 self.grown += 1
+                window = Window(chunks[k], chunks[k + 1], size)
             if cut + len(left) > len(own[k]):
                 return self._encode_whole(text)  # the windows of two joins meet
             parts += [own[k][cut : len(own[k]) - len(left)], both]
@@ -188,17 +217,19 @@ class ChunkEncoder:
         new = list(dict.fromkeys(c for chunks in split if chunks for c in chunks if c not in self.store))
         self.encoded += len(new)
         self.reused += sum(len(c) for c in split if c) - len(new)
-        fresh = self._ids(new)
-        windows = [Window(left, right, 1) for chunks in split if chunks for left, right in zip(chunks, chunks[1:])]
-        pieces = self._ids(p for w in windows if w.known for p in w.pieces)
+        fresh = self._apart(new)
+        windows = [[Window(left, right, 1) for left, right in zip(chunks, chunks[1:])] if chunks else [] for chunks in split]
+        known = [w for each in windows for w in each if w.known]
+        pieces = self._ids(p for w in known for p in w.pieces)
+        words = self._apart([x for w in known for x in (w.first, w.last)])
         out = []
-        for t, chunks in zip(texts, split):
+        for t, chunks, joints in zip(texts, split, windows):
             if not t:
                 out.append(b"")
             elif not chunks:
                 out.append(self._encode_whole(t))
             else:
-                out.append(self._join(t, chunks, [fresh[c] if c in fresh else self.store[c] for c in chunks], pieces))
+                out.append(self._join(t, chunks, [fresh[c] if c in fresh else self.store[c] for c in chunks], joints, pieces, words))
         self._keep(fresh)
         return out
 
@@ -220,8 +251,8 @@ def _u4(ids: list[int]) -> bytes:
 
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a file."""
-    return ChunkEncoder(path)
+    """The worker's encoder for a file whose tokenizer drops white space."""
+    return ChunkEncoder(path, by_words=True)
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -38,7 +38,7 @@ def prose(rng, n, first="abdefghij"):
 def test_windows_grow_until_ids_agree():
     rng = random.Random(1)
     tok = Chained()
-    encoder = chunk_bpe.ChunkEncoder("", tok)
+    encoder = chunk_bpe.ChunkEncoder("", tok=tok)
     texts = [prose(rng, 900, "abjjjj") for _ in range(20)] + [prose(rng, 900) for _ in range(20)]
     got = encoder.encode_many(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t).ids for t in texts]
@@ -49,8 +49,8 @@ def test_real_tokenizers_agree_and_reuse(monkeypatch):
     rng = random.Random(2)
     shared = prose(rng, 3000)
     texts = [prose(rng, 300) + " " + shared + "\n" + prose(rng, 300) for _ in range(15)] + ["x" * 3000 + " " + "y" * 3000, "a  b \n\n c " * 800, "é ́" * 900, "don't 'twas " * 400]
-    for path in (WORD, BYTE):
-        encoder = chunk_bpe.ChunkEncoder(path)
+    for path, by_words in ((WORD, False), (WORD, True), (BYTE, False)):
+        encoder = chunk_bpe.ChunkEncoder(path, by_words)
         for part in (texts[:8], texts[8:]):
             got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(part)]
             assert got == [encoder.tok.encode(t, add_special_tokens=False).ids for t in part]
@@ -61,7 +61,7 @@ def test_a_chunk_whose_ids_are_wrong_is_not_joined():
     """The join compares with what the chunk has, not with a second look at the same words."""
     rng = random.Random(3)
     text = prose(rng, 2000)
-    encoder = chunk_bpe.ChunkEncoder(WORD)
+    encoder = chunk_bpe.ChunkEncoder(WORD, by_words=True)
     chunks = chunk_bpe.chunks_of(text)
     encoder.store = {c: np.arange(5, dtype="<u4").tobytes() for c in chunks}
     assert np.frombuffer(encoder.encode_many([text])[0], "<u4").tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
