@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -387,9 +388,8 @@ def bucket(word: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
 
 
-def token_buckets(c, buckets: int) -> Column:
-    """Bucket numbers of a text's words."""
-    return F.transform(words(c), lambda t: bucket(t, buckets))
+#: Different words whose bucket a task remembers.
+_KNOWN_WORDS = 500_000
 
 
 def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_features: int = 1 << 18,
@@ -418,24 +418,30 @@ def hashed_embeddings(df: DataFrame, text: str = "comment", id_col: str = "id",
                       out: str = "embedding") -> DataFrame:
     """Offline default embedder: L2-normalised hashed token counts (float32[dim]).
 
-    Tokenising and hashing run in the JVM; only the small integer arrays cross
-    to Python, where numpy counts and normalises them batch by batch.
+    Words come from the JVM; numpy counts and normalises them batch by batch.  A task
+    hashes each different word once (``bucket``: the first 8 hex digits of its md5).
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
                            T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):
+        known: dict[str, int] = {}
         for pdf in batches:
-            ids = pdf["_ids"].to_numpy()
-            lens = np.fromiter((len(a) for a in ids), dtype=np.int64, count=len(ids))
-            flat = np.concatenate(ids).astype(np.int64) if lens.sum() else np.zeros(0, dtype=np.int64)
-            cell = np.repeat(np.arange(len(ids), dtype=np.int64), lens) * dim + flat
-            counts = np.bincount(cell, minlength=len(ids) * dim).reshape(len(ids), dim).astype(np.float64)
+            rows = pdf["_words"].to_numpy()
+            lens = np.fromiter((len(a) for a in rows), dtype=np.int64, count=len(rows))
+            flat = [w for a in rows for w in a]
+            for w in set(flat).difference(known):
+                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+            ids = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+            cell = np.repeat(np.arange(len(rows), dtype=np.int64), lens) * dim + ids
+            counts = np.bincount(cell, minlength=len(rows) * dim).reshape(len(rows), dim).astype(np.float64)
             norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
             vecs = (counts / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
             yield pd.DataFrame({id_col: pdf[id_col], out: list(vecs)})
+            if len(known) > _KNOWN_WORDS:
+                known.clear()
 
-    return df.select(id_col, token_buckets(text, dim).alias("_ids")).mapInPandas(run, schema)
+    return df.select(id_col, words(text).alias("_words")).mapInPandas(run, schema)
 
 
 def embed_texts(df: DataFrame, embed_fn: Callable[[list[str]], np.ndarray], text: str = "comment",
