@@ -42,6 +42,8 @@ from feedloom.llm.common import join_hot, materialize
 NODES_PER_BLOCK = 100_000
 #: Runs that the last step ranks in one task (40 bytes each).
 LAST_RUNS = 250_000
+#: Ids joined to one text on the way to a digest.
+CHUNK_IDS = 10_000
 _BLOCK_BITS = 33  # of monotonically_increasing_id: the rest is the partition
 
 
@@ -296,33 +298,45 @@ def conversation_trie(conversations: DataFrame, shared: Column | None = None, ba
     return Trie(out, rows.where("last").select("depth", "k1", "k2", "conv_id"))
 
 
-def ends_digest(ends: DataFrame) -> DataFrame:
+def ends_digest(ends: DataFrame, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """(depth, k1, k2, ends_sha256): SHA-256 of the comma-joined conv_ids, ascending, that end at a node.
 
-    A digest of a list is made one id after the other, so a node's ids pass through one
-    task; it streams them in sorted order and holds no more than a batch.
+    Ids are sorted over range partitions, which split a node's, and joined to chunks there.
+    A digest is made one byte after the other, so a node's chunks pass through one task, in
+    order and one batch at a time.
     """
+    keys = ["depth", "k1", "k2"]
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            key = batch[keys].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else []
+            text, out = batch["conv_id"].astype(str).tolist(), []
+            for a, b in zip(starts, [*starts[1:], len(key)]):
+                for at in range(a, b, chunk_ids):
+                    out.append((*key[a].tolist(), batch["conv_id"].iat[at], ",".join(text[at : min(at + chunk_ids, b)])))
+            yield pd.DataFrame(out, columns=[*keys, "first", "ids"])
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, sha = None, None
         for batch in batches:
             out = []
-            same = batch[["depth", "k1", "k2"]].ne(batch[["depth", "k1", "k2"]].shift()).any(axis=1).cumsum()
-            for _, group in batch.groupby(same, sort=False):
-                own = tuple(int(group[c].iat[0]) for c in ("depth", "k1", "k2"))
-                data = ",".join(map(str, group["conv_id"])).encode()
+            for *own, ids in zip(*(batch[c].tolist() for c in (*keys, "ids"))):
                 if own == key:
-                    sha.update(b"," + data)
+                    sha.update(b"," + ids.encode())
                     continue
                 if key is not None:
                     out.append((*key, sha.hexdigest()))
-                key, sha = own, hashlib.sha256(data)
-            yield pd.DataFrame(out, columns=["depth", "k1", "k2", "ends_sha256"])
+                key, sha = own, hashlib.sha256(ids.encode())
+            yield pd.DataFrame(out, columns=[*keys, "ends_sha256"])
         if key is not None:
-            yield pd.DataFrame([(*key, sha.hexdigest())], columns=["depth", "k1", "k2", "ends_sha256"])
+            yield pd.DataFrame([(*key, sha.hexdigest())], columns=[*keys, "ends_sha256"])
 
-    keys = ["depth", "k1", "k2"]
-    return ends.repartition(*keys).sortWithinPartitions(*keys, "conv_id").mapInPandas(digest, "depth bigint, k1 bigint, k2 bigint, ends_sha256 string")
+    sorted_ids = ends.repartitionByRange(*keys, "conv_id").sortWithinPartitions(*keys, "conv_id")
+    chunks = sorted_ids.mapInPandas(join, "depth bigint, k1 bigint, k2 bigint, first bigint, ids string")
+    return chunks.repartition(*keys).sortWithinPartitions(*keys, "first").mapInPandas(digest, "depth bigint, k1 bigint, k2 bigint, ends_sha256 string")
 
 
 def op11_prefix_trie(conversations: DataFrame) -> DataFrame:

@@ -238,3 +238,17 @@ def test_op11_empty_table_and_digest_over_batches(spark):
         assert trie_of(trie.op11_prefix_trie(spark.createDataFrame(rows, TURNS))) == brute_trie(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ends_digest_over_chunks(spark):
+    """One node with most of the ids, cut into small chunks over several partitions and batches."""
+    rows = [(3, 7, -9, i) for i in range(-50, 700)] + [(1, k, k, 10 * k) for k in range(40)]
+    df = spark.createDataFrame(rows, "depth bigint, k1 bigint, k2 bigint, conv_id bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.depth, r.k1): r.ends_sha256 for r in trie.ends_digest(df, 13).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(3, 7): brute.sha(",".join(str(i) for i in range(-50, 700)))} | {(1, k): brute.sha(str(10 * k)) for k in range(40)}
+    assert got == want
+    assert trie.ends_digest(df.limit(0)).count() == 0
