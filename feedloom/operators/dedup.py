@@ -66,6 +66,16 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle and sort.
+
+    Tables that grow with the input are never broadcast: Spark takes the size of a
+    checkpointed table from the input file, in which a column of few values (a row id, an
+    array of hashes) is a small part of what it is in memory, and would build the whole of it in the driver.
+    """
+    return df.hint("merge")
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
@@ -102,9 +112,9 @@ def drop_near_duplicates(df: DataFrame, keys=("apellido_cliente", "nombre_client
         return rows
     if threshold <= 0:  # everything is similar: the first row of each group survives
         first = rows.groupBy(*[_q(k) for k in keys]).agg(F.min(_q(order)).alias(order)).select(order)
-        return rows.join(first, order, "left_semi").select(*cols_out)
+        return rows.join(_sorted(first), order, "left_semi").select(*cols_out)
     kept = _resolve(rows, keys, order, compare, threshold, bucket_window)
-    return rows.join(kept, order, "left_semi").select(*cols_out)
+    return rows.join(_sorted(kept), order, "left_semi").select(*cols_out)
 
 
 def _blocks(rows: DataFrame, compare: list[str], threshold: int) -> list[list[int]]:
@@ -172,7 +182,7 @@ def _of_groups(cells: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     crowded = F.broadcast(groups.where(F.col("n") * HOT_SHARE > total))  # fewer than HOT_SHARE groups
     others = groups.where(F.col("n") * HOT_SHARE <= total)
     rest = cells.join(F.broadcast(crowded.select("g1", "g2")), ["g1", "g2"], "left_anti")
-    return cells.join(crowded, ["g1", "g2"]).unionByName(rest.join(others, ["g1", "g2"]))
+    return cells.join(crowded, ["g1", "g2"]).unionByName(rest.join(_sorted(others), ["g1", "g2"]))
 
 
 def _layouts(cells: DataFrame, hot: DataFrame, threshold: int, total: int) -> DataFrame:
@@ -223,7 +233,7 @@ def bucket_members(cells: DataFrame, blocks: list[list[int]], threshold: int) ->
     own = _of_groups(cells, layouts, total)
     members = small.select("o", F.explode(F.array_compact(F.array(*buckets))).alias("bucket")).unionByName(_own_buckets(own)).checkpoint()
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return members.join(shared, "bucket", "left_semi").select("o", "bucket").checkpoint()
+    return members.join(_sorted(shared), "bucket", "left_semi").select("o", "bucket").checkpoint()
 
 
 def hashed_cells(rows: DataFrame, keys: list[str], order: str, compare: list[str]) -> DataFrame:
@@ -242,7 +252,7 @@ def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], t
     n_mem = members.groupBy("o").agg(F.count(F.lit(1)).alias("n_mem"))
     # a row in no bucket is similar to nothing: kept at once
     state = (
-        cells.select("o").join(n_mem, "o", "left")
+        cells.select("o").join(_sorted(n_mem), "o", "left")
         .select("o", F.when(F.col("n_mem").isNull(), F.lit("K")).otherwise(F.lit("U")).alias("s"),
                 F.coalesce("n_mem", F.lit(0)).alias("n_mem"))
         .checkpoint()
@@ -253,7 +263,7 @@ def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], t
     while not state.where(F.col("s") == "U").isEmpty():
         rounds += 1
         undecided = state.where(F.col("s") == "U")
-        live = members.join(undecided.select("o"), "o", "left_semi")
+        live = members.join(_sorted(undecided.select("o")), "o", "left_semi")
         # the first ``window`` undecided rows of each bucket (a partial top-k
         # before the shuffle, so a hot bucket sends at most ``window`` rows per
         # map task); a row inside the window of every bucket it belongs to has
@@ -262,17 +272,17 @@ def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], t
             F.col("_r") <= window).drop("_r")
         n_head = head.groupBy("o").agg(F.count(F.lit(1)).alias("n_head"))
         pairs = (
-            head.alias("h").join(live.alias("l"), (F.col("h.bucket") == F.col("l.bucket")) & (F.col("h.o") < F.col("l.o")))
+            head.alias("h").join(_sorted(live.alias("l")), (F.col("h.bucket") == F.col("l.bucket")) & (F.col("h.o") < F.col("l.o")))
             .select(F.col("h.o").alias("src"), F.col("l.o").alias("dst"))
             .distinct()
         )
         edges = (
-            pairs.join(cells.alias("p"), F.col("src") == F.col("p.o")).join(cells.alias("r"), F.col("dst") == F.col("r.o"))
+            pairs.join(_sorted(cells.alias("p")), F.col("src") == F.col("p.o")).join(_sorted(cells.alias("r")), F.col("dst") == F.col("r.o"))
             .where(similar).select("src", "dst").checkpoint()
         )
         window *= 2
         local = (
-            undecided.join(n_head, "o", "left")
+            undecided.join(_sorted(n_head), "o", "left")
             .select("o", "s", "n_mem", (F.coalesce("n_head", F.lit(0)) == F.col("n_mem")).alias("complete"))
             .checkpoint()
         )
@@ -282,12 +292,12 @@ def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], t
             steps += 1
             src = local.select(F.col("o").alias("src"), F.col("s").alias("ss"))
             verdict = (
-                edges.join(src, "src").where(F.col("ss") != "R")
+                edges.join(_sorted(src), "src").where(F.col("ss") != "R")
                 .groupBy("dst").agg(F.max((F.col("ss") == "K").cast("int")).alias("any_k"),
                                     F.max((F.col("ss") == "U").cast("int")).alias("any_u"))
             )
             nxt = (
-                local.join(verdict, local.o == verdict.dst, "left")
+                local.join(_sorted(verdict), local.o == verdict.dst, "left")
                 .select("o", "n_mem", "complete", F.col("s").alias("old"),
                         F.when(F.col("s") != "U", F.col("s"))
                         .when(F.col("any_k") == 1, F.lit("R"))
