@@ -10,21 +10,12 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.session import ensure_checkpoint_dir
+from feedloom.session import BATCH_BYTES, bound_batches, ensure_checkpoint_dir  # noqa: F401
 
 #: Distinct chunks that one Python worker remembers while encoding (about 200 bytes each).
 MEMO_ENTRIES = 800_000
 
 
-#: Bytes of rows that Spark hands a Python worker at once.
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_BYTES``: counted in rows alone, ten thousand long texts are one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, through Spark's reader; Python workers get it in bounded batches."""
     bound_batches(spark)

@@ -21,11 +21,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions import word_count
+from feedloom.session import bound_batches
 
 # Labels of the enriched text, in output order.
 ENRICHED_LABELS = [
@@ -389,7 +392,7 @@ def bucket(word: Column, buckets: int) -> Column:
 
 
 #: Different words whose bucket a task remembers.
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 100_000
 
 
 def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_features: int = 1 << 18,
@@ -414,34 +417,43 @@ def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_
     return df.select(id_col).join(entries, id_col, "left").withColumn(out, F.coalesce(out, empty))
 
 
+def _lists(lens: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists of so many values each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), values)
+
+
 def hashed_embeddings(df: DataFrame, text: str = "comment", id_col: str = "id", dim: int = 64,
                       out: str = "embedding") -> DataFrame:
     """Offline default embedder: L2-normalised hashed token counts (float32[dim]).
 
-    Words come from the JVM; numpy counts and normalises them batch by batch.  A task
-    hashes each different word once (``bucket``: the first 8 hex digits of its md5).
+    Words come from the JVM in batches of bounded size and stay in Arrow: numpy counts and
+    normalises them by their place among a batch's different words.  A task hashes each
+    different word once (``bucket``: the first 8 hex digits of its md5).
     """
+    bound_batches(df.sparkSession)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
                            T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):
         known: dict[str, int] = {}
-        for pdf in batches:
-            rows = pdf["_words"].to_numpy()
-            lens = np.fromiter((len(a) for a in rows), dtype=np.int64, count=len(rows))
-            flat = [w for a in rows for w in a]
-            for w in set(flat).difference(known):
-                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
-            ids = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-            cell = np.repeat(np.arange(len(rows), dtype=np.int64), lens) * dim + ids
-            counts = np.bincount(cell, minlength=len(rows) * dim).reshape(len(rows), dim).astype(np.float64)
+        for rows in batches:
+            lists = rows.column(1)
+            lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().dictionary_encode()
+            different = flat.dictionary.to_pylist()
+            for w in different:
+                if w not in known:
+                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+            ids = np.fromiter(map(known.__getitem__, different), np.int64, len(different))[flat.indices.to_numpy(zero_copy_only=False)]
+            cell = np.repeat(np.arange(len(lens), dtype=np.int64), lens) * dim + ids
+            counts = np.bincount(cell, minlength=len(lens) * dim).reshape(len(lens), dim).astype(np.float64)
             norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
             vecs = (counts / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
-            yield pd.DataFrame({id_col: pdf[id_col], out: list(vecs)})
+            yield pa.RecordBatch.from_arrays([rows.column(0), _lists(np.full(len(lens), dim), pa.array(vecs.ravel()))], names=[id_col, out])
             if len(known) > _KNOWN_WORDS:
                 known.clear()
 
-    return df.select(id_col, words(text).alias("_words")).mapInPandas(run, schema)
+    return df.select(id_col, words(text).alias("_words")).mapInArrow(run, schema)
 
 
 def embed_texts(df: DataFrame, embed_fn: Callable[[list[str]], np.ndarray], text: str = "comment",

@@ -1,5 +1,7 @@
 """kNN against numpy, chat history against a list slice, embedder hook, TF-IDF."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +188,22 @@ def test_knn_empty_sides(spark):
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, query_vec array<float>")
     assert RT.knn(asked, some.limit(0)).count() == 0 and RT.knn(asked.limit(0), some).count() == 0
     assert [tuple(r) for r in RT.knn(asked, some).collect()] == [(1, 1, 1, 0.0)]
+
+
+def test_embeddings_take_long_texts_in_small_batches(spark):
+    """Ten thousand long texts are not one batch: vectors come out as they would one by one, batches are bounded in bytes."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(3000)), lambda i: F.concat(F.lit("w"), (i + F.col("id")).cast("string"))))
+    df = spark.range(0, 400, 1, 1).select("id", long.alias("comment"))
+    out = RT.hashed_embeddings(df, dim=8)
+
+    def sizes(batches):
+        for b in batches:
+            yield b.slice(0, 1).select(["id"])
+
+    batches = df.select("id", RT.words("comment").alias("w")).mapInArrow(sizes, "id long").count()
+    assert batches > 1
+    got = {r.id: list(r.embedding) for r in out.collect()}
+    for i in (0, 399):
+        counts = np.bincount([int(hashlib.md5(f"w{j + i}".encode()).hexdigest()[:8], 16) % 8 for j in range(3001)], minlength=8)
+        assert np.allclose(got[i], counts / np.linalg.norm(counts), atol=1e-6)
