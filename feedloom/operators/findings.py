@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators._util import scalar_row
-from feedloom.operators.retrieval import words
+from feedloom.operators.retrieval import text_pieces, words
 
 
 # ----------------------------------------------------- R8: distinctive terms ----
@@ -48,7 +48,10 @@ def term_scores(df: DataFrame, side: str = "side", text: str = "comment", longes
     its standard deviation.  Terms that occur less than ``min_count`` times are left out
     of the result, not of the totals.
     """
-    counted = ngrams(df.select(F.col(side).alias("_side"), F.col(text).alias("_text")), "_text", longest).groupBy("n", "term").agg(
+    texts = df.select(F.col(side).alias("_side"), F.col(text).alias("_text"))
+    # a task holds the different terms of its texts: dealt evenly, in pieces of bounded size
+    pieces = max(texts.agg(text_pieces("_text").alias("n")).first()["n"], df.sparkSession.sparkContext.defaultParallelism)
+    counted = ngrams(texts.repartition(pieces), "_text", longest).groupBy("n", "term").agg(
         F.count_if(F.col("_side") == "low").alias("n_low"), F.count_if(F.col("_side") == "best").alias("n_best")
     )
     counted = counted.checkpoint(eager=True)  # used for the totals and for the terms
@@ -63,6 +66,10 @@ def term_scores(df: DataFrame, side: str = "side", text: str = "comment", longes
     return t.select("n", "term", "n_low", "n_best", ((log_odds("n_low", "_low") - log_odds("n_best", "_best")) / spread).alias("z"))
 
 
+#: So many dealers go to every task.
+FEW_DEALERS = 50_000
+
+
 def distinctive_terms(df: DataFrame, k: int = 20, low: float = 5, best: int = 3, longest: int = 2, prior: float = 500.0, min_count: int = 5,
                       dealer: str = "dealer", text: str = "comment", score: str = "score") -> DataFrame:
     """The ``k`` terms that set the comments of badly rated dealers apart from those of the best, and the reverse.
@@ -71,6 +78,9 @@ def distinctive_terms(df: DataFrame, k: int = 20, low: float = 5, best: int = 3,
     size of z, then term.
     """
     sides = dealer_groups(df, low, best, dealer, score)
+    sides = sides.checkpoint(eager=True)
+    if sides.count() <= FEW_DEALERS:  # the texts stay where they are: shuffled by dealer, a crowded one is one task's work
+        sides = F.broadcast(sides)
     scored = term_scores(df.join(sides, dealer), "side", text, longest, prior, min_count)
     scored = scored.select("term", "n_low", "n_best", F.round("z", 9).alias("z")).checkpoint(eager=True)
     out = None

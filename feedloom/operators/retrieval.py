@@ -391,6 +391,15 @@ def bucket(word: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
 
 
+#: Bytes of text in a piece whose words one task counts (about).
+PIECE_BYTES = 16 << 20
+
+
+def text_pieces(text: str) -> Column:
+    """Into how many pieces texts are dealt to be counted, as an aggregate."""
+    return (F.floor(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) / PIECE_BYTES) + 1).cast("int")
+
+
 #: Different words whose bucket a task remembers.
 _KNOWN_WORDS = 100_000
 
