@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions import word_count
-from feedloom.session import bound_batches
+from feedloom.session import bound_batches, ensure_checkpoint_dir
 
 # Labels of the enriched text, in output order.
 ENRICHED_LABELS = [
@@ -409,21 +410,41 @@ def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_
     """Sparse TF-IDF vectors: (id, array of (index, value)), by index.
 
     Words fall into ``num_features`` buckets; value = count x ln((rows + 1) / (rows with
-    the bucket + 1)).  Counts are combined before they are shuffled; the document
+    the bucket + 1)).  Texts are shuffled once, in pieces of bounded size; the document
     frequencies have at most ``num_features`` rows.  A row without words has no entry.
     """
-    # counted by word first: each word of a row is hashed once, and by all tasks
-    by_word = df.select(id_col, F.explode(words(text)).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
-    counted = by_word.groupBy(id_col, bucket(F.col("word"), num_features).alias("index")).agg(F.sum("n").alias("n"))
-    counted = counted.checkpoint(eager=True)  # used for the frequencies and for the weights
-    rows = F.lit(df.count())
-    weights = counted.groupBy("index").agg(F.log((rows + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
-    # at most num_features rows: broadcast, so that a common word's rows stay where they are
-    entries = counted.join(F.broadcast(weights), "index").groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("index", (F.col("n") * F.col("idf")).alias("value")))).alias(out)
-    )
-    empty = F.array().cast("array<struct<index:int,value:double>>")
-    return df.select(id_col).join(entries, id_col, "left").withColumn(out, F.coalesce(out, empty))
+    bound_batches(df.sparkSession)
+    size = df.agg(F.count(F.lit(1)).alias("rows"), text_pieces(text).alias("pieces")).first()
+    # the texts are shuffled once; all that is counted per row stays where its text went
+    spread = df.select(id_col, text).repartition(max(size["pieces"], df.sparkSession.sparkContext.defaultParallelism), id_col)
+    each = spread.select(id_col, F.posexplode_outer(words(text)).alias("at", "word"))
+    # counted by word first: each word of a row is hashed once; a row's first word, or none, counts the row
+    by_word = each.groupBy(id_col, "word").agg(F.count("word").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies"))
+    counted = by_word.groupBy(id_col, bucket(F.col("word"), num_features).alias("index")).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    entry = F.when(F.col("index").isNotNull(), F.struct("index", "n"))
+    vectors = counted.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.sum("copies").alias("copies"))
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
+    vectors.write.parquet(path)  # used for the frequencies and for the weights
+    vectors = df.sparkSession.read.schema(vectors.schema).parquet(path)
+    found = vectors.select(F.explode("entries.index").alias("index")).groupBy("index").agg(F.log((F.lit(size["rows"]) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    idf = np.zeros(num_features)
+    for r in found.collect():  # at most num_features rows
+        idf[r["index"]] = r["idf"]
+
+    def weigh(batches):
+        for rows in batches:
+            entries = rows.column(1)
+            flat = entries.flatten()
+            index = flat.field(0).to_numpy(zero_copy_only=False)
+            value = flat.field(1).to_numpy(zero_copy_only=False) * idf[index]
+            pairs = pa.StructArray.from_arrays([pa.array(index, pa.int32()), pa.array(value, pa.float64())], names=["index", "value"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), _lists(pc.list_value_length(entries).to_numpy(zero_copy_only=False), pairs)], names=[id_col, out])
+
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(out, T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("value", T.DoubleType())])))])
+    # a row for each row of an id; rows without an id have no entry
+    own = F.when(F.col(id_col).isNotNull(), F.col("entries")).otherwise(F.array().cast(vectors.schema["entries"].dataType))
+    rows = vectors.select(id_col, own.alias("entries"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(id_col, "entries")
+    return rows.mapInArrow(weigh, schema)
 
 
 def _lists(lens: np.ndarray, values: pa.Array) -> pa.ListArray:

@@ -207,3 +207,19 @@ def test_embeddings_take_long_texts_in_small_batches(spark):
     for i in (0, 399):
         counts = np.bincount([int(hashlib.md5(f"w{j + i}".encode()).hexdigest()[:8], 16) % 8 for j in range(3001)], minlength=8)
         assert np.allclose(got[i], counts / np.linalg.norm(counts), atol=1e-6)
+
+
+def test_tfidf_shuffles_texts_once_in_bounded_pieces(spark, monkeypatch):
+    """Repeated and null ids keep their rows; what is counted per row is not shuffled again."""
+    monkeypatch.setattr(RT, "PIECE_BYTES", 16)
+    rows = [(1, "a b b"), (1, "a c"), (2, None), (3, ""), (None, "a d"), (None, None), (4, "b b b a b")]
+    plans = []
+    writer = type(spark.range(1).write)
+    write = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **k))
+    out = RT.tfidf_vectors(spark.createDataFrame(rows, "id int, comment string"), num_features=1 << 20).collect()
+    got = sorted((r.id or 0, sorted(round(f.value, 9) for f in r.features)) for r in out)
+    ln = lambda x: round(float(np.log(x)), 9)
+    one = sorted([round(2 * np.log(8 / 4), 9), round(2 * np.log(8 / 3), 9), ln(8 / 2)])
+    assert got == [(0, []), (0, []), (1, one), (1, one), (2, []), (3, []), (4, sorted([ln(2), round(4 * np.log(8 / 3), 9)]))]
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
