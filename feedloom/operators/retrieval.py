@@ -410,23 +410,41 @@ def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_
     """Sparse TF-IDF vectors: (id, array of (index, value)), by index.
 
     Words fall into ``num_features`` buckets; value = count x ln((rows + 1) / (rows with
-    the bucket + 1)).  Texts are shuffled once, in pieces of bounded size; the document
-    frequencies have at most ``num_features`` rows.  A row without words has no entry.
+    the bucket + 1)).  Words are counted where they are read, in batches of bounded size;
+    the document frequencies have at most ``num_features`` rows.  A row without words has no entry.
     """
-    bound_batches(df.sparkSession)
-    size = df.agg(F.count(F.lit(1)).alias("rows"), text_pieces(text).alias("pieces")).first()
-    # the texts are shuffled once; all that is counted per row stays where its text went
-    spread = df.select(id_col, text).repartition(max(size["pieces"], df.sparkSession.sparkContext.defaultParallelism), id_col)
-    each = spread.select(id_col, F.posexplode_outer(words(text)).alias("at", "word"))
-    # counted by word first: each word of a row is hashed once; a row's first word, or none, counts the row
-    by_word = each.groupBy(id_col, "word").agg(F.count("word").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies"))
-    counted = by_word.groupBy(id_col, bucket(F.col("word"), num_features).alias("index")).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
-    entry = F.when(F.col("index").isNotNull(), F.struct("index", "n"))
-    vectors = counted.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.sum("copies").alias("copies"))
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
-    vectors.write.parquet(path)  # used for the frequencies and for the weights
-    vectors = df.sparkSession.read.schema(vectors.schema).parquet(path)
-    found = vectors.select(F.explode("entries.index").alias("index")).groupBy("index").agg(F.log((F.lit(size["rows"]) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    spark = df.sparkSession
+    bound_batches(spark)
+    row_type = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("n", T.LongType())])
+    counted = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("entries", T.ArrayType(row_type))])
+
+    def count(batches):
+        known: dict[str, int] = {}
+        for rows in batches:
+            lens, ids = _word_buckets(rows.column(1), num_features, known)
+            cell, n = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) * num_features + ids, return_counts=True)
+            pairs = pa.StructArray.from_arrays([pa.array(cell % num_features, pa.int32()), pa.array(n, pa.int64())], names=["index", "n"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), _lists(np.bincount(cell // num_features, minlength=len(lens)), pairs)], names=[id_col, "entries"])
+
+    def kept(rows: DataFrame) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    vectors = kept(df.select(id_col, words(text).alias("_words")).mapInArrow(count, counted))  # used for the frequencies and for the weights
+    n_rows = vectors.count()
+    repeated = vectors.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    if repeated.isEmpty():
+        vectors = vectors.withColumn("copies", F.lit(1).cast("bigint"))
+    else:  # rows of one id have one vector
+        repeated = kept(repeated)
+        same = F.col(id_col).eqNullSafe(F.col("_id"))
+        once = vectors.join(repeated, same, "left_anti").withColumn("copies", F.lit(1).cast("bigint"))
+        entries = vectors.join(repeated, same, "left_semi").select(id_col, F.inline("entries")).groupBy(id_col, "index").agg(F.sum("n").alias("n"))
+        together = entries.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("index", "n"))).alias("entries"))
+        again = repeated.join(together, same, "left").select(F.col("_id").alias(id_col), F.coalesce("entries", F.array().cast(counted["entries"].dataType)).alias("entries"), "copies")
+        vectors = kept(once.unionByName(again))
+    found = vectors.select(F.explode("entries.index").alias("index")).groupBy("index").agg(F.log((F.lit(n_rows) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
     idf = np.zeros(num_features)
     for r in found.collect():  # at most num_features rows
         idf[r["index"]] = r["idf"]
@@ -447,6 +465,20 @@ def tfidf_vectors(df: DataFrame, text: str = "comment", id_col: str = "id", num_
     return rows.mapInArrow(weigh, schema)
 
 
+def _word_buckets(lists: pa.ListArray, buckets: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each row has, and the ``bucket`` of each; ``known`` are a task's words so far."""
+    if len(known) > _KNOWN_WORDS:
+        known.clear()
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    different = flat.dictionary.to_pylist()
+    for w in different:
+        if w not in known:
+            known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % buckets
+    ids = np.fromiter(map(known.__getitem__, different), np.int64, len(different))
+    return lens, ids[flat.indices.to_numpy(zero_copy_only=False)]
+
+
 def _lists(lens: np.ndarray, values: pa.Array) -> pa.ListArray:
     """Lists of so many values each."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), values)
@@ -467,21 +499,12 @@ def hashed_embeddings(df: DataFrame, text: str = "comment", id_col: str = "id",
     def run(batches):
         known: dict[str, int] = {}
         for rows in batches:
-            lists = rows.column(1)
-            lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten().dictionary_encode()
-            different = flat.dictionary.to_pylist()
-            for w in different:
-                if w not in known:
-                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
-            ids = np.fromiter(map(known.__getitem__, different), np.int64, len(different))[flat.indices.to_numpy(zero_copy_only=False)]
+            lens, ids = _word_buckets(rows.column(1), dim, known)
             cell = np.repeat(np.arange(len(lens), dtype=np.int64), lens) * dim + ids
             counts = np.bincount(cell, minlength=len(lens) * dim).reshape(len(lens), dim).astype(np.float64)
             norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
             vecs = (counts / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([rows.column(0), _lists(np.full(len(lens), dim), pa.array(vecs.ravel()))], names=[id_col, out])
-            if len(known) > _KNOWN_WORDS:
-                known.clear()
 
     return df.select(id_col, words(text).alias("_words")).mapInArrow(run, schema)
 
