@@ -15,14 +15,16 @@ evidence for each topic and are trained by gradient descent in numpy.
 
 Corpus passes, all over whole texts:
 
-1. Word counts and subword pairs at word borders per topic, combined in each task, then
-   by Spark.  From them come the baseline's counts and the bigram tables (a word's
-   inside is counted once per different word and topic, not per occurrence).
-   Topics are fitted before, on the byte histograms of all training documents.
-2. Training on all training documents, dealt by hash to rounds, one more for every
+1. Every text is tokenised once; its subword ids are written, beside its byte histogram,
+   with the counts of words and subwords of the training texts, combined in each task,
+   then by Spark.  The other passes read ids.  A word is its run of ids: BPE gives a word
+   one run, the run spells the word, and each word's first subword alone starts with a space.
+2. Topics are fitted on the byte histograms of all training documents; pairs of
+   neighbouring classes are counted over the running text of each topic.
+3. Training on all training documents, dealt by hash to rounds, one more for every
    doubling of the corpus.  In a round every task descends along its documents from the
    averaged gates of the round before; Spark averages by windows.
-3. Scoring: overlapping windows of ``WINDOW`` subwords, of which the last ``STRIDE``
+4. Scoring: overlapping windows of ``WINDOW`` subwords, of which the last ``STRIDE``
    are scored, so each subword is scored once with the others as context.
 
 The baseline needs every word's count.  The ``FREQUENT_WORDS`` commonest go to every
@@ -36,11 +38,11 @@ every probability is uniform.  Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,8 +64,10 @@ TOPIC_ROUNDS = 4
 FREQUENT_WORDS = 300_000
 TOPIC_SAMPLE = 4_096  # documents that say where the topics start
 _TRAINED_AT_ONCE = 64  # documents that a task lays end to end
-_COUNTED = ["word", "topic", "prev", "next", "n"]
 _TASK_WORDS = 500_000  # different words that a task counts before it passes them on
+_SHORT = 4  # ids of 16 bits in a word of 64
+#: White space to the tokenizer that does not part words.
+_INNER_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 _BATCH = 256  # windows attended to at once
 _PULLS = [10.0 * 4**i for i in range(9)]  # weights of the back-off at word borders, chosen among by the counts
 _SEED = 7
@@ -102,6 +106,100 @@ def subwords(encoder, word: bytes) -> list[int]:
     return encoder.encode_ordinary(" " + word.decode())
 
 
+@lru_cache(maxsize=2)
+def word_starts(path: str):
+    """Per id of a ranks file, whether it begins with a space."""
+    import numpy as np
+
+    encoder = subword_encoder(path)
+    if encoder.n_vocab >= 1 << 16:
+        raise ValueError("ids are written in 16 bits; 0xFFFF and more do not fit")
+    return np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(encoder.n_vocab)])
+
+
+def running_ids(words: list[bytes], path: str):
+    """Ids of words one behind the other, as unsigned 16-bit integers.
+
+    The tokenizer cuts in front of each space that follows anything but white space, so
+    words without white space of their own are encoded in one string.
+    """
+    import numpy as np
+
+    encoder = subword_encoder(path)
+    if not words:
+        return np.zeros(0, "<u2")
+    text = " " + b" ".join(words).decode()
+    if not text.isascii() and _INNER_SPACE(text):
+        return np.array([i for w in words for i in subwords(encoder, w)], dtype="<u2")
+    return np.array(encoder.encode_ordinary(text), dtype="<u2")
+
+
+def packed_ids(flat, begins, lengths):
+    """Runs of at most ``_SHORT`` ids as one integer each."""
+    import numpy as np
+
+    key = np.zeros(len(begins), np.uint64)
+    for j in range(_SHORT):
+        on = slice(None) if j == 0 else np.flatnonzero(lengths > j)
+        key[on] |= (flat[begins[on] + j].astype(np.uint64) + np.uint64(1)) << np.uint64(16 * j)
+    return key
+
+
+def word_runs(flat, starts):
+    """Words in ids: begins, lengths, which are of at most ``_SHORT`` ids, these packed, which are longer, these as bytes."""
+    import numpy as np
+
+    begins = np.flatnonzero(starts[flat])
+    lengths = np.diff(begins, append=len(flat))
+    few = lengths <= _SHORT
+    short, longer = np.flatnonzero(few), np.flatnonzero(~few)
+    raw, at = flat.tobytes(), begins[longer]
+    runs = [raw[a:b] for a, b in zip((2 * at).tolist(), (2 * (at + lengths[longer])).tolist())]
+    return begins, short, packed_ids(flat, begins[short], lengths[short]), longer, runs
+
+
+def key_bytes(keys) -> list[bytes]:
+    """Packed ids as 8 bytes; longer runs have more."""
+    raw = keys.astype("<u8").tobytes()
+    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+
+
+class WordCounts:
+    """How often a task met each word: packed ids in arrays, longer runs by their bytes."""
+
+    def __init__(self, starts):
+        import numpy as np
+
+        self.starts, self.longer = starts, Counter()
+        self.keys, self.counts, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, flat) -> None:
+        import numpy as np
+
+        _, _, keys, _, runs = word_runs(flat, self.starts)
+        self.new.append(np.unique(keys, return_counts=True))
+        self.longer.update(runs)
+        if sum(len(k) for k, _ in self.new) > _TASK_WORDS:
+            self._merge()
+
+    def _merge(self) -> None:
+        import numpy as np
+
+        keys, back = np.unique(np.concatenate([self.keys, *(k for k, _ in self.new)]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([self.counts, *(n for _, n in self.new)]), minlength=len(keys))
+        self.keys, self.counts, self.new = keys, counts.astype(np.int64), []
+
+    def __len__(self) -> int:
+        return len(self.keys) + len(self.longer)
+
+    def taken(self) -> tuple[list[bytes], list[int]]:
+        """Words and counts; what was counted is forgotten."""
+        self._merge()
+        found = key_bytes(self.keys) + list(self.longer), self.counts.tolist() + list(self.longer.values())
+        self.__init__(self.starts)
+        return found
+
+
 # --- topics -----------------------------------------------------------------
 
 
@@ -112,19 +210,39 @@ def byte_histogram(raw: bytes):
     return np.sqrt(np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(1, len(raw))).astype(np.float32)
 
 
-def first_centroids(training: DataFrame, topics: int, topic_sample: int):
-    """Where the topics start: k-means of the byte histograms of at most ``topic_sample`` documents, by hash."""
-    import numpy as np
-
-    # ids first: a sort of whole texts would bring topic_sample of them from every task
-    ids = training.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(topic_sample)
-    sample = training.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
+def with_histograms(training: DataFrame) -> DataFrame:
+    """doc_id and byte histogram (32-bit floats; null text: null) of every document."""
 
     def histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"h": [byte_histogram(lowered(t)).tolist() for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "histogram": [None if t is None else byte_histogram(lowered(t)).tobytes() for t in batch["text"]]})
+
+    rows = training.select("doc_id", "text")
+    return rows.mapInPandas(histograms, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, histogram binary")
+
+
+def laid_histograms(column):
+    """Histograms of a batch as a matrix; null is all zeros."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(bytes(1024) if h is None else h for h in column), np.float32).reshape(-1, 256)
 
-    x = np.array([r.h for r in sample.mapInPandas(histograms, "h array<float>").limit(topic_sample).collect()], dtype=np.float32).reshape(-1, 256)
+
+def topics_of(centroids, x):
+    """The nearest centroid of each histogram."""
+    import numpy as np
+
+    return np.concatenate([((centroids[None] - x[i : i + 64, None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(x), 64)] or [np.zeros(0, np.int64)])
+
+
+def first_centroids(training: DataFrame, topics: int, topic_sample: int):
+    """Where the topics start: k-means of the byte histograms of at most ``topic_sample`` documents, by hash."""
+    import numpy as np
+
+    # ids first: a sort of whole rows would bring topic_sample of them from every task
+    ids = training.where(F.col("histogram").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(topic_sample)
+    sample = training.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").where(F.col("histogram").isNotNull()).select("histogram")
+    x = laid_histograms(r.histogram for r in sample.limit(topic_sample).collect())
     if not len(x):
         return np.zeros((topics, 256), np.float32)
     rng = np.random.default_rng(_SEED)
@@ -143,6 +261,8 @@ def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = TO
     """Centroids of the byte histograms of all training documents; a sample only says where k-means starts."""
     import numpy as np
 
+    if "histogram" not in training.columns:
+        training = with_histograms(training)
     centers = first_centroids(training, topics, topic_sample)
     for _ in range(rounds):
         now = centers
@@ -150,15 +270,15 @@ def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = TO
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((topics, 257))
             for batch in batches:
-                for text in batch["text"]:
-                    h = byte_histogram(lowered(text))
-                    own = total[((now - h) ** 2).sum(axis=1).argmin()]
-                    own[:-1] += h
-                    own[-1] += 1
+                x = laid_histograms(batch["histogram"])
+                own = topics_of(now, x)
+                for k in range(topics):
+                    total[k, :-1] += x[own == k].sum(axis=0, dtype=np.float64)
+                total[:, -1] += np.bincount(own, minlength=topics)
             place = np.flatnonzero(total)
             yield pd.DataFrame({"place": place, "x": total.ravel()[place]})
 
-        found = training.where(F.col("text").isNotNull()).select("text").mapInPandas(sums, "place int, x double")
+        found = training.where(F.col("histogram").isNotNull()).select("histogram").mapInPandas(sums, "place int, x double")
         added = found.groupBy("place").agg(F.sum("x").alias("x")).toPandas()
         total = np.zeros((topics, 257))
         total.ravel()[added["place"].to_numpy(dtype=np.int64)] = added["x"].to_numpy(dtype=np.float64)
@@ -167,91 +287,99 @@ def topic_centroids(training: DataFrame, topics: int = EXPERTS, rounds: int = TO
     return centers
 
 
-# --- counts -----------------------------------------------------------------
+# --- ids and counts ---------------------------------------------------------
 
 
-def running_counts(training: DataFrame, centroids, ranks: str) -> DataFrame:
-    """(word, topic, prev, next, n) over the running text of all training documents.
+def encoded_documents(docs: DataFrame, ranks: str) -> DataFrame:
+    """Every document's ids, and the counts of the training documents' words and subwords; for one pass over the texts.
 
-    A row has either a word, or the subwords beside a border between words: the last of
-    the word before (-1: the document's start) and the first of the word behind (-1: its
-    end).  Tasks combine, then Spark.
+    A row has either ``ids`` (a document: row, doc_id, text_key, deal, trained, histogram
+    of a training document), a ``word`` and how often a task met it, or a ``subword`` and
+    how often.  Ids are little-endian unsigned 16-bit integers; a word is its packed ids
+    or, if longer, its run of ids.
     """
+    import pyarrow as pa
+
+    docs = docs.select("doc_id", "text")
+    keyed = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
+        F.xxhash64("doc_id", "text").alias("deal"),
+        (~held_out(F.col("doc_id"))).alias("trained"),
+        "text",
+    )
+    own = ["row", "doc_id", "text_key", "deal", "trained"]
+    schema = f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, deal bigint, trained boolean, histogram binary, ids binary, word binary, subword int, n bigint"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder = subword_encoder(ranks)
-        seen: dict[int, Counter] = {}
-        ends: dict[bytes, int] = {}  # first subword of a word << 20, and its last
+        starts = word_starts(ranks)
+        seen, subword = WordCounts(starts), np.zeros(len(starts), np.int64)
+        types = None
 
-        def ends_of(word: bytes) -> int:
-            ids = subwords(encoder, word)
-            return ((ids[0] + 1) << 20) + ids[-1] + 1
+        def rows(**columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(len(columns["n"]), t) for c, t in types.items()], names=list(types))
 
-        def flush() -> pd.DataFrame:
-            out = {
-                "word": [w for c in seen.values() for w in c],
-                "topic": [k for k, c in seen.items() for _ in range(len(c))],
-                "n": [n for c in seen.values() for n in c.values()],
-            }
-            seen.clear()
-            return pd.DataFrame(out).assign(prev=None, next=None).astype({"prev": "Int32", "next": "Int32"})[_COUNTED]
+        def words():
+            runs, n = seen.taken()
+            return rows(word=runs, n=n)
 
         for batch in batches:
-            borders = []
-            for text in batch["text"]:
+            if types is None:
+                types = {c: batch.schema.field(c).type for c in own} | {"histogram": pa.binary(), "ids": pa.binary(), "word": pa.binary(), "subword": pa.int32(), "n": pa.int64()}
+            ids, histograms, learned = [], [], []
+            for text, learn in zip(batch.column("text").to_pylist(), batch.column("trained").to_pylist()):
                 raw = lowered(text)
-                topic = int(((centroids - byte_histogram(raw)) ** 2).sum(axis=1).argmin())
-                split = raw.split()
-                seen.setdefault(topic, Counter()).update(split)
-                for w in set(split).difference(ends):
-                    ends[w] = ends_of(w)
-                both = np.fromiter(map(ends.__getitem__, split), np.int64, len(split))
-                # 0 is the start of the document as prev and its end as next
-                borders.append((topic << 40) + (np.r_[0, both & 0xFFFFF] << 20) + np.r_[both >> 20, 0])
-                if len(ends) > _TASK_WORDS:
-                    ends.clear()
-            if borders:
-                key, n = np.unique(np.concatenate(borders), return_counts=True)
-                rows = {"word": None, "topic": key >> 40, "prev": ((key >> 20) & 0xFFFFF) - 1, "next": (key & 0xFFFFF) - 1, "n": n}
-                yield pd.DataFrame(rows)[_COUNTED]
-            if sum(map(len, seen.values())) > _TASK_WORDS:
-                yield flush()
-        yield flush()
-
-    counted = training.select("text").mapInPandas(count, "word binary, topic int, prev int, next int, n bigint")
-    return counted.groupBy("word", "topic", "prev", "next").agg(F.sum("n").alias("n"))
-
-
-def bigram_counts(counts: DataFrame, ranks: str) -> DataFrame:
-    """(topic, prev, next, n) within words: prev -1 is the word's start, next -1 its end; a document's end is prev = next = -1.
-
-    ``counts``: words by topic; word null counts documents' ends.
+                flat = running_ids(raw.split(), ranks)
+                ids.append(flat.tobytes())
+                histograms.append(byte_histogram(raw).tobytes() if learn and text is not None else None)
+                if learn:
+                    learned.append(flat)
+            if learned:
+                flat = np.concatenate(learned)
+                seen.add(flat)
+                subword += np.bincount(flat, minlength=len(subword))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(histograms, pa.binary()), pa.array(ids, pa.binary()), *(pa.nulls(len(ids), types[c]) for c in ("word", "subword", "n"))], names=list(types))
+            if len(seen) > _TASK_WORDS:
+                yield words()
+        if types is not None:
+            met = np.flatnonzero(subword)
+            yield words()
+            yield rows(subword=met, n=subword[met])
+
+    return keyed.mapInArrow(encode, schema)
+
+
+def pair_counts(training: DataFrame, centroids, class_of):
+    """Counts by topic, class and next class over the running text of all training documents.
+
+    The last class is the edge: a document's start as previous, its end as next.
     """
+    import numpy as np
 
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    width = CLASSES + 3
+    sent = training.sparkSession.sparkContext.broadcast((centroids, class_of))
 
-        encoder = subword_encoder(ranks)
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, class_of = sent.value
+        total = np.zeros(EXPERTS * width * width, np.int64)
         for batch in batches:
-            ids = [[] if word is None else subwords(encoder, bytes(word)) for word in batch["word"]]
-            if not ids:
+            if not len(batch):
                 continue
-            lengths = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
-            slot = np.arange(len(flat)) + np.repeat(np.arange(len(ids)), lengths)
-            previous = np.full(len(flat) + len(ids), -1, dtype=np.int64)
-            following = previous.copy()
-            following[slot] = previous[slot + 1] = flat
-            topics, ns = (np.repeat(batch[c].to_numpy(), lengths + 1) for c in ("topic", "n"))
-            key = (topics.astype(np.int64) << 40) + ((previous + 1) << 20) + following + 1
-            key, at = np.unique(key, return_inverse=True)
-            n = np.bincount(at, weights=ns).astype(np.int64)
-            yield pd.DataFrame({"topic": key >> 40, "prev": ((key >> 20) & 0xFFFFF) - 1, "next": (key & 0xFFFFF) - 1, "n": n})
-
-    found = counts.select("word", "topic", "n").mapInPandas(inside, "topic int, prev int, next int, n bigint")
-    return found.groupBy("topic", "prev", "next").agg(F.sum("n").alias("n"))
+            previous, following, lengths = laid_classes(class_of, width - 1, [np.frombuffer(x, "<u2") for x in batch["ids"]])
+            topic = np.repeat(topics_of(centroids, laid_histograms(batch["histogram"])), lengths)
+            place, n = np.unique((topic.astype(np.int32) * width + previous) * width + following, return_counts=True)
+            total[place] += n
+        place = np.flatnonzero(total)
+        yield pd.DataFrame({"place": place, "n": total[place]})
+
+    found = training.select("ids", "histogram").mapInPandas(pairs, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    sent.destroy()
+    counts = np.zeros(EXPERTS * width * width, np.int64)
+    counts[found["place"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return counts.reshape(EXPERTS, width, width)
 
 
 # --- model ------------------------------------------------------------------
@@ -291,16 +419,15 @@ class Model:
         return Model(self.class_of, self.share, self.experts, *parts)
 
 
-def build_model(bigrams: DataFrame, borders: DataFrame, vocabulary: int, starts) -> Model:
-    """Expert tables and untrained gates.  ``starts``: per id, whether it begins with a space.
+def build_model(training: DataFrame, centroids, subword_counts, starts) -> Model:
+    """Expert tables and untrained gates.
 
-    What reaches the driver is bounded by the vocabulary, then by the classes.
+    ``subword_counts``: per id, over the training documents; ``starts``: per id, whether it
+    begins with a space.  What reaches the driver is bounded by the classes.
     """
     import numpy as np
 
-    ids = bigrams.where("next >= 0").groupBy("next").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(vocabulary)
-    n[ids["next"].to_numpy(dtype=np.int64)] = ids["n"].to_numpy(dtype=np.float64)
+    n = subword_counts.astype(np.float64)
     common = np.argsort(-n, kind="stable")[:CLASSES]
     width = CLASSES + 3
     class_of = np.where(starts, CLASSES, CLASSES + 1).astype(np.int32)
@@ -309,18 +436,14 @@ def build_model(bigrams: DataFrame, borders: DataFrame, vocabulary: int, starts)
     share = np.log((n + 0.01) / total[class_of])
     share[common] = 0.0
 
-    # classes of ids fit a small table; Spark adds up pairs before the driver sees them
-    bins = bigrams.sparkSession.createDataFrame(pd.DataFrame({"id": np.r_[-1, np.arange(vocabulary)], "class": np.r_[CLASSES + 2, class_of]}), "id int, class int")
-    def by_class(counted: DataFrame):
-        named = counted.join(F.broadcast(bins.select(F.col("id").alias("prev"), F.col("class").alias("a"))), "prev").join(
-            F.broadcast(bins.select(F.col("id").alias("next"), F.col("class").alias("b"))), "next"
-        )
-        pairs = named.groupBy("topic", "a", "b").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros((EXPERTS, width, width), np.float32)
-        counts[pairs["topic"], pairs["a"], pairs["b"]] = pairs["n"]
-        return counts
-
-    return _tables(by_class(bigrams), class_of, share, starts, common, by_class(borders))
+    running = pair_counts(training, centroids, class_of)
+    first = np.append(starts[common], [True, False, True])  # classes behind a border
+    borders = running * first
+    # within words: the edge leads to a word's first subword, its last one to the edge, a document's end from edge to edge
+    inside = running * ~first
+    inside[:, -1] = borders.sum(axis=1)
+    inside[:, :-1, -1] = borders[:, :-1].sum(axis=2)
+    return _tables(inside.astype(np.float32), class_of, share, starts, common, borders.astype(np.float32))
 
 
 def pulled(n, back):
@@ -394,36 +517,51 @@ def attend(model: Model, previous, following, at, begin, end):
 
     context = at[:, None] + np.arange(STRIDE - WINDOW, STRIDE)
     there = (context >= begin[:, None]) & (context < end[:, None])
-    context = np.where(there, context, 0)
-    tokens = previous[context]
-    asked = tokens[:, WINDOW - STRIDE :]
-    scored = there[:, WINDOW - STRIDE :]
-    # a column of ones sums the weights in the product with the values; what is not there has a row of zeros
+    context *= there
+    # what is not there has a row of zeros behind the classes'
+    tokens = previous.take(context).astype(np.intp)
+    tokens[~there] = model.classes
+    asked, scored = tokens[:, WINDOW - STRIDE :], there[:, WINDOW - STRIDE :]
+    # a column of ones sums the weights in the product with the values
+    keys, queries = (np.concatenate((x, np.zeros((1, x.shape[1]), np.float32))) for x in (model.key, model.query))
     values = np.zeros((model.classes + 1, model.value.shape[1] + 1), np.float32)
     values[:-1, :-1], values[:-1, -1] = model.value, 1
-    q, k, v = model.query[asked], model.key[tokens], values[np.where(there, tokens, model.classes)]
+    q, k, v = queries.take(asked, axis=0), keys.take(tokens, axis=0), values.take(tokens, axis=0)
     weight = np.matmul(q, k.transpose(0, 2, 1))
     weight += _distance_bias(model)
     np.exp(weight, out=weight)
     summed = np.matmul(weight, v)
     total = summed[:, :, -1:] + 1e-30
-    gates = summed[:, :, :-1] / total
-    gates += model.bias
+    attended = summed[:, :, :-1] / total
+    gates = attended + model.bias
     np.minimum(gates, 60, out=gates)
     np.exp(gates, out=gates)
-    target = following[context[:, WINDOW - STRIDE :]]
-    mixed = gates * model.experts[asked.astype(np.int64) * model.classes + target]
+    target = following.take(context[:, WINDOW - STRIDE :])
+    place = asked * scored
+    place *= model.classes
+    place += target
+    mixed = model.experts.take(place, axis=0)
+    mixed *= gates
     one = np.ones(gates.shape[2], np.float32)
-    p = (mixed.reshape(-1, len(one)) @ one) / (gates.reshape(-1, len(one)) @ one + 1e-30)
-    return tokens, asked, scored, there, q, k, v[:, :, :-1], weight, total, gates, mixed, p.reshape(scored.shape)
+    share = (gates.reshape(-1, len(one)) @ one + 1e-30).reshape(scored.shape)
+    p = (mixed.reshape(-1, len(one)) @ one).reshape(scored.shape) / share
+    return tokens, asked, scored, q, k, v, weight, total, attended, gates, share, mixed, p
 
 
 def _distance_bias(model: Model):
     """Weights by distance, minus infinity for what is not yet written: (STRIDE, WINDOW)."""
     import numpy as np
 
+    return np.append(model.nearness, np.float32(-np.inf))[_distances()]
+
+
+@lru_cache(maxsize=1)
+def _distances():
+    """From each scored subword of a window back to each of its subwords; WINDOW for those behind it."""
+    import numpy as np
+
     distance = (np.arange(STRIDE) + WINDOW - STRIDE)[:, None] - np.arange(WINDOW)[None, :]
-    return np.where(distance >= 0, model.nearness[np.clip(distance, 0, WINDOW - 1)], np.float32(-np.inf)).astype(np.float32)
+    return np.where(distance >= 0, distance, WINDOW)
 
 
 def text_scores(model: Model, previous, following, lengths):
@@ -434,7 +572,7 @@ def text_scores(model: Model, previous, following, lengths):
     out = np.zeros(len(lengths))
     for i in range(0, len(at), _BATCH):
         part = slice(i, i + _BATCH)
-        scored, *_, p = attend(model, previous, following, at[part], begin[part], end[part])[2:]
+        _, _, scored, *_, p = attend(model, previous, following, at[part], begin[part], end[part])
         logs = np.log(np.maximum(p, 1e-30), where=scored, out=np.zeros_like(p))
         np.add.at(out, doc[part], logs.sum(axis=1, dtype=np.float64))
     return out
@@ -457,29 +595,44 @@ class Descent:
 
         at, begin, end, _ = windows(lengths)
         self.windows += len(at)
-        distance = np.clip((np.arange(STRIDE) + WINDOW - STRIDE)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
+        distance = _distances().ravel()
         order = self.rng.permutation(len(at))
         for i in range(0, len(order), _BATCH):
             part = order[i : i + _BATCH]
             m = self.model.with_gates(self.flat)
-            tokens, asked, scored, there, q, k, v, weight, total, gates, mixed, p = attend(m, previous, following, at[part], begin[part], end[part])
-            weight = weight * there[:, None, :] / total
-            n = max(1, int(scored.sum()))
-            share = gates.sum(axis=2, keepdims=True) + 1e-30
-            d_gates = (gates / share - mixed / (share * np.maximum(p, 1e-30)[:, :, None])) * scored[:, :, None] / n
-            d_weight = np.matmul(d_gates, v.transpose(0, 2, 1))
-            d_score = weight * (d_weight - (weight * d_weight).sum(axis=2, keepdims=True))
-            grads = [np.zeros_like(x) for x in (m.query, m.key, m.value, m.bias, m.nearness)]
-            _scatter(grads[0], asked, np.matmul(d_score, k))
-            _scatter(grads[1], tokens, np.matmul(d_score.transpose(0, 2, 1), q))
-            _scatter(grads[2], tokens, np.matmul(weight.transpose(0, 2, 1), d_gates))
-            grads[3] += d_gates.sum(axis=(0, 1))
-            grads[4] += np.bincount(distance.ravel(), weights=d_score.sum(axis=0).ravel(), minlength=WINDOW)
+            tokens, asked, scored, q, k, v, weight, total, attended, gates, share, mixed, p = attend(m, previous, following, at[part], begin[part], end[part])
+            each = scored / (share * max(1, int(scored.sum())))
+            d_gates = gates * each[:, :, None]
+            mixed *= (each / np.maximum(p, 1e-30))[:, :, None]
+            d_gates -= mixed
+            # by the weights before they were divided by their total: what a weight pulls is its
+            # value's part less that of what was attended to; absent subwords have zeros in v
+            d_summed = np.empty(v.shape[:1] + d_gates.shape[1:2] + v.shape[2:], np.float32)
+            np.divide(d_gates, total, out=d_summed[:, :, :-1])
+            np.einsum("bij,bij->bi", d_summed[:, :, :-1], -attended, out=d_summed[:, :, -1])
+            d_score = np.matmul(d_summed, v.transpose(0, 2, 1))
+            d_score *= weight
+            grads = [
+                _scattered(asked, np.matmul(d_score, k), m.classes),
+                _scattered(tokens, np.matmul(d_score.transpose(0, 2, 1), q), m.classes),
+                _scattered(tokens, np.matmul(weight.transpose(0, 2, 1), d_summed[:, :, :-1]), m.classes),
+                np.ones(scored.size, np.float32) @ d_gates.reshape(scored.size, -1),
+                np.bincount(distance, weights=np.ones(len(d_score), np.float32) @ d_score.reshape(len(d_score), -1), minlength=WINDOW)[:WINDOW],
+            ]
             g = np.concatenate([x.ravel() for x in grads])
             self.steps += 1
-            self.first = 0.9 * self.first + 0.1 * g
-            self.second = 0.99 * self.second + 0.01 * g * g
-            self.flat -= self.rate * (self.first / (1 - 0.9**self.steps)) / (np.sqrt(self.second / (1 - 0.99**self.steps)) + 1e-8)
+            self.first *= 0.9
+            self.first += 0.1 * g
+            g *= g
+            self.second *= 0.99
+            g *= 0.01
+            self.second += g
+            np.sqrt(self.second, out=g)
+            g /= (1 - 0.99**self.steps) ** 0.5
+            g += 1e-8
+            np.divide(self.first, g, out=g)
+            g *= self.rate / (1 - 0.9**self.steps)
+            self.flat -= g
 
 
 def descend(model: Model, previous, following, lengths, rate: float = 0.02, epochs: int = 1):
@@ -490,24 +643,32 @@ def descend(model: Model, previous, following, lengths, rate: float = 0.02, epoc
     return descent.flat
 
 
-def _scatter(table, rows, values) -> None:
-    """Add ``values`` to the rows of ``table`` that they belong to."""
+def _scattered(rows, values, n: int):
+    """Sums of ``values`` by the row of a table of ``n`` that they belong to; those of row n are left out."""
     import numpy as np
 
     flat = rows.ravel()
-    for j in range(table.shape[1]):
-        table[:, j] += np.bincount(flat, weights=values[:, :, j].ravel(), minlength=len(table))
+    return np.stack([np.bincount(flat, weights=x, minlength=n + 1)[:n] for x in np.ascontiguousarray(values.reshape(len(flat), -1).T, dtype=np.float64)], axis=1)
 
 
-def class_sequence(model: Model, ids: list):
-    """(previous, following, lengths) of documents given as id arrays."""
+def laid_classes(class_of, edge: int, ids: list):
+    """(previous, following, lengths) of documents given as id arrays: classes end to end, an edge at each document's start and end."""
     import numpy as np
 
-    edge = model.classes - 1
-    classes = [model.class_of[x] for x in ids]
-    previous = np.concatenate([np.r_[edge, c] for c in classes]).astype(np.int32)
-    following = np.concatenate([np.r_[c, edge] for c in classes]).astype(np.int32)
-    return previous, following, np.array([len(c) + 1 for c in classes], dtype=np.int64)
+    lengths = np.array([len(x) for x in ids], dtype=np.int64)
+    flat = class_of[np.concatenate(ids)] if len(ids) else np.zeros(0, np.int32)
+    slot = np.arange(len(flat)) + np.repeat(np.arange(len(ids)), lengths)
+    previous = np.full(len(flat) + len(ids), edge, np.int32)
+    following = previous.copy()
+    following[slot] = previous[slot + 1] = flat
+    # a document's first place follows an edge
+    previous[np.cumsum(lengths + 1) - (lengths + 1)] = edge
+    return previous, following, lengths + 1
+
+
+def class_sequence(model: Model, ids: list):
+    """(previous, following, lengths) of documents given as id arrays."""
+    return laid_classes(model.class_of, model.classes - 1, ids)
 
 
 def training_rounds(n_docs: int) -> int:
@@ -519,6 +680,8 @@ def train_gates(training: DataFrame, model: Model, ranks: str, n_docs: int) -> M
     """Gates after all rounds; every training document is in one of them."""
     import numpy as np
 
+    if "ids" not in training.columns:
+        training = encoded_documents(training, ranks).where("ids IS NOT NULL")
     rounds = training_rounds(n_docs)
     spark = training.sparkSession
     for number in range(rounds):
@@ -526,21 +689,15 @@ def train_gates(training: DataFrame, model: Model, ranks: str, n_docs: int) -> M
         rate = 0.02 / (1 + number) ** 0.5
 
         def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            encoder, descent, ids = subword_encoder(ranks), Descent(sent.value, rate), {}
+            descent = Descent(sent.value, rate)
             for batch in batches:
-                texts = batch["text"].tolist()
-                for at in range(0, len(texts), _TRAINED_AT_ONCE):
-                    split = [words_of(t) for t in texts[at : at + _TRAINED_AT_ONCE]]
-                    for w in set(chain.from_iterable(split)).difference(ids):
-                        ids[w] = subwords(encoder, w)
-                    laid = [np.fromiter(chain.from_iterable(map(ids.__getitem__, ws)), np.int64) for ws in split]
+                for at in range(0, len(batch), _TRAINED_AT_ONCE):
+                    laid = [np.frombuffer(x, "<u2") for x in batch["ids"].iloc[at : at + _TRAINED_AT_ONCE]]
                     descent.run(*class_sequence(descent.model, laid))
-                    if len(ids) > _TASK_WORDS // 4:
-                        ids.clear()
             if descent.windows:
                 yield pd.DataFrame({"place": np.arange(len(descent.flat)), "x": descent.flat * descent.windows, "n": descent.windows})
 
-        share = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == number).select("text")
+        share = training.where(F.pmod("deal", F.lit(rounds)) == number).select("ids")
         fitted = share.mapInPandas(fit, "place int, x double, n bigint")
         mean = fitted.groupBy("place").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas().sort_values("place")["x"].to_numpy()
         sent.destroy()
@@ -554,118 +711,76 @@ def train_gates(training: DataFrame, model: Model, ranks: str, n_docs: int) -> M
 
 @dataclass
 class Frequent:
-    """The commonest words, their subword ids end to end, and their training counts."""
-
-    words: list[bytes]
-    counts: object
-    log_base: object  # log10 of the baseline's probability
-
-
-def _runs(values, begins, lengths):
-    """Runs of ``values``, each from its begin and as long as its length, end to end."""
-    import numpy as np
-
-    ends = np.cumsum(lengths, dtype=np.int64)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat((begins - (ends - lengths)).astype(np.int32), lengths) + np.arange(total, dtype=np.int32)]
-
+    """The commonest words, as runs of ids, and the baseline's log10 probabilities.
 
-class Scorer:
-    """Per worker: the frequent words' classes and baseline values."""
+    Packed ids ascend; the longer runs' places are behind theirs.
+    """
 
-    def __init__(self, model: Model, frequent: Frequent, ranks: str):
-        import numpy as np
+    keys: object  # uint64
+    longer: dict[bytes, int]  # place of the log
+    log_base: object  # one more: 0 for the words that are not here
 
-        self.model, self.frequent, self.encoder = model, frequent, subword_encoder(ranks)
-        self.place = {w: i for i, w in enumerate(frequent.words)}
-        self.lengths, self.classes, self.shares = self._pieces(frequent.words)
-        self.begins = np.cumsum(self.lengths) - self.lengths
 
-    def _pieces(self, words: list[bytes]):
-        """Of each word: how many subwords, their classes end to end, the log of their shares of the classes."""
-        import numpy as np
+def frequent_words(words: list[bytes], log_base) -> Frequent:
+    """``words``: packed ids or longer runs of ids."""
+    import numpy as np
 
-        ids = [subwords(self.encoder, w) for w in words]
-        lengths = np.array([len(x) for x in ids], dtype=np.int32)
-        flat = np.array([i for x in ids for i in x], dtype=np.int64)
-        shares = np.bincount(np.repeat(np.arange(len(ids)), lengths), weights=self.model.share[flat], minlength=len(ids))
-        return lengths, self.model.class_of[flat], shares
+    few = np.array([len(w) == 8 for w in words], dtype=bool)
+    short, others = np.flatnonzero(few), np.flatnonzero(~few)
+    keys = np.frombuffer(b"".join(w for w in words if len(w) == 8), "<u8")
+    order = np.argsort(keys)
+    return Frequent(keys[order], {words[i]: len(short) + k for k, i in enumerate(others.tolist())}, np.concatenate((log_base[short[order]], log_base[others], [0.0])))
 
-    def score(self, texts: list[str | None]):
-        """(n_words, known, base of frequent words, score) arrays, and how often each text has each rarer word.
 
-        What a word has of its own (subwords, shares, baseline) is looked up per word;
-        only classes are laid out per subword.
-        """
-        import numpy as np
+def scored_texts(model: Model, frequent: Frequent, starts, ids: list[bytes]):
+    """(n_words, known, base of frequent words, score) arrays; which texts have which rarer words how often, as three lists."""
+    import numpy as np
 
-        model, n = self.model, len(texts)
-        split = [words_of(t) for t in texts]
-        n_words = np.array([len(w) for w in split], dtype=np.int64)
-        flat = [w for ws in split for w in ws]
-        # the large dictionary and tables once per different word; the rest works on small arrays
-        different = set(flat)
-        often = [w for w in different if w in self.place]
-        new = list(different.difference(often))
-        local = {w: k for k, w in enumerate((*often, *new))}
-        at = np.array([local[w] for w in flat], dtype=np.int32)
-        doc = np.repeat(np.arange(n), n_words)
-        here = np.array([self.place[w] for w in often], dtype=np.int64)
-        new_lengths, new_classes, new_shares = self._pieces(new)
-        lengths = np.concatenate((self.lengths[here], new_lengths))
-        classes = np.concatenate((_runs(self.classes, self.begins[here], self.lengths[here]), new_classes))
-        shares = np.concatenate((self.shares[here], new_shares))
-        known_word = np.concatenate((self.frequent.counts[here] > 0, np.zeros(len(new), bool)))
-        word_base = np.concatenate((self.frequent.log_base[here], np.zeros(len(new))))
-        each = lengths[at]
-        token = _runs(classes, (np.cumsum(lengths) - lengths)[at], each)
-        n_tokens = np.bincount(doc, weights=each, minlength=n).astype(np.int64)
-        # a start before and an end behind each document's classes
-        previous = np.full(len(token) + n, model.classes - 1, np.int32)
-        following = previous.copy()
-        stops = np.cumsum(n_tokens)
-        for d, (i, j) in enumerate(zip((stops - n_tokens).tolist(), stops.tolist())):
-            previous[i + d + 1 : j + d + 1] = following[i + d : j + d] = token[i:j]
-        log = text_scores(model, previous, following, n_tokens + 1)
-        log += np.bincount(doc, weights=shares[at], minlength=n)
-        known = np.bincount(doc, weights=known_word[at], minlength=n).astype(np.int64)
-        base = np.bincount(doc, weights=word_base[at], minlength=n)
-        rare = np.flatnonzero(at >= len(often))
-        return n_words, known, base, log / np.log(10), Counter(zip(doc[rare].tolist(), [flat[i] for i in rare.tolist()]))
-
-
-_KEPT: list = []  # the worker's last broadcast value and its scorer
-
-
-def _scorer(sent, ranks: str) -> Scorer:
-    """The worker's scorer for a broadcast model, kept from task to task."""
-    if not _KEPT or _KEPT[0] is not sent.value:
-        _KEPT[:] = [sent.value, Scorer(*sent.value, ranks)]
-    return _KEPT[1]
+    n = len(ids)
+    each = [np.frombuffer(x, "<u2") for x in ids]
+    flat = np.concatenate(each)
+    doc = np.repeat(np.arange(n), [len(x) for x in each])
+    log = text_scores(model, *class_sequence(model, each))
+    log += np.bincount(doc, weights=model.share[flat], minlength=n)
+    begins, short, packed, longer, runs = word_runs(flat, starts)
+    of = doc[begins]
+    place = np.full(len(begins), -1)  # the last of the logs, 0
+    key, back = np.unique(packed, return_inverse=True)
+    if len(frequent.keys):
+        near = np.minimum(np.searchsorted(frequent.keys, key), len(frequent.keys) - 1)
+        place[short] = np.where(frequent.keys[near] == key, near, -1)[back]
+    place[longer] = [frequent.longer.get(run, -1) for run in runs]
+    n_words = np.bincount(of, minlength=n)
+    known = np.bincount(of, weights=place >= 0, minlength=n).astype(np.int64)
+    base = np.bincount(of, weights=frequent.log_base[place], minlength=n)
+    rare = np.flatnonzero(place[short] < 0)
+    pair, times = np.unique(of[short[rare]] * max(1, len(key)) + back[rare], return_counts=True)
+    who, what = np.divmod(pair, max(1, len(key)))
+    others = Counter((d, run) for d, run, at in zip(of[longer].tolist(), runs, place[longer].tolist()) if at < 0)
+    return n_words, known, base, log / np.log(10), who.tolist() + [d for d, _ in others], key_bytes(key[what]) + [run for _, run in others], times.tolist() + list(others.values())
 
 
 def lm_scores(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     import numpy as np
+    import pyarrow as pa
 
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    training = docs.where(~held_out(F.col("doc_id")))
-    running = materialize(running_counts(training, topic_centroids(training), ranks), "running-counts")
-    borders = running.where("prev IS NOT NULL").select("topic", "prev", "next", "n")
-    words = running.where("prev IS NULL").select("word", "topic", "n")
-    ends = borders.where("next = -1").groupBy("topic").agg(F.sum("n").alias("n")).select(F.lit(None).cast("binary").alias("word"), "topic", "n")
-    counts = words.unionByName(ends)
-    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "word-totals")
-    n_docs = ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    starts = word_starts(ranks)
+    encoded = materialize(encoded_documents(docs, ranks), "encoded")
+    every = encoded.where("ids IS NOT NULL")
+    training = every.where("trained")
+    # a task has each word about once: nothing to combine before the shuffle
+    totals = materialize(encoded.where("word IS NOT NULL").select("word", "n").repartition("word").groupBy("word").agg(F.sum("n").alias("c")), "word-totals")
+    n_docs = training.count()
     n, v = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + n_docs, v + (n_docs > 0)
     floor = float(np.log10(n + 0.1 * (v + 1)))
 
-    encoder = subword_encoder(ranks)
-    vocabulary = encoder.n_vocab
-    starts = np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(vocabulary)])
-    model = build_model(materialize(bigram_counts(counts, ranks), "bigrams"), borders, vocabulary, starts)
+    met = encoded.where("subword IS NOT NULL").groupBy("subword").agg(F.sum("n").alias("n")).toPandas()
+    subword_counts = np.zeros(len(starts), np.int64)
+    subword_counts[met["subword"].to_numpy(dtype=np.int64)] = met["n"].to_numpy(dtype=np.int64)
+    model = build_model(training, topic_centroids(training), subword_counts, starts)
     model = train_gates(training, model, ranks, n_docs)
 
     # the count from which words are few enough: found on a histogram of 8 steps per doubling
@@ -676,47 +791,44 @@ def lm_scores(docs: DataFrame, ranks: str) -> DataFrame:
         if taken > FREQUENT_WORDS:
             break
         least = r.step
-    often = totals.where(F.floor(8 * F.log2("c")) >= F.lit(least)).toPandas() if least is not None else pd.DataFrame({"word": [], "c": []})
-    c = often["c"].to_numpy(dtype=np.float64)
-    frequent = Frequent([bytes(w) for w in often["word"]], c, np.log10(c + 0.1) - floor)
-    del often, c
+    often = totals.where(F.floor(8 * F.log2("c")) >= F.lit(least) if least is not None else F.lit(False)).toArrow()
+    frequent = frequent_words(often.column("word").to_pylist(), np.log10(often.column("c").to_numpy().astype(np.float64) + 0.1) - floor)
+    del often
     sent = spark.sparkContext.broadcast((model, frequent))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(sent, ranks)
+    columns = {"row": "bigint", "n_words": "bigint", "known": "bigint", "base": "double", "log": "double", "word": "binary", "times": "bigint"}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, frequent = sent.value
+        starts = word_starts(ranks)
+        types = dict(zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())))
+
+        def rows(found: dict):
+            return pa.RecordBatch.from_arrays([pa.array(found[c], t) if c in found else pa.nulls(len(found["row"]), t) for c, t in types.items()], names=list(types))
+
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                n_words, known, base, log, rare = scorer.score(part["text"].tolist())
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n_words": n_words, "known": known, "base": base, "log": log})
-                if rare:
-                    who = [d for d, _ in rare]
-                    yield pd.DataFrame({"id": part["id"].to_numpy()[who], "text_key": part["text_key"].to_numpy()[who], "word": [w for _, w in rare], "times": list(rare.values())})
-
-    schema = "id string, text_key bigint, n_words bigint, known bigint, base double, log double, word binary, times bigint"
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in score(batches):
-            yield out.reindex(columns=["id", "text_key", "n_words", "known", "base", "log", "word", "times"]).astype({"n_words": "Int64", "known": "Int64", "times": "Int64"})
-
-    keyed = docs.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    both = materialize(keyed.mapInPandas(whole, schema), "scored")
-    scored = both.where("n_words IS NOT NULL")
-    key = ["id", "text_key"]
-    rare = both.where("n_words IS NULL").join(totals, "word", "left").groupBy(*key).agg(
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row = part.column("row").to_numpy()
+                n_words, known, base, log, who, word, times = scored_texts(model, frequent, starts, part.column("ids").to_pylist())
+                yield rows({"row": row, "n_words": n_words, "known": known, "base": base, "log": log})
+                yield rows({"row": row[who], "word": word, "times": times} if who else {"row": []})
+
+    both = materialize(every.select("row", "ids").mapInArrow(score, ", ".join(f"{c} {t}" for c, t in columns.items())), "scored")
+    rare = both.where("n_words IS NULL").join(totals, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - floor)).alias("more_base"),
     )
-    # rows that repeat a document have added their words once each
-    one = scored.groupBy(*key).agg(F.count("*").alias("rows"), *(F.first(x).alias(x) for x in ("n_words", "known", "base", "log")))
-    found = one.join(rare.select(F.col("id").alias("i"), F.col("text_key").alias("t"), "more_known", "more_base"), F.col("id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")), "left")
+    each = every.select("row", F.col("doc_id").cast("string").alias("id"), "text_key").join(both.where("n_words IS NOT NULL").select("row", "n_words", "known", "base", "log"), "row").join(rare, "row", "left")
+    # rows that repeat a document get one result
+    found = each.groupBy("id", "text_key").agg(F.count("*").alias("rows"), *(F.first(x).alias(x) for x in ("n_words", "known", "base", "log", "more_known", "more_base")))
     end = float(np.log10(n_docs + 0.1) - floor)
     found = found.select(
         F.explode(F.array_repeat(F.col("id").cast("bigint"), F.col("rows").cast("int"))).alias("doc_id"),
         (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("known") + F.coalesce((F.col("more_known") / F.col("rows")).cast("bigint"), F.lit(0)) + int(n_docs > 0)).alias("n_known"),
+        (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(n_docs > 0)).cast("bigint").alias("n_known"),
         F.lit(int(n)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("more_base") / F.col("rows"), F.lit(0.0)) + end).alias("base_score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + end).alias("base_score"),
         F.col("log").alias("score"),
     )
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

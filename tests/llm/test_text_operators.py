@@ -521,6 +521,39 @@ def test_op7_trains_on_every_document_in_rounds(make_docs, monkeypatch):
     assert np.allclose(centers[0], want, atol=1e-5)
 
 
+def test_op7_reads_each_text_once(make_docs):
+    """Counting, training and scoring read the ids that one pass over the texts wrote."""
+    rows = [(i, f"some words {i % 7} of text {i % 11}") for i in range(60)]
+    read = make_docs(rows).sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    docs = make_docs(rows).withColumn("text", told.asNondeterministic()("text"))
+    assert attention_lm.op7_lm(docs).count() == len(rows)
+    assert read.value == len(rows)
+
+
+def test_op7_running_ids_are_those_of_words_apart():
+    ranks = common.public_tokenizer("byte_bpe_50k.tiktoken")
+    encoder, starts = attention_lm.subword_encoder(ranks), attention_lm.word_starts(ranks)
+    texts = ["a plain text, it's 12.5 of it", "caf\xe9 \u4e2d\u6587 \U0001f600\x1cy", "two\xa0\xa0 \xa0parts \u3000 x\u2003", "", "w" * 5_000 + " '' 'll"]
+    for text in texts:
+        words = attention_lm.words_of(text)
+        flat = attention_lm.running_ids(words, ranks)
+        assert flat.tolist() == [i for w in words for i in attention_lm.subwords(encoder, w)]
+        assert starts[flat].sum() == len(words)
+    # every word is counted under a name of its own, whether its ids are few or many
+    counts = attention_lm.WordCounts(starts)
+    for text in texts * 2:
+        counts.add(attention_lm.running_ids(attention_lm.words_of(text), ranks))
+    names, n = counts.taken()
+    assert len(set(names)) == len(names) == len({w for t in texts for w in attention_lm.words_of(t)})
+    assert sum(n) == 2 * sum(len(attention_lm.words_of(t)) for t in texts) and len(counts) == 0
+
+
 def test_op7_odd_rows(odd_docs):
     rows = pairs(odd_docs)
     got = attention_lm.op7_lm(odd_docs).collect()
