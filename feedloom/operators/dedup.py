@@ -43,7 +43,6 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 log = logging.getLogger(__name__)
 
@@ -298,16 +297,23 @@ def _cuts(cells: DataFrame, hot: DataFrame, total: int, window: int) -> DataFram
     return sizes.join(_sorted(at), ["g1", "g2"]).select("g1", "g2", "n", F.transform("places", lambda i: F.get("_sample", i)).alias("cuts"), "starts")
 
 
-def _placed(cells: DataFrame, window: int) -> DataFrame:
-    """(o, g1, g2, cells, pack, piece, phase, starts): every row's place; nulls of ``cells`` are 0 from here on."""
+def _numbered(cells: DataFrame) -> DataFrame:
+    """(o, number): numbers in the order of the ids, which may be of any type."""
+    ids = cells.select("o").distinct().repartitionByRange("o").sortWithinPartitions("o")
+    return ids.select("o", F.monotonically_increasing_id().alias("number")).checkpoint()
+
+
+def _placed(cells: DataFrame, numbers: DataFrame, window: int) -> DataFrame:
+    """(o, g1, g2, cells, pack, piece, phase, starts): every row's place; ``o`` is its id's number and nulls of ``cells`` are 0 from here on."""
     sizes = cells.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.where(F.col("n") >= min(HOT_GROUP, 8 * window)).checkpoint()
     total = cells.count()
     # of an id that comes twice, all rows must be met before it is decided: then there is one phase
-    twice = not cells.groupBy("o").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    twice = numbers.count() < total
+    cells = cells.join(_sorted(numbers), "o").select(F.col("number").alias("o"), "g1", "g2", "cells")
     packs = max(1, total // PACK)
     if hot.isEmpty():
-        in_group = cells.withColumn("cuts", F.lit(None).cast(ArrayType(cells.schema["o"].dataType))).withColumn("starts", F.lit(None).cast("array<int>"))
+        in_group = cells.withColumn("cuts", F.lit(None).cast("array<bigint>")).withColumn("starts", F.lit(None).cast("array<int>"))
     else:
         in_group = _of_groups(cells, _cuts(cells, hot, total, window).checkpoint(), total, "left")
     piece = F.size(F.filter("cuts", lambda c: c <= F.col("o")))
@@ -324,15 +330,15 @@ def _placed(cells: DataFrame, window: int) -> DataFrame:
 
 
 def similar_rows(src, dst, threshold: int, most: int, mixed: bool):
-    """(numbers of rows of ``src``, numbers of rows of ``dst``) that are similar, at most ``most`` for a row of ``dst``.
+    """(places in ``src``, places in ``dst``) of rows that are similar, at most ``most`` for a row of ``dst``.
 
-    ``src`` and ``dst`` are (ranks, groups, cells): a pair counts where the rank of the first
+    ``src`` and ``dst`` are (ids, groups, cells): a pair counts where the id of the first
     is below that of the second; ``mixed`` rows are of several groups, which must agree.
     Cells are hashes, 0 is null.  Rows of ``src`` are taken in order.
     """
     import numpy as np
 
-    (src_rank, src_group, a), (dst_rank, dst_group, b) = src, dst
+    (src_id, src_group, a), (dst_id, dst_group, b) = src, dst
     n, m, width = len(a), len(b), a.shape[1]
     if not n or not m:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -390,7 +396,7 @@ def similar_rows(src, dst, threshold: int, most: int, mixed: bool):
                 i = np.repeat(left[at:to], some)
                 j = right[np.arange(len(i)) - np.repeat(np.cumsum(some) - some - first[at:to], some)]
                 at = to
-                fit = (src_rank[i] < dst_rank[j]) & (told[j] < most)
+                fit = (src_id[i] < dst_id[j]) & (told[j] < most)
                 if mixed:
                     fit &= src_group[i] == dst_group[j]
                 i, j = i[fit], j[fit]
@@ -421,30 +427,26 @@ def _meet(tiles: DataFrame, threshold: int, most: int) -> DataFrame:
 
     A tile tells ``most`` rows for a ``dst``; where it does, one more, without ``src``, says that there may be others.
     """
-    kind = tiles.schema["o"].dataType.simpleString()
-
     def similar(table):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         table = table.sort_by("o").combine_chunks()
-        o = table.column("o").combine_chunks()
-        rank = np.r_[0, np.cumsum(pc.not_equal(o[1:], o[:-1]).to_numpy(zero_copy_only=False))]
+        o = table.column("o").to_numpy()
         mixed = table.column("pack")[0].as_py() >= 0
-        group = np.zeros(len(rank), np.uint64)
+        group = np.zeros(len(o), np.uint64)
         if mixed:
             group = np.unique(np.stack([table.column(c).to_numpy() for c in ("g1", "g2")]), axis=1, return_inverse=True)[1].reshape(-1).astype(np.uint64)
-        cells = table.column("cells").combine_chunks().flatten().to_numpy().reshape(len(rank), -1)
+        cells = table.column("cells").combine_chunks().flatten().to_numpy().reshape(len(o), -1)
         roles = [np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("earlier", "later")]
-        whole = all(len(r) == len(rank) for r in roles)
-        src, dst = ((rank, group, cells) if whole else (rank[r], group[r], cells[r]) for r in roles)
+        whole = all(len(r) == len(o) for r in roles)
+        src, dst = ((o, group, cells) if whole else (o[r], group[r], cells[r]) for r in roles)
         i, j = similar_rows(src, dst, threshold, most, mixed)
         i, j = roles[0][i], roles[1][j]
-        more = np.flatnonzero(np.bincount(j, minlength=len(rank)) >= most)
-        return pa.table({"src": pa.concat_arrays([o.take(i), pa.nulls(len(more), o.type)]), "dst": o.take(np.concatenate((j, more)))})
+        more = np.flatnonzero(np.bincount(j, minlength=len(o)) >= most)
+        return pa.table({"src": pa.concat_arrays([pa.array(o[i]), pa.nulls(len(more), pa.int64())]), "dst": o[np.concatenate((j, more))]})
 
-    return tiles.groupBy("t1", "t2", "pack", "i", "j").applyInArrow(similar, f"src {kind}, dst {kind}")
+    return tiles.groupBy("t1", "t2", "pack", "i", "j").applyInArrow(similar, "src bigint, dst bigint")
 
 
 def _tiles(rows: DataFrame, i, j, earlier, later) -> DataFrame:
@@ -504,10 +506,11 @@ def _propagate(edges: DataFrame, head: DataFrame) -> DataFrame:
 def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], threshold: int, window: int) -> DataFrame:
     """Ids (as ``order``) of the rows that are kept."""
     cells = hashed_cells(rows, keys, order, compare).where(F.col("o").isNotNull())  # a row without an id is never kept
-    placed = _placed(cells, window)
+    numbers = _numbered(cells)
+    placed = _placed(cells, numbers, window)
     last = placed.agg(F.max("phase")).first()[0]
     if last is None:
-        return placed.select(F.col("o").alias(order))
+        return numbers.select(F.col("o").alias(order))
     undecided, kept, passes = placed.select("o").distinct().checkpoint(), [], 0
     for phase in range(last + 1):
         while True:
@@ -528,4 +531,5 @@ def _resolve(rows: DataFrame, keys: list[str], order: str, compare: list[str], t
             if not left or placed.where(F.col("phase") == phase).join(_sorted(undecided), "o", "left_semi").isEmpty():
                 break
     log.info("near-duplicate resolution: %d phases, %d passes", last + 1, passes)
-    return reduce(DataFrame.unionByName, kept).select(F.col("o").alias(order))
+    numbers_kept = reduce(DataFrame.unionByName, kept).select(F.col("o").alias("number"))
+    return numbers.join(_sorted(numbers_kept), "number", "left_semi").select(F.col("o").alias(order))
